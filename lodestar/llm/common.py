@@ -250,29 +250,71 @@ def gather(batches: Iterator[pa.RecordBatch], kinds: dict[str, str]) -> dict[str
     return {k: np.concatenate(v) for k, v in out.items()}
 
 
-def per_document(doc: np.ndarray, tag: np.ndarray, cols: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """Replies: a row per (doc, tag) with each column's values packed as u32."""
-    order = np.lexsort((tag, doc))
-    doc, tag = doc[order], tag[order]
-    cut = np.nonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])[0] if len(doc) else np.zeros(0, np.int64)
-    ends = np.r_[cut[1:], len(doc)] if len(doc) else cut
-    arrays = [pa.array(doc[cut], pa.int64()), pa.array(tag[cut].astype(np.int64), pa.int64())]
-    for v in cols.values():
-        v = v[order].astype("<u4")
-        arrays.append(pa.array([v[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()))
-    return pa.RecordBatch.from_arrays(arrays, ["doc_id", "tag", *cols])
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty) and tag, 16 bits of the text's hash, which tell rows of one doc_id apart."""
+#: Replies to documents: doc and tag name the row, at holds a number for it.
+REPLY = {"doc": "doc", "tag": "var", "at": "var"}
+
+
+def bucket_of(doc: np.ndarray, n: int) -> np.ndarray:
+    """pmod(hash(doc_id), n) as Spark has it."""
+    m = np.uint32
+    h = np.full(len(doc), 42, m)
+    with np.errstate(over="ignore"):
+        for k in (doc.astype(np.int64).view(np.uint64) & U(0xFFFFFFFF), doc.astype(np.int64).view(np.uint64) >> U(32)):
+            k = k.astype(m) * m(0xCC9E2D51)
+            k = ((k << m(15)) | (k >> m(17))) * m(0x1B873593)
+            h ^= k
+            h = ((h << m(13)) | (h >> m(19))) * m(5) + m(0xE6546B64)
+        h ^= m(8)
+        h = (h ^ (h >> m(16))) * m(0x85EBCA6B)
+        h = (h ^ (h >> m(13))) * m(0xC2B2AE35)
+        h ^= h >> m(16)
+    return h.view(np.int32).astype(np.int64) % n
+
+
+def reply(keys: list[int], doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Replies, dealt to the buckets of their documents."""
+    out = Outbox(keys, REPLY)
+    yield from out.add(bucket_of(doc, len(keys)), doc=doc, tag=tag, at=at)
+    yield from out.flush()
+
+
+def keyed(docs: DataFrame, keys: list[int]) -> DataFrame:
+    """doc_id, text (null: empty), tag (16 bits of the text's hash, which tell rows of one doc_id apart) and part, the bucket."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFF)).alias("tag"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFF)).alias("tag"))
+    part = F.element_at(F.array(*[F.lit(k) for k in keys]), F.pmod(F.hash("doc_id"), F.lit(len(keys))) + 1)
+    return rows.withColumn("part", part)
 
 
-def with_replies(docs: DataFrame, replies: DataFrame, *cols: str) -> DataFrame:
-    """keyed rows with the replies to them, each column an array of binaries (null: none)."""
-    got = replies.groupBy("doc_id", "tag").agg(*[F.collect_list(c).alias(c) for c in cols])
-    return docs.join(got, ["doc_id", "tag"], "left")
+def answered(rows: DataFrame, replies: DataFrame, work, schema: str) -> DataFrame:
+    """Calls work(rows' batch, numbers) for each bucket: numbers[k] are the replies to row k (empty: none).
+
+    A bucket holds the texts of one shuffle partition and comes to Python as a whole.
+    """
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        # the replies' packed columns, without the key
+        got = gather(iter(right.select(list(REPLY)).to_batches()), REPLY)
+        found: dict[tuple[int, int], np.ndarray] = {}
+        if got is not None:
+            order = np.lexsort((got["tag"], got["doc"]))
+            doc, tag, at = got["doc"][order], got["tag"][order].astype(np.int64), got["at"][order].astype(np.int64)
+            cut = np.nonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])[0]
+            ends = np.r_[cut[1:], len(doc)]
+            found = {(d, t): at[a:b] for d, t, a, b in zip(doc[cut].tolist(), tag[cut].tolist(), cut.tolist(), ends.tolist(), strict=True)}
+        none = np.zeros(0, np.int64)
+        out: list[pa.RecordBatch] = []
+        for batch in left.select(["doc_id", "text", "tag"]).combine_chunks().to_batches():
+            numbers = [found.get(k, none) for k in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            out += work(batch, numbers)
+        return pa.Table.from_batches(out, schema=arrow_schema(schema))
+
+    return rows.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(run, schema)
+
+
+def arrow_schema(schema: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64()}
+    return pa.schema([(n, kinds[t]) for n, t in (x.split() for x in schema.split(", "))])
 
 
 def merge_spans(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

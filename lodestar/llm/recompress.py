@@ -27,8 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_KEYS, Outbox, Rolling, U, even_keys, gather, keyed, merge_spans, mix, per_document, ranges, shuffle_parts, slices, utf8, with_replies
-from .substring import _numbers
+from .common import BYTE_KEYS, REPLY, Outbox, Rolling, U, answered, even_keys, gather, keyed, merge_spans, mix, ranges, reply, shuffle_parts, slices, utf8
 
 LEADERS = {"name": "var", "doc": "doc", "tag": "var", "pos": "var"}
 SENT = U((1 << 40) - 1)
@@ -138,87 +137,88 @@ def _leaders(width: int, rounds: int, keys: list[int]):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    got = gather(batches, LEADERS)
-    if got is None:
-        return
-    name = got["name"]
-    order = np.argsort(name, kind="stable")
-    same = name[order][1:] == name[order][:-1]
-    hit = order[np.r_[same, False] | np.r_[False, same]]
-    if len(hit):
-        yield per_document(got["doc"][hit], got["tag"][hit], {"at": got["pos"][hit]})
+def _shared(keys: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = gather(batches, LEADERS)
+        if got is None:
+            return
+        name = got["name"]
+        order = np.argsort(name, kind="stable")
+        same = name[order][1:] == name[order][:-1]
+        hit = order[np.r_[same, False] | np.r_[False, same]]
+        yield from reply(keys, got["doc"][hit], got["tag"][hit], got["pos"][hit])
+
+    return run
 
 
 def _windows(width: int, rounds: int, keys: list[int]):
+    def work(batch: pa.RecordBatch, numbers: list[np.ndarray]) -> list[pa.RecordBatch]:
+        out, made = Outbox(keys, LEADERS), []
+        asked_rows = np.nonzero([len(x) for x in numbers])[0]
+        batch = batch.take(pa.array(asked_rows))
+        numbers = [np.unique(numbers[k]) for k in asked_rows]
+        data, off = utf8(batch.column(1))
+        docs, tags = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 2))
+        for a, b in slices(off):
+            best, roll, bounds, at = _parsed(data[off[a] : off[b]], off[a : b + 1] - off[a], width, rounds)
+            count = np.diff(np.r_[at, len(best)])
+            asked = np.concatenate([numbers[k] + bounds[k - a] for k in range(a, b)])
+            mine = np.isin(at, asked)
+            win = ranges(at[mine], count[mine])
+            win = win[best[win] != NONE]
+            row = np.searchsorted(bounds, win, side="right") - 1
+            name = roll.of(win, win + width)
+            made += out.add((name >> U(40)) % U(len(keys)), name=name, doc=docs[a + row], tag=tags[a + row], pos=win - bounds[row])
+        return made + list(out.flush())
+
+    return work
+
+
+def _repeats(keys: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Outbox(keys, LEADERS)
-        for batch in batches:
-            cells = batch.column(3)
-            batch = batch.filter(cells.is_valid())
-            cells = batch.column(3)
-            data, off = utf8(batch.column(1))
-            docs, tags = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 2))
-            for a, b in slices(off):
-                best, roll, bounds, at = _parsed(data[off[a] : off[b]], off[a : b + 1] - off[a], width, rounds)
-                count = np.diff(np.r_[at, len(best)])
-                asked = [np.unique(_numbers(cells[k].as_py())) + bounds[k - a] for k in range(a, b)]
-                mine = np.isin(at, np.concatenate(asked))
-                win = ranges(at[mine], count[mine])
-                win = win[best[win] != NONE]
-                row = np.searchsorted(bounds, win, side="right") - 1
-                name = roll.of(win, win + width)
-                yield from out.add((name >> U(56)) % U(len(keys)), name=name, doc=docs[a + row], tag=tags[a + row], pos=win - bounds[row])
-        yield from out.flush()
+        got = gather(batches, LEADERS)
+        if got is None:
+            return
+        order = np.lexsort((got["pos"], got["tag"], got["doc"], got["name"]))
+        name, doc, tag, pos = (got[k][order] for k in ("name", "doc", "tag", "pos"))
+        new = np.r_[True, name[1:] != name[:-1]]
+        own = new | np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]
+        first_doc = doc[np.nonzero(new)[0]][np.cumsum(new) - 1]
+        first_pos = pos[np.nonzero(own)[0]][np.cumsum(own) - 1]
+        hit = (doc > first_doc) | (pos > first_pos)
+        yield from reply(keys, doc[hit], tag[hit], pos[hit])
 
     return run
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    got = gather(batches, LEADERS)
-    if got is None:
-        return
-    order = np.lexsort((got["pos"], got["tag"], got["doc"], got["name"]))
-    name, doc, tag, pos = (got[k][order] for k in ("name", "doc", "tag", "pos"))
-    new = np.r_[True, name[1:] != name[:-1]]
-    own = new | np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]
-    first_doc = doc[np.nonzero(new)[0]][np.cumsum(new) - 1]
-    first_pos = pos[np.nonzero(own)[0]][np.cumsum(own) - 1]
-    hit = (doc > first_doc) | (pos > first_pos)
-    if hit.any():
-        yield per_document(doc[hit], tag[hit], {"at": pos[hit]})
-
-
 def _cut(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, cells = batch.column(1), batch.column(2)
-            total, removed, sha, kept = [], [], [], []
-            for k in range(len(batch)):
-                words = (texts[k].as_py() or "").encode().split()
-                total.append(len(words))
-                if cells[k].is_valid:
-                    at = np.unique(_numbers(cells[k].as_py()))
-                    lo, hi = merge_spans(at, at + width)
-                    keep = np.ones(len(words), bool)
-                    keep[ranges(lo, hi - lo)] = False
-                    words = list(compress(words, keep.tolist()))
-                removed.append(total[-1] - len(words))
-                kept.append(b" ".join(words))
-                sha.append(hashlib.sha256(kept[-1]).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array([x.decode() for x in kept], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
-
-    return run
+    def work(batch: pa.RecordBatch, numbers: list[np.ndarray]) -> list[pa.RecordBatch]:
+        total, removed, sha, kept = [], [], [], []
+        for text, got in zip(batch.column(1), numbers, strict=True):
+            words = text.as_py().encode().split()
+            total.append(len(words))
+            if len(got):
+                at = np.unique(got)
+                lo, hi = merge_spans(at, at + width)
+                keep = np.ones(len(words), bool)
+                keep[ranges(lo, hi - lo)] = False
+                words = list(compress(words, keep.tolist()))
+            removed.append(total[-1] - len(words))
+            kept.append(b" ".join(words))
+            sha.append(hashlib.sha256(kept[-1]).hexdigest())
+        return [pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array([x.decode() for x in kept], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])]
+
+    return work
 
 
 def dedup_passages(docs: DataFrame, width: int = 20, rounds: int = 2) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept, the text of the words that remain."""
     n = shuffle_parts(docs.sparkSession)
     keys = even_keys(n)
-    rows = keyed(docs)
-    ids = rows.filter(F.col("doc_id").isNotNull())
-    reply = "doc_id long, tag long, at binary"
-    shared = ids.mapInArrow(_leaders(width, rounds, keys), Outbox.schema(LEADERS)).repartition(n, "part").mapInArrow(_shared, reply)
-    windows = with_replies(rows, shared, "at").select("doc_id", "text", "tag", "at").mapInArrow(_windows(width, rounds, keys), Outbox.schema(LEADERS))
-    repeats = windows.repartition(n, "part").mapInArrow(_repeats, reply)
-    return with_replies(rows, repeats, "at").select("doc_id", "text", "at").mapInArrow(_cut(width), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    rows = keyed(docs, keys)
+    ids = rows.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", "tag")
+    leading = ids.mapInArrow(_leaders(width, rounds, keys), Outbox.schema(LEADERS))
+    shared = leading.repartition(n, "part").mapInArrow(_shared(keys), Outbox.schema(REPLY))
+    windows = answered(rows, shared, _windows(width, rounds, keys), Outbox.schema(LEADERS))
+    repeats = windows.repartition(n, "part").mapInArrow(_repeats(keys), Outbox.schema(REPLY))
+    return answered(rows, repeats, _cut(width), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
