@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import recompress, substring
+from . import packing, recompress, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,17 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_substrings(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def tokenizer_file() -> str:
+    """The vocabulary of the packed ids (its place is a parameter of the operator)."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress.dedup_passages(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -26,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_substring_dedup": op2_substring_dedup,
         "op7_passage_dedup": op7_passage_dedup,
+        "op9_best_fit_packing": op9_best_fit_packing,
     }
 
 
