@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import BYTE_KEYS, REPLY, Outbox, Rolling, U, answered, even_keys, gather, keyed, merge_spans, minimizers, mix, powers, ranges, reply, shuffle_parts, slices, utf8
 from .gsaca import suffix_arrays
-from .common import BYTE_KEYS, Outbox, Rolling, U, even_keys, gather, keyed, merge_spans, minimizers, mix, per_document, powers, ranges, shuffle_parts, slices, utf8, with_replies
 
 SEED = 16
 #: Bits of a seed and of a context that are sent; a task's partition holds more of the seed.
 SENT = U((1 << 40) - 1)
 SEEDS = {"seed": "var", "ctx": "var", "doc": "doc", "tag": "var", "pos": "var"}
+#: Kinds of replies, in the low two bits: the windows around the seed go; ask about them; the window goes.
+WHOLE, ASK, WINDOW = 0, 1, 2
 EDGES = {"seed": "var", "doc": "doc", "tag": "var", "pos": "var", "left": "var", "right": "var", "bytes": "raw"}
 
 
@@ -67,57 +69,51 @@ def _seeds(length: int, keys: list[int]):
     return run
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replies pos * 2 (the class has a smaller document) and pos * 2 + 1 (it stands for its class, there are others)."""
-    got = gather(batches, SEEDS)
-    if got is None:
-        return
-    order = np.lexsort((got["doc"], got["ctx"], got["seed"]))
-    seed, ctx, doc, tag, pos = (got[k][order] for k in SEEDS)
-    del got
-    new_seed = np.r_[True, seed[1:] != seed[:-1]]
-    new = new_seed | np.r_[True, ctx[1:] != ctx[:-1]]
-    heads = np.nonzero(new)[0]
-    least = doc[heads][np.cumsum(new) - 1]
-    of_seed = np.cumsum(new_seed)[heads] - 1
-    starts = np.nonzero(new_seed[heads])[0]
-    differ = np.minimum.reduceat(doc[heads], starts) < np.maximum.reduceat(doc[heads], starts)
-    edge = differ[of_seed][np.cumsum(new) - 1] & (doc == least)
-    some = np.nonzero(edge | (doc > least))[0]
-    if len(some):
-        yield per_document(doc[some], tag[some], {"at": pos[some].astype(np.int64) * 2 + edge[some]})
+def _classes(keys: list[int]):
+    """Replies WHOLE where the class has a smaller document, and ASK where a document stands for its class and its seed has others."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = gather(batches, SEEDS)
+        if got is None:
+            return
+        order = np.lexsort((got["doc"], got["ctx"], got["seed"]))
+        seed, ctx, doc, tag, pos = (got[k][order] for k in SEEDS)
+        del got
+        new_seed = np.r_[True, seed[1:] != seed[:-1]]
+        new = new_seed | np.r_[True, ctx[1:] != ctx[:-1]]
+        heads = np.nonzero(new)[0]
+        least = doc[heads][np.cumsum(new) - 1]
+        of_seed = np.cumsum(new_seed)[heads] - 1
+        starts = np.nonzero(new_seed[heads])[0]
+        differ = np.minimum.reduceat(doc[heads], starts) < np.maximum.reduceat(doc[heads], starts)
+        edge = differ[of_seed][np.cumsum(new) - 1] & (doc == least)
+        some = np.nonzero(edge | (doc > least))[0]
+        yield from reply(keys, doc[some], tag[some], pos[some].astype(np.int64) * 4 + np.where(edge[some], ASK, WHOLE))
 
-def _numbers(cell) -> np.ndarray:
-    """The packed u32 of an array of binaries."""
-    return np.frombuffer(b"".join(cell or ()), "<u4").astype(np.int64)
+    return run
 
 
 def _edges(length: int, keys: list[int]):
     side = length - SEED
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Outbox(keys, EDGES, 40_000)
+    def work(batch: pa.RecordBatch, numbers: list[np.ndarray]) -> list[pa.RecordBatch]:
+        out, made = Outbox(keys, EDGES, 60_000), []
         weights = powers(SEED)
-        for batch in batches:
-            data, off = utf8(batch.column(1))
-            docs, tags, cells = (batch.column(k) for k in (0, 2, 3))
-            for k in range(len(batch)):
-                if not cells[k].is_valid:
-                    continue
-                got = _numbers(cells[k].as_py())
-                pos = np.unique(got[got & 1 == 1] >> 1)
-                if not len(pos):
-                    continue
-                text = data[off[k] : off[k + 1]]
-                idx = pos[:, None] + np.arange(-side, length)
-                c = np.where((idx >= 0) & (idx < len(text)), text[np.clip(idx, 0, len(text) - 1)], 0).astype(np.uint8)
-                seed = mix((BYTE_KEYS[c[:, side:length]] * weights).sum(axis=1))
-                n = len(pos)
-                yield from out.add((seed >> U(44)) % U(len(keys)), seed=seed, doc=np.full(n, docs[k].as_py()), tag=np.full(n, tags[k].as_py()), pos=pos, left=np.minimum(pos, side), right=np.minimum(len(text) - pos - SEED, side), bytes=c)
-        yield from out.flush()
-
-    return run
+        data, off = utf8(batch.column(1))
+        docs, tags = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        for k, got in enumerate(numbers):
+            pos = np.unique(got[got & 3 == ASK] >> 2)
+            if not len(pos):
+                continue
+            text = data[off[k] : off[k + 1]]
+            idx = pos[:, None] + np.arange(-side, length)
+            c = np.where((idx >= 0) & (idx < len(text)), text[np.clip(idx, 0, len(text) - 1)], 0).astype(np.uint8)
+            seed = mix((BYTE_KEYS[c[:, side:length]] * weights).sum(axis=1))
+            n = len(pos)
+            made += out.add((seed >> U(44)) % U(len(keys)), seed=seed, doc=np.full(n, docs[k]), tag=np.full(n, tags[k]), pos=pos, left=np.minimum(pos, side), right=np.minimum(len(text) - pos - SEED, side), bytes=c)
+        return made + list(out.flush())
+
+    return work
 
 
 def shared_windows(ctx: np.ndarray, seed: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, length: int, q: int, most: int = 64) -> np.ndarray:
@@ -198,7 +194,7 @@ def shared_windows(ctx: np.ndarray, seed: np.ndarray, doc: np.ndarray, left: np.
     return taken
 
 
-def _resolve(length: int, q: int):
+def _resolve(length: int, q: int, keys: list[int]):
     side = length - SEED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +216,7 @@ def _resolve(length: int, q: int):
             row, col = np.nonzero(taken)
             if len(row):
                 row += lo
-                yield per_document(doc[row], tag[row], {"at": pos[row] - col})
+                yield from reply(keys, doc[row], tag[row], (pos[row] - col) * 4 + WINDOW)
             lo = hi
 
     return run
@@ -229,27 +225,25 @@ def _resolve(length: int, q: int):
 def _cut(length: int):
     side = length - SEED
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, off = utf8(batch.column(1))
-            whole, windows = batch.column(2), batch.column(3)
-            removed, spans, sha = [], [], []
-            kept: list[bytes] = []
-            for k in range(len(batch)):
-                text = data[off[k] : off[k + 1]]
-                got = _numbers(whole[k].as_py() if whole[k].is_valid else None)
-                pos = got[got & 1 == 0] >> 1
-                at = _numbers(windows[k].as_py() if windows[k].is_valid else None)
-                lo, hi = merge_spans(np.r_[np.maximum(pos - side, 0), at], np.r_[np.minimum(pos + length, len(text)), at + length])
+    def work(batch: pa.RecordBatch, numbers: list[np.ndarray]) -> list[pa.RecordBatch]:
+        data, off = utf8(batch.column(1))
+        removed, spans, sha = [], [], []
+        kept: list[bytes] = []
+        for k, got in enumerate(numbers):
+            text = data[off[k] : off[k + 1]]
+            pos, at = got[got & 3 == WHOLE] >> 2, got[got & 3 == WINDOW] >> 2
+            lo, hi = merge_spans(np.r_[np.maximum(pos - side, 0), at], np.r_[np.minimum(pos + length, len(text)), at + length])
+            if len(lo):
                 keep = np.ones(len(text), bool)
                 keep[ranges(lo, hi - lo)] = False
-                kept.append(text[keep].tobytes())
-                removed.append(len(text) - len(kept[-1]))
-                spans.append(len(lo))
-                sha.append(hashlib.sha256(kept[-1]).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                text = text[keep]
+            kept.append(text.tobytes())
+            removed.append(int(off[k + 1] - off[k]) - len(kept[-1]))
+            spans.append(len(lo))
+            sha.append(hashlib.sha256(kept[-1]).hexdigest())
+        return [pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])]
 
-    return run
+    return work
 
 
 def dedup_substrings(docs: DataFrame, length: int = 50, block: int = 7) -> DataFrame:
@@ -258,12 +252,10 @@ def dedup_substrings(docs: DataFrame, length: int = 50, block: int = 7) -> DataF
         raise ValueError(f"length must be {SEED + 2} at least")
     n = shuffle_parts(docs.sparkSession)
     keys = even_keys(n)
-    rows = keyed(docs)
-    ids = rows.filter(F.col("doc_id").isNotNull())
-    reply = "doc_id long, tag long, at binary"
+    rows = keyed(docs, keys)
+    ids = rows.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", "tag")
     seeds = ids.mapInArrow(_seeds(length, keys), Outbox.schema(SEEDS))
-    first = seeds.repartition(n, "part").mapInArrow(_classes, reply)
-    edges = with_replies(rows, first, "at").select("doc_id", "text", "tag", "at").mapInArrow(_edges(length, keys), Outbox.schema(EDGES))
-    second = edges.repartition(n, "part").mapInArrow(_resolve(length, block), reply)
-    both = first.select("doc_id", "tag", F.col("at").alias("whole"), F.lit(None).cast("binary").alias("windows")).unionByName(second.select("doc_id", "tag", F.lit(None).cast("binary").alias("whole"), F.col("at").alias("windows")))
-    return with_replies(rows, both, "whole", "windows").select("doc_id", "text", "whole", "windows").mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    first = seeds.repartition(n, "part").mapInArrow(_classes(keys), Outbox.schema(REPLY))
+    edges = answered(rows, first, _edges(length, keys), Outbox.schema(EDGES))
+    second = edges.repartition(n, "part").mapInArrow(_resolve(length, block, keys), Outbox.schema(REPLY))
+    return answered(rows, first.unionByName(second), _cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
