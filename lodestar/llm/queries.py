@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, recompress, substring
+from . import langid, packing, pii, recompress, substring, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,11 +33,31 @@ def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress.dedup_passages(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(table(spark, sf_dir, "documents"))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the rows whose remainder is not 2, and predicts every row."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = langid.fit_profiles(docs.filter(~held_out))
+    return langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op2_substring_dedup": op2_substring_dedup,
+        "op4_exact_topk": op4_exact_topk,
         "op7_passage_dedup": op7_passage_dedup,
         "op9_best_fit_packing": op9_best_fit_packing,
+        "op10_pii": op10_pii,
     }
 
 
