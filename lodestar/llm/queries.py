@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, pii, recompress, substring, topk
+from . import html_text, jaccard, langid, packing, pii, recompress, substring, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,11 +50,21 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_substring_dedup": op2_substring_dedup,
         "op4_exact_topk": op4_exact_topk,
+        "op5_ngram_jaccard": op5_ngram_jaccard,
+        "op6_html_text": op6_html_text,
         "op7_passage_dedup": op7_passage_dedup,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_pii": op10_pii,
