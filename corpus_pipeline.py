@@ -1,7 +1,69 @@
-"""Corpus preparation in stages."""
-STAGES: list = []
+"""Corpus preparation: five stages, from raw documents to packed training sequences.
+
+Each stage takes the documents that the one before kept, and its decisions take effect. All but
+the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestar.llm import decontaminate, jaccard, langid, packing, pii
+from lodestar.llm.common import materialise
+from lodestar.llm.queries import tokenizer_file
+
+#: A text whose score is lower is in no language that was learned.
+LEAST_SCORE = 0.15
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without a language; a missing lang is filled in."""
+    model = langid.fit_profiles(docs)
+    named = langid.identify(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return named.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least doc_id of each group of copies and near copies; of rows that repeat, one."""
+    groups = jaccard.near_duplicates(docs)
+    gone = groups.filter(F.col("doc_id") != F.col("group_id")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a test item."""
+    leaks = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts each span's kind in its place; n_chars follows."""
+    clean = pii.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences."""
+    return packing.pack_documents(docs, tokenizer_file())
+
+
+STAGES = [
+    ("language_id", language),
+    ("ngram_jaccard", near_duplicates),
+    ("decontamination", decontamination),
+    ("pii", personal_data),
+    ("best_fit_packing", packing_stage),
+]
+
+#: SQL doesn't express the stages; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = len(STAGES) - 1
+    step = lambda df, k: STAGES[k][1](spark, df, sf_dir) if k == last else materialise(STAGES[k][1](spark, df, sf_dir), STAGES[k][0])
+    return reduce(step, range(len(STAGES)), docs)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, jaccard, langid, packing, pii, recompress, substring, topk
+from . import decontaminate, html_text, jaccard, langid, license_scan, packing, pii, recompress, substring, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,14 +58,25 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return license_scan.scan(docs, license_scan.train(docs)).select("doc_id", "licences", "n_paragraphs", F.to_json("found").alias("found"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_substring_dedup": op2_substring_dedup,
+        "op3_decontamination": op3_decontamination,
         "op4_exact_topk": op4_exact_topk,
         "op5_ngram_jaccard": op5_ngram_jaccard,
         "op6_html_text": op6_html_text,
         "op7_passage_dedup": op7_passage_dedup,
+        "op8_license_scan": op8_license_scan,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_pii": op10_pii,
     }
