@@ -58,7 +58,7 @@ def to_numpy(x: ast.Node, values: dict[str, np.ndarray]):
     return LIBRARY[x.fn].numpy(*[to_numpy(a, values) for a in x.args])
 
 
-def evaluate(x: ast.Node, **values: float) -> float | complex:
+def evaluate(x: ast.Node, /, **values: float) -> float | complex:
     out = to_numpy(x, values)
     return complex(out) if np.iscomplexobj(out) and abs(np.imag(out)) > 0 else float(np.real(out))
 

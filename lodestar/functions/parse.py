@@ -64,7 +64,7 @@ def preprocess(text: str) -> str:
     return s
 
 
-_LEX = re.compile(r"\s*(?:(\d+\.?\d*(?:[eE][+-]?\d+)?(?![A-Za-z_(])|\d+\.?\d*|\.\d+(?:[eE][+-]?\d+)?)|([A-Za-z_]\w*)|(<=|>=|!=|==|[-+*/^%(),<>=\[\]!|&]))")
+_LEX = re.compile(r"\s*(?:(\d++(?:\.\d*+)?+(?:[eE][+-]?\d++(?![A-Za-z_(]))?|\.\d++(?:[eE][+-]?\d++)?)|([A-Za-z_]\w*)|(<=|>=|!=|==|[-+*/^%(),<>=\[\]!|&]))")
 
 
 def tokens(s: str) -> list[tuple[str, str]]:
