@@ -13,6 +13,7 @@ Null text is empty and gives one piece, the end token alone. Rows that repeat ar
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from bisect import bisect_right
@@ -27,76 +28,110 @@ from pyspark.sql import functions as F
 from .common import materialise, slices, utf8
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, chunk long, nth long"
-#: Entries of each of an encoder's two caches.
-CACHED = 400_000
+#: Entries of an encoder's cache.
+CACHED = 1_000_000
+#: Length up to which a word with one more character is kept as well: such ones come often.
+SHORT = 10
+#: Characters below this one have their own case and class; texts with others go whole.
+PLAIN_BELOW = 0x250
 
 
-class _Chunks(dict):
-    """Ids of what stands between white space; new ones are made of their pre-tokens' ids."""
+def _byte_signs() -> list[str]:
+    """How byte-level vocabularies write each byte: printable Latin-1 as it is, the rest from U+0100 on in order."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
 
-    def __init__(self, encoder: Encoder):
-        self.encoder = encoder
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHED:
-            self.clear()
-        words = self.encoder.words
-        ids = b"".join([words[w] for w in self.encoder.split(chunk.lower())])
-        self[chunk] = ids
-        return ids
+BYTE_SIGNS = _byte_signs()
 
 
 class _Words(dict):
-    """Ids of pre-tokens."""
+    """Ids of lower-case text without white space: letters are kept, other text is made of its pre-tokens'."""
 
-    def __init__(self, whole):
-        self.whole = whole
+    def __init__(self, one, split):
+        self.one, self.split = one, split
 
     def __missing__(self, word: str) -> bytes:
+        if word.isalpha():
+            ids = self.one(word)
+        elif word[:-1].isalpha():
+            ids = self[word[:-1]] + self[word[-1]]
+            if len(word) > SHORT:
+                return ids
+        else:
+            parts = self.split(word)
+            if len(parts) > 1:
+                return b"".join([self[p] for p in parts])
+            ids = self.one(word)
         if len(self) >= CACHED:
             self.clear()
-        ids = self[word] = self.whole(word)
+        self[word] = ids
         return ids
 
 
+def _classes(pattern: str) -> re.Pattern:
+    """The vocabulary's pre-token pattern for plain characters, letters first (alternatives start unlike)."""
+    of = lambda want: "".join(re.escape(chr(c)) for c in range(PLAIN_BELOW) if unicodedata.category(chr(c))[0] == want)
+    letters, numbers = of("L"), of("N")
+    parts = pattern.split("|")
+    rest = [p for p in parts if p.startswith("'")]
+    if parts[len(rest) :] != [r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+"]:
+        raise ValueError(f"unknown pre-tokens: {pattern}")
+    return re.compile("|".join([f"[{letters}]+", *rest, f"[{numbers}]", rf"[^\s{letters}{numbers}]+"]))
+
+
 class Encoder:
-    """Ids of texts as bytes (little-endian u32), by caches of chunks and of pre-tokens.
+    """Ids of texts as bytes (little-endian u32), by a cache of words.
 
-    The vocabulary's pre-tokens hold no white space, so what is between it encodes alike in any
-    place. Texts with characters whose normal form depends on more than that go whole.
+    Pre-tokens hold no white space and encode alike in any place. Texts with characters whose normal form, case or class
+    isn't plain go whole.
     """
 
     def __init__(self, path: str):
         import json
 
-        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             pre = json.load(f)["pre_tokenizer"]["pretokenizers"][0]
-        self.split = regex.compile(pre["pattern"]["Regex"]).findall
-        self.words = _Words(self._whole)
-        self.chunks = _Chunks(self)
+        self.words = _Words(self._one, _classes(pre["pattern"]["Regex"]).findall)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _one(self, word: str) -> bytes:
+        """A single pre-token's ids, its bytes as the vocabulary writes them."""
+        if not word.isascii():
+            word = "".join([BYTE_SIGNS[b] for b in word.encode()])
+        return np.array([t.id for t in self.tok.model.tokenize(word)], "<u4").tobytes()
+
     @staticmethod
     def plain(text: str) -> bool:
         """Case and normal form of each character stand for themselves; white space is as str.split has it."""
         if "<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
             return False
-        return text.isascii() or max(text) < "ɐ" and "İ" not in text and unicodedata.is_normalized("NFC", text)
+        return text.isascii() or ord(max(text)) < PLAIN_BELOW and "İ" not in text and unicodedata.is_normalized("NFC", text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, x.split())) if self.plain(x) else self._whole(x) for x in texts]
+        get = self.words.__getitem__
+        return [b"".join(map(get, x.lower().split())) if self.plain(x) else self._whole(x) for x in texts]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One encoder for each vocabulary in a process: its caches serve one task after the other."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _pieces(path: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = Encoder(path), np.uint32(end).astype("<u4").tobytes()
+        encoder, last = encoder_of(path), np.uint32(end).astype("<u4").tobytes()
         chunk = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
