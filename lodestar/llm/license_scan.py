@@ -190,9 +190,11 @@ def paragraphs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def train(docs: DataFrame, prose_rows: int = 2000, sure: float = 0.6) -> Classifier:
-    """Prose comes from the lines of up to ``prose_rows`` documents, the least by a hash of their id."""
-    sample = docs.filter(F.col("text").isNotNull()).select(F.xxhash64("doc_id").alias("h"), F.substring_index("text", "\n", 1).alias("text"), "doc_id").orderBy("h", "doc_id").limit(prose_rows).collect()
-    lines = [" ".join(r.text.split()[:WIDE]) for r in sample]
+    """Prose comes from the first lines of about ``prose_rows`` documents, chosen by a hash of their id."""
+    usable = docs.filter(F.col("text").isNotNull())
+    share = min(1.0, prose_rows / max(usable.count(), 1))
+    sample = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003).select("doc_id", F.substring_index("text", "\n", 1).alias("text")).collect()
+    lines = [" ".join(r.text.split()[:WIDE]) for r in sorted(sample, key=lambda r: (r.doc_id is None, r.doc_id, r.text))]
     return Classifier([x for x in lines if x and not any(w in x.lower() for w in ("licen", "copyright", "spdx", "permission"))], sure)
 
 
