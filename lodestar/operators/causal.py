@@ -40,7 +40,8 @@ def g_squared(df: DataFrame, a: str, b: str, given: list[str] | None = None, bin
     cols = [a, b, *given]
     edges = df.agg(*[F.percentile(c, F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias(c) for c in cols])
     cut = df.select(*[F.col(c).alias(f"v_{c}") for c in cols]).crossJoin(F.broadcast(edges))
-    binned = cut.select(*[F.size(F.filter(c, lambda e, c=c: e <= F.col(f"v_{c}"))).alias(f"b_{c}") for c in cols])
+    below = lambda c: F.size(F.filter(c, lambda e: e <= F.col(f"v_{c}")))
+    binned = cut.select(*[below(c).alias(f"b_{c}") for c in cols])
     z = [f"b_{c}" for c in given]
     cells = binned.groupBy(f"b_{a}", f"b_{b}", *z).agg(F.count("*").alias("o"))
     total = lambda *by: F.sum("o").over(Window.partitionBy(*by)) if by else F.sum("o").over(Window.partitionBy(F.lit(1)))

@@ -70,8 +70,8 @@ def slope_histogram(df: DataFrame, x: str, y: str, keys: list[str], tie: str, le
     """Local slopes rounded to halves and how often each occurs."""
     w = Window.partitionBy(*keys).orderBy(x, tie)
     dx, dy = F.col(x) - F.lag(x).over(w), F.col(y) - F.lag(y).over(w)
-    steps = df.select(*keys, F.try_divide(dy, dx).alias("s")).filter(F.col("s").isNotNull())
-    return steps.groupBy((F.floor(F.col("s") * 2 + 0.5) / 2).alias("slope")).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    steps = df.select(*keys, F.try_divide(dy, dx).alias("__slope")).filter(F.col("__slope").isNotNull())
+    return steps.groupBy((F.floor(F.col("__slope") * 2 + 0.5) / 2).alias("slope")).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
 def modal_gap(df: DataFrame, value: str, keys: list[str], digits: int = 3) -> DataFrame:

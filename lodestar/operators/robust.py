@@ -100,7 +100,8 @@ def _replicates(df: DataFrame, names: list[str], y: str, row_id: str, n: int, se
             x = np.stack([b.column(k).to_numpy() for k in range(m)] + [np.ones(len(b))], 1)
             h = b.column(m).to_numpy().view(np.uint64)
             for rep in range(n):
-                z = h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(rep) * np.uint64(0xD1B54A32D192ED03)
+                salt = np.full(1, rep, np.uint64) * np.uint64(0xD1B54A32D192ED03)
+                z = h * np.uint64(0x9E3779B97F4A7C15) + salt
                 z ^= z >> np.uint64(31)
                 z *= np.uint64(0xBF58476D1CE4E5B9)
                 z ^= z >> np.uint64(29)
