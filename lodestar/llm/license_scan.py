@@ -141,7 +141,7 @@ class Classifier:
         held = rng.random(len(texts)) < 0.2
         w = np.zeros((x.shape[1], len(self.classes)))
         goal = np.eye(len(self.classes))[y]
-        weight = (1 / np.bincount(y, minlength=len(self.classes)))[y]
+        weight = 1 / np.bincount(y, minlength=len(self.classes))[y]
         weight /= weight[~held].sum()
         speed = np.zeros_like(w)
         for _ in range(300):

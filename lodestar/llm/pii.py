@@ -53,6 +53,8 @@ EXTRA = (
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "text rlike '[A-Z][A-Z][0-9][0-9]'", f"if(length({_IBAN}) between 15 and 34, {_MOD97}, false)", 0.8, "iban|bank|account|konto|cuenta|compte", 0.5),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "text rlike '[0-9]-[0-9]'", "not (m like '000%' or m like '666%' or m like '9%' or substring(m, 5, 2) = '00' or substring(m, 8, 4) = '0000')", 0.4, "ssn|social security", 0.5),
 )
+#: Column for spans where every column of the input stays.
+_SPANS = "lodestar_spans"
 _SPAN = "struct<kind:string,s:int,e:int,score:double>"
 
 
@@ -71,13 +73,18 @@ def _spans(kind: Kind) -> Column:
     return F.expr(f"transform(array({hits}), hits -> transform(array({parts}), parts -> {found})[0])[0]")
 
 
-def find_pii(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` and pii: array of (kind, s, e, score), by kind as listed, then start."""
+def _found(docs: DataFrame, name: str) -> DataFrame:
+    """The columns of ``docs`` but ``name``, and that: array of (kind, s, e, score), by kind as listed, then start."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != name]).alias("row"), text.alias("text"))
     for kind in (*BASE, *EXTRA):
         rows = rows.withColumn(kind.name, _spans(kind))
-    return rows.select("row.*", F.concat(*[F.col(k.name) for k in (*BASE, *EXTRA)]).alias("pii"))
+    return rows.select("row.*", F.concat(*[F.col(k.name) for k in (*BASE, *EXTRA)]).alias(name))
+
+
+def find_pii(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` and pii: array of (kind, s, e, score); an own column of that name is replaced."""
+    return _found(docs, "pii")
 
 
 def _joined(spans: str) -> str:
@@ -94,11 +101,11 @@ def pii_digest(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span in ``text`` replaced by its kind in angle brackets; overlapping spans become one, of the first's kind."""
-    found = find_pii(docs)
-    sorted_spans = "array_sort(pii, (a, b) -> case when a.s < b.s then -1 when a.s > b.s then 1 when a.e > b.e then -1 when a.e < b.e then 1 else 0 end)"
+    found = _found(docs, _SPANS)
+    sorted_spans = f"array_sort({_SPANS}, (a, b) -> case when a.s < b.s then -1 when a.s > b.s then 1 when a.e > b.e then -1 when a.e < b.e then 1 else 0 end)"
     cut = f"""aggregate({sorted_spans}, named_struct('at', 0, 'out', cast(array() as array<string>)),
         (acc, x) -> if(x.s < acc.at, named_struct('at', greatest(acc.at, x.e), 'out', acc.out),
             named_struct('at', x.e, 'out', concat(acc.out, array(substring(text, acc.at + 1, x.s - acc.at), concat('<', x.kind, '>'))))),
         acc -> array_join(concat(acc.out, array(substring(text, acc.at + 1, length(text)))), ''))"""
-    text = F.when(F.size("pii") > 0, F.expr(cut)).otherwise(F.col("text"))
+    text = F.when(F.size(_SPANS) > 0, F.expr(cut)).otherwise(F.col("text"))
     return found.select(*[(text.alias("text") if c == "text" else F.col(f"`{c}`")) for c in docs.columns])
