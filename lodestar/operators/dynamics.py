@@ -30,7 +30,7 @@ class Dynamics:
             terms = []
             f = self.fits[s]
             for k, v in [*f.coefficients.items(), ("1", f.intercept)]:
-                if abs(v) < 1e-9:
+                if abs(v) < 1e-4 * max([abs(u) for u in f.coefficients.values()], default=0.0) or abs(v) < 1e-9:
                     continue
                 c = str(round(v)) if abs(v - round(v)) < 1e-4 else f"{v:.4g}"
                 terms.append(c if k == "1" else k if c == "1" else f"-{k}" if c == "-1" else f"{c}*{k}")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ast
 from ..functions.cas import equivalent
-from ..functions.compile import to_column
+from ..functions.compile import to_column, to_sql
 from ..functions.parse import parse
 
 # fixed values: equations of the public Feynman lectures, name -> formula
@@ -118,13 +118,13 @@ def sample(spark: SparkSession, name: str, n: int = 100, noise: float = 0.0, see
     return own
 
 
-def grid(spark: SparkSession, n: int = 20) -> dict[str, DataFrame]:
-    """Every equation on n points of a fixed lattice (no random numbers)."""
-    out = {}
+def grid(spark: SparkSession, n: int = 20) -> DataFrame:
+    """name, id and y: every equation on n points of a fixed lattice (no random numbers), in one select."""
+    cells = []
     for name, f in EQUATIONS.items():
-        cols = [(F.lit(lo) + (F.col("id") * (k + 3) % 17) * ((hi - lo) / 17)).alias(v) for k, (v, (lo, hi)) in enumerate(ranges(f).items())]
-        out[name] = spark.range(n).select("id", *cols).withColumn("y", to_column(parse(f)))
-    return out
+        at = {v: f"({lo!r}D + CAST(id * {k + 3} % 17 AS DOUBLE) * {(hi - lo) / 17!r}D)" for k, (v, (lo, hi)) in enumerate(ranges(f).items())}
+        cells += [f"'{name}'", f"CAST({to_sql(parse(f), 'spark', at)} AS DOUBLE)"]
+    return spark.range(n).selectExpr("id", f"stack({len(EQUATIONS)}, {', '.join(cells)}) AS (name, y)")
 
 
 def run(spark: SparkSession, names: list[str], n: int = 100, noise: float = 0.0) -> DataFrame:
