@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 U = np.uint64
 #: Text bytes that one numpy pass works on; temporaries take about a hundred times that.
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 1_000_000
 _rng = np.random.default_rng(20240607)
 BYTE_KEYS = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 BASE = 0x9E3779B97F4A7C15

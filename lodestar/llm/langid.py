@@ -132,8 +132,18 @@ def _letter_counts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"lang": lang, "letter": found.astype(np.int32), "n": n})
 
 
-def distances(texts: list[str], model: dict, table: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(best language or -1, score, has letters) of each text. places[l, gram]: rank in profile l, or its length."""
+def place_table(model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of all profiles, sorted, and each one's rank in each (its length where it isn't in it)."""
+    known = np.unique(model["profiles"][model["profiles"] >= 0])
+    places = np.full((len(known) + 1, len(model["langs"])), model["length"], np.int64)
+    for k, profile in enumerate(model["profiles"]):
+        own = profile[profile >= 0]
+        places[np.searchsorted(known, own), k] = np.arange(len(own))
+    return known, places
+
+
+def distances(texts: list[str], model: dict, table: np.ndarray, known: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(best language or -1, score, has letters) of each text; known and places are of place_table."""
     length, n = model["length"], len(texts)
     points, off = _folded(texts)
     ink = np.concatenate([[0], np.cumsum(letters()[points])])
@@ -151,9 +161,11 @@ def distances(texts: list[str], model: dict, table: np.ndarray, places: np.ndarr
     doc, gram, rank = doc[top], gram[top], rank[top]
     used = np.bincount(doc, minlength=n)
     total = np.zeros((n, len(model["langs"])))
+    at = np.minimum(np.searchsorted(known, gram), max(len(known) - 1, 0))
+    at = np.where(known[at] == gram, at, len(known)) if len(known) else np.full(len(gram), 0)
     for k in range(len(model["langs"])):
-        place = places[k][gram]
-        gap = np.where(place < length, np.abs(place.astype(np.int64) - rank), length)
+        place = places[at, k]
+        gap = np.where(place < length, np.abs(place - rank), length)
         total[:, k] = np.bincount(doc, gap, minlength=n)
     best = np.where(lettered, total.argmin(axis=1), -1)
     score = np.where(lettered & (used > 0), 1 - total.min(axis=1) / np.maximum(used * length, 1), 0.0)
@@ -168,16 +180,13 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Alphabet(np.array(model["alphabet"], np.int64)).table
-        places = np.full((len(model["langs"]), 1 << 24), model["length"], np.int16)
-        for k, profile in enumerate(model["profiles"]):
-            known = profile[profile >= 0]
-            places[k, known] = np.arange(len(known))
+        known, places = place_table(model)
         names = np.array([*model["langs"], "und"], object)
         for batch in batches:
             _, off = utf8(batch.column(at))
             for a, b in slices(off, 500_000):
                 part = batch.slice(a, b - a)
-                best, score, lettered = distances([x.as_py() or "" for x in part.column(at)], model, table, places)
+                best, score, lettered = distances([x.as_py() or "" for x in part.column(at)], model, table, known, places)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names[best], pa.string()), pa.array(score)], [*part.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, out)

@@ -29,7 +29,7 @@ from .common import materialise, slices, utf8
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, chunk long, nth long"
 #: Entries of an encoder's cache.
-CACHED = 1_000_000
+CACHED = 400_000
 #: Length up to which a word with one more character is kept as well: such ones come often.
 SHORT = 10
 #: Characters below this one have their own case and class; texts with others go whole.
