@@ -19,6 +19,16 @@ from lodestar.llm.queries import tokenizer_file
 LEAST_SCORE = 0.15
 
 
+#: Ids up to which a list of them is broadcast (16 MB); longer ones are joined by a shuffle.
+MOST_BROADCAST = 2_000_000
+
+
+def sized(ids: DataFrame) -> DataFrame:
+    """Written ids, marked for broadcast if they are few."""
+    own = materialise(ids, "ids")
+    return F.broadcast(own) if own.count() <= MOST_BROADCAST else own
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a language; a missing lang is filled in."""
     model = langid.fit_profiles(docs)
@@ -29,14 +39,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least doc_id of each group of copies and near copies; of rows that repeat, one."""
     groups = jaccard.near_duplicates(docs)
-    gone = groups.filter(F.col("doc_id") != F.col("group_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    kept = docs.join(sized(groups.filter(F.col("doc_id") != F.col("group_id")).select("doc_id").distinct()), "doc_id", "left_anti")
+    # a doc_id that comes more than once: its rows alone are looked at for repeats
+    again = sized(kept.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    once = kept.join(again, "doc_id", "left_anti")
+    return once.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a test item."""
     leaks = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(sized(leaks.select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,18 +27,33 @@ _tables: dict[int, np.ndarray] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A fresh folder below the shared checkpoint folder (a local one only where none is set)."""
+    """The application's folder below the shared checkpoint folder (a local one only where none is set)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.gettempdir() + "/lodestar-checkpoints"
-    return f"{base.rstrip('/')}/lodestar-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/lodestar-{spark.sparkContext.applicationId}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and returns the written table: cuts lineage for good."""
-    path = f"{work_dir(df.sparkSession)}/{name}"
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def materialise(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """Writes ``df`` to the shared folder and returns the written table: cuts lineage for good.
+
+    ``instead_of``, an earlier table that nothing needs any more, is deleted.
+    """
+    spark = df.sparkSession
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.lodestar_path = path
+    if instead_of is not None:
+        discard(spark, instead_of.lodestar_path)
+    return out
 
 
 def shuffle_parts(spark: SparkSession) -> int:
