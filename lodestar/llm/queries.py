@@ -82,5 +82,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Windows of 50 bytes as hexadecimal text, each one's smallest document, and what later ones cover.
+SUBSTRINGS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 100)) AS k FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 49, 0))) AS s FROM d)),
+f AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY k) AS first FROM w),
+g AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS i FROM f WHERE first < doc_id),
+b AS (SELECT doc_id, substr(h, 2 * i + 1, 2) AS c, i FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2)) AS i FROM d)),
+k AS (SELECT b.doc_id, string_agg(b.c, '' ORDER BY b.i) AS kept FROM b ANTI JOIN g USING (doc_id, i) GROUP BY 1),
+r AS (SELECT doc_id, count(*) AS n, count(CASE WHEN p IS NULL OR i > p + 1 THEN 1 END) AS spans FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM g) GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed, CAST(coalesce(r.spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.kept, ''))) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+#: Windows of 20 words in order of document and place; all but the first of equal ones go.
+PASSAGES = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, s, md5(array_to_string(w[s + 1 : s + 20], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 19, 0))) AS s FROM d)),
+f AS (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS n FROM s),
+g AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM f WHERE n > 1),
+b AS (SELECT doc_id, w[i + 1] AS c, i FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM d)),
+k AS (SELECT b.doc_id, string_agg(b.c, ' ' ORDER BY b.i) AS kept FROM b ANTI JOIN g USING (doc_id, i) GROUP BY 1),
+r AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+TOP_K = """
+WITH c AS (SELECT vec_id, i, floor(256 * CAST(x AS DOUBLE)) AS x FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)),
+ok AS (SELECT vec_id FROM c GROUP BY 1 HAVING bool_and(x IS NOT NULL AND isfinite(x))),
+v AS (SELECT c.* FROM c SEMI JOIN ok USING (vec_id)),
+s AS (SELECT q.vec_id AS query_id, p.vec_id, CAST(sum(q.x * p.x) AS BIGINT) AS score FROM v q JOIN v p ON q.i = p.i AND q.vec_id <> p.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1, 2)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_substring_dedup": SUBSTRINGS, "op4_exact_topk": TOP_K, "op7_passage_dedup": PASSAGES}
