@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import ast, cas
+from .functions.cache import EvaluationCache
 from .functions.compile import evaluate as value_of
 from .functions.exactness import text_number
 from .functions.parse import FormulaError, parse
@@ -31,8 +32,9 @@ class Evaluation:
         return asdict(self)
 
 
-#: Functions and variables of the session.
+#: Functions and variables of the session, and its evaluations.
 session = Registry()
+cache = EvaluationCache()
 
 
 def _structural(x: ast.Node) -> ast.Node:
@@ -91,6 +93,15 @@ def _det(m: list[list[ast.Node]]) -> ast.Node:
 
 def evaluate(text: str) -> Evaluation:
     """The simplified formula, its value if it has no free symbols, and those symbols."""
+    if isinstance(text, str) and (known := cache.get(text, session)) is not None:
+        return Evaluation(**known)
+    out = _evaluate(text)
+    if out.ok:
+        cache.put(text, session, out.to_dict())
+    return out
+
+
+def _evaluate(text: str) -> Evaluation:
     try:
         tree = session.expand(text)
         x = _structural(tree)

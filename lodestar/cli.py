@@ -87,6 +87,14 @@ def run(text: str) -> dict:
         return {"bad": api.session.load(path)} if word == "loadfunctions" else {"saved": api.session.save(path) or path}
     if word == "showfunctions":
         return {"functions": {k: f"({', '.join(p)}) = {b}" for k, (p, b) in api.session.functions.items()}}
+    if word in ("savecache", "loadcache", "replacecache"):
+        path = text.split()[1] if len(text.split()) > 1 else "cache.json"
+        return {"saved": api.cache.save(path) or path} if word == "savecache" else {"read": api.cache.load(path, word == "replacecache")}
+    if word in ("showcache", "cachehits"):
+        return {"entries": len(api.cache.held), "hits": api.cache.hits, "misses": api.cache.misses}
+    if word == "clearcache":
+        api.cache.clear()
+        return {"ok": True}
     if word == "clearfunctions":
         api.session.clear()
         return {"ok": True}

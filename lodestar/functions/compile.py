@@ -38,6 +38,21 @@ def to_sql(x: ast.Node, dialect: str = "spark", names: dict[str, str] | None = N
     return "(" + (fn.spark if dialect == "spark" else fn.duck).format(*args) + ")"
 
 
+def scrubbed_sql(x: ast.Node, dialect: str = "spark", names: dict[str, str] | None = None) -> str:
+    """SQL whose every node gives 0 for NaN and null, and 1e10 for what is infinite: a tree walk that can't fail."""
+    if not isinstance(x, ast.Call):
+        own = to_sql(x, dialect, names)
+    else:
+        parts = {f"__{k}": scrubbed_sql(a, dialect, names) for k, a in enumerate(x.args)}
+        own = to_sql(ast.Call(x.fn, tuple(ast.Sym(k) for k in parts)), dialect, parts)
+    inf = "CAST('Infinity' AS DOUBLE)"
+    rule = f"CASE WHEN v IS NULL OR isnan(v) THEN CAST(0 AS DOUBLE) WHEN v = {inf} THEN CAST(1e10 AS DOUBLE) WHEN v = -{inf} THEN CAST(-1e10 AS DOUBLE) ELSE v END"
+    # bound once by a lambda: the text grows with the tree, not with its depth
+    if dialect == "spark":
+        return f"element_at(transform(array(CAST({own} AS DOUBLE)), v -> {rule}), 1)"
+    return f"list_transform([CAST({own} AS DOUBLE)], lambda v: {rule})[1]"
+
+
 def to_column(x: ast.Node, names: dict[str, str] | None = None) -> Column:
     return F.expr(to_sql(x, "spark", names))
 

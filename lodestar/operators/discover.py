@@ -191,3 +191,31 @@ def from_points(spark: SparkSession, points: list[tuple], variables: list[str],
     value = lambda v: float(evaluate(parse(v))) if isinstance(v, str) else float(v)
     rows = [(*[value(a) for a in (args if isinstance(args, (list, tuple)) else [args])], value(v)) for args, v in points]
     return spark.createDataFrame(rows, ", ".join(f"`{c}` double" for c in [*variables, y]))
+
+
+def infer_symbols(spark: SparkSession, points: list[tuple], variables: list[str], y: str = "y") -> dict[str, str]:
+    """Values of symbols among literal points: a formula is found for the numeric ones, the others are solved by it.
+
+    f(1) = 1, f(2) = 4, f(a) = 9 gives a; f(3) = b gives b.
+    """
+    from ..functions import ast
+    from ..functions.compile import evaluate
+    from .solve import solve_equation
+
+    names = lambda v: ast.symbols(parse(v)) if isinstance(v, str) else []
+    listed = lambda a: list(a) if isinstance(a, (list, tuple)) else [a]
+    numeric = [(a, v) for a, v in points if not any(names(q) for q in [*listed(a), v])]
+    found = find(from_points(spark, numeric, variables, y), variables, y)
+    out: dict[str, str] = {}
+    for args, v in points:
+        if (args, v) in numeric:
+            continue
+        at = {k: parse(str(q)) for k, q in zip(variables, listed(args), strict=True)}
+        left = ast.substitute(parse(found.formula), at)
+        if not ast.symbols(left):
+            out[str(v)] = number(float(evaluate(left)))
+        else:
+            for name in ast.symbols(left):
+                got = solve_equation(f"{ast.text(left)} = {v}", name)
+                out[name] = ", ".join(got.exact)
+    return out

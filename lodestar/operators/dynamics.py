@@ -104,3 +104,36 @@ def autonomous(df: DataFrame, t: str, y: str, keys: list[str], tie: str, degree:
     own = series.finite_difference(df, t, y, keys, tie, 4)
     library = {k: v for k, v in project.monomials([y], degree).items() if k != "1"}
     return stlsq(gram(project.build_features(own, library, ["dx"]), list(library), "dx"), 0.05)
+
+
+def implicit_ode(df: DataFrame, t: str, y: str, keys: list[str], tie: str, degree: int = 2, small: float = 0.05) -> tuple[str, float]:
+    """f(y, y', y'') = 0 as a sparse combination of monomials: the direction of least spread of their product matrix.
+
+    Columns are scaled to unit size, so that the trivial combination is excluded; terms under ``small`` of the
+    greatest go and the direction is found again. Returns the equation and its relative residual.
+    """
+    own = series.second_difference(series.finite_difference(df, t, y, keys, tie, 4), t, y, keys, tie)
+    own = own.select(F.col(y).cast("double").alias("y0"), F.col("dx").alias("y1"), F.col("d2x").alias("y2"))
+    own = project.finite_rows(own, "y0", "y1", "y2")
+    library = list(project.monomials(["y0", "y1", "y2"], degree).values())
+    names = [f"m{k}" for k in range(len(library))]
+    g = gram(project.build_features(own, dict(zip(names, library, strict=True)), []).withColumn("one", F.lit(0.0)), names, "one")
+    mean = g.mean[:-1]
+    raw = (g.xx + g.n * np.outer(mean, mean)) / max(g.n, 1)
+    size = np.sqrt(np.maximum(np.diag(raw), 1e-300))
+    m = raw / np.outer(size, size)
+    keep = np.arange(len(names))
+    while True:
+        values, vectors = np.linalg.eigh(m[np.ix_(keep, keep)])
+        v = vectors[:, 0]
+        strong = np.abs(v) >= small * np.abs(v).max()
+        if strong.all() or strong.sum() < 2:
+            break
+        keep = keep[strong]
+    c = v / size[keep]
+    c = c / c[np.argmax(np.abs(v))]
+    nice = {"y0": "y", "y1": "y'", "y2": "y''"}
+    text = " + ".join(f"{a:.4g}*{library[k]}" if abs(a - 1) > 1e-4 else library[k] for a, k in zip(c, keep, strict=True)).replace("+ -", "- ")
+    for a, b in nice.items():
+        text = text.replace(a, b)
+    return f"{text} = 0", float(max(values[0], 0))

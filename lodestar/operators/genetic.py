@@ -157,6 +157,35 @@ def _losses(trees: list[Node], x: dict[str, np.ndarray], y: np.ndarray, delta: f
     return out
 
 
+def constants(x: Node) -> list[tuple[int, ...]]:
+    """Paths of the numbers in a tree."""
+    if isinstance(x, Num):
+        return [()]
+    return [(k, *p) for k, a in enumerate(x.args) for p in constants(a)] if isinstance(x, Call) else []
+
+
+def polish(tree: Node, x: dict[str, np.ndarray], y: np.ndarray, breeder: Breeder, rounds: int = 30) -> Node:
+    """Hill-climbs a tree's constants, then snaps each to a whole number if that is at most a twentieth worse."""
+    mse = lambda ts: _losses(ts, x, y, 1.35)[:, 2] / max(len(y), 1)
+    best, low = tree, float(mse([tree])[0])
+    paths, step = constants(tree), 0.2
+    for _ in range(rounds if paths else 0):
+        tries = [breeder.put(best, p, Num(float(breeder.at(best, p).value) * (1 + s * step) + s * step * 0.01)) for p in paths for s in (-1, 1)]
+        scores = mse(tries)
+        k = int(np.nanargmin(scores))
+        if scores[k] < low:
+            best, low = tries[k], float(scores[k])
+        else:
+            step /= 2
+    for p in paths:
+        v = float(breeder.at(best, p).value)
+        if abs(v) < 1e9 and v != round(v):
+            snapped = breeder.put(best, p, Num(Fraction(round(v))))
+            if (m := float(mse([snapped])[0])) <= low * 1.05 + 1e-15:
+                best, low = snapped, m
+    return best
+
+
 @dataclass
 class Search:
     """Results of a search: the front of (formula, mse, complexity), best and knee."""
@@ -235,7 +264,7 @@ def search(df: DataFrame, variables: list[str], y: str, config: Config | None =
     for size in sorted(front):
         if front[size][1] < low:
             low = front[size][1]
-            kept.append(front[size][0])
+            kept.append(polish(front[size][0], x, target, breeder))
     exact = fitness(rows, variables, y, kept, c.delta) if kept else []
     out = {(ast.text(plain(t)), mse, ast.size(t)) for t, (_, mse) in zip(kept, exact, strict=True) if math.isfinite(mse)}
     return Search(sorted(out, key=lambda r: r[2]), made)

@@ -119,9 +119,9 @@ def best_subsets(g: Gram, top_two: int = 60, top_three: int = 25, accept: float
 
 
 def stlsq(g: Gram, threshold: float = 0.1, rounds: int = 10, prune: float = 0.1) -> Fit:
-    """Sequentially thresholded least squares on scaled columns, then small terms go."""
+    """Sequentially thresholded least squares on columns of unit length, then small terms go."""
     names = list(g.names)
-    norm = dict(zip(g.names, np.sqrt(np.maximum(np.diag(g.xx), 1e-300) / max(g.n, 1)), strict=True))
+    norm = dict(zip(g.names, np.sqrt(np.diag(g.xx) + g.n * g.mean[:-1] ** 2), strict=True))
     fit = solve(g, names)
     for _ in range(rounds):
         keep = [k for k in names if abs(fit.coefficients[k]) * norm[k] >= threshold]

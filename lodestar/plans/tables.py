@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import ast
-from ..functions.compile import to_sql
+from ..functions.compile import scrubbed_sql, to_sql
 from ..functions.parse import parse
 from ..operators import causal, detect, dynamics, exact, gram, match, pareto, project, regress, robust, series, solve, units
 from ..operators.discover import find
@@ -465,6 +464,58 @@ def windowed_line(spark, sf):
     return fit.select(day.alias("day"), "n", rounded("slope", 5).alias("slope"))
 
 
+@R.query(f"SELECT event_type, {rd('median(value)')} AS median, {rd('quantile_cont(value, 0.75) - quantile_cont(value, 0.25)')} AS iqr, {rd('var_pop(value)', 4)} AS variance, {rd('stddev_pop(value)')} AS deviation FROM events GROUP BY 1")
+def robust_stats(spark, sf):
+    v = F.col("value")
+    own = table(spark, sf, "events").groupBy("event_type").agg(F.percentile(v, 0.5).alias("median"), (F.percentile(v, 0.75) - F.percentile(v, 0.25)).alias("iqr"), F.var_pop(v).alias("variance"), F.stddev_pop(v).alias("deviation"))
+    return own.select("event_type", rounded("median").alias("median"), rounded("iqr").alias("iqr"), rounded("variance", 4).alias("variance"), rounded("deviation").alias("deviation"))
+
+
+@R.query(f"SELECT p_partkey, {rd('y / CASE WHEN x / m > 1000 THEN m ELSE 1.0 END')} AS y FROM (SELECT p_partkey, pow(p_size, 6) AS y FROM part), (SELECT quantile_cont(pow(p_size, 6), 0.5) AS m, max(pow(p_size, 6)) AS x FROM part)")
+def scale_by_median(spark, sf):
+    own = table(spark, sf, "part").select("p_partkey", F.pow("p_size", F.lit(6)).alias("y"))
+    return only(project.scale_by_median(own, "y")[0])
+
+
+@R.query("WITH r AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT p_size AS k FROM part)), s AS (SELECT *, floor(i * 9 / greatest(n - 1, 1)) AS a, floor((i - 1) * 9 / greatest(n - 1, 1)) AS b FROM r) SELECT CAST(k AS BIGINT) AS complexity FROM s WHERE n <= 10 OR i = 0 OR a > b")
+def front_trim(spark, sf):
+    own = table(spark, sf, "part").select(F.col("p_size").cast("long").alias("complexity")).distinct()
+    return pareto.trim(own, 10)
+
+
+_EFF = "SELECT covar_pop(a, a) AS saa, covar_pop(b, b) AS sbb, covar_pop(a, b) AS sab, covar_pop(a, y) AS say, covar_pop(b, y) AS sby FROM (SELECT l_quantity AS a, l_discount AS b, l_extendedprice AS y FROM lineitem)"
+
+
+@R.query(f"SELECT {rd(_C1, 3)} AS effect FROM ({_EFF})")
+def causal_effect(spark, sf):
+    own = table(spark, sf, "lineitem").select(F.col("l_quantity").alias("a"), F.col("l_discount").alias("b"), F.col("l_extendedprice").alias("y"))
+    graph = causal.Graph(["a", "b", "y"], {("b", "a"), ("a", "y")})
+    return spark.createDataFrame([(round(float(causal.effect(own, graph, "a", "y")), 3),)], "effect double")
+
+
+_NEG = list(project.monomials(["q", "d"], 2, negative=True).values())
+
+
+@R.query("SELECT p_partkey, " + ", ".join(f"{rd(to_sql(parse(f), 'duck', {'q': 'q', 'd': 'd'}))} AS m{k}" for k, f in enumerate(_NEG)) + " FROM (SELECT p_partkey, p_size / 4.0::DOUBLE AS q, p_retailprice / 500 AS d FROM part)")
+def monomials_negative(spark, sf):
+    own = table(spark, sf, "part").select("p_partkey", (F.col("p_size") / 4.0).alias("q"), (F.col("p_retailprice") / 500).alias("d"))
+    return only(project.build_features(own, {f"m{k}": f for k, f in enumerate(_NEG)}, ["p_partkey"]))
+
+
+_SCRUB = parse("log(x - 5)/(x - 10) + sqrt(x - 20)")
+
+
+@R.query(f"SELECT p_partkey, {rd('v')} AS v FROM (SELECT p_partkey, {scrubbed_sql(_SCRUB, 'duck', {'x': 'CAST(p_size AS DOUBLE)'})} AS v FROM part)")
+def scrubbed_evaluation(spark, sf):
+    return only(table(spark, sf, "part").select("p_partkey", F.expr(scrubbed_sql(_SCRUB, "spark", {"x": "CAST(p_size AS DOUBLE)"})).alias("v")))
+
+
+@R.query("SELECT p_partkey, '{\"ok\":true,\"v\":' || CAST(p_size AS VARCHAR) || '}' AS json FROM part")
+def json_rows(spark, sf):
+    own = table(spark, sf, "part").select("p_partkey", F.lit(True).alias("ok"), F.col("p_size").alias("v"))
+    return own.select("p_partkey", F.to_json(F.struct("ok", "v")).alias("json"))
+
+
 # without SQL: iterative selections and searches, held by tests to their laws
 
 
@@ -504,8 +555,11 @@ def _decay(spark, sf):
 
 
 R.add("ode_discover", lambda s, d: s.createDataFrame([(e,) for e in dynamics.sindy(_decay(s, d), "t", ["x"], ["k"], "id").equations()] + [(dynamics.linear_ode(_decay(s, d), "t", "x", ["k"], "id")[0],)], "equation string"))
+R.add("implicit_ode", lambda s, d: s.createDataFrame([dynamics.implicit_ode(_decay(s, d).withColumn("x", F.sin("t")), "t", "x", ["k"], "id", 1)], "equation string, residual double"))
+R.add("autonomous_ode", lambda s, d: _fit_frame(s, dynamics.autonomous(_decay(s, d).withColumn("x", 1 / (1 + F.exp(-F.col("t")))), "t", "x", ["k"], "id", 2)))
+R.add("monte_carlo_errors", lambda s, d: s.createDataFrame([(k, *map(float, v)) for k, v in robust.monte_carlo(_supplier_law(s, d).withColumn("id", F.col("l_orderkey") * 8 + F.col("l_linenumber")).withColumn("sigma", F.lit(0.1)), ["q", "d"], "y", "sigma", "id", 50).items()], "term string, mean double, deviation double"))
+R.add("unit_monomials", lambda s, d: s.createDataFrame([(f,) for f in units.consistent_monomials({"m": units.Dimension.of("kg"), "v": units.Dimension.of("m/s"), "L": units.Dimension.of("m")}, units.Dimension.of("J"))], "formula string"))
 R.add("detect_patterns", lambda s, d: detect.detect(_law(s, d), "x", "y", "p_partkey"))
 R.add("exact_interpolation", lambda s, d: s.createDataFrame([(exact.polynomial_text(exact.interpolate([(k, k**3 - 2 * k) for k in range(5)])),)], "formula string"))
 R.add("equation_table", lambda s, d: feynman.equation_table(s))
 R.add("feynman_benchmark", lambda s, d: feynman.run(s, ["friction", "potential", "gas_energy"], 60))
-_ = ast
