@@ -21,11 +21,15 @@ def _close(y: Column, p: Column) -> Column:
     return F.coalesce(F.abs(y - p) <= 1e-6 * F.greatest(F.lit(1.0), F.abs(y)), F.lit(False))
 
 
-def detect(df: DataFrame, x: str, y: str, tie: str | None = None) -> DataFrame:
-    """One row: match rates of the shapes, symmetry-free structure and bit facts, from one pass over sorted rows."""
+def detect(df: DataFrame, x: str, y: str, tie: str | None = None, keys: list[str] | None = None) -> DataFrame:
+    """A row for each key: match rates of the shapes, structure and bit facts, from one pass over sorted rows.
+
+    Without keys the table is one series, which one task sorts.
+    """
+    keys = keys or []
     cx, cy = F.col(x).cast("double"), F.col(y).cast("double")
-    own = df.select(cx.alias("x"), cy.alias("y"), *([F.col(tie)] if tie and tie not in (x, y) else []))
-    w = Window.partitionBy(F.lit(1)).orderBy("x", *([tie] if tie and tie not in (x, y) else []))
+    own = df.select(*keys, cx.alias("x"), cy.alias("y"), *([F.col(tie)] if tie and tie not in (x, y) else []))
+    w = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("x", *([tie] if tie and tie not in (x, y) else []))
     own = own.withColumn("py", F.lag("y").over(w)).withColumn("px", F.lag("x").over(w)).withColumn("p2", F.lag("y", 2).over(w)).withColumn("ny", F.lead("y").over(w))
     y_, x_ = F.col("y"), F.col("x")
     aggs = {f"is_{k.replace(' ', '_')}": F.avg(_close(y_, to_column(parse(f.format(x="x")))).cast("double")) for k, f in SHAPES.items()}
@@ -41,7 +45,7 @@ def detect(df: DataFrame, x: str, y: str, tie: str | None = None) -> DataFrame:
         "y_lo": F.min(y_), "y_hi": F.max(y_), "x_lo": F.min(x_), "x_hi": F.max(x_), "at_hi": F.count_if(F.col("y") == F.col("py")),
         "layer_asin": F.regr_r2(F.when(F.abs(y_) <= 1, F.asin(y_)), x_), "layer_log": F.regr_r2(F.when(y_ > 0, F.ln(y_)), x_), "layer_log_square": F.regr_r2(F.when(y_ > 0, F.ln(y_)), x_ * x_),
     }
-    return own.agg(*[v.alias(k) for k, v in aggs.items()])
+    return own.groupBy(*keys).agg(*[v.alias(k) for k, v in aggs.items()])
 
 
 def seeds(df: DataFrame, x: str, y: str) -> list[str]:

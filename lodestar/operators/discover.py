@@ -123,6 +123,26 @@ def ladder(df: DataFrame, x: str, y: str) -> list[tuple[str, str]]:
     return out
 
 
+def ladder_by_key(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
+    """The best template of every key in one job: how, a, b, r2 and the formula's text.
+
+    y = a x + b, a x^2 + b, a x^b, a exp(b x) or a log(x) + b; power and exponential laws need
+    every y positive, power and logarithm every x. Ties go to the first named.
+    """
+    c = templates(x, y)
+    own = df.groupBy(*keys).agg(*[v.alias(k) for k, v in c.items()])
+    shapes = (("linear", "lin", "%s*X + %s", None), ("quadratic", "quad", "%s*X^2 + %s", None), ("power", "pow", "%s*X^(%s)", "pow_n"), ("exponential", "exp", "%s*exp(%s*X)", "exp_n"), ("logarithmic", "log", "%s*log(X) + %s", "log_n"))
+    options = []
+    for k, (name, p, text, count) in enumerate(shapes):
+        ok = F.col(f"{p}_r2").isNotNull() & ~F.isnan(f"{p}_r2")
+        ok = ok & (F.col(count) == F.col("n")) if count else ok
+        a, b = F.col(f"{p}_a"), F.col(f"{p}_b")
+        shown = F.format_string(text.replace("X", x), F.round(a, 8).cast("string"), F.round(b, 8).cast("string"))
+        options.append(F.when(ok, F.struct(F.round(F.col(f"{p}_r2"), 9).alias("r2"), F.lit(-k).alias("k"), F.lit(name).alias("how"), a.alias("a"), b.alias("b"), shown.alias("formula"))))
+    best = F.array_max(F.array_compact(F.array(*options)))
+    return own.select(*keys, "n", best.alias("best")).select(*keys, "n", "best.how", "best.a", "best.b", "best.r2", "best.formula")
+
+
 def sparse(df: DataFrame, variables: list[str], y: str, stage: int) -> Found | None:
     """Best subsets or a pursuit over the candidate library, from one Gram matrix; few terms are preferred."""
     formulas = {k: v for k, v in project.admissible_features(df, variables, stage).items() if k != "1"}

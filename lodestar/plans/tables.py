@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.compile import scrubbed_sql, to_sql
 from ..functions.parse import parse
 from ..operators import causal, detect, dynamics, exact, gram, match, pareto, project, regress, robust, series, solve, units
-from ..operators.discover import find
+from ..operators.discover import find, ladder_by_key
 from ..operators.genetic import Config, fitness, search
 from ..sources import feynman, readers
 from ..streaming import incremental
@@ -450,6 +450,16 @@ def discover_part_price_holds(spark, sf):
     return own.select(F.abs(F.col("p_retailprice") - to_column(parse(found.formula))).alias("e")).agg(F.count("*").alias("n"), (F.max("e") < 1e-6).alias("holds"))
 
 
+_LAD = "SELECT l_suppkey, regr_r2(y, x) AS r0, regr_r2(y, x*x) AS r1, regr_r2(ln(y), ln(x)) AS r2, regr_r2(ln(y), x) AS r3, regr_r2(y, ln(x)) AS r4 FROM (SELECT l_suppkey, l_quantity AS x, l_extendedprice AS y FROM lineitem) GROUP BY 1"
+_BEST = "greatest(" + ", ".join(f"round(coalesce(r{k}, -1), 9)" for k in range(5)) + ")"
+
+
+@R.query(f"SELECT l_suppkey, CASE {_BEST} WHEN round(r0, 9) THEN 'linear' WHEN round(r1, 9) THEN 'quadratic' WHEN round(r2, 9) THEN 'power' WHEN round(r3, 9) THEN 'exponential' ELSE 'logarithmic' END AS how, {rd(_BEST)} AS r2 FROM ({_LAD})")
+def discover_by_supplier(spark, sf):
+    """The ladder for every supplier at once."""
+    return only(ladder_by_key(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", ["l_suppkey"]).select("l_suppkey", "how", "r2"))
+
+
 @R.query()
 def discover_part_price(spark, sf):
     return find(table(spark, sf, "part"), ["p_partkey"], "p_retailprice").frame(spark)

@@ -133,3 +133,36 @@ def test_stream_equals_batch(spark, tmp_path, sf):
     want = {r.window.start: r.n for r in incremental.windowed_fit(events, "ts", "event_id", "value", "1 day").collect()}
     got = {r.window.start: r.n for r in spark.sql("select * from fits").collect()}
     assert got == want
+
+
+def test_ladder_by_key(spark):
+    from lodestar.operators.discover import ladder_by_key
+
+    rows = [("a", float(x), 3.0 * x + 1) for x in range(1, 9)] + [("b", float(x), 2.0 * x**2.5) for x in range(1, 9)] + [("c", float(x), -math.exp(x) + 1) for x in range(1, 9)]
+    got = {r.k: r for r in ladder_by_key(spark.createDataFrame(rows, "k string, x double, y double"), "x", "y", ["k"]).collect()}
+    assert (got["a"].how, got["a"].formula) == ("linear", "3.0*x + 1.0")
+    assert got["b"].how == "power" and got["b"].b == pytest.approx(2.5)
+    assert got["c"].how in ("linear", "quadratic", "logarithmic") and got["c"].r2 < 1
+
+
+def test_symbols_among_points(spark):
+    from lodestar.operators.discover import infer_symbols
+
+    assert infer_symbols(spark, [(1, 2), (2, 4), (3, 6), ("a", 10), (7, "b")], ["x"]) == {"a": "5", "b": "14"}
+
+
+def test_implicit_equation(spark):
+    df = spark.range(400).select(F.lit(1).alias("k"), "id", (F.col("id") * 0.01).alias("t")).withColumn("x", F.sin("t"))
+    text, residual = dynamics.implicit_ode(df, "t", "x", ["k"], "id", 1)
+    assert text.replace("1*", "") == "y + y'' = 0" and residual < 1e-4
+
+
+def test_cache(tmp_path):
+    from lodestar import api
+
+    api.cache.clear()
+    assert api.evaluate("2 + 3").result == "5" and api.evaluate("2 + 3").result == "5"
+    assert (api.cache.hits, api.cache.misses) == (1, 1)
+    api.cache.save(str(tmp_path / "c.json"))
+    api.cache.clear()
+    assert api.cache.load(str(tmp_path / "c.json")) == 1 and api.evaluate("2 + 3").approx == "5" and api.cache.hits == 1
