@@ -11,7 +11,8 @@ in it. So documents that share a window share a seed with equal bytes around it.
    class, go into texts whose suffix arrays are built by ``gsaca.suffix_arrays``; windows with
    equal bytes are neighbours there, and the smallest document of such a run has it first.
 
-Counts that meet in one task: a seed's distinct contexts, not its occurrences' texts.
+A context that many documents have is settled slice by slice where it is read, so that what meets
+in a seed's task is a row for each slice and distinct context.
 
 Null text is empty. Rows with a null doc_id take no part and keep all bytes. Rows that repeat a
 doc_id don't count as smaller than each other. Extra columns are ignored.
@@ -27,18 +28,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_KEYS, REPLY, Outbox, Rolling, U, answered, even_keys, gather, keyed, merge_spans, minimizers, mix, powers, ranges, reply, shuffle_parts, slices, utf8
+from .common import BYTE_KEYS, REPLY, Outbox, Rolling, U, answered, bucket_of, even_keys, gather, keyed, merge_spans, minimizers, mix, powers, ranges, reply, shuffle_parts, slices, utf8
 from .gsaca import suffix_arrays
 
 SEED = 16
 #: Bits of a seed and of a context that are sent; a task's partition holds more of the seed.
 SENT = U((1 << 40) - 1)
-SEEDS = {"seed": "var", "ctx": "var", "doc": "doc", "tag": "var", "pos": "var"}
+SEEDS = {"seed": "var", "ctx": "var", "doc": "doc", "tag": "var", "pos": "var", "done": "var"}
 #: Kinds of replies, in the low two bits: the windows around the seed go; ask about them; the window goes.
 WHOLE, ASK, WINDOW = 0, 1, 2
 EDGES = {"seed": "var", "doc": "doc", "tag": "var", "pos": "var", "left": "var", "right": "var", "bytes": "raw"}
 
 
+def least_of_equal(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each row the smallest doc of the rows with its a and b."""
+    if not len(doc):
+        return doc
+    order = np.lexsort((doc, b, a))
+    new = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]
+    out = np.empty_like(doc)
+    out[order] = doc[order][np.nonzero(new)[0]][np.cumsum(new) - 1]
+    return out
+
+
 def _seeds(length: int, keys: list[int]):
     side = length - SEED
 
@@ -62,8 +74,12 @@ def _seeds(length: int, keys: list[int]):
                 at, row = at[ok], row[ok]
                 lo, hi = np.maximum(at - side, o[row]), np.minimum(at + length, o[row + 1])
                 ctx = mix(roll.of(lo, hi) + (at - lo).astype(np.uint64))
-                seed = h[at]
-                yield from out.add((seed >> U(44)) % U(len(keys)), seed=seed & SENT, ctx=ctx & SENT, doc=docs[a + row], tag=tags[a + row], pos=at - o[row])
+                seed, doc = h[at], docs[a + row]
+                # a smaller document beside it has the context: settled here, and dealt by document
+                done = doc > least_of_equal(seed, ctx, doc)
+                part = np.where(done, bucket_of(doc, len(keys)), ((seed >> U(44)) % U(len(keys))).astype(np.int64))
+                live = (~done).astype(np.uint64)
+                yield from out.add(part, seed=(seed & SENT) * live, ctx=(ctx & SENT) * live, doc=doc, tag=tags[a + row], pos=at - o[row], done=done)
         yield from out.flush()
 
     return run
@@ -76,8 +92,13 @@ def _classes(keys: list[int]):
         got = gather(batches, SEEDS)
         if got is None:
             return
+        done = got.pop("done").astype(bool)
+        yield from reply(keys, got["doc"][done], got["tag"][done], got["pos"][done].astype(np.int64) * 4 + WHOLE)
+        got = {k: v[~done] for k, v in got.items()}
+        if not len(got["doc"]):
+            return
         order = np.lexsort((got["doc"], got["ctx"], got["seed"]))
-        seed, ctx, doc, tag, pos = (got[k][order] for k in SEEDS)
+        seed, ctx, doc, tag, pos = (got[k][order] for k in got)
         del got
         new_seed = np.r_[True, seed[1:] != seed[:-1]]
         new = new_seed | np.r_[True, ctx[1:] != ctx[:-1]]
