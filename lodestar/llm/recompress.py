@@ -27,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_KEYS, REPLY, Outbox, Rolling, U, answered, even_keys, gather, keyed, merge_spans, mix, ranges, reply, shuffle_parts, slices, utf8
+from .common import BYTE_KEYS, REPLY, Outbox, Rolling, U, answered, bucket_of, even_keys, gather, keyed, merge_spans, mix, ranges, reply, shuffle_parts, slices, utf8
+from .substring import least_of_equal
 
-LEADERS = {"name": "var", "doc": "doc", "tag": "var", "pos": "var"}
+LEADERS = {"name": "var", "doc": "doc", "tag": "var", "pos": "var", "done": "var"}
 SENT = U((1 << 40) - 1)
 NONE = ~U(0)
 _space = np.zeros(256, bool)
@@ -111,6 +112,14 @@ def leaders(names: np.ndarray, bounds: np.ndarray, width: int, rounds: int) -> t
     return best, where, roll
 
 
+def firsts(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which are the first of their name, and which names come again."""
+    _, at, which, count = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+    first = np.zeros(len(name), bool)
+    first[at] = True
+    return first, count[which] > 1
+
+
 def _parsed(data, off, width, rounds):
     starts, ends, bounds = words_of(data, off)
     names = Rolling(BYTE_KEYS[data]).of(starts, ends)
@@ -131,7 +140,10 @@ def _leaders(width: int, rounds: int, keys: list[int]):
                 best, _, bounds, at = _parsed(data[off[a] : off[b]], off[a : b + 1] - off[a], width, rounds)
                 row = np.searchsorted(bounds, at, side="right") - 1
                 name = mix(best[at])
-                yield from out.add((name >> U(44)) % U(len(keys)), name=name & SENT, doc=docs[a + row], tag=tags[a + row], pos=at - bounds[row])
+                # of equal leaders of a slice the first goes on; the others are shared already, as it is then
+                first, again = firsts(name)
+                part = np.where(first, ((name >> U(44)) % U(len(keys))).astype(np.int64), bucket_of(docs[a + row], len(keys)))
+                yield from out.add(part, name=(name & SENT) * first.astype(np.uint64), doc=docs[a + row], tag=tags[a + row], pos=at - bounds[row], done=np.where(first, again.astype(np.int64), 2))
         yield from out.flush()
 
     return run
@@ -142,10 +154,12 @@ def _shared(keys: list[int]):
         got = gather(batches, LEADERS)
         if got is None:
             return
-        name = got["name"]
+        rest = np.nonzero(got["done"] < 2)[0]
+        name = got["name"][rest]
         order = np.argsort(name, kind="stable")
         same = name[order][1:] == name[order][:-1]
-        hit = order[np.r_[same, False] | np.r_[False, same]]
+        hit = np.r_[rest[order[np.r_[same, False] | np.r_[False, same]]], np.nonzero(got["done"])[0]]
+        hit = np.unique(hit)
         yield from reply(keys, got["doc"][hit], got["tag"][hit], got["pos"][hit])
 
     return run
@@ -167,8 +181,11 @@ def _windows(width: int, rounds: int, keys: list[int]):
             win = ranges(at[mine], count[mine])
             win = win[best[win] != NONE]
             row = np.searchsorted(bounds, win, side="right") - 1
-            name = roll.of(win, win + width)
-            made += out.add((name >> U(40)) % U(len(keys)), name=name, doc=docs[a + row], tag=tags[a + row], pos=win - bounds[row])
+            name, doc = roll.of(win, win + width), docs[a + row]
+            # a smaller document beside it has the window: settled here, and dealt by document
+            done = doc > least_of_equal(name, name, doc)
+            part = np.where(done, bucket_of(doc, len(keys)), ((name >> U(40)) % U(len(keys))).astype(np.int64))
+            made += out.add(part, name=name * (~done).astype(np.uint64), doc=doc, tag=tags[a + row], pos=win - bounds[row], done=done)
         return made + list(out.flush())
 
     return work
@@ -179,6 +196,11 @@ def _repeats(keys: list[int]):
         got = gather(batches, LEADERS)
         if got is None:
             return
+        done = got.pop("done").astype(bool)
+        yield from reply(keys, got["doc"][done], got["tag"][done], got["pos"][done])
+        got = {k: v[~done] for k, v in got.items()}
+        if not len(got["doc"]):
+            return
         order = np.lexsort((got["pos"], got["tag"], got["doc"], got["name"]))
         name, doc, tag, pos = (got[k][order] for k in ("name", "doc", "tag", "pos"))
         new = np.r_[True, name[1:] != name[:-1]]
