@@ -1,10 +1,10 @@
-"""Benchmark decontamination by rare n-gram seeds and local alignment (operator 3).
+"""Benchmark decontamination by n-gram seeds and local alignment (operator 3).
 
-Word n-grams of the test items are looked up in every document. An n-gram seeds a candidate if
-it is rare: found in few documents, measured against the item's own n-grams, so that an item
-that was copied often keeps its seeds while everyday phrases lose theirs. The passage around
-an item's seeds is aligned with the item by Smith-Waterman over words, and its score, as a
-share of the item's own, tells copies and edited copies from chance.
+Word n-grams of the test items are looked up in every document, and each one found seeds a
+candidate, however many documents it stands in. A score can't exceed the words that item and
+passage share, which drops passages around everyday phrases and loses nothing. The others are
+aligned with the item by Smith-Waterman over words, and the score, as a share of the item's
+own, tells copies and edited copies from chance.
 
 Test items go out in blocks of ``block`` rows, which bounds what a task and the driver hold;
 each block is one pass over the documents. Passages travel alone, never with their documents.
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import BYTE_KEYS, Rolling, U, materialise, ranges, slices, utf8
 
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Padded words of passages that are aligned in one go.
+CELLS = 2_000_000
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _BREAK = np.zeros(256, bool)
@@ -79,7 +81,7 @@ class Items:
 
 
 def _candidates(items: Items):
-    """Rows (doc_id, item, start, words, grams): the passage around an item's n-grams in a document."""
+    """Rows (doc_id, item, start, words): the passage around an item's n-grams in a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,11 +94,11 @@ def _candidates(items: Items):
                     continue
                 times = items.first[gram + 1] - items.first[gram]
                 occ = ranges(items.first[gram], times)
-                at, gram = np.repeat(at, times), np.repeat(gram, times)
+                at = np.repeat(at, times)
                 item, begin = items.item[occ], at - items.place[occ]
                 doc = np.searchsorted(bounds, at, side="right") - 1
-                order = np.lexsort((at, begin, item, doc))
-                doc, item, begin, at, gram = (x[order] for x in (doc, item, begin, at, gram))
+                order = np.lexsort((begin, item, doc))
+                doc, item, begin = (x[order] for x in (doc, item, begin))
                 long = items.length(item)
                 new = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > long[1:])]
                 head = np.nonzero(new)[0]
@@ -110,9 +112,8 @@ def _candidates(items: Items):
                         pa.array(item[head], pa.int64()),
                         pa.array(lo - bounds[doc[head]], pa.int64()),
                         pa.array([(words[x:y] >> U(32)).astype("<u4").tobytes() for x, y in zip(lo, hi, strict=True)], pa.binary()),
-                        pa.array([np.unique(gram[x:y]).tolist() for x, y in zip(head, end, strict=True)], pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "item", "start", "words", "grams"],
+                    ["doc_id", "item", "start", "words"],
                 )
 
     return run
@@ -139,23 +140,46 @@ def align(item: np.ndarray, passages: list[np.ndarray]) -> tuple[np.ndarray, np.
     return best, end
 
 
-def _aligned(items: Items, common: np.ndarray, least: float):
+def shared(item: np.ndarray, passages: list[np.ndarray]) -> np.ndarray:
+    """The most words that an alignment of each passage with the item can match."""
+    known, times = np.unique(item, return_counts=True)
+    words = np.concatenate(passages)
+    which = np.repeat(np.arange(len(passages)), [len(p) for p in passages])
+    at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+    ok = known[at] == words
+    pair, n = np.unique(which[ok] * len(known) + at[ok], return_counts=True)
+    return np.bincount(pair // len(known), np.minimum(n, times[pair % len(known)]), len(passages))
+
+
+def _groups(lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """Passages of like length, up to 256 and ``CELLS`` padded words at a time."""
+    order = np.argsort(lengths, kind="stable")[::-1]
+    at = 0
+    while at < len(order):
+        n = max(1, min(256, CELLS // max(1, int(lengths[order[at]]))))
+        yield order[at : at + n]
+        at += n
+
+
+def _aligned(items: Items, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             item = batch.column(1).to_numpy()
-            rare = np.array([any(not common[g] for g in x) for x in batch.column(4).to_pylist()], bool)
             words = batch.column(3)
             starts = batch.column(2).to_numpy()
             rows, scores, ends = [], [], []
-            for k in np.unique(item[rare]) if len(item) else []:
-                mine = np.nonzero((item == k) & rare)[0]
+            order = np.argsort(item, kind="stable")
+            cut = np.nonzero(np.r_[True, np.diff(item[order]) != 0])[0] if len(item) else []
+            for mine in np.split(order, cut[1:]) if len(item) else []:
+                k = item[mine[0]]
                 own = (items.words[items.off[k] : items.off[k + 1]] >> U(32)).astype(np.int64)
-                for c in range(0, len(mine), 256):
-                    some = mine[c : c + 256]
-                    best, end = align(own, [np.frombuffer(words[int(j)].as_py(), "<u4").astype(np.int64) for j in some])
+                texts = [np.frombuffer(words[int(j)].as_py(), "<u4").astype(np.int64) for j in mine]
+                able = np.nonzero(shared(own, texts) >= least * len(own))[0]
+                for some in _groups(np.array([len(texts[j]) for j in able], np.int64)):
+                    best, end = align(own, [texts[j] for j in able[some]])
                     score = best / (MATCH * len(own))
                     ok = score >= least
-                    rows.append(some[ok])
+                    rows.append(mine[able[some]][ok])
                     scores.append(score[ok])
                     ends.append(end[ok])
             if rows:
@@ -165,12 +189,8 @@ def _aligned(items: Items, common: np.ndarray, least: float):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.5, often: int = 8, block: int = 4096) -> DataFrame:
-    """doc_id, item_id, score (of 1), start and end (words of the best passage): documents that hold items.
-
-    An n-gram is common if it stands in over ``often`` times the documents that the item's
-    rarer quarter of n-grams stand in (2 at least), for each of its items.
-    """
+def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.5, block: int = 4096) -> DataFrame:
+    """doc_id, item_id, score (of 1), start and end (words of the best passage): documents that hold items."""
     rows = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     asked = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     found: DataFrame | None = None
@@ -181,20 +201,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float =
         items = Items([r.item_id for r in held], [r.text for r in held], n)
         if not len(items.grams):
             return
-        hits = materialise(rows.mapInArrow(_candidates(items), "doc_id long, item long, start long, words binary, grams array<long>"), "hits")
-        # at most one row for each n-gram of the block
-        df = np.zeros(len(items.grams), np.int64)
-        for r in hits.select("doc_id", F.explode("grams").alias("gram")).groupBy("gram").agg(F.approx_count_distinct("doc_id").alias("n")).collect():
-            df[r.gram] = r.n
-        of = np.repeat(np.arange(len(items.grams)), np.diff(items.first))
-        limit = np.zeros(len(items.ids))
-        for k in range(len(items.ids)):
-            own = df[of[items.item == k]]
-            if len(own):
-                limit[k] = often * max(2.0, float(np.quantile(own, 0.25)))
-        rare = np.zeros(len(items.grams), bool)
-        np.logical_or.at(rare, of, df[of] <= limit[items.item])
-        part = hits.mapInArrow(_aligned(items, ~rare, least), "doc_id long, item_id long, score double, start long, end long")
+        hits = materialise(rows.mapInArrow(_candidates(items), "doc_id long, item long, start long, words binary"), "hits")
+        part = hits.mapInArrow(_aligned(items, least), "doc_id long, item_id long, score double, start long, end long")
         found = part if found is None else found.unionByName(part)
 
     for row in asked.toLocalIterator():

@@ -283,6 +283,25 @@ def test_common_passages_still_leak(spark):
     assert {r.doc_id for r in got} == {i for i in range(300) if i % 2}
 
 
+@pytest.mark.parametrize("copies", [17, 100, 1000])
+@pytest.mark.parametrize("score", [0.85, 0.6])
+def test_edited_copies_that_come_often(spark, copies, score):
+    words = [f"w{k}x" for k in range(30)]
+    copy = " ".join("zzz" if k in (7, 15, 23) else w for k, w in enumerate(words)) if score > 0.6 else " ".join(words[:18])
+    rows = [(i, f"a{i} {copy} b{i}", "en") for i in range(copies)] + [(9000 + i, f"{' '.join(words[:4])} c{i}", "en") for i in range(copies)]
+    got = {r.doc_id: r.score for r in decontaminate.find_leaks(table(spark, rows), spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")).collect()}
+    assert got == {i: pytest.approx(score) for i in range(copies)}
+
+
+def test_shared_words_bound_the_score():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        item = rng.integers(0, 8, rng.integers(1, 12))
+        passages = [rng.integers(0, 8, rng.integers(1, 30)) for _ in range(20)]
+        best, _ = decontaminate.align(item, passages)
+        assert (best <= decontaminate.MATCH * decontaminate.shared(item, passages)).all()
+
+
 def test_align():
     item = np.arange(10)
     best, _ = decontaminate.align(item, [np.arange(10), np.r_[99, np.arange(4), 77, np.arange(5, 10)], np.arange(50, 60), np.r_[np.arange(5), 88, np.arange(5, 10)]])
