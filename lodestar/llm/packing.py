@@ -4,8 +4,10 @@ Documents are tokenised where they lie; only longer ones than a sequence are cut
 needs is the histogram of piece lengths, at most one count for each length up to the capacity,
 so its size doesn't grow with the data. The driver packs the histogram by bin completion:
 around the largest remaining length it enumerates the undominated fillings of what is left of
-the sequence, prunes by waste bounds, and takes a filling as often as the counts allow; the
-best-fit packing is the first incumbent. The plan says, for each length and range of ranks,
+the sequence, prunes by bounds on waste and sequences, takes a filling as often as the counts
+allow, and comes back for fewer; the best-fit packing is the first incumbent. The search ends
+when the incumbent meets the lower bound or no branch is left, which proves the packing optimal,
+or else after ``EFFORT`` steps; then the gap to the lower bound is logged. The plan says, for each length and range of ranks,
 which sequence and offset; pieces get their rank from counts by task and prefix sums.
 
 Null text is empty and gives one piece, the end token alone. Rows that repeat are packed each.
@@ -13,6 +15,7 @@ Null text is empty and gives one piece, the end token alone. Rows that repeat ar
 
 from __future__ import annotations
 
+import logging
 import re
 import unicodedata
 import zlib
@@ -27,7 +30,12 @@ from pyspark.sql import functions as F
 
 from .common import materialise, slices, utf8
 
+log = logging.getLogger(__name__)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, chunk long, nth long"
+#: Steps of the search for a packing with fewer sequences (some seconds on the driver); in the worst case proof takes exponentially many.
+EFFORT = 400_000
+#: Steps that a node counts as, for its bounds.
+NODE = 200
 #: Entries of an encoder's cache.
 CACHED = 400_000
 #: Length up to which a word with one more character is kept as well: such ones come often.
@@ -155,7 +163,8 @@ def _pieces(path: str, capacity: int, end: int):
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    """The greatest of the bounds that round lengths over capacity - k up and drop those below k."""
+    """The greatest of the bounds that round lengths over capacity - k up and drop those below k, and of
+    those that round lengths to multiples of capacity / k."""
     sizes = np.array(sorted(counts), np.int64)
     if not len(sizes):
         return 0
@@ -168,6 +177,10 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
         n1, n2 = int(n[big].sum()), int(n[mid].sum())
         free = n2 * capacity - int((sizes * n)[mid].sum())
         best = max(best, n1 + n2 + max(0, -(-(int((sizes * n)[small].sum()) - free) // capacity)))
+    for k in range(1, min(capacity, 100)):
+        # (k + 1) x / capacity is rounded down, but counts as it is where it's whole
+        part, rest = np.divmod(sizes * (k + 1), capacity)
+        best = max(best, -(-int((np.where(rest == 0, sizes * k, part * capacity) * n).sum()) // (k * capacity)))
     return best
 
 
@@ -209,78 +222,108 @@ def _put(room: dict[int, list[list]], levels: list[int], level: int, group: list
     room[level].append(group)
 
 
-def fillings(sizes: list[int], counts: dict[int, int], room: int, nodes: int) -> list[tuple[int, tuple[int, ...]]]:
-    """Undominated fillings of ``room`` as (waste, lengths in falling order), least waste first.
+def undominated(taken: dict[int, int], counts: dict[int, int], waste: int) -> bool:
+    """No length that is left could stand for shorter ones of those taken, or for none, within the waste."""
+    sums = 1  # bit s: some of the taken lengths add up to s
+    for size, n in taken.items():
+        step = 1
+        while n:
+            use = min(step, n)
+            sums |= sums << size * use
+            n -= use
+            step *= 2
+    for x, n in counts.items():
+        if n > taken.get(x, 0):
+            low = max(0, x - waste)
+            # sums of x itself count if x isn't taken: they are of several lengths then
+            if sums >> low & (1 << x - low + (x not in taken)) - 1:
+                return False
+    return True
+
+
+class Spent(Exception):
+    """The search has used its steps."""
 
-    Depth first from the largest lengths. The waste bound is the least waste found so far: a
-    branch is cut when what remains fits no length and is over it. A filling is dominated if
-    one with no more waste has fewer and so larger lengths.
-    """
-    found: dict[int, tuple[int, ...]] = {}
-    budget = [nodes]
-    used: dict[int, int] = {}
-    low = sizes[0] if sizes else 0
 
-    def go(left: int, top: int, taken: tuple[int, ...]) -> None:
-        budget[0] -= 1
+def fillings(counts: dict[int, int], room: int, spare: int, effort: list[int]) -> Iterator[tuple[int, dict[int, int]]]:
+    """All undominated fillings of ``room`` that waste up to ``spare``, as (waste, numbers by length), large lengths first.
+
+    ``effort`` holds the steps left; ``Spent`` when there are none.
+    """
+    sizes = sorted(x for x, n in counts.items() if n and x <= room)
+    below = [0]
+    for x in sizes:
+        below.append(below[-1] + x * counts[x])
+
+    def go(left: int, top: int, taken: dict[int, int], most: int) -> Iterator[tuple[int, dict[int, int]]]:
+        effort[0] -= 1
+        if effort[0] < 0:
+            raise Spent
         k = bisect_right(sizes, left, 0, top) - 1
-        while k >= 0 and counts[sizes[k]] <= used.get(sizes[k], 0):
-            k -= 1
-        if k < 0:
-            if left not in found or len(taken) < len(found[left]):
-                found[left] = taken
-            return
-        while k >= 0 and budget[0] > 0 and 0 not in found:
-            size = sizes[k]
-            if counts[size] > used.get(size, 0):
-                used[size] = used.get(size, 0) + 1
-                go(left - size, k + 1, (*taken, size))
-                used[size] -= 1
-                if left - size > 0 and left - size < low:
-                    break  # smaller ones leave more
+        while k >= 0 and left - below[k + 1] <= most:
+            x = sizes[k]
+            for n in range(min(counts[x], left // x), 0, -1):
+                # one more of x would go where as much is wasted
+                yield from go(left - n * x, k, taken | {x: n}, most if n == counts[x] else min(most, x - 1))
+            most = min(most, x - 1)
             k -= 1
+        if left <= most and undominated(taken, counts, left):
+            yield left, taken
+
+    yield from go(room, len(sizes), {}, spare)
 
-    go(room, len(sizes), ())
-    ranked = sorted(found.items())
-    out: list[tuple[int, tuple[int, ...]]] = []
-    for waste, taken in ranked:
-        if not any(len(other) <= len(taken) and all(a >= b for a, b in zip(other, taken, strict=False)) for _, other in out):
-            out.append((waste, taken))
-    return out
 
+def complete_bins(counts: dict[int, int], capacity: int, effort: int = EFFORT) -> list[tuple[dict[int, int], int]]:
+    """Bin completion: depth-first search from the best-fit incumbent, for the optimal packing or the best in ``effort`` steps.
 
-def complete_bins(counts: dict[int, int], capacity: int, nodes: int = 400, dives: int = 3) -> list[tuple[dict[int, int], int]]:
-    """Bin completion: the best of the best-fit incumbent and of dives that take the k-th filling at the k-th try first."""
+    A branch fills the sequence of the largest length left, and takes the filling t times, t
+    falling; below it the filling isn't taken again, as a larger t stands for that.
+    """
     best = best_fit(counts, capacity)
     n_best, bound = sum(x for _, x in best), lower_bound(counts, capacity)
-    for dive in range(dives):
-        if n_best <= bound:
+    total = sum(x * n for x, n in counts.items())
+    path: list[tuple[dict[int, int], int]] = []
+    steps = [effort]
+
+    def spare(waste: int) -> int:
+        return (n_best - 1) * capacity - total - waste  # a better packing wastes no more
+
+    def branches(left: dict[int, int], waste: int, gone: frozenset) -> Iterator[tuple]:
+        large = max(left)
+        rest = left | {large: left[large] - 1}
+        for lost, own in fillings(rest, capacity - large, spare(waste), steps):
+            own = own | {large: own.get(large, 0) + 1}
+            key = frozenset(own.items())
+            if key not in gone:
+                for times in range(min(left[x] // n for x, n in own.items()), 0, -1):
+                    if times * lost <= spare(waste):
+                        after = {x: n - times * own.get(x, 0) for x, n in left.items()}
+                        yield own, times, {x: n for x, n in after.items() if n}, waste + times * lost, gone | {key}
+
+    stack = [(0, branches(counts, 0, frozenset()))] if n_best > bound else []
+    while stack and n_best > bound:
+        made, options = stack[-1]
+        steps[0] -= NODE
+        try:
+            step = next(options, None)
+        except Spent:
+            log.warning("packing: %d sequences, lower bound %d; the search stopped after %d steps", n_best, bound, effort)
             break
-        left, plan, made, waste = dict(counts), [], 0, 0
-        spare = (n_best - 1) * capacity - sum(s * n for s, n in counts.items())  # a better packing wastes no more
-        order = sorted(left)
-        while order:
-            large = order[-1]
-            left[large] -= 1
-            options = fillings(order if left[large] else order[:-1], left, capacity - large, nodes * (dive + 1) ** 2)
-            left[large] += 1
-            pick = options[min(dive, len(options) - 1) if len(plan) < dive else 0][1] if options else ()
-            own: dict[int, int] = {large: 1}
-            for x in pick:
-                own[x] = own.get(x, 0) + 1
-            times = min(left[x] // n for x, n in own.items())
-            plan.append((own, times))
-            made += times
-            waste += times * (capacity - sum(x * n for x, n in own.items()))
-            for x, n in own.items():
-                left[x] -= n * times
-                if not left[x]:
-                    order.remove(x)
-            if waste > spare:
-                break  # pruned: it can't beat the incumbent
-        else:
-            if made < n_best:
-                best, n_best = plan, made
+        if step is None:
+            stack.pop()
+            if path:
+                path.pop()
+            continue
+        own, times, left, waste, gone = step
+        if made + times + lower_bound(left, capacity) >= n_best:
+            continue
+        rest = best_fit(left, capacity)
+        n = made + times + sum(x for _, x in rest)
+        if n < n_best:
+            best, n_best = [*path, (own, times), *rest], n
+        if left:
+            path.append((own, times))
+            stack.append((made + times, branches(left, waste, gone)))
     return best
 
 

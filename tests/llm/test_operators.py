@@ -347,6 +347,43 @@ def test_bins():
     assert packing.complete_bins({}, 10) == []
 
 
+def fewest_bins(items, capacity):
+    items, best = sorted(items, reverse=True), [len(items)]
+
+    def go(k, free):
+        if len(free) >= best[0]:
+            return
+        if k == len(items):
+            best[0] = len(free)
+            return
+        for r in set(free):
+            if r >= items[k]:
+                rest = list(free)
+                rest.remove(r)
+                go(k + 1, [*rest, r - items[k]])
+        go(k + 1, [*free, capacity - items[k]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_bins_are_the_fewest():
+    rng = random.Random(11)
+    for trial in range(150):
+        items = [rng.randint(1, 30) for _ in range(rng.randint(1, 11))]
+        counts = {x: items.count(x) for x in items}
+        plan = packing.complete_bins(counts, 40)
+        used = {}
+        for own, times in plan:
+            assert sum(k * v for k, v in own.items()) <= 40
+            for k, v in own.items():
+                used[k] = used.get(k, 0) + v * times
+        assert used == counts and sum(t for _, t in plan) == fewest_bins(items, 40)
+        assert packing.lower_bound(counts, 40) <= fewest_bins(items, 40)
+    # three greedy completions found four
+    assert sum(t for _, t in packing.complete_bins({36: 1, 17: 1, 46: 1, 47: 1, 41: 1, 39: 1, 19: 1, 52: 1}, 100)) == 3
+
+
 def test_pack_documents(spark):
     docs = table(spark, [*corpus(9), (2000, "word " * 9000, "en")])
     out = packing.pack_documents(docs.repartition(3), queries.tokenizer_file(), 512).collect()
