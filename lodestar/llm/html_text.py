@@ -2,9 +2,10 @@
 
 Markup is stripped to lines, one for each block of the page, without what is never main text
 (scripts, menus, forms, adverts, comments, ...). A line weighs as many characters as it has
-outside links; where the page marks its article, lines in it weigh a surge more and lines
-outside weigh nothing. Sums over sliding windows of lines give the distribution: it surges
-where the main text begins and dives where it ends, and the text between is kept.
+outside links, and a surge more where the page marks it as part of an article. Sums over
+sliding windows of lines give the distribution: it surges where main text begins and dives
+where it ends, and every line between is kept, short ones and links too. A page that never
+surges is kept whole.
 
 Null html is empty. A page without text gives an empty string. Nothing is capped.
 """
@@ -57,15 +58,14 @@ def _boilerplate(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def lines_of(html: str) -> tuple[list[str], list[int], list[bool], bool]:
-    """Texts of the lines, their characters in links, whether they are in an article, and whether there is any."""
+def lines_of(html: str) -> tuple[list[str], list[int], list[bool]]:
+    """Texts of the lines, their characters in links, and whether they are in an article."""
     texts: list[str] = []
     links: list[int] = []
     inside: list[bool] = []
     parts: list[str] = []
     linked = 0
     depth = link = 0
-    seen = False
     skip, skips, skip_depth = "", 0, 0
     at, size = 0, len(html)
 
@@ -103,7 +103,7 @@ def lines_of(html: str) -> tuple[list[str], list[int], list[bool], bool]:
             if not skip:
                 close()
                 if not end:
-                    seen, depth = True, depth + 1
+                    depth += 1
                     if _boilerplate("div", attributes, depth > 1):
                         depth -= 1
                         skip, skips, skip_depth = name, 1, depth
@@ -130,15 +130,14 @@ def lines_of(html: str) -> tuple[list[str], list[int], list[bool], bool]:
     if not skip and at < size:
         parts.append(html[at:])
     close()
-    return texts, links, inside, seen
+    return texts, links, inside
 
 
 def main_text(html: str) -> str:
-    texts, links, inside, marked = lines_of(html)
+    texts, links, inside = lines_of(html)
     if not texts:
         return ""
-    marked = marked and any(inside)
-    weight = np.array([(len(t) - n + SURGE if i else 0) if marked else max(0, len(t) - n) for t, n, i in zip(texts, links, inside, strict=True)], np.int64)
+    weight = np.array([max(0, len(t) - n) + (SURGE if i else 0) for t, n, i in zip(texts, links, inside, strict=True)], np.int64)
     sums = np.convolve(weight, np.ones(WINDOW, np.int64))[WINDOW - 1 :]  # sums[i]: lines i to i + WINDOW - 1
     regions, i, n = [], 0, len(texts)
     while i < n:
@@ -146,7 +145,7 @@ def main_text(html: str) -> str:
             i += 1
             continue
         j = i + 1
-        while j < n and (weight[j] or sums[j] >= DIVE):
+        while j < n and sums[j] >= DIVE:
             j += 1
         regions.append((i, j))
         i = j
@@ -154,11 +153,7 @@ def main_text(html: str) -> str:
         if not weight.any():
             return ""
         regions = [(0, n)]
-    if not marked:
-        best = max(regions, key=lambda r: int(weight[r[0] : r[1]].sum()))
-        total = int(weight[best[0] : best[1]].sum())
-        regions = [r for r in regions if 4 * int(weight[r[0] : r[1]].sum()) >= total]
-    return "\n\n".join(texts[k] for i, j in regions for k in range(i, j) if weight[k])
+    return "\n\n".join(texts[k] for i, j in regions for k in range(i, j))
 
 
 def extract(pages: DataFrame) -> DataFrame:

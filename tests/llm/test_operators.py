@@ -261,6 +261,18 @@ def test_html(spark):
     assert got[5].n_chars == 199_999 and 6 in got
 
 
+def test_html_distribution():
+    long = "A long enough line of text to be the main one of this page, it is. "
+    card = f"<article><p>A teaser card.</article><div><p>{long * 3}<p><a href=x>A linked line</a><p>short<p>{long * 2}</div>"
+    assert html_text.main_text(card).split("\n\n") == ["A teaser card.", (long * 3).strip(), "A linked line", "short", (long * 2).strip()]
+    # far from the largest region, and less than a quarter of it
+    gap = "<p><a href=x>go</a>" * 6
+    got = html_text.main_text(f"<p>{long * 9}{gap}<p>{long * 2}{gap}<p>tiny").split("\n\n")
+    assert (long * 9).strip() in got and (long * 2).strip() in got
+    # text that is not dense enough ends the region
+    assert html_text.main_text(f"<p>{long * 9}{gap}<p>a<p>b<p>c") == (long * 9).strip()
+
+
 def test_leaks(spark):
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(2000)]
