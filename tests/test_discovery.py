@@ -166,3 +166,13 @@ def test_cache(tmp_path):
     api.cache.save(str(tmp_path / "c.json"))
     api.cache.clear()
     assert api.cache.load(str(tmp_path / "c.json")) == 1 and api.evaluate("2 + 3").approx == "5" and api.cache.hits == 1
+
+
+@pytest.mark.parametrize(("rows", "period"), [(1_200_000, 1000), (1_700_000, 500_000)])
+def test_periods_beyond_a_million_keys(spark, rows, period):
+    from lodestar.operators import discover
+
+    df = spark.range(1, rows + 1).select("id", (900 + (F.col("id") % period) / 10).alias("y"))
+    assert discover._periodic(df, "id", "y") == [f"900 + (1/10)*mod(id, {period})"]
+    # many rows of few keys
+    assert discover._periodic(spark.range(1_100_000).select((F.col("id") % 40).alias("k"), (F.col("id") % 40 % 7).cast("double").alias("y")), "k", "y") == ["mod(k, 7)"]
