@@ -4,10 +4,11 @@ A multinomial logistic regression over sparse word 1-grams and 2-grams tells the
 families of a paragraph, with two more classes: prose, learned from a bounded sample of the
 corpus, and ``unknown``, licence talk of no known family. Its temperature is calibrated on
 held-out examples; a family below ``sure`` counts as unknown. A predicted family is confirmed
-only if a template of it covers the paragraph's licence words, or the reverse, so that a text
-that merely names a licence isn't taken for one.
+only if the text covers a template of it, or, for a family it is sure of, a template covers the
+text and that has ``LEAST`` different words or more, so that a text that merely names a licence isn't taken for one.
 
-A paragraph is a line; one of over ``WIDE`` words is read in windows that overlap by half.
+A paragraph is the lines between lines without words. Its lines are read each, and if there
+are several, all together; text of over ``WIDE`` words is read in windows that overlap by half.
 Null text has no paragraphs. Every paragraph of every document is scored.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import Rolling, slices, utf8
 from .decontaminate import folded_words
 
-WIDE = 64
+WIDE, LEAST = 64, 8
 UNKNOWN, PROSE = "unknown", "prose"
 
 # fixed values: public wording by which works name their licence
@@ -170,10 +171,10 @@ class Classifier:
             label[used], sure[used] = p.argmax(axis=1), p.max(axis=1)
         return label, sure
 
-    def confirmed(self, family: int, words: np.ndarray) -> float:
-        """The best cover of a template's words by the paragraph's, of the family's templates."""
+    def confirmed(self, family: int, words: np.ndarray, either: bool = False) -> float:
+        """The best cover of a template of the family by the text's words; or, for ``either``, of the text's by the template's."""
         own = set(words.tolist())
-        return max(len(own & t) / len(t) for t, k in zip(self.templates, self.family, strict=True) if k == family)
+        return max(len(own & t) / (min(len(t), len(own)) if either and len(own) >= LEAST else len(t)) for t, k in zip(self.templates, self.family, strict=True) if k == family)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -181,12 +182,24 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def paragraphs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, bounds of the paragraphs in words, and each one's document; every document has one at least."""
+def paragraphs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, bounds of the lines in words, each one's document and its paragraph; every document has a line at least."""
     cut = np.unique(np.r_[np.nonzero(data == 10)[0], off])
     words, bounds = folded_words(data, cut.astype(np.int64))
     doc = np.searchsorted(off, cut[:-1], side="right") - 1
-    return words, bounds, doc
+    empty = np.diff(bounds) == 0
+    new = empty.copy()
+    new[:1] = True
+    new[1:] |= empty[:-1] | (doc[1:] != doc[:-1])
+    return words, bounds, doc, np.cumsum(new) - 1
+
+
+def _windows(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which text, first word and end of the windows over texts."""
+    pieces = np.maximum(1, -(-(hi - lo - WIDE // 2) // (WIDE // 2)))
+    which = np.repeat(np.arange(len(lo)), pieces)
+    at = lo[which] + (np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * (WIDE // 2)
+    return which, at, np.minimum(at + WIDE, hi[which])
 
 
 def train(docs: DataFrame, prose_rows: int = 2000, sure: float = 0.6) -> Classifier:
@@ -207,29 +220,37 @@ def scan(docs: DataFrame, model: Classifier, cover: float = 0.75) -> DataFrame:
         for batch in batches:
             data, off = utf8(batch.column(1))
             for a, b in slices(off):
-                words, bounds, doc = paragraphs(data[off[a] : off[b]], off[a : b + 1] - off[a])
+                words, bounds, doc, group = paragraphs(data[off[a] : off[b]], off[a : b + 1] - off[a])
                 found: list[list] = [[] for _ in range(b - a)]
-                size = np.diff(bounds)
-                pieces = np.maximum(1, -(-(size - WIDE // 2) // (WIDE // 2)))
-                which = np.repeat(np.arange(len(size)), pieces)
-                step = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                lo = bounds[:-1][which] + step * (WIDE // 2)
-                hi = np.minimum(lo + WIDE, bounds[1:][which])
+                head = np.nonzero(np.r_[True, group[1:] != group[:-1]])[0] if len(group) else np.zeros(0, np.int64)
+                last = np.r_[head[1:], len(group)] if len(group) else head
+                many = np.nonzero(last - head > 1)[0]
+                # lines first, then the paragraphs of several
+                which, lo, hi = _windows(np.r_[bounds[:-1], bounds[head[many]]], np.r_[bounds[1:], bounds[last[many]]])
+                part = np.r_[group, many][which]
+                joined = which >= len(group)
                 count = np.maximum(hi - lo, 0)
                 at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
                 label, p = model.predict(words[at], np.r_[0, np.cumsum(count)])
-                first = np.searchsorted(doc, np.arange(b - a))
+                first = group[np.minimum(np.searchsorted(doc, np.arange(b - a)), len(group) - 1)] if len(group) else group
+                named: set[int] = set()
                 for k in np.nonzero(label != len(model.classes) - 1)[0]:
                     own = words[lo[k] : hi[k]]
                     family = int(label[k])
-                    got = model.confirmed(family, own)
                     name = model.classes[family] if p[k] >= model.sure else UNKNOWN
+                    # a piece of a template that can't be told for sure is no licence of its own
+                    got = model.confirmed(family, own, name != UNKNOWN)
                     if name == UNKNOWN:
                         got = max(got, model.confirmed(model.classes.index(UNKNOWN), own))
                     if got >= cover:
-                        d = int(doc[which[k]])
-                        entry = {"paragraph": int(which[k] - first[d]), "family": name, "probability": float(p[k]), "cover": float(got)}
-                        if not found[d] or (found[d][-1]["paragraph"], found[d][-1]["family"]) != (entry["paragraph"], name):
+                        # a paragraph of known families isn't of an unknown one because its lines are mixed
+                        if joined[k] and name == UNKNOWN and int(part[k]) in named:
+                            continue
+                        if name != UNKNOWN:
+                            named.add(int(part[k]))
+                        d = int(doc[head[part[k]]])
+                        entry = {"paragraph": int(part[k] - first[d]), "family": name, "probability": float(p[k]), "cover": float(got)}
+                        if all((e["paragraph"], e["family"]) != (entry["paragraph"], name) for e in found[d]):
                             found[d].append(entry)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([",".join(sorted({e["family"] for e in f})) for f in found], pa.string()), pa.array([len({e["paragraph"] for e in f}) for f in found], pa.int64()), pa.array(found, kind)], ["doc_id", "licences", "n_paragraphs", "found"])
 

@@ -329,6 +329,17 @@ def test_licences(spark):
     assert model.accuracy > 0.9
 
 
+def test_wrapped_licences(spark):
+    mit, isc, bsd = license_scan.TEMPLATES["MIT"][4], license_scan.TEMPLATES["ISC"][1], "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[k : k + n]) for k in range(0, len(t.split()), n))
+    line = "Redistribution and use in source and binary forms, with or without"
+    texts = [f"Some tool\n\n{wrap(mit, 11)}\n\nmain", wrap(isc, 5), wrap(bsd, 4), line, " ".join(mit.split()[:12]), "plain words of prose\nthat go on\nand on to the end"]
+    docs = table(spark, [(k, t, "en") for k, t in enumerate(texts)])
+    got = {r.doc_id: r for r in license_scan.scan(docs, license_scan.Classifier([t for _, t, _ in corpus()[:50]])).collect()}
+    assert got[0].licences == "MIT" and "ISC" in got[1].licences and got[2].licences.startswith("BSD") and got[3].licences.startswith("BSD") and got[4].licences == "MIT" and got[5].licences == ""
+    assert got[0].n_paragraphs == 1
+
+
 def test_encoder_equals_the_library():
     e = packing.Encoder(queries.tokenizer_file())
     rng = random.Random(8)
