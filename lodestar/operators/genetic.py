@@ -1,8 +1,9 @@
-"""Formula search: a genetic programme whose whole population is scored in one distributed pass.
+"""Formula search: a genetic programme bred on a sample, its front scored in one distributed pass.
 
-Trees live on the driver, which breeds them with a seeded generator; a generation's trees go
-out together, each task evaluates all of them over its Arrow batches, and what returns is one sum
-a tree. Early generations are scored on a bounded sample, the champions on all rows.
+Trees live on the driver, which breeds them with a seeded generator and scores every generation
+on a bounded sample (``Config.sample``); front, migration, stop and constants follow from that.
+The finished front goes out together, each task evaluates all of it over its Arrow batches, and
+what returns is one sum a tree. Structure in rows too rare for the sample isn't found.
 """
 
 from __future__ import annotations
