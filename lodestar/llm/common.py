@@ -7,6 +7,7 @@ fingerprints cost a few thousand Spark rows.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,16 +21,21 @@ from pyspark.sql import functions as F
 U = np.uint64
 #: Text bytes that one numpy pass works on; temporaries take about a hundred times that.
 SLICE_BYTES = 1_000_000
+#: Bytes up to which a string is hashed in step with others; longer ones go alone.
+LONG = 96
 _rng = np.random.default_rng(20240607)
-BYTE_KEYS = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-BASE = 0x9E3779B97F4A7C15
-_tables: dict[int, np.ndarray] = {}
+KEYS = _rng.integers(1, 2**63, 16, dtype=np.uint64) * U(2) + U(1)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+#: Ids up to which a list of them is broadcast (16 MB); longer ones are joined by a shuffle.
+MOST_BROADCAST = 2_000_000
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The application's folder below the shared checkpoint folder (a local one only where none is set)."""
+    """The application's folder below the shared checkpoint folder (a local one only in local mode, where none is set)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.gettempdir() + "/lodestar-checkpoints"
     return f"{base.rstrip('/')}/lodestar-{spark.sparkContext.applicationId}"
 
@@ -115,39 +121,119 @@ def slices(off: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         lo = hi
 
 
-def powers(n: int, base: int = BASE) -> np.ndarray:
-    """base ** i modulo 2 ** 64 for i below n (kept between calls)."""
-    p = _tables.get(base)
-    if p is None or len(p) < n:
-        size = 1 << max(n - 1, 1).bit_length()
-        p = np.empty(size, np.uint64)
-        p[0], m = 1, 1
-        while m < size:
-            p[m : 2 * m] = p[:m] * U(pow(base, m, 2**64))
-            m *= 2
-        _tables[base] = p
-    return p[:n]
+def loads(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as a number (zeros beyond the end)."""
+    wide = np.zeros(len(data) + 9, np.uint8)
+    wide[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", wide, 0, (1,))
 
 
-class Rolling:
-    """Prefix sums of a polynomial hash over 64-bit keys: hashes of any ranges in O(1) each."""
+def byte_names(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, second: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Keyed hashes of the byte strings data[lo:hi], 8 bytes a step with a mix between (not a polynomial); long ones by BLAKE2.
 
-    def __init__(self, keys: np.ndarray):
-        self.n = len(keys)
-        self.back = powers(self.n + 1, pow(BASE, -1, 2**64))
-        self.pre = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(keys * powers(self.n + 1)[: self.n], out=self.pre[1:])
+    ``second`` asks for 64 independent bits more.
+    """
+    at, size = loads(data), hi - lo
+    h = size.astype(np.uint64) * KEYS[0] + KEYS[1]
+    g = h ^ KEYS[2] if second else None
+    live = np.nonzero(size <= LONG)[0]
+    done = 0
+    while len(live):
+        left = size[live] - done
+        v = at[lo[live] + done] & _MASK[np.minimum(left, 8)]
+        h[live] = mix((h[live] ^ v) * KEYS[3])
+        if g is not None:
+            g[live] = mix((g[live] + v) * KEYS[4])
+        done += 8
+        live = live[left > 8]
+    for k in np.nonzero(size > LONG)[0].tolist():
+        digest = hashlib.blake2b(data[lo[k] : hi[k]].tobytes(), digest_size=16).digest()
+        h[k] = int.from_bytes(digest[:8], "little")
+        if g is not None:
+            g[k] = int.from_bytes(digest[8:], "little")
+    return h, g
+
+
+def equal_bytes(data: np.ndarray, a_lo: np.ndarray, a_hi: np.ndarray, b_lo: np.ndarray, b_hi: np.ndarray) -> np.ndarray:
+    """Are data[a_lo:a_hi] and data[b_lo:b_hi] the same bytes?"""
+    at, size = loads(data), a_hi - a_lo
+    same = size == b_hi - b_lo
+    live = np.nonzero(same & (size <= LONG) & (a_lo != b_lo))[0]
+    done = 0
+    while len(live):
+        left = size[live] - done
+        ok = ((at[a_lo[live] + done] ^ at[b_lo[live] + done]) & _MASK[np.minimum(left, 8)]) == 0
+        same[live[~ok]] = False
+        done += 8
+        live = live[ok & (left > 8)]
+    for k in np.nonzero(same & (size > LONG) & (a_lo != b_lo))[0].tolist():
+        same[k] = bool((data[a_lo[k] : a_hi[k]] == data[b_lo[k] : b_hi[k]]).all())
+    return same
+
+
+def byte_classes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, names: np.ndarray | None = None) -> np.ndarray:
+    """Numbers of the byte strings data[lo:hi], equal for equal bytes alone: by hash, each compared with its class's first."""
+    if names is None:
+        names = byte_names(data, lo, hi)[0]
+    _, first, which = np.unique(names, return_index=True, return_inverse=True)
+    rep = first[which]
+    if not equal_bytes(data, lo, hi, lo[rep], hi[rep]).all():
+        # two strings of one hash: by the bytes themselves
+        known: dict[bytes, int] = {}
+        which = np.array([known.setdefault(data[a:b].tobytes(), len(known)) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], np.int64)
+    return which
+
+
+def window_classes(ids: np.ndarray, at: np.ndarray, width: int, names: np.ndarray | None = None) -> np.ndarray:
+    """Numbers of the windows ids[at : at + width], equal for equal ids alone (checked like ``byte_classes``)."""
+    if not len(at):
+        return np.zeros(0, np.int64)
+    if names is None:
+        names = Blocks(mix(ids.astype(np.uint64) + KEYS[5])).of(at, at + width)
+    _, first, which = np.unique(names, return_index=True, return_inverse=True)
+    rep = at[first[which]]
+    other = np.nonzero(rep != at)[0]
+    a, b = at[other], rep[other]
+    if all((ids[a + k] == ids[b + k]).all() for k in range(width)):
+        return which
+    known: dict[bytes, int] = {}
+    return np.array([known.setdefault(ids[p : p + width].tobytes(), len(known)) for p in at.tolist()], np.int64)
+
+
+class Blocks:
+    """Hashes of ranges of 64-bit names by doubling: a range is the two blocks, of a power of two names, that cover it."""
+
+    def __init__(self, names: np.ndarray):
+        self.levels = [names]
+
+    def level(self, k: int) -> np.ndarray:
+        while len(self.levels) <= k:
+            last, half = self.levels[-1], 1 << len(self.levels) - 1
+            self.levels.append(join(last[: max(0, len(last) - half)], last[half:]))
+        return self.levels[k]
 
     def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Hashes of keys[lo:hi], alike wherever the range lies."""
-        return mix((self.pre[hi] - self.pre[lo]) * self.back[lo] + (hi - lo).astype(np.uint64))
+        """Hashes of names[lo:hi] (one name at least), alike wherever the range lies."""
+        size = hi - lo
+        out = np.zeros(len(lo), np.uint64)
+        k, most = 0, int(size.max()) if len(size) else 0
+        while 1 << k <= most:
+            own = np.nonzero((size >> k) == 1)[0]
+            if len(own):
+                level = self.level(k)
+                out[own] = join(level[lo[own]], level[hi[own] - (1 << k)]) + size[own].astype(np.uint64)
+            k += 1
+        return mix(out)
 
     def every(self, k: int) -> np.ndarray:
-        """Hashes of all ranges of k keys."""
-        m = self.n - k + 1
-        if m <= 0:
-            return np.zeros(0, np.uint64)
-        return mix((self.pre[k:] - self.pre[:m]) * self.back[:m] + U(k))
+        """Hashes of all ranges of k names."""
+        lo = np.arange(max(0, len(self.levels[0]) - k + 1))
+        return self.of(lo, lo + k)
+
+
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two names in order."""
+    return mix(a * KEYS[6] + (b ^ (b >> U(31))) * KEYS[7] + KEYS[8])
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -293,10 +379,26 @@ def reply(keys: list[int], doc: np.ndarray, tag: np.ndarray, at: np.ndarray) ->
     yield from out.flush()
 
 
+def sized(ids: DataFrame) -> DataFrame:
+    """Written ids, marked for broadcast if they are few."""
+    own = materialise(ids, "ids")
+    return F.broadcast(own) if own.count() <= MOST_BROADCAST else own
+
+
 def keyed(docs: DataFrame, keys: list[int]) -> DataFrame:
-    """doc_id, text (null: empty), tag (16 bits of the text's hash, which tell rows of one doc_id apart) and part, the bucket."""
+    """doc_id, text (null: empty), tag and part, the bucket.
+
+    tag tells rows of one doc_id apart: the text's hash, and 0 where a doc_id comes once.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFF)).alias("tag"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    again = materialise(rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("again")), "again")
+    n = again.count()
+    if n:
+        rows = rows.join(F.broadcast(again) if n <= MOST_BROADCAST else again, F.col("doc_id") == F.col("again"), "left")
+        rows = rows.select("doc_id", "text", F.when(F.col("again").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("tag"))
+    else:
+        rows = rows.withColumn("tag", F.lit(0).cast("long"))
     part = F.element_at(F.array(*[F.lit(k) for k in keys]), F.pmod(F.hash("doc_id"), F.lit(len(keys))) + 1)
     return rows.withColumn("part", part)
 

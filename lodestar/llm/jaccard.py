@@ -4,7 +4,9 @@ A document is its set of word 5-grams. Documents with equal sets form a class. M
 find the classes that may be alike: b bands of r values miss a pair at the threshold t with
 probability (1 - t^r)^b, under 1e-7 at the defaults. Classes that share bands, directly or by
 others, form a cluster; a cluster is compared in tiles of bounded size, each pair of tiles once
-and as a whole, so that no group's pairs become rows.
+and as a whole, so that no group's pairs become rows. A cluster of more tiles than bands is
+compared by its buckets instead, each in tiles, and a pair counts in its first common band; so
+a class is sent once for each band and tile of its bucket, however large clusters become.
 
 Within a pair of tiles, signatures are compared step by step. After m equal values of k, with a
 uniform prior on the similarity, P(similarity >= t | m, k) = P(Binomial(k + 1, t) <= m); a pair
@@ -27,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_KEYS, Outbox, Rolling, U, even_keys, gather, materialise, mix, shuffle_parts, slices, utf8
+from .common import Blocks, Outbox, U, byte_names, even_keys, gather, materialise, mix, shuffle_parts, slices, utf8
 from .recompress import words_of
 
 BANDS, ROWS = 32, 4
 #: Classes of a tile.
 TILE = 1024
+#: Rows of one key that a join takes as they come; at most ``MOST_HOT`` keys have more, and those are broadcast.
+COMMON, MOST_HOT = 1000, 200_000
 #: Posterior probability below which a pair is dropped.
 TOLERANCE = 1e-9
 _rng = np.random.default_rng(90210)
@@ -44,12 +48,12 @@ BUCKETS = {"key": "var", "node": "var"}
 def shingles(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the documents' distinct word n-grams, sorted in each document, and offsets."""
     starts, ends, bounds = words_of(data, off)
-    names = Rolling(BYTE_KEYS[data]).of(starts, ends)
+    names, _ = byte_names(data, starts, ends)
     count = np.diff(bounds)
     grams = np.where(count >= n, count - n + 1, (count > 0).astype(np.int64))
     first = np.repeat(bounds[:-1], grams) + np.arange(int(grams.sum())) - np.repeat(np.cumsum(grams) - grams, grams)
     last = np.minimum(first + n, np.repeat(bounds[1:], grams))
-    h = Rolling(names).of(first, last)
+    h = Blocks(names).of(first, last)
     at = np.r_[0, np.cumsum(grams)]
     sets = [np.unique(h[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
     return (np.concatenate(sets) if sets else h), np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int64)
@@ -87,11 +91,7 @@ def _bands(keys: list[int]):
             if not len(batch):
                 continue
             node = batch.column(0).to_numpy().view(np.uint64)
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(len(batch), BANDS, ROWS)
-            key = np.zeros((len(batch), BANDS), np.uint64)
-            for k in range(ROWS):
-                key = mix(key * U(0x9E3779B97F4A7C15) + sig[:, :, k] + U(1))
-            key = mix(key + np.arange(BANDS, dtype=np.uint64)).reshape(-1)
+            key = band_keys(batch.column(1).to_pylist()).reshape(-1)
             yield from out.add((key >> U(48)) % U(len(keys)), key=key, node=np.repeat(node, BANDS))
         yield from out.flush()
 
@@ -112,27 +112,41 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of rows with keyed (unique keys; column n: how many rows have the key), n dropped.
+
+    Keys of over max(COMMON, total / MOST_HOT) of the ``total`` rows, MOST_HOT at most, are broadcast; the others meet by a shuffle.
+    """
+    most = max(COMMON, total // MOST_HOT)
+    hot, rest = keyed.filter(F.col("n") > most).drop("n"), keyed.filter(F.col("n") <= most).drop("n")
+    marked = F.broadcast(hot.withColumn("is_hot", F.lit(True)))
+    tagged = rows.join(marked, key, "left")
+    own = tagged.filter("is_hot is not null").drop("is_hot")
+    return own.unionByName(tagged.filter("is_hot is null").select(*rows.columns).join(rest, key).select(*own.columns))
+
+
+def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(node, root) of all nodes of the edges (a, b): root is the least node that can be reached.
 
     Alternating stars: neighbours hang on to the least of each node's neighbourhood, first the
-    larger ones, then the smaller; each round's edges are written, which cuts lineage.
+    larger ones, then the smaller; each round's edges are written, which cuts lineage. Rounds go
+    on until nothing changes; a graph that isn't done after ``most_rounds`` is an error.
     """
     edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    before = None
+    before, n = None, edges.count()
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.greatest("b", "m").alias("x"), "a", "m", "b")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = join_hot(both.filter("b > a"), least, "a", 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = join_hot(large, low, "a", n)
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         edges = materialise(small, "edges", instead_of=edges)
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if before == (state.n, state.h):
-            break
-        before = (state.n, state.h)
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+        before, n = (state.n, state.h), state.n
+    raise RuntimeError(f"components aren't settled after {most_rounds} rounds")
 
 
 def least_matches(threshold: float, tolerance: float, steps: list[int]) -> list[int]:
@@ -197,43 +211,63 @@ def similar_pairs(sig: np.ndarray, sets: list[np.ndarray], mine: np.ndarray, the
     return np.stack([i[ok], j[ok]], 1)
 
 
+def first_common(sig: np.ndarray, pairs: np.ndarray, band: int) -> np.ndarray:
+    """Of pairs that share a band: those that share no earlier one."""
+    a, b = (sig[pairs[:, k], : band * ROWS].reshape(len(pairs), band, ROWS) for k in (0, 1))
+    return pairs[~(a == b).all(axis=2).any(axis=1)]
+
+
+def _compared(band: int, ti: int, tj: int, members: dict[int, tuple[int, bytes, bytes]], threshold: float, tolerance: float) -> tuple[np.ndarray, ...] | None:
+    """Nodes with links in a pair of tiles, their numbers of links, and each one's root in the tiles' spanning forest."""
+    nodes = np.array(sorted(members), np.int64)
+    if len(nodes) < 2:
+        return None
+    rows = [members[x] for x in nodes.tolist()]
+    tile = np.array([r[0] for r in rows])
+    sig = np.frombuffer(b"".join(r[1] for r in rows), np.uint32).reshape(len(rows), -1)
+    sets = [np.frombuffer(r[2], np.uint64) for r in rows]
+    mine = np.nonzero(tile == ti)[0]
+    theirs = mine if ti == tj else np.nonzero(tile == tj)[0]
+    if not len(mine) or not len(theirs):
+        return None
+    pairs = similar_pairs(sig, sets, mine, theirs, threshold, tolerance)
+    if band > 0 and len(pairs):
+        pairs = first_common(sig, pairs, band)
+    if not len(pairs):
+        return None
+    links = np.bincount(pairs.reshape(-1), minlength=len(nodes))
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[pairs[:, 0]], root[pairs[:, 1]])
+        new = root.copy()
+        np.minimum.at(new, pairs[:, 0], low)
+        np.minimum.at(new, pairs[:, 1], low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    some = np.nonzero(links)[0]
+    return nodes[some], links[some], nodes[root[some]]
+
+
 def _verify(threshold: float, tolerance: float):
+    """Rows come sorted by group, so that a task holds one pair of tiles at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[tuple[int, int, int], dict[int, tuple[int, bytes, bytes]]] = {}
+        group, members = None, {}
+
+        def done() -> Iterator[pa.RecordBatch]:
+            got = _compared(*group[1:], members, threshold, tolerance) if group else None
+            if got is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64), pa.int64()) for x in got], ["node", "links", "root"])
+
         for batch in batches:
-            for cluster, ti, tj, tile, node, sig, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                groups.setdefault((cluster, ti, tj), {})[node] = (tile, sig, own)
-        nodes_out, links_out, root_out = [], [], []
-        for (_, ti, tj), members in groups.items():
-            nodes = np.array(sorted(members), np.int64)
-            if len(nodes) < 2:
-                continue
-            rows = [members[x] for x in nodes.tolist()]
-            tile = np.array([r[0] for r in rows])
-            sig = np.frombuffer(b"".join(r[1] for r in rows), np.uint32).reshape(len(rows), -1)
-            sets = [np.frombuffer(r[2], np.uint64) for r in rows]
-            mine = np.nonzero(tile == ti)[0]
-            theirs = mine if ti == tj else np.nonzero(tile == tj)[0]
-            pairs = similar_pairs(sig, sets, mine, theirs, threshold, tolerance)
-            if not len(pairs):
-                continue
-            links = np.bincount(pairs.reshape(-1), minlength=len(nodes))
-            root = np.arange(len(nodes))
-            while True:
-                low = np.minimum(root[pairs[:, 0]], root[pairs[:, 1]])
-                new = root.copy()
-                np.minimum.at(new, pairs[:, 0], low)
-                np.minimum.at(new, pairs[:, 1], low)
-                new = new[new]
-                if (new == root).all():
-                    break
-                root = new
-            some = np.nonzero(links)[0]
-            nodes_out.append(nodes[some])
-            links_out.append(links[some])
-            root_out.append(nodes[root[some]])
-        if nodes_out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64), pa.int64()) for x in (nodes_out, links_out, root_out)], ["node", "links", "root"])
+            for cluster, band, ti, tj, tile, node, sig, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group != (cluster, band, ti, tj):
+                    yield from done()
+                    group, members = (cluster, band, ti, tj), {}
+                members[node] = (tile, sig, own)
+        yield from done()
 
     return run
 
@@ -242,19 +276,55 @@ def _tiles(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = utf8(batch.column(0))
-            node, cluster, tile, tiles, sig = (c.to_pylist() for c in batch.columns[1:])
+            node, sig, places = (c.to_pylist() for c in batch.columns[1:])
             for a, b in slices(off):
                 h, at = shingles(data[off[a] : off[b]], off[a : b + 1] - off[a], n)
                 rows: list[tuple] = []
                 for k in range(a, b):
                     own = h[at[k - a] : at[k - a + 1]].tobytes()
-                    rows += [(cluster[k], min(tile[k], j), max(tile[k], j), tile[k], node[k], sig[k], own) for j in range(tiles[k])]
-                types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["cluster", "ti", "tj", "tile", "node", "sig", "own"])
+                    rows += [(p["cluster"], p["band"], min(p["tile"], j), max(p["tile"], j), p["tile"], node[k], sig[k], own) for p in places[k] for j in range(p["tiles"])]
+                types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["cluster", "band", "ti", "tj", "tile", "node", "sig", "own"])
 
     return run
 
 
+def band_keys(sig: list[bytes]) -> np.ndarray:
+    """The hash of each band of signatures: a row for each signature."""
+    values = np.frombuffer(b"".join(sig), np.uint32).reshape(len(sig), BANDS, ROWS)
+    key = np.zeros((len(sig), BANDS), np.uint64)
+    for k in range(ROWS):
+        key = mix(key * U(0x9E3779B97F4A7C15) + values[:, :, k] + U(1))
+    return mix(key + np.arange(BANDS, dtype=np.uint64))
+
+
+def _own_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, band, cluster): each band's hash of each node."""
+    for batch in batches:
+        if len(batch):
+            key = band_keys(batch.column(1).to_pylist()).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(batch))), pa.array(key.reshape(-1))], ["node", "band", "cluster"])
+
+
+def places(classes: DataFrame, clusters: DataFrame, tile: int) -> DataFrame:
+    """(node, places): the groups that a node is compared in, as array of (cluster, band, tile, tiles); band is -1 for a whole cluster."""
+    sizes = clusters.groupBy("root").agg(F.count("*").alias("size")).withColumn("n", F.col("size"))
+    total = clusters.count()
+    sized = join_hot(clusters, sizes, "root", total)
+    place = lambda band: F.struct("cluster", band.cast("int").alias("band"), F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"), F.col("tiles").cast("int").alias("tiles"))
+    tiled = sized.select("node", F.col("root").alias("cluster"), F.ceil(F.col("size") / tile).alias("tiles"))
+    whole = tiled.filter(F.col("tiles") <= BANDS).select("node", F.array(place(F.lit(-1))).alias("places"))
+    if not sizes.filter(F.col("size") > tile * BANDS).limit(1).count():
+        return whole
+    large = tiled.filter(F.col("tiles") > BANDS).select("node")
+    bands = materialise(classes.join(large, "node").select("node", "sig").mapInArrow(_own_bands, "node long, band int, cluster long"), "bands")
+    counts = bands.groupBy("band", "cluster").agg(F.count("*").alias("size")).filter("size > 1")
+    keys = counts.select(F.xxhash64("band", "cluster").alias("key"), "size", F.col("size").alias("n")).dropDuplicates(["key"])
+    shared = join_hot(bands.withColumn("key", F.xxhash64("band", "cluster")), keys, "key", BANDS * total)
+    tiled = shared.withColumn("tiles", F.ceil(F.col("size") / tile))
+    return whole.unionByName(tiled.groupBy("node").agg(F.collect_list(place(F.col("band"))).alias("places")))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, tolerance: float = TOLERANCE, tile: int = TILE) -> DataFrame:
     """doc_id, class_id (least doc_id of equal sets), n_links (other classes at or over the threshold)
     and group_id (least class_id that links lead to)."""
@@ -268,17 +338,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, tol
     classes = materialise(sets.groupBy("node", "check").agg(F.min(F.struct("doc_id", "tag")).alias("first"), F.first("sig").alias("sig")).select("node", "check", "first.*", "sig"), "classes")
     buckets = classes.select("node", "sig").mapInArrow(_bands(keys), Outbox.schema(BUCKETS)).repartition(n, "part")
     clusters = components(buckets.mapInArrow(_stars, "a long, b long"))
-    size = clusters.groupBy("root").agg(F.count("*").alias("size"))
-    placed = clusters.join(size, "root").withColumn("tiles", F.ceil(F.col("size") / tile).cast("int"))
-    placed = placed.select("node", F.col("root").alias("cluster"), F.pmod(F.xxhash64("node"), "tiles").cast("int").alias("tile"), "tiles")
-    asked = classes.join(placed, "node").select("doc_id", "tag", "node", "cluster", "tile", "tiles", "sig")
-    tiles = rows.join(asked, ["doc_id", "tag"]).select("text", "node", "cluster", "tile", "tiles", "sig").mapInArrow(_tiles(words), "cluster long, ti int, tj int, tile int, node long, sig binary, own binary")
-    found = materialise(tiles.repartition(n, "cluster", "ti", "tj").mapInArrow(_verify(threshold, tolerance), "node long, links long, root long"), "links")
+    asked = classes.join(places(classes, clusters, tile), "node").select("doc_id", "tag", "node", "sig", "places")
+    tiles = rows.join(asked, ["doc_id", "tag"]).select("text", "node", "sig", "places").mapInArrow(_tiles(words), "cluster long, band int, ti int, tj int, tile int, node long, sig binary, own binary")
+    dealt = tiles.repartition(n, "cluster", "band", "ti", "tj").sortWithinPartitions("cluster", "band", "ti", "tj")
+    found = materialise(dealt.mapInArrow(_verify(threshold, tolerance), "node long, links long, root long"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    named = classes.select("node", "check", F.col("doc_id").alias("class_id")).join(links, "node", "left").join(groups, "node", "left")
-    least = named.filter("root is not null").groupBy("root").agg(F.min("class_id").alias("group_id"))
-    named = named.join(least, "root", "left").select("node", "check", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id"))
+    linked = materialise(classes.select("node", "check", F.col("doc_id").alias("class_id")).join(links, "node").join(groups, "node"), "linked")
+    least = linked.groupBy("root").agg(F.min("class_id").alias("group_id"), F.count("*").alias("n"))
+    named = join_hot(linked, least, "root", linked.count()).select("node", "check", "class_id", "n_links", "group_id")
+    alone = classes.select("node", "check", F.col("doc_id").alias("class_id")).join(named.select("node", "check"), ["node", "check"], "left_anti")
+    named = named.unionByName(alone.select("node", "check", "class_id", F.lit(0).cast("long").alias("n_links"), F.col("class_id").alias("group_id")))
     lone = F.when(F.col("class_id").isNull(), F.col("doc_id"))
     return described.select("doc_id", "node", "check", "n").join(named, ["node", "check"], "left").select(
         "doc_id",

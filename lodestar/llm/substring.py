@@ -12,7 +12,9 @@ in it. So documents that share a window share a seed with equal bytes around it.
    equal bytes are neighbours there, and the smallest document of such a run has it first.
 
 A context that many documents have is settled slice by slice where it is read, so that what meets
-in a seed's task is a row for each slice and distinct context.
+in a seed's task is a row for each slice and distinct context. Contexts that one task holds are
+compared byte by byte, and those of different tasks by ``CTX`` bits of a keyed hash of their bytes.
+Texts of any length go in stretches of a bounded number of bytes.
 
 Null text is empty. Rows with a null doc_id take no part and keep all bytes. Rows that repeat a
 doc_id don't count as smaller than each other. Extra columns are ignored.
@@ -28,27 +30,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_KEYS, REPLY, Outbox, Rolling, U, answered, bucket_of, even_keys, gather, keyed, merge_spans, minimizers, mix, powers, ranges, reply, shuffle_parts, slices, utf8
+from .common import KEYS, REPLY, SLICE_BYTES, Outbox, U, answered, bucket_of, byte_classes, byte_names, equal_bytes, even_keys, gather, keyed, loads, merge_spans, minimizers, mix, ranges, reply, shuffle_parts, slices, utf8
 from .gsaca import suffix_arrays
 
 SEED = 16
-#: Bits of a seed and of a context that are sent; a task's partition holds more of the seed.
-SENT = U((1 << 40) - 1)
-SEEDS = {"seed": "var", "ctx": "var", "doc": "doc", "tag": "var", "pos": "var", "done": "var"}
+#: Bits of a seed that are sent (a task's partition holds more; seeds that agree in them are looked at together), and of a context.
+SENT, CTX = 32, 96
+SEEDS = {"seed": "var", "ctx": "var", "more": "var", "doc": "doc", "tag": "var", "pos": "var", "done": "var"}
 #: Kinds of replies, in the low two bits: the windows around the seed go; ask about them; the window goes.
 WHOLE, ASK, WINDOW = 0, 1, 2
 EDGES = {"seed": "var", "doc": "doc", "tag": "var", "pos": "var", "left": "var", "right": "var", "bytes": "raw"}
 
 
-def least_of_equal(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each row the smallest doc of the rows with its a and b."""
-    if not len(doc):
-        return doc
-    order = np.lexsort((doc, b, a))
-    new = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]
-    out = np.empty_like(doc)
-    out[order] = doc[order][np.nonzero(new)[0]][np.cumsum(new) - 1]
-    return out
+def least_of_class(which: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each row the smallest doc of its class."""
+    out = np.full(int(which.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(out, which, doc)
+    return out[which]
+
+
+def gram_names(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of q-grams from their first and last eight bytes."""
+    return mix(mix(a * KEYS[12]) + b * KEYS[13])
+
+
+def stretches(data: np.ndarray, off: np.ndarray, margin: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int, int]]:
+    """(row, base, bytes, offsets, from, to): some documents, or a part of a long one from its byte ``base`` on, and which places count."""
+    for a, b in slices(off):
+        n = int(off[b] - off[a])
+        if b - a > 1 or n <= 2 * SLICE_BYTES:
+            yield a, 0, data[off[a] : off[b]], off[a : b + 1] - off[a], 0, n
+            continue
+        for c in range(0, n, SLICE_BYTES):
+            lo, hi = max(0, c - margin), min(n, c + SLICE_BYTES + margin)
+            yield a, lo, data[off[a] + lo : off[a] + hi], np.array([0, hi - lo]), c - lo, min(n, c + SLICE_BYTES) - lo
 
 
 def _seeds(length: int, keys: list[int]):
@@ -59,27 +74,29 @@ def _seeds(length: int, keys: list[int]):
         for batch in batches:
             data, off = utf8(batch.column(1))
             docs, tags = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            for a, b in slices(off):
-                o = off[a : b + 1] - off[a]
+            for a, base, text, o, least, most in stretches(data, off, length):
                 if o[-1] < length:
                     continue
-                roll = Rolling(BYTE_KEYS[data[off[a] : off[b]]])
-                h = roll.every(SEED)
+                eight = loads(text)
+                h = gram_names(eight[: len(text) - SEED + 1], eight[SEED - 8 : len(text) - 7])
                 bad = ranges(np.maximum(o[1:] - SEED + 1, o[:-1]), np.minimum(SEED - 1, np.diff(o)))
                 h[bad[bad < len(h)]] = ~U(0)
                 at = minimizers(h, side + 1)
-                at = at[h[at] != ~U(0)]
+                at = at[(h[at] != ~U(0)) & (at >= least) & (at < most)]
                 row = np.searchsorted(o, at, side="right") - 1
                 ok = o[row + 1] - o[row] >= length
                 at, row = at[ok], row[ok]
                 lo, hi = np.maximum(at - side, o[row]), np.minimum(at + length, o[row + 1])
-                ctx = mix(roll.of(lo, hi) + (at - lo).astype(np.uint64))
+                ctx, more = byte_names(text, lo, hi, second=True)
                 seed, doc = h[at], docs[a + row]
+                # where in the context the seed stands is part of it
+                ctx, more = mix(ctx + (at - lo).astype(np.uint64)), mix(more ^ (at - lo).astype(np.uint64))
                 # a smaller document beside it has the context: settled here, and dealt by document
-                done = doc > least_of_equal(seed, ctx, doc)
+                which = byte_classes(text, lo, hi, ctx)
+                done = doc > least_of_class(which * (side + 1) + (at - lo), doc) if len(at) else np.zeros(0, bool)
                 part = np.where(done, bucket_of(doc, len(keys)), ((seed >> U(44)) % U(len(keys))).astype(np.int64))
                 live = (~done).astype(np.uint64)
-                yield from out.add(part, seed=(seed & SENT) * live, ctx=(ctx & SENT) * live, doc=doc, tag=tags[a + row], pos=at - o[row], done=done)
+                yield from out.add(part, seed=(seed & U((1 << SENT) - 1)) * live, ctx=ctx * live, more=(more >> U(128 - CTX)) * live, doc=doc, tag=tags[a + row], pos=at - o[row] + base, done=done)
         yield from out.flush()
 
     return run
@@ -97,11 +114,11 @@ def _classes(keys: list[int]):
         got = {k: v[~done] for k, v in got.items()}
         if not len(got["doc"]):
             return
-        order = np.lexsort((got["doc"], got["ctx"], got["seed"]))
-        seed, ctx, doc, tag, pos = (got[k][order] for k in got)
+        order = np.lexsort((got["doc"], got["more"], got["ctx"], got["seed"]))
+        seed, ctx, more, doc, tag, pos = (got[k][order] for k in got)
         del got
         new_seed = np.r_[True, seed[1:] != seed[:-1]]
-        new = new_seed | np.r_[True, ctx[1:] != ctx[:-1]]
+        new = new_seed | np.r_[True, (ctx[1:] != ctx[:-1]) | (more[1:] != more[:-1])]
         heads = np.nonzero(new)[0]
         least = doc[heads][np.cumsum(new) - 1]
         of_seed = np.cumsum(new_seed)[heads] - 1
@@ -119,7 +136,6 @@ def _edges(length: int, keys: list[int]):
 
     def work(batch: pa.RecordBatch, numbers: list[np.ndarray]) -> list[pa.RecordBatch]:
         out, made = Outbox(keys, EDGES, 60_000), []
-        weights = powers(SEED)
         data, off = utf8(batch.column(1))
         docs, tags = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         for k, got in enumerate(numbers):
@@ -129,7 +145,8 @@ def _edges(length: int, keys: list[int]):
             text = data[off[k] : off[k + 1]]
             idx = pos[:, None] + np.arange(-side, length)
             c = np.where((idx >= 0) & (idx < len(text)), text[np.clip(idx, 0, len(text) - 1)], 0).astype(np.uint8)
-            seed = mix((BYTE_KEYS[c[:, side:length]] * weights).sum(axis=1))
+            ends = np.ascontiguousarray(np.concatenate([c[:, side : side + 8], c[:, length - 8 : length]], axis=1)).view("<u8")
+            seed = gram_names(ends[:, 0], ends[:, 1])
             n = len(pos)
             made += out.add((seed >> U(44)) % U(len(keys)), seed=seed, doc=np.full(n, docs[k]), tag=np.full(n, tags[k]), pos=pos, left=np.minimum(pos, side), right=np.minimum(len(text) - pos - SEED, side), bytes=c)
         return made + list(out.flush())
@@ -148,10 +165,7 @@ def shared_windows(ctx: np.ndarray, seed: np.ndarray, doc: np.ndarray, left: np.
     taken = np.zeros((n, side + 1), bool)
     if n < 2:
         return taken
-    pw = powers(ctx.shape[1] + 1)
-    pre = np.zeros((n, ctx.shape[1] + 1), np.uint64)
-    np.cumsum(BYTE_KEYS[ctx] * pw[:-1], axis=1, out=pre[:, 1:])
-    piece = lambda rows, lo, hi: mix((pre[rows, hi] - pre[rows, lo]) * pw[ctx.shape[1] - lo] + (hi - lo).astype(np.uint64))
+    flat, wide = np.ascontiguousarray(ctx).reshape(-1), ctx.shape[1]
     rows_, lows = [], []
     for low in range(0, side + 1, q):
         high = min(low + q - 1, side)
@@ -162,8 +176,9 @@ def shared_windows(ctx: np.ndarray, seed: np.ndarray, doc: np.ndarray, left: np.
     high = np.minimum(low + q - 1, side)
     core_lo, core_hi = side - low, length + side - high
     lo, hi = side - np.minimum(high, left[row]), length + np.minimum(side - low, right[row])
-    core = mix(piece(row, core_lo, core_hi) + mix(seed[row]) + low.astype(np.uint64))
-    entry = mix(piece(row, lo, hi) + core + (lo * 256 + hi).astype(np.uint64))
+    core = mix(byte_names(flat, row * wide + core_lo, row * wide + core_hi)[0] + mix(seed[row]) + low.astype(np.uint64))
+    # an entry: equal bytes from lo to hi
+    entry = (byte_classes(flat, row * wide + lo, row * wide + hi) * (wide + 1) + lo) * (wide + 1) + hi
     order = np.lexsort((doc[row], entry, core))
     row, low, high, lo, hi, core, entry = (x[order] for x in (row, low, high, lo, hi, core, entry))
     new_core = np.r_[True, core[1:] != core[:-1]]
@@ -199,9 +214,10 @@ def shared_windows(ctx: np.ndarray, seed: np.ndarray, doc: np.ndarray, left: np.
         wins = sa[is_window]
         who = owner[wins]
         bytes_lo = a[who] + shift[wins]
-        hash_ = piece(r[who], bytes_lo, bytes_lo + length)
+        here = r[who] * wide + bytes_lo
         text_of = np.searchsorted(start, wins, side="right")
-        run = np.r_[True, (hash_[1:] != hash_[:-1]) | (text_of[1:] != text_of[:-1])] if len(wins) else np.zeros(0, bool)
+        run = np.ones(len(wins), bool)
+        run[1:] = ~equal_bytes(flat, here[1:], here[1:] + length, here[:-1], here[:-1] + length) | (text_of[1:] != text_of[:-1])
         begin = np.nonzero(run)[0]
         if len(begin):
             smallest = np.minimum.reduceat(doc[r[who]], begin)[np.cumsum(run) - 1]
