@@ -1,234 +1,303 @@
 """Exact top-k search by inner product with dual cover trees (operator 4).
 
-Each task indexes its partition of the vectors in a cover tree; a block of queries has a cover
-tree of its own. A pair of nodes is bounded by
+Queries and data are both indexed in cover trees. A pair of nodes is bounded by
 
     <q, p>  <=  <cq, cp> + rq |cp| + rp |cq| + rq rp
 
 with the centres c and the covering radii r, and is dropped, with all below it, if that is
-under the worst k-th score of the node's queries so far. Pairs are refined level by level,
-most promising first, and leaves are scored exactly in integers. The k best of each partition
-then meet by query, k rows from each.
+under the worst k-th score of the query node's queries so far. The most promising pairs go
+first, the node of the larger radius is opened, and leaves are scored in integers.
 
-Queries are a stated set; they go out in blocks of ``block`` rows, which bounds what a task
-holds, and each block is one pass over the vectors.
+Trees hold up to ``TREE`` rows. The data's are built once, where the vectors are read, and travel
+packed; so do the queries'. Queries are a stated set: each group of ``group`` trees of queries
+meets each group of trees of the data in one task, which holds the queries' trees and one of the
+data's at a time. Nothing passes through the driver but the two numbers of rows. The k best of
+each pair of groups then meet by query.
 
 Vectors that are null or hold a null or non-finite component, and rows without an id, take no
 part. Vectors of unequal length meet only their like. A row isn't its own candidate, nor are
-rows of the same id. Ties go to the smaller id.
+rows of the same id; of query rows that repeat an id, the least vector is the query. Ties go to
+the smaller id. Scores are exact integers of any size; a score that a long can't hold is ranked
+as it is and reported as the nearest long.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a leaf.
-LEAF = 64
-#: Rows of a partition that are indexed in one tree.
-TREE = 16_384
+from .common import materialise
+
+#: Rows of a leaf; rows of a tree; trees that a task takes from either side.
+LEAF, TREE, GROUP = 64, 4096, 16
+#: Components up to which distances are floats.
+FAR = 1e100
+_LONG = 2**63 - 1
+_MOST = int(1e308)
+TREES = "dim int, lane int, ids binary, vectors binary, nodes binary, centres binary, radii binary"
 
 
 class CoverTree:
-    """A tree whose nodes hold a centre and the greatest distance from it to a vector below.
+    """Rows of a node's subtree lie together: node i holds rows lo[i] to hi[i], a centre, the row at its middle,
+    a covering radius (no row of it is farther from the centre), and its children first[i] to first[i] + count[i].
 
-    ``order`` lists the rows so that each node's are contiguous; levels run from the root down,
-    and each level is arrays: lo and hi into ``order``, centre, radius, first child and number of
-    children (0: a leaf).
+    Nesting: a node's centre is its first child's. Separation: centres of one node's children are more than half its
+    radius apart. Covering: each row is within half the radius of its child's centre. A node of up to ``leaf`` rows is a leaf,
+    as is one that would split into more children than half its rows (no such net covers it with fewer).
     """
 
     def __init__(self, x: np.ndarray, leaf: int = LEAF):
-        self.x = x.astype(np.float64)
-        n = len(x)
-        self.order = np.arange(n)
-        self.levels: list[dict[str, np.ndarray]] = []
-        spans = [(0, n)]
-        while spans:
-            level: dict[str, list] = {k: [] for k in ("lo", "hi", "centre", "radius", "first", "children")}
-            below: list[tuple[int, int]] = []
-            for lo, hi in spans:
-                rows = self.order[lo:hi]
-                own = self.x[rows]
-                centre = own[np.argmin(((own - own.mean(axis=0)) ** 2).sum(axis=1))]
-                gap = np.sqrt(((own - centre) ** 2).sum(axis=1))
-                radius = float(gap.max())
-                kids: list[tuple[int, int]] = []
-                if hi - lo > leaf and radius > 0:
-                    kids = self._cover(lo, hi, own, radius / 2)
-                for k, v in (("lo", lo), ("hi", hi), ("centre", centre), ("radius", radius), ("first", len(below)), ("children", len(kids))):
-                    level[k].append(v)
-                below += kids
-            self.levels.append({k: np.array(v) for k, v in level.items()})
-            spans = below
-
-    def _cover(self, lo: int, hi: int, own: np.ndarray, radius: float, most: int = 16) -> list[tuple[int, int]]:
-        """Splits a node's rows by centres: the farthest row is the next centre until all are within the radius."""
-        best = np.full(len(own), np.inf)
-        who = np.zeros(len(own), np.int64)
-        at = 0
-        for k in range(most):
-            gap = ((own - own[at]) ** 2).sum(axis=1)
-            nearer = gap < best
-            best[nearer], who[nearer] = gap[nearer], k
+        self.order = np.arange(len(x))
+        if float(np.abs(x).max(initial=0.0)) > FAR:
+            # squares of these aren't floats: one leaf, never pruned
+            leaf, x = len(x), np.full(x.shape, np.inf)
+        lo, hi, first, count, centres, radii = [0], [len(x)], [0], [0], [0], [0.0]
+        if len(x):
+            centres[0] = int(np.argmin(((x - x.mean(axis=0)) ** 2).sum(axis=1))) if len(x) > leaf else 0
+        node = 0
+        while node < len(lo) and len(x) and np.isfinite(x[0, 0]):
+            rows = self.order[lo[node] : hi[node]].copy()
+            own, at = x[rows], int(np.nonzero(rows == centres[node])[0][0])
+            gap = np.sqrt(((own - own[at]) ** 2).sum(axis=1))
+            radii[node] = float(gap.max())
+            if len(rows) > leaf and radii[node] > 0:
+                kids = self._net(own, at, gap, radii[node] / 2)
+                if kids is not None:
+                    net, who = kids
+                    order = np.argsort(who, kind="stable")
+                    self.order[lo[node] : hi[node]] = rows[order]
+                    sizes = np.bincount(who, minlength=len(net))
+                    ends = lo[node] + np.cumsum(sizes)
+                    first[node], count[node] = len(lo), len(net)
+                    lo += (ends - sizes).tolist()
+                    hi += ends.tolist()
+                    centres += rows[net].tolist()
+                    for col in (first, count):
+                        col += [0] * len(net)
+                    radii += [0.0] * len(net)
+            node += 1
+        self.lo, self.hi, self.first, self.count = (np.array(c, np.int64) for c in (lo, hi, first, count))
+        self.centre, self.radius = np.array(x[np.array(centres, np.int64)], np.float64) if len(x) else np.zeros((1, x.shape[1])), np.array(radii)
+
+    @staticmethod
+    def _net(own: np.ndarray, at: int, gap: np.ndarray, radius: float) -> tuple[list[int], np.ndarray] | None:
+        """Centres, each the farthest row from those before, until all rows are within the radius; and each row's nearest."""
+        net, who, best = [at], np.zeros(len(own), np.int64), gap.copy()
+        while True:
             at = int(best.argmax())
-            if best[at] <= radius * radius:
-                break
-        order = np.argsort(who, kind="stable")
-        self.order[lo:hi] = self.order[lo:hi][order]
-        cut = np.nonzero(np.r_[True, np.diff(who[order]) > 0])[0]
-        ends = np.r_[cut[1:], len(own)]
-        return [(lo + int(a), lo + int(b)) for a, b in zip(cut, ends, strict=True)] if len(cut) > 1 else []
-
-
-def search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data_ids: np.ndarray, k: int, scores: np.ndarray, found: np.ndarray) -> None:
-    """Merges the best of ``data`` into scores and found (each query's k best so far, by its row)."""
-    qi, pi = np.zeros(1, np.int64), np.zeros(1, np.int64)
-    ql, pl = 0, 0
-    while len(qi):
-        q, p = queries.levels[ql], data.levels[pl]
-        cq, cp = q["centre"][qi], p["centre"][pi]
-        rq, rp = q["radius"][qi], p["radius"][pi]
-        top = (cq * cp).sum(axis=1) + rq * np.sqrt((cp * cp).sum(axis=1)) + rp * np.sqrt((cq * cq).sum(axis=1)) + rq * rp
-        worst = np.array([scores[queries.order[q["lo"][i] : q["hi"][i]], -1].min() for i in range(len(q["lo"]))])
-        keep = top + 1e-6 * (1 + np.abs(top)) >= worst[qi]
-        qi, pi, top = qi[keep], pi[keep], top[keep]
-        done = (q["children"][qi] == 0) & (p["children"][pi] == 0)
-        # pairs of leaves, and of a leaf and the deeper tree's end, are scored; the best bounds first
-        last = ql == len(queries.levels) - 1 and pl == len(data.levels) - 1
-        ready = done | last
-        for j in np.nonzero(ready)[0][np.argsort(-top[ready], kind="stable")]:
-            rows = queries.order[q["lo"][qi[j]] : q["hi"][qi[j]]]
-            if top[j] + 1e-6 * (1 + abs(top[j])) < scores[rows, -1].min():
-                continue
-            cols = data.order[p["lo"][pi[j]] : p["hi"][pi[j]]]
-            _merge(rows, queries.x[rows] @ data.x[cols].T, query_ids[rows], data_ids[cols], k, scores, found)
-        qi, pi = qi[~ready], pi[~ready]
-        # a pair goes on by the children of the node that has some; one that has none stands for itself
-        qi, pi = _descend(queries, ql, qi, pi)
-        pi, qi = _descend(data, pl, pi, qi)
-        ql, pl = min(ql + 1, len(queries.levels) - 1), min(pl + 1, len(data.levels) - 1)
-
-
-def _descend(tree: CoverTree, level: int, mine: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if level == len(tree.levels) - 1:
-        return mine, other
-    kids = tree.levels[level]["children"][mine]
-    first = tree.levels[level]["first"][mine]
-    # leaves are copied down so that a level's indices stay within one list
-    n = np.maximum(kids, 1)
-    start = np.cumsum(n) - n
-    step = np.arange(int(n.sum())) - np.repeat(start, n)
-    child = np.repeat(first, n) + step
-    leaf = np.repeat(kids == 0, n)
-    if leaf.any():
-        child[leaf] = _copied(tree, level, np.repeat(mine, n)[leaf])
-    return child, np.repeat(other, n)
-
-
-def _copied(tree: CoverTree, level: int, nodes: np.ndarray) -> np.ndarray:
-    """The places, one level down, of leaves (appended there when first asked for)."""
-    memo = tree.__dict__.setdefault("memo", {})
-    below, here = tree.levels[level + 1], tree.levels[level]
-    new = [i for i in dict.fromkeys(nodes.tolist()) if (level, i) not in memo]
-    if new:
-        for j, i in enumerate(new):
-            memo[level, i] = len(below["lo"]) + j
-        for key in below:
-            below[key] = np.concatenate([below[key], here[key][new] * (key != "children")]) if key != "centre" else np.concatenate([below[key], here[key][new]])
-    return np.array([memo[level, i] for i in nodes.tolist()], np.int64)
-
-
-def _merge(rows, product, own_ids, ids, k, scores, found) -> None:
-    product = np.where(own_ids[:, None] == ids[None, :], -np.inf, product)
-    product[product < scores[rows, -1][:, None]] = -np.inf
-    hit = np.nonzero((product > -np.inf).any(axis=1))[0]
-    if not len(hit):
-        return
-    rows, product = rows[hit], product[hit]
-    both = np.concatenate([scores[rows], product], axis=1)
-    who = np.concatenate([found[rows], np.broadcast_to(ids, (len(rows), len(ids)))], axis=1)
-    order = np.lexsort((who, -both), axis=1)[:, :k]
-    scores[rows], found[rows] = np.take_along_axis(both, order, 1), np.take_along_axis(who, order, 1)
-
-
-def _search(ids: np.ndarray, vectors: np.ndarray, k: int, scale: int):
+            if best[at] <= radius:
+                return net, who
+            if 2 * (len(net) + 1) > len(own):
+                return None
+            far = np.sqrt(((own - own[at]) ** 2).sum(axis=1))
+            nearer = far < best
+            best[nearer], who[nearer] = far[nearer], len(net)
+            best[at], who[at] = 0.0, len(net)
+            net.append(at)
+
+    def pack(self) -> tuple[bytes, bytes, bytes]:
+        return np.stack([self.lo, self.hi, self.first, self.count]).tobytes(), self.centre.tobytes(), self.radius.tobytes()
+
+    @classmethod
+    def unpack(cls, nodes: bytes, centres: bytes, radii: bytes) -> CoverTree:
+        """A tree whose rows are in its order already."""
+        own = cls.__new__(cls)
+        own.lo, own.hi, own.first, own.count = np.frombuffer(nodes, np.int64).reshape(4, -1)
+        own.radius = np.frombuffer(radii, np.float64)
+        own.centre = np.frombuffer(centres, np.float64).reshape(len(own.radius), -1)
+        own.order = np.arange(int(own.hi[0]))
+        return own
+
+
+def whole(x: np.ndarray) -> np.ndarray:
+    """Integers of floats that hold whole numbers: floats while exact, int64, or Python's beyond that."""
+    top = float(np.abs(x).max(initial=0.0))
+    if top < 2.0**53:
+        return x
+    return x.astype(np.int64) if top < 2.0**62 else np.array([[int(v) for v in row] for row in x], object).reshape(x.shape)
+
+
+def products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Exact inner products of whole numbers, int64 where they fit and Python integers where they may not."""
+    top = lambda x: float(max((abs(v) for v in x.flat), default=0)) if x.dtype == object else float(np.abs(x.astype(np.float64)).max(initial=0.0))
+    most = top(q) * top(p) * max(1, q.shape[1])
+    if most < 2.0**53 and q.dtype != object and p.dtype != object:
+        return (q.astype(np.float64) @ p.astype(np.float64).T).astype(np.int64)
+    if most < 2.0**62 and q.dtype != object and p.dtype != object:
+        return q.astype(np.int64) @ p.astype(np.int64).T
+    exact = lambda x: x if x.dtype == object else np.array([[int(v) for v in row] for row in x], object).reshape(x.shape)
+    return exact(q) @ exact(p).T
+
+
+class Best:
+    """The k best of each query so far: exact scores, ids, and the k-th score as a float (-inf while there are fewer)."""
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.score: list[list[int]] = [[] for _ in range(n)]
+        self.id: list[list[int]] = [[] for _ in range(n)]
+        self.worst = np.full(n, -np.inf)
+
+    def add(self, rows: np.ndarray, score: np.ndarray, own_ids: np.ndarray, ids: np.ndarray) -> None:
+        rough = np.clip(score, -_MOST, _MOST).astype(np.float64) if score.dtype == object else score.astype(np.float64)
+        able = (own_ids[:, None] != ids[None, :]) & (rough >= self.worst[rows][:, None])
+        for j in np.nonzero(able.any(axis=1))[0]:
+            r, at = int(rows[j]), np.nonzero(able[j])[0]
+            if len(at) > 4 * self.k and score.dtype != object:
+                # those that tie with the k-th all stay
+                at = at[score[j, at] >= np.partition(score[j, at], len(at) - self.k)[len(at) - self.k]]
+            both = sorted(zip([-s for s in self.score[r]] + [-int(s) for s in score[j, at]], self.id[r] + ids[at].tolist(), strict=True))[: self.k]
+            self.score[r], self.id[r] = [-s for s, _ in both], [i for _, i in both]
+            if len(both) == self.k:
+                # a float that isn't above the exact score
+                self.worst[r] = np.nextafter(float(max(-_MOST, min(_MOST, self.score[r][-1]))), -np.inf)
+
+
+def search(queries: CoverTree, query_ids: np.ndarray, q: np.ndarray, data: CoverTree, data_ids: np.ndarray, p: np.ndarray, best: Best, base: int = 0) -> int:
+    """Merges the best of the data into ``best``, where the queries' rows start at ``base``; returns how many products were taken.
+
+    Rows of q and p are in the order of their trees.
+    """
+    nq, np_ = np.sqrt((queries.centre**2).sum(axis=1)), np.sqrt((data.centre**2).sum(axis=1))
+
+    def bounds(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        dot = np.einsum("ij,ij->i", queries.centre[a], data.centre[b])
+        top = dot + queries.radius[a] * np_[b] + data.radius[b] * nq[a] + queries.radius[a] * data.radius[b]
+        # more than the rounding of sums of this size
+        top += 1e-9 * (1 + (nq[a] + queries.radius[a]) * (np_[b] + data.radius[b]))
+        return np.where(np.isnan(top), np.inf, top)
+
+    taken = 0
+    heap = [(-float(bounds(np.zeros(1, np.int64), np.zeros(1, np.int64))[0]), 0, 0)] if len(q) and len(p) else []
+    while heap:
+        top, a, b = heapq.heappop(heap)
+        lo, hi = int(queries.lo[a]), int(queries.hi[a])
+        if -top < best.worst[base + lo : base + hi].min():
+            continue
+        open_a, open_b = queries.count[a] > 0, data.count[b] > 0
+        if not open_a and not open_b:
+            at = slice(int(data.lo[b]), int(data.hi[b]))
+            best.add(np.arange(base + lo, base + hi), products(q[lo:hi], p[at]), query_ids[lo:hi], data_ids[at])
+            taken += (hi - lo) * (at.stop - at.start)
+            continue
+        if open_a and (not open_b or queries.radius[a] >= data.radius[b]):
+            kids = np.arange(queries.first[a], queries.first[a] + queries.count[a])
+            pairs = kids, np.full(len(kids), b)
+        else:
+            kids = np.arange(data.first[b], data.first[b] + data.count[b])
+            pairs = np.full(len(kids), a), kids
+        for t, x, y in zip((-bounds(*pairs)).tolist(), pairs[0].tolist(), pairs[1].tolist(), strict=True):
+            heapq.heappush(heap, (t, x, y))
+    return taken
+
+
+def _trees(scale: int, lanes: int):
+    """Rows of packed trees over a task's vectors, by their length; trees go round the lanes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = CoverTree(vectors)
-        scores = np.full((len(ids), k), -np.inf)
-        found = np.full((len(ids), k), np.iinfo(np.int64).max)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        rows = 0
-        dim = vectors.shape[1]
-
-        def flush() -> None:
-            if held:
-                x = np.concatenate([v for _, v in held])
-                search(queries, ids, CoverTree(x), np.concatenate([i for i, _ in held]), k, scores, found)
-                held.clear()
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        lane = TaskContext.get().partitionId()
+
+        def tree(dim: int) -> pa.RecordBatch:
+            nonlocal lane
+            ids, x = (np.concatenate([part[k] for part in held[dim]]) for k in (0, 1))
+            held[dim] = []
+            own = CoverTree(x)
+            lane += 1
+            row = (dim, lane % lanes, ids[own.order].tobytes(), x[own.order].tobytes(), *own.pack())
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), *[pa.binary()] * 5), strict=True)], ["dim", "lane", "ids", "vectors", "nodes", "centres", "radii"])
 
         for batch in batches:
-            own, x = _matrix(batch, dim, scale)
-            if len(own):
-                held.append((own, x))
-                rows += len(own)
-            if rows >= TREE:
-                flush()
-                rows = 0
-        flush()
-        q, c = np.nonzero(scores > -np.inf)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(found[q, c], pa.int64()), pa.array(scores[q, c].astype(np.int64), pa.int64())], ["query_id", "vec_id", "score"])
+            sizes = batch.column(2).to_numpy(zero_copy_only=False)
+            for dim in np.unique(sizes).tolist():
+                some = batch.filter(pa.array(sizes == dim))
+                ids = some.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                x = np.floor(scale * some.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)).reshape(-1, dim)
+                for a in range(0, len(ids), TREE):
+                    room = TREE - sum(len(i) for i, _ in held.get(dim, []))
+                    part = ids[a : a + TREE], x[a : a + TREE]
+                    held.setdefault(dim, []).append((part[0][:room], part[1][:room]))
+                    if len(part[0]) >= room:
+                        yield tree(dim)
+                        if len(part[0]) > room:
+                            held[dim].append((part[0][room:], part[1][room:]))
+        for dim in held:
+            if sum(len(i) for i, _ in held[dim]):
+                yield tree(dim)
 
     return run
 
 
-def _matrix(batch: pa.RecordBatch, dim: int, scale: int) -> tuple[np.ndarray, np.ndarray]:
-    ids, vectors = batch.column(0), batch.column(1)
-    if not len(ids):
-        return np.zeros(0, np.int64), np.zeros((0, dim))
-    x = vectors.values if not hasattr(vectors, "flatten") else vectors.flatten()
-    return ids.to_numpy(zero_copy_only=False).astype(np.int64), np.floor(scale * x.to_numpy(zero_copy_only=False).astype(np.float64)).reshape(-1, dim)
+def _opened(dim: int, row: dict) -> tuple[CoverTree, np.ndarray, np.ndarray]:
+    return CoverTree.unpack(row["nodes"], row["centres"], row["radii"]), np.frombuffer(row["ids"], np.int64), whole(np.frombuffer(row["vectors"], np.float64).reshape(-1, dim))
 
 
-def _usable(df: DataFrame, id_col: str, vector: str) -> DataFrame:
-    v = F.col(vector).cast("array<double>")
-    ok = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return df.filter(F.coalesce(ok, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("embedding"))
+def _search(k: int):
+    """Rows come sorted by group, the queries' trees first; a task holds those of one group and one tree of the data."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, asked, best = None, [], Best(0, k)
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if asked:
+                ids = np.concatenate([own for _, own, _ in asked])
+                out = [(int(i), j, s) for i, js, ss in zip(ids.tolist(), best.id, best.score, strict=True) for j, s in zip(js, ss, strict=True)]
+                if out:
+                    q, p, s = zip(*out, strict=True)
+                    exact = [format(abs(v), "d").zfill(1) for v in s]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(q, pa.int64()), pa.array(p, pa.int64()), pa.array([max(-_LONG - 1, min(_LONG, v)) for v in s], pa.int64()), pa.array([v > _LONG or v < -_LONG - 1 for v in s], pa.bool_()), pa.array([("-" if v < 0 else "") + x for v, x in zip(s, exact, strict=True)], pa.string())],
+                        ["query_id", "vec_id", "score", "beyond", "exact"],
+                    )
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, block: int = 8192, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: each query's k greatest inner products over floor(scale * x).
+        for batch in batches:
+            for row in batch.to_pylist():
+                if group != (row["dim"], row["asked"], row["lane"]):
+                    yield from done()
+                    group, asked, best = (row["dim"], row["asked"], row["lane"]), [], None
+                tree, ids, x = _opened(row["dim"], row)
+                if row["is_query"]:
+                    asked.append((tree, ids, x))
+                    continue
+                best = best or Best(sum(len(own) for _, own, _ in asked), k)
+                base = 0
+                for own, own_ids, q in asked:
+                    search(own, own_ids, q, tree, ids, x, best, base)
+                    base += len(own_ids)
+        if group is not None and best is None:
+            best = Best(sum(len(own) for _, own, _ in asked), k)
+        yield from done()
 
-    The driver holds one block of queries at a time, of ``block`` rows.
-    """
-    data, asked = _usable(vectors, id_col, vector), _usable(queries, id_col, vector).dropDuplicates(["vec_id"])
-    spark = vectors.sparkSession
-    blocks: list[DataFrame] = []
-    held: list = []
-    dims: dict[int, list] = {}
-
-    def send(dim: int, rows: list) -> None:
-        ids = np.array([r[0] for r in rows], np.int64)
-        x = np.floor(scale * np.array([r[1] for r in rows], np.float64))
-        own = data.filter(F.size("embedding") == dim)
-        blocks.append(own.mapInArrow(_search(ids, x, k, scale), "query_id long, vec_id long, score long"))
-
-    for row in asked.toLocalIterator(prefetchPartitions=False):
-        held = dims.setdefault(len(row.embedding), [])
-        held.append((row.vec_id, row.embedding))
-        if len(held) >= block:
-            send(len(row.embedding), held)
-            dims[len(row.embedding)] = []
-    for dim, rows in dims.items():
-        if rows:
-            send(dim, rows)
-    if not blocks:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    best = blocks[0]
-    for more in blocks[1:]:
-        best = best.unionByName(more)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return run
+
+
+def _usable(df: DataFrame, id_col: str, vector: str) -> DataFrame:
+    v = F.col(vector).cast("array<double>")
+    ok = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return df.filter(F.coalesce(ok, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("embedding"), F.size(v).alias("dim"))
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, group: int = GROUP, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: each query's k greatest inner products over floor(scale * x)."""
+    data = _usable(vectors, id_col, vector)
+    asked = _usable(queries, id_col, vector).groupBy("vec_id").agg(F.min(F.struct("embedding", "dim")).alias("v")).select("vec_id", "v.embedding", "v.dim")
+    lanes, groups = (max(1, -(-df.count() // (TREE * group))) for df in (data, asked))
+    packed = materialise(data.mapInArrow(_trees(scale, lanes), TREES), "trees")
+    own = asked.repartition(max(1, min(groups * group, asked.sparkSession.sparkContext.defaultParallelism)), "vec_id").mapInArrow(_trees(scale, groups), TREES)
+    # every group of queries meets every lane of the data: a stated set against all rows, in blocks
+    each = lambda df, mine, theirs, n, flag: df.withColumnRenamed("lane", mine).withColumn(theirs, F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("is_query", F.lit(flag))
+    both = each(packed, "lane", "asked", groups, False).unionByName(each(own, "asked", "lane", lanes, True))
+    dealt = both.repartition("dim", "asked", "lane").sortWithinPartitions("dim", "asked", "lane", F.desc("is_query"))
+    best = dealt.mapInArrow(_search(k), "query_id long, vec_id long, score long, beyond boolean, exact string")
+    # scores beyond a long are ranked by sign, length and digits
+    sign = F.when(F.col("exact").startswith("-"), -1).otherwise(1)
+    wide = F.when(F.col("beyond"), sign * F.length("exact")).otherwise(0)
+    digits = F.when(F.col("beyond"), F.when(sign > 0, F.col("exact")).otherwise(F.translate("exact", "0123456789", "9876543210")))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(wide), F.desc("score"), F.desc(digits), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
