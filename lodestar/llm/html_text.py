@@ -35,7 +35,9 @@ WORDS = frozenset(
 OUTER = frozenset("header head top".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_START = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_STOP = re.compile(r"""["'>]""")
+_ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*+(?:=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[a-z0-9]+")
 
@@ -58,19 +60,71 @@ def _boilerplate(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
+class Tags:
+    """The tags of a page in order, in time linear in its length whatever stands in it."""
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.sections = True
+        #: Quotes from which no tag's end is reached.
+        self.dead: set[int] = set()
+
+    def _end(self, at: int) -> int:
+        """Where a tag whose attributes begin at ``at`` ends (its >): the first one outside quotes, or if there is none the first."""
+        seen = []
+        stop = _STOP.search(self.html, at)
+        while stop and stop[0] != ">":
+            quote = stop.start()
+            if quote in self.dead:
+                break
+            seen.append(quote)
+            close = self.html.find(stop[0], quote + 1)
+            stop = _STOP.search(self.html, close + 1) if close >= 0 else None
+        if stop and stop[0] == ">":
+            return stop.start()
+        self.dead.update(seen)
+        return self.html.find(">", at)
+
+    def after(self, at: int) -> tuple[int, int, str, str, bool] | None:
+        """The next tag from ``at`` on: start, end, name (empty: none, as of a comment), attributes, whether it closes."""
+        html = self.html
+        found = _START.search(html, at)
+        if not found or found.start() > self.last and not found[1]:
+            return None
+        start, at = found.span()
+        if found[1]:
+            end = html.find("-->", at)
+            return start, (end + 3 if end >= 0 else len(html)), "", "", False
+        if found[2] and self.sections:
+            end = html.find("]]>", at)
+            if end >= 0:
+                return start, end + 3, "", "", False
+            self.sections = False
+        if found[2] or found[3]:
+            return start, html.find(">", at) + 1, "", "", False
+        end = self._end(at)
+        if end < 0:
+            return None
+        return start, end + 1, found[5].lower(), html[at:end], bool(found[4])
+
+
 def lines_of(html: str) -> tuple[list[str], list[int], list[bool]]:
-    """Texts of the lines, their characters in links, and whether they are in an article."""
+    """Texts of the lines, their characters in links, and whether they are in an article.
+
+    A link is an <a> with href, up to its </a>; one that isn't closed before the next <a> ends with its line.
+    """
     texts: list[str] = []
     links: list[int] = []
     inside: list[bool] = []
     parts: list[str] = []
     linked = 0
-    depth = link = 0
+    depth, link, closed = 0, False, True
     skip, skips, skip_depth = "", 0, 0
     at, size = 0, len(html)
+    tags, raw_end = Tags(html), {}
 
     def close() -> None:
-        nonlocal linked
+        nonlocal linked, link
         text = " ".join(unescape("".join(parts)).split())
         if text:
             texts.append(text)
@@ -78,23 +132,25 @@ def lines_of(html: str) -> tuple[list[str], list[int], list[bool]]:
             inside.append(depth > 0)
         parts.clear()
         linked = 0
+        link = link and closed
 
     while at < size:
-        tag = _TOKEN.search(html, at)
+        tag = tags.after(at)
         if not tag:
             break
-        if not skip and tag.start() > at:
-            text = html[at : tag.start()]
+        start, after, name, attributes, end = tag
+        if not skip and start > at:
+            text = html[at:start]
             parts.append(text)
             if link:
                 linked += len(text.strip())
-        at = tag.end()
-        end, name, attributes = (tag[1], tag[2], tag[3]) if tag[2] else (tag[4], tag[5], tag[6])
+        at = after
         if not name:
             continue
-        name = name.lower()
         if not end and name in RAW and not attributes.endswith("/"):
-            stop = re.compile(rf"</{re.escape(name)}\s*>|</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
+            stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, at) if raw_end.get(name, 0) >= 0 else None
+            if not stop:
+                raw_end[name] = -1
             at = stop.end() if stop else size
             continue
         if name in ("article", "main"):
@@ -124,11 +180,16 @@ def lines_of(html: str) -> tuple[list[str], list[int], list[bool]]:
         elif name in ("br", "td", "th"):
             parts.append(" ")
         elif name == "a":
-            link = 0 if end else 1
+            link = not end and any(key.lower() == "href" for key, *_ in _ATTRIBUTE.findall(attributes))
+            if link:
+                following = _ANCHOR.search(html, at)
+                closed = bool(following and following[1])
         if not end and name not in VOID and not attributes.endswith("/") and _boilerplate(name, attributes, depth > 0):
             skip, skips, skip_depth = name, 1, depth
     if not skip and at < size:
         parts.append(html[at:])
+        if link:
+            linked += len(html[at:].strip())
     close()
     return texts, links, inside
 
