@@ -1,17 +1,20 @@
-"""Benchmark decontamination by n-gram seeds and local alignment (operator 3).
+"""Benchmark decontamination by rare n-gram seeds and local alignment (operator 3).
 
-Word n-grams of the test items are looked up in every document, and each one found seeds a
-candidate, however many documents it stands in. A score can't exceed the words that item and
-passage share, which drops passages around everyday phrases and loses nothing. The others are
-aligned with the item by Smith-Waterman over words, and the score, as a share of the item's
-own, tells copies and edited copies from chance.
+The documents that hold each word n-gram of the test items are counted first, exactly. Then an
+n-gram found in a document seeds a candidate: a rare one alone, one that more than ``everyday``
+of the documents hold only together with another of the item's near it, or alone where the item
+is short (up to 4 n words). The seeds join the documents' passages to the items. A score can't
+exceed the words that item and passage share, which drops passages around everyday phrases
+before they are written and loses nothing. The others are aligned with the item by
+Smith-Waterman over words, and the score, as a share of the item's own, tells copies and edited
+copies from chance.
 
 Test items go out in blocks of ``block`` rows, which bounds what a task and the driver hold;
-each block is one pass over the documents. Passages travel alone, never with their documents.
+each block is two passes over the documents. Passages travel alone, never with their documents.
 
 Words are runs without ASCII white space or punctuation; ASCII and Latin-1 letters are folded.
 Items of fewer words than an n-gram, null texts and rows with a null id take no part. Rows that
-repeat count once.
+repeat count once; of passages with the best score the last one is reported.
 """
 
 from __future__ import annotations
@@ -23,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_KEYS, Rolling, U, materialise, ranges, slices, utf8
+from .common import Blocks, U, byte_names, materialise, ranges, slices, utf8
 
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Documents that may hold an n-gram that is rare in any corpus.
+LONE = 64
 #: Padded words of passages that are aligned in one go.
 CELLS = 2_000_000
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -45,19 +50,21 @@ def folded_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     edge[off] = True
     starts = np.nonzero(ink & (np.r_[True, ~ink[:-1]] | edge[:-1]))[0] if len(raw) else np.zeros(0, np.int64)
     ends = np.nonzero(ink & (np.r_[~ink[1:], True] | edge[1:]))[0] + 1 if len(raw) else starts
-    return Rolling(BYTE_KEYS[raw]).of(starts, ends), np.searchsorted(starts, off)
+    return byte_names(raw, starts, ends)[0], np.searchsorted(starts, off)
 
 
 class Items:
-    """A block of test items: their words, and a table of their n-grams."""
+    """A block of test items: their words, as numbers of a vocabulary, and a table of their n-grams."""
 
     def __init__(self, ids: list[int], texts: list[str], n: int):
         data, off = utf8(pa.array(texts, pa.string()))
         self.n, self.ids = n, np.array(ids, np.int64)
-        self.words, self.off = folded_words(data, off)
+        words, self.off = folded_words(data, off)
+        self.vocabulary, number = np.unique(words, return_inverse=True)
+        self.words = number.astype(np.int64)
         count = np.maximum(np.diff(self.off) - n + 1, 0)
         at = ranges(self.off[:-1], count)
-        gram = Rolling(self.words).of(at, at + n)
+        gram = Blocks(words).of(at, at + n)
         self.grams, which = np.unique(gram, return_inverse=True)
         order = np.argsort(which, kind="stable")
         # occurrences of gram g: first[g] to first[g + 1]
@@ -66,13 +73,41 @@ class Items:
         self.place = (at - np.repeat(self.off[:-1], count))[order]
         self.bits = np.zeros(1 << 20, bool)
         self.bits[self.grams >> U(44)] = True
+        self.rare = np.ones(len(self.grams), bool)
+        # how often each item has each of its words
+        owner = np.repeat(np.arange(len(ids)), np.diff(self.off))
+        self.own, self.times = np.unique(owner * (len(self.vocabulary) + 1) + self.words, return_counts=True)
 
     def length(self, item: np.ndarray) -> np.ndarray:
         return self.off[item + 1] - self.off[item]
 
+    def numbers(self, words: np.ndarray) -> np.ndarray:
+        """Numbers of words in the vocabulary; those that aren't in it get its size."""
+        at = np.minimum(np.searchsorted(self.vocabulary, words), max(0, len(self.vocabulary) - 1))
+        return np.where(self.vocabulary[at] == words, at, len(self.vocabulary))
+
+    def shared(self, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """The most words that an alignment of each item with numbers[lo:hi] can match."""
+        out = np.zeros(len(item), np.int64)
+        cut = np.r_[0, np.cumsum(hi - lo)]
+        a = 0
+        while a < len(item):
+            b = max(a + 1, int(np.searchsorted(cut, cut[a] + CELLS, side="right")) - 1)
+            which = np.repeat(np.arange(a, b), (hi - lo)[a:b])
+            word = numbers[ranges(lo[a:b], (hi - lo)[a:b])]
+            some = word < len(self.vocabulary)
+            which, word = which[some], word[some]
+            key = item[which] * (len(self.vocabulary) + 1) + word
+            at = np.minimum(np.searchsorted(self.own, key), len(self.own) - 1)
+            ok = self.own[at] == key
+            pair, n = np.unique((which[ok] - a) * len(self.own) + at[ok], return_counts=True)
+            out[a:b] = np.bincount(pair // len(self.own), np.minimum(n, self.times[pair % len(self.own)]), b - a)
+            a = b
+        return out
+
     def hits(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``words`` of n-grams of the table, and which."""
-        h = Rolling(words).every(self.n)
+        h = Blocks(words).every(self.n)
         at = np.nonzero(self.bits[h >> U(44)])[0]
         at = at[at + self.n <= bounds[np.searchsorted(bounds, at, side="right")]] if len(at) else at
         g = np.minimum(np.searchsorted(self.grams, h[at]), len(self.grams) - 1)
@@ -80,8 +115,28 @@ class Items:
         return at[ok], g[ok]
 
 
-def _candidates(items: Items):
-    """Rows (doc_id, item, start, words): the passage around an item's n-grams in a document."""
+def _counted(items: Items):
+    """Rows (gram, n): how many of a task's documents hold each n-gram of the items; gram -1 counts the documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(items.grams) + 1, np.int64)
+        for batch in batches:
+            data, off = utf8(batch.column(1))
+            total[-1] += len(off) - 1
+            for a, b in slices(off):
+                words, bounds = folded_words(data[off[a] : off[b]], off[a : b + 1] - off[a])
+                at, gram = items.hits(words, bounds)
+                doc = np.searchsorted(bounds, at, side="right") - 1
+                pairs = np.unique(doc * len(items.grams) + gram)
+                total[:-1] += np.bincount(pairs % len(items.grams), minlength=len(items.grams))
+        some = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.where(some == len(items.grams), -1, some)), pa.array(total[some])], ["gram", "n"])
+
+    return run
+
+
+def _candidates(items: Items, least: float):
+    """Rows (doc_id, item, start, words): the passage around an item's n-grams in a document, where it can reach the score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,24 +149,32 @@ def _candidates(items: Items):
                     continue
                 times = items.first[gram + 1] - items.first[gram]
                 occ = ranges(items.first[gram], times)
+                rare = np.repeat(items.rare[gram], times)
                 at = np.repeat(at, times)
                 item, begin = items.item[occ], at - items.place[occ]
                 doc = np.searchsorted(bounds, at, side="right") - 1
                 order = np.lexsort((begin, item, doc))
-                doc, item, begin = (x[order] for x in (doc, item, begin))
+                doc, item, begin, rare, at = (x[order] for x in (doc, item, begin, rare, at))
                 long = items.length(item)
                 new = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > long[1:])]
                 head = np.nonzero(new)[0]
                 end = np.r_[head[1:], len(new)]
+                # more than one place in the document, a rare seed, or a short item
+                several = np.minimum.reduceat(at, head) < np.maximum.reduceat(at, head)
+                ok = several | np.logical_or.reduceat(rare, head) | (long[head] <= 4 * items.n)
+                head, end = head[ok], end[ok]
                 slack = long[head] // 2 + 4
                 lo = np.maximum(begin[head] - slack, bounds[doc[head]])
                 hi = np.minimum(begin[end - 1] + long[head] + slack, bounds[doc[head] + 1])
+                numbers = items.numbers(words)
+                ok = items.shared(item[head], lo, hi, numbers) >= least * long[head]
+                head, lo, hi = head[ok], lo[ok], hi[ok]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[a + doc[head]], pa.int64()),
                         pa.array(item[head], pa.int64()),
                         pa.array(lo - bounds[doc[head]], pa.int64()),
-                        pa.array([(words[x:y] >> U(32)).astype("<u4").tobytes() for x, y in zip(lo, hi, strict=True)], pa.binary()),
+                        pa.array([numbers[x:y].astype("<u4").tobytes() for x, y in zip(lo, hi, strict=True)], pa.binary()),
                     ],
                     ["doc_id", "item", "start", "words"],
                 )
@@ -140,17 +203,6 @@ def align(item: np.ndarray, passages: list[np.ndarray]) -> tuple[np.ndarray, np.
     return best, end
 
 
-def shared(item: np.ndarray, passages: list[np.ndarray]) -> np.ndarray:
-    """The most words that an alignment of each passage with the item can match."""
-    known, times = np.unique(item, return_counts=True)
-    words = np.concatenate(passages)
-    which = np.repeat(np.arange(len(passages)), [len(p) for p in passages])
-    at = np.minimum(np.searchsorted(known, words), len(known) - 1)
-    ok = known[at] == words
-    pair, n = np.unique(which[ok] * len(known) + at[ok], return_counts=True)
-    return np.bincount(pair // len(known), np.minimum(n, times[pair % len(known)]), len(passages))
-
-
 def _groups(lengths: np.ndarray) -> Iterator[np.ndarray]:
     """Passages of like length, up to 256 and ``CELLS`` padded words at a time."""
     order = np.argsort(lengths, kind="stable")[::-1]
@@ -172,14 +224,13 @@ def _aligned(items: Items, least: float):
             cut = np.nonzero(np.r_[True, np.diff(item[order]) != 0])[0] if len(item) else []
             for mine in np.split(order, cut[1:]) if len(item) else []:
                 k = item[mine[0]]
-                own = (items.words[items.off[k] : items.off[k + 1]] >> U(32)).astype(np.int64)
+                own = items.words[items.off[k] : items.off[k + 1]]
                 texts = [np.frombuffer(words[int(j)].as_py(), "<u4").astype(np.int64) for j in mine]
-                able = np.nonzero(shared(own, texts) >= least * len(own))[0]
-                for some in _groups(np.array([len(texts[j]) for j in able], np.int64)):
-                    best, end = align(own, [texts[j] for j in able[some]])
+                for some in _groups(np.array([len(t) for t in texts], np.int64)):
+                    best, end = align(own, [texts[j] for j in some])
                     score = best / (MATCH * len(own))
                     ok = score >= least
-                    rows.append(mine[able[some]][ok])
+                    rows.append(mine[some][ok])
                     scores.append(score[ok])
                     ends.append(end[ok])
             if rows:
@@ -189,7 +240,7 @@ def _aligned(items: Items, least: float):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.5, block: int = 4096) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, everyday: float = 0.001, block: int = 16_384) -> DataFrame:
     """doc_id, item_id, score (of 1), start and end (words of the best passage): documents that hold items."""
     rows = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     asked = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
@@ -201,7 +252,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float =
         items = Items([r.item_id for r in held], [r.text for r in held], n)
         if not len(items.grams):
             return
-        hits = materialise(rows.mapInArrow(_candidates(items), "doc_id long, item long, start long, words binary"), "hits")
+        # at most a row for each n-gram of the block
+        counts = {r.gram: int(r.n) for r in rows.mapInArrow(_counted(items), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
+        most = max(LONE, everyday * counts.pop(-1, 0))
+        items.rare[[g for g, k in counts.items() if k > most]] = False
+        hits = materialise(rows.mapInArrow(_candidates(items, least), "doc_id long, item long, start long, words binary"), "hits")
         part = hits.mapInArrow(_aligned(items, least), "doc_id long, item_id long, score double, start long, end long")
         found = part if found is None else found.unionByName(part)
 
