@@ -2,14 +2,18 @@
 
 A multinomial logistic regression over sparse word 1-grams and 2-grams tells the licence
 families of a paragraph, with two more classes: prose, learned from a bounded sample of the
-corpus, and ``unknown``, licence talk of no known family. Its temperature is calibrated on
-held-out examples; a family below ``sure`` counts as unknown. A predicted family is confirmed
-only if the text covers a template of it, or, for a family it is sure of, a template covers the
-text and that has ``LEAST`` different words or more, so that a text that merely names a licence isn't taken for one.
+corpus, and ``unknown``, licence talk of no known family. It learns from the templates and from
+other wording (``WORDING``); its temperature is calibrated, and its accuracy measured, on
+wording that it never saw (``HELD_OUT``) and on held-out prose. A family below ``sure`` counts as unknown. A predicted family is confirmed
+only if the text covers a template of it, or a template covers the text and that has ``LEAST``
+different words or more; words count by how few families have them, so that neither common
+licence talk nor a mere name is enough. What isn't confirmed is ``unknown`` if it covers a
+template's words as such, and prose otherwise.
 
 A paragraph is the lines between lines without words. Its lines are read each, and if there
 are several, all together; text of over ``WIDE`` words is read in windows that overlap by half.
-Null text has no paragraphs. Every paragraph of every document is scored.
+Null text has no paragraphs. Every paragraph of every document is scored. Rows that repeat are
+each answered, alike; of classes that tie the first one wins.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, slices, utf8
+from .common import Blocks, slices, utf8
 from .decontaminate import folded_words
 
 WIDE, LEAST = 64, 8
@@ -92,10 +96,51 @@ TEMPLATES = {
 }
 
 
+# fixed values: other sentences in which works name their licence, to learn from
+WORDING = {
+    "MIT": ("Distributed under the MIT licence; see the file LICENSE.", "MIT licensed.", "The code is available under the MIT license.", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    "Apache-2.0": ("Distributed under the Apache 2.0 licence.", "Apache License, Version 2.0, January 2004", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    "GPL-3.0": ("Licensed under the GPLv3.", "You should have received a copy of the GNU General Public License version 3 along with this program.", "This is free software under the GNU GPL v3 or later."),
+    "GPL-2.0": ("Licensed under the GPLv2.", "This file is under the terms of the GNU General Public License, version 2, as published by the Free Software Foundation.", "Distributed under the GNU GPL version 2."),
+    "LGPL": ("Licensed under the LGPL.", "Distributed under the GNU LGPL version 2.1.", "You should have received a copy of the GNU Lesser General Public License along with this library."),
+    "AGPL-3.0": ("Licensed under the AGPLv3.", "You should have received a copy of the GNU Affero General Public License along with this program.", "Released under the GNU AGPL version 3."),
+    "BSD": ("BSD licensed.", "Use of this source code is governed by a BSD-style license.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    "MPL-2.0": ("Distributed under the MPL 2.0.", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "Covered by the Mozilla Public License, version 2.0."),
+    "CC-BY": ("Published under Creative Commons Attribution 4.0.", "Text available under the Creative Commons Attribution license.", "CC BY 4.0"),
+    "CC-BY-SA": ("Published under Creative Commons Attribution-ShareAlike 4.0.", "Text is available under the Creative Commons Attribution-ShareAlike License.", "CC BY-SA 4.0"),
+    "CC-BY-NC": ("Published under Creative Commons Attribution-NonCommercial 4.0.", "Available under the Creative Commons Attribution-NonCommercial license.", "CC BY-NC 4.0"),
+    "CC0": ("Published under Creative Commons Zero.", "CC0 1.0 Universal Public Domain Dedication", "The author has dedicated the work to the public domain by waiving all rights under CC0."),
+    "ISC": ("Distributed under the ISC licence.", "ISC licensed.", "Provided under the terms of the ISC License."),
+    "Unlicense": ("Distributed under the Unlicense.", "For more information, please refer to http://unlicense.org", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose."),
+    "All-Rights-Reserved": ("Copyright by the author, all rights reserved.", "Unauthorized copying of this file, via any medium, is strictly prohibited.", "All content is protected by copyright; all rights reserved."),
+    UNKNOWN: ("See the license agreement for the terms.", "This content is licensed under the terms of the vendor agreement.", "Licensed for internal evaluation use only.", "Free for personal use under the site license."),
+}
+
+# fixed values: sentences that are never learned from
+HELD_OUT = {
+    "MIT": ("This package is MIT licensed, see LICENSE.", "Provided under the terms of the MIT License."),
+    "Apache-2.0": ("The project is licensed under Apache License 2.0.", "This file is distributed under the Apache License, Version 2.0."),
+    "GPL-3.0": ("This software is licensed under the GNU General Public License version 3.", "Available under GPLv3 or later."),
+    "GPL-2.0": ("This driver is licensed under the GNU General Public License version 2.", "Available under GPLv2."),
+    "LGPL": ("The library is released under the GNU Lesser General Public License.", "Available under the LGPL."),
+    "AGPL-3.0": ("This server is released under the GNU Affero General Public License version 3.", "Available under the AGPLv3."),
+    "BSD": ("This tool is released under the BSD license.", "Licensed under the 3-clause BSD License."),
+    "MPL-2.0": ("The add-on is released under the Mozilla Public License, version 2.0.", "Available under the MPL 2.0."),
+    "CC-BY": ("The images are licensed under a Creative Commons Attribution 4.0 license.", "Licensed CC BY 4.0."),
+    "CC-BY-SA": ("Articles are licensed under a Creative Commons Attribution-ShareAlike 4.0 license.", "Licensed CC BY-SA 4.0."),
+    "CC-BY-NC": ("Photos are licensed under a Creative Commons Attribution-NonCommercial 4.0 license.", "Licensed CC BY-NC 4.0."),
+    "CC0": ("The data are released under CC0 1.0 Universal.", "To the extent possible under law, all copyright is waived under CC0."),
+    "ISC": ("This module is ISC licensed.", "Available under the ISC License."),
+    "Unlicense": ("This script is released into the public domain under the Unlicense.", "Free and unencumbered software, see the Unlicense."),
+    "All-Rights-Reserved": ("Copyright 2019 the publisher. All rights reserved.", "No part of this work may be copied without written permission of the publisher."),
+    UNKNOWN: ("Use is governed by the vendor license agreement.", "Licensed under the terms of the community agreement of the site."),
+}
+
+
 def _features(words: np.ndarray, bounds: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, feature, is a 1-gram) of the known 1-grams and 2-grams of rows given by bounds in words."""
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    two = Rolling(words).every(2)
+    two = Blocks(words).every(2)
     same = row[1:] == row[:-1] if len(row) else np.zeros(0, bool)
     rows, codes, single = np.r_[row, row[:-1][same]] if len(row) else row, np.r_[words, two[same]] if len(row) else words, np.r_[np.ones(len(words), bool), np.zeros(int(same.sum()), bool)]
     at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
@@ -110,36 +155,50 @@ class Classifier:
         self.sure = sure
         self.classes = [*TEMPLATES, PROSE]
         rng = np.random.default_rng(seed)
-        texts, labels = [], []
-        filler = [w for p in prose for w in p.split()] or ["lorem", "ipsum"]
+        texts, labels, held = [], [], []
+
+        def add(text: str, label: int, unseen: bool) -> None:
+            texts.append(text)
+            labels.append(label)
+            held.append(unseen)
+
+        # every fifth line of prose is held out, and so are its words as filler
+        learned = [p for k, p in enumerate(prose) if k % 5]
+        filler = [w for p in learned for w in p.split()] or ["lorem", "ipsum"]
         for k, name in enumerate(self.classes[:-1]):
-            for template in TEMPLATES[name]:
-                own = template.split()
+            for sentence in (*TEMPLATES[name], *WORDING[name]):
+                own = sentence.split()
                 for copy in range(24):
                     w = [x for x in own if copy == 0 or rng.random() > 0.08]
                     if copy % 3 == 1:
                         w = [*rng.choice(filler, 4), *w]
                     if copy % 3 == 2:
                         w = [*w, *rng.choice(filler, 4)]
-                    texts.append(" ".join(w))
-                    labels.append(k)
-        for p in prose:
-            texts.append(p)
-            labels.append(len(self.classes) - 1)
-        y = np.array(labels)
+                    add(" ".join(w), k, False)
+            for sentence in HELD_OUT[name]:
+                add(sentence, k, True)
+        for k, p in enumerate(prose):
+            add(p, len(self.classes) - 1, not k % 5)
+        y, held = np.array(labels), np.array(held)
         words, bounds = folded_words(*utf8(pa.array(texts, pa.string())))
-        template_words, template_bounds = folded_words(*utf8(pa.array([t for v in TEMPLATES.values() for t in v], pa.string())))
-        two = Rolling(template_words).every(2)
+        known_as = [(k, t) for k, name in enumerate(TEMPLATES) for t in (*TEMPLATES[name], *WORDING[name])]
+        template_words, template_bounds = folded_words(*utf8(pa.array([t for _, t in known_as], pa.string())))
+        two = Blocks(template_words).every(2)
         # features: what the templates hold
         self.known = np.unique(np.r_[template_words, two])
         self.templates = [set(template_words[a:b].tolist()) for a, b in zip(template_bounds[:-1], template_bounds[1:], strict=True)]
-        self.family = [k for k, v in enumerate(TEMPLATES.values()) for _ in v]
+        self.family = [k for k, _ in known_as]
+        having: dict[int, set[int]] = {}
+        for k, t in zip(self.family, self.templates, strict=True):
+            for w in t:
+                having.setdefault(w, set()).add(k)
+        self.rarest = float(np.log(len(TEMPLATES) + 1))
+        self.rarity = {w: float(np.log((len(TEMPLATES) + 1) / len(f))) for w, f in having.items()}
         row, col, _ = _features(words, bounds, self.known)
         x = np.zeros((len(texts), len(self.known) + 1))
         x[row, col] = 1
         x[:, -1] = 1
         x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-        held = rng.random(len(texts)) < 0.2
         w = np.zeros((x.shape[1], len(self.classes)))
         goal = np.eye(len(self.classes))[y]
         weight = 1 / np.bincount(y, minlength=len(self.classes))[y]
@@ -151,10 +210,12 @@ class Classifier:
             w = w + speed
         logits = x[held] @ w
         truth = y[held]
-        temperatures = np.geomspace(0.25, 4, 33)
-        loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in temperatures]
+        temperatures = np.geomspace(0.02, 4, 60)
+        # each class counts alike, however many held-out lines it has
+        share = 1 / np.bincount(truth, minlength=len(self.classes))[truth]
+        loss = [-(share * np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-12))).sum() for t in temperatures]
         self.temperature = float(temperatures[int(np.argmin(loss))])
-        self.accuracy = float((logits.argmax(axis=1) == truth).mean()) if len(truth) else 1.0
+        self.accuracy = float((share * (logits.argmax(axis=1) == truth)).sum() / share.sum())
         self.weights = w
 
     def predict(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,10 +232,17 @@ class Classifier:
             label[used], sure[used] = p.argmax(axis=1), p.max(axis=1)
         return label, sure
 
-    def confirmed(self, family: int, words: np.ndarray, either: bool = False) -> float:
-        """The best cover of a template of the family by the text's words; or, for ``either``, of the text's by the template's."""
+    def confirmed(self, family: int, words: np.ndarray) -> float:
+        """The best cover of a template of the family by the text's words, or of a longer text's by the template's, rare words counting more."""
+        own = set(words.tolist())
+        size = lambda some: sum(self.rarity.get(w, self.rarest) for w in some)
+        weight = size(own)
+        return max(size(own & t) / (min(size(t), weight) if len(own) >= LEAST else size(t)) for t, k in zip(self.templates, self.family, strict=True) if k == family)
+
+    def licence_talk(self, family: int, words: np.ndarray) -> float:
+        """The best cover of a template of the family, or of the unknown one, by the text's words, all alike."""
         own = set(words.tolist())
-        return max(len(own & t) / (min(len(t), len(own)) if either and len(own) >= LEAST else len(t)) for t, k in zip(self.templates, self.family, strict=True) if k == family)
+        return max(len(own & t) / len(t) for t, k in zip(self.templates, self.family, strict=True) if k in (family, self.classes.index(UNKNOWN)))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -238,10 +306,9 @@ def scan(docs: DataFrame, model: Classifier, cover: float = 0.75) -> DataFrame:
                     own = words[lo[k] : hi[k]]
                     family = int(label[k])
                     name = model.classes[family] if p[k] >= model.sure else UNKNOWN
-                    # a piece of a template that can't be told for sure is no licence of its own
-                    got = model.confirmed(family, own, name != UNKNOWN)
-                    if name == UNKNOWN:
-                        got = max(got, model.confirmed(model.classes.index(UNKNOWN), own))
+                    got = model.confirmed(family, own) if name != UNKNOWN else 0.0
+                    if got < cover:
+                        name, got = UNKNOWN, model.licence_talk(family, own)
                     if got >= cover:
                         # a paragraph of known families isn't of an unknown one because its lines are mixed
                         if joined[k] and name == UNKNOWN and int(part[k]) in named:
