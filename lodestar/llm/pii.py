@@ -6,9 +6,11 @@ accounts), and words nearby adjust the score. Positions come from ``split`` and
 A row's work depends on its own text only; there is no shuffle.
 
 The patterns are linear: possessive groups don't recurse, and a run is tried from its start
-only, since a later start in it fails for the same reason.
+only, since a later start in it fails for the same reason. Arrays grow in blocks of ``BLOCK``
+spans, so that a text with very many of them isn't copied once for each.
 
-Null text is empty and has no spans. Offsets count code points, ends are exclusive.
+Null text is empty and has no spans. Offsets count code points, ends are exclusive. Rows that
+repeat are each answered, alike.
 """
 
 from __future__ import annotations
@@ -56,18 +58,25 @@ EXTRA = (
 #: Column for spans where every column of the input stays.
 _SPANS = "lodestar_spans"
 _SPAN = "struct<kind:string,s:int,e:int,score:double>"
+#: Spans that are gathered at once.
+BLOCK = 128
 
 
 def _spans(kind: Kind) -> Column:
     pattern = kind.pattern.replace("\\", "\\\\")
     hits = f"if({kind.needs}, regexp_extract_all(text, '{pattern}', 0), cast(array() as array<string>))"
+    one = f"""transform(filter(array(z.m), m -> {kind.valid}), m -> cast(named_struct(
+        'kind', '{kind.name}', 's', acc.at + length(z.before), 'e', acc.at + length(z.before) + length(z.m),
+        'score', least(1.0D, {kind.score}D + if(lower(concat(right(z.before, 48), ' ', left(z.after, 48))) rlike '\\\\b({kind.context})', 0.2D, 0.0D))) as {_SPAN}))"""
+    block = f"""aggregate(
+        transform(slice(hits, b * {BLOCK} + 1, {BLOCK}), (m, i) -> named_struct('m', m, 'before', parts[b * {BLOCK} + i], 'after', parts[b * {BLOCK} + i + 1])),
+        named_struct('at', all.at, 'out', cast(array() as array<{_SPAN}>)),
+        (acc, z) -> named_struct('at', acc.at + length(z.before) + length(z.m), 'out', concat(acc.out, {one})))"""
     found = f"""if(size(hits) = 0, cast(array() as array<{_SPAN}>), aggregate(
-        transform(hits, (m, i) -> named_struct('m', m, 'before', parts[i], 'after', parts[i + 1])),
-        named_struct('at', 0, 'out', cast(array() as array<{_SPAN}>)),
-        (acc, z) -> named_struct('at', acc.at + length(z.before) + length(z.m), 'out', concat(acc.out, transform(filter(array(z.m), m -> {kind.valid}), m -> cast(named_struct(
-            'kind', '{kind.name}', 's', acc.at + length(z.before), 'e', acc.at + length(z.before) + length(z.m),
-            'score', least(1.0D, {kind.score}D + if(lower(concat(right(z.before, 48), ' ', left(z.after, 48))) rlike '\\\\b({kind.context})', 0.2D, 0.0D))) as {_SPAN})))),
-        acc -> filter(acc.out, x -> x.score >= {kind.least}D)))"""
+        sequence(0, cast((size(hits) - 1) div {BLOCK} as int)),
+        named_struct('at', 0, 'out', cast(array() as array<array<{_SPAN}>>)),
+        (all, b) -> transform(array({block}), r -> named_struct('at', r.at, 'out', concat(all.out, array(r.out))))[0],
+        all -> filter(flatten(all.out), x -> x.score >= {kind.least}D)))"""
     # the arrays are bound by lambdas, so that each is made once for a row
     parts = f"if(size(hits) = 0, cast(array() as array<string>), split(text, '{pattern}', -1))"
     return F.expr(f"transform(array({hits}), hits -> transform(array({parts}), parts -> {found})[0])[0]")
@@ -103,9 +112,15 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span in ``text`` replaced by its kind in angle brackets; overlapping spans become one, of the first's kind."""
     found = _found(docs, _SPANS)
     sorted_spans = f"array_sort({_SPANS}, (a, b) -> case when a.s < b.s then -1 when a.s > b.s then 1 when a.e > b.e then -1 when a.e < b.e then 1 else 0 end)"
-    cut = f"""aggregate({sorted_spans}, named_struct('at', 0, 'out', cast(array() as array<string>)),
+    # a block's part of the text is cut out first: what is before it isn't counted again for each span
+    block = f"""aggregate(some, named_struct('at', all.at, 'out', cast(array() as array<string>)),
         (acc, x) -> if(x.s < acc.at, named_struct('at', greatest(acc.at, x.e), 'out', acc.out),
-            named_struct('at', x.e, 'out', concat(acc.out, array(substring(text, acc.at + 1, x.s - acc.at), concat('<', x.kind, '>'))))),
-        acc -> array_join(concat(acc.out, array(substring(text, acc.at + 1, length(text)))), ''))"""
+            named_struct('at', x.e, 'out', concat(acc.out, array(substring(part, acc.at - all.at + 1, x.s - acc.at), concat('<', x.kind, '>'))))))"""
+    cut = f"""transform(array({sorted_spans}), spans -> aggregate(
+        sequence(0, cast((size(spans) - 1) div {BLOCK} as int)), named_struct('at', 0, 'out', cast(array() as array<string>)),
+        (all, b) -> transform(array(slice(spans, b * {BLOCK} + 1, {BLOCK})), some ->
+            transform(array(substring(text, all.at + 1, greatest(0, array_max(transform(some, x -> x.e)) - all.at))), part ->
+                transform(array({block}), r -> named_struct('at', r.at, 'out', concat(all.out, array(array_join(r.out, '')))))[0])[0])[0],
+        all -> array_join(concat(all.out, array(substring(text, all.at + 1, length(text)))), '')))[0]"""
     text = F.when(F.size(_SPANS) > 0, F.expr(cut)).otherwise(F.col("text"))
     return found.select(*[(text.alias("text") if c == "text" else F.col(f"`{c}`")) for c in docs.columns])
