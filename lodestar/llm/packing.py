@@ -171,12 +171,13 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     n = np.array([counts[int(x)] for x in sizes], np.int64)
     total = int((sizes * n).sum())
     best = -(-total // capacity)
-    for k in range(0, capacity // 2 + 1, max(1, capacity // 256)):
-        big, mid = sizes > capacity - k, (sizes > capacity // 2) & (sizes <= capacity - k)
-        small = (sizes >= k) & (sizes <= capacity // 2)
-        n1, n2 = int(n[big].sum()), int(n[mid].sum())
-        free = n2 * capacity - int((sizes * n)[mid].sum())
-        best = max(best, n1 + n2 + max(0, -(-(int((sizes * n)[small].sum()) - free) // capacity)))
+    # the bound of k changes at the lengths alone
+    k = np.r_[0, sizes[sizes <= capacity // 2]]
+    number, length = np.r_[0, np.cumsum(n)], np.r_[0, np.cumsum(sizes * n)]
+    half, low, high = np.searchsorted(sizes, capacity // 2, "right"), np.searchsorted(sizes, k), np.searchsorted(sizes, capacity - k, "right")
+    high = np.maximum(high, half)
+    free = (number[high] - number[half]) * capacity - (length[high] - length[half])
+    best = max(best, int((number[-1] - number[half] + np.maximum(0, -((free - (length[half] - length[low])) // capacity))).max()))
     for k in range(1, min(capacity, 100)):
         # (k + 1) x / capacity is rounded down, but counts as it is where it's whole
         part, rest = np.divmod(sizes * (k + 1), capacity)
