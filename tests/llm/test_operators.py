@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -151,12 +152,12 @@ def test_recompression_names_equal_interiors_alike():
     b = np.r_[rng.integers(0, 9, 31).astype(np.uint64), core, rng.integers(0, 9, 9).astype(np.uint64)]
     inside = []
     for x, at in ((a, 13), (b, 31)):
-        name, lo, hi = recompress.recompress(x, np.array([0, len(x)]), 2)
+        name, lo, hi = recompress.recompress(x, np.array([0, len(x)]), 2)[-1]
         inside.append({(n, s - at, e - at) for n, s, e in zip(name.tolist(), lo.tolist(), hi.tolist(), strict=True) if s >= at and e <= at + 60})
     assert inside[0] == inside[1] and inside[0]
 
 
-@pytest.mark.parametrize("tile", [1024, 3])
+@pytest.mark.parametrize("tile", [1024, 3, 1])
 def test_near_duplicates(spark, tile):
     rows = corpus(5)
     got = {(r.doc_id): (r.class_id, r.n_links, r.group_id) for r in jaccard.near_duplicates(table(spark, [r for r in rows if r[0] != 7 or rows.index(r) == 7]).repartition(4), tile=tile).collect() if r.doc_id is not None}
@@ -195,7 +196,7 @@ def test_top_k(spark):
     rows = [(int(i), [float(v) for v in r]) for i, r in enumerate(x)] + [(900, None), (950, [1.0, float("nan")] * 4), (1000, [1.0, None] * 4), (None, [1.0] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = {}
-    for r in topk.top_k(df.repartition(3), df.filter("vec_id % 50 = 0"), block=3).collect():
+    for r in topk.top_k(df.repartition(3), df.filter("vec_id % 50 = 0"), group=1).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.score, r.vec_id))
     y = np.floor(256 * x.astype(np.float64)).astype(np.int64)
     assert sorted(got) == list(range(0, 400, 50))
@@ -308,10 +309,17 @@ def test_edited_copies_that_come_often(spark, copies, score):
 def test_shared_words_bound_the_score():
     rng = np.random.default_rng(5)
     for _ in range(30):
-        item = rng.integers(0, 8, rng.integers(1, 12))
-        passages = [rng.integers(0, 8, rng.integers(1, 30)) for _ in range(20)]
-        best, _ = decontaminate.align(item, passages)
-        assert (best <= decontaminate.MATCH * decontaminate.shared(item, passages)).all()
+        texts = [" ".join(f"w{k}" for k in rng.integers(0, 8, rng.integers(3, 12))) for _ in range(4)]
+        items = decontaminate.Items(list(range(4)), texts, 3)
+        passages = [np.array([items.words[rng.integers(0, len(items.words))] if rng.random() < 0.8 else len(items.vocabulary) for _ in range(rng.integers(1, 30))]) for _ in range(20)]
+        hi = np.cumsum([len(p) for p in passages])
+        of = rng.integers(0, 4, 20)
+        most = items.shared(of, hi - np.array([len(p) for p in passages]), hi, np.concatenate(passages))
+        for k, p in enumerate(passages):
+            own = items.words[items.off[of[k]] : items.off[of[k] + 1]]
+            best, _ = decontaminate.align(own, [p])
+            assert best[0] <= decontaminate.MATCH * most[k]
+            assert most[k] == sum((Counter(own.tolist()) & Counter(p.tolist())).values())
 
 
 def test_align():
