@@ -35,7 +35,7 @@ from .gsaca import suffix_arrays
 
 SEED = 16
 #: Bits of a seed that are sent (a task's partition holds more; seeds that agree in them are looked at together), and of a context.
-SENT, CTX = 32, 96
+SENT, CTX = 32, 88
 SEEDS = {"seed": "var", "ctx": "var", "more": "var", "doc": "doc", "tag": "var", "pos": "var", "done": "var"}
 #: Kinds of replies, in the low two bits: the windows around the seed go; ask about them; the window goes.
 WHOLE, ASK, WINDOW = 0, 1, 2
