@@ -34,7 +34,7 @@ from .recompress import words_of
 
 BANDS, ROWS = 32, 4
 #: Classes of a tile.
-TILE = 1024
+TILE = 256
 #: Rows of one key that a join takes as they come; at most ``MOST_HOT`` keys have more, and those are broadcast.
 COMMON, MOST_HOT = 1000, 200_000
 #: Posterior probability below which a pair is dropped.
