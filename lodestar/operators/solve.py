@@ -73,30 +73,146 @@ def pell_solutions(d: int, count: int = 5) -> list[tuple[int, int]]:
     return out
 
 
-def numeric_roots(x: ast.Node, name: str, lo: float = -4 * math.pi, hi: float = 4 * math.pi, grid: int = 4001) -> list[float]:
-    """Sign changes on a grid, bisected; touching zeros by local minima of the size."""
-    t = np.linspace(lo, hi, grid)
-    v = np.real(np.broadcast_to(to_numpy(x, {name: t}), t.shape)).astype(float)
-    f = lambda z: float(np.real(to_numpy(x, {name: np.float64(z)})))
+#: Half the width of the window in which periodic equations are solved.
+WINDOW = 4 * math.pi
+PERIODIC = frozenset("sin cos tan cot sec csc gp_sin gp_cos gp_tan".split())
+
+
+def _bracketed(x: ast.Node, name: str, t: np.ndarray) -> list[float]:
+    """Sign changes between neighbours of t, bisected; touching zeros by local minima of the size."""
+    with np.errstate(all="ignore"):
+        v = np.real(np.broadcast_to(to_numpy(x, {name: t}), t.shape)).astype(float)
+
+    def f(z: float) -> float:
+        with np.errstate(all="ignore"):
+            return float(np.real(to_numpy(x, {name: np.float64(z)})))
+
     out = [float(z) for z in t[v == 0]]
-    for k in np.nonzero(np.isfinite(v[:-1]) & np.isfinite(v[1:]) & (v[:-1] * v[1:] < 0))[0]:
+    for k in np.nonzero(np.isfinite(v[:-1]) & np.isfinite(v[1:]) & (np.sign(v[:-1]) * np.sign(v[1:]) < 0))[0]:
         a, b, fa = t[k], t[k + 1], v[k]
-        for _ in range(80):
+        for _ in range(200):
             m = (a + b) / 2
+            if m in (a, b):
+                break
             fm = f(m)
-            a, b, fa = (m, b, fm) if fa * fm > 0 else (a, m, fa)
-        if abs(f((a + b) / 2)) < 1e-6:
-            out.append((a + b) / 2)
+            a, b, fa = (m, b, fm) if (fa > 0) == (fm > 0) else (a, m, fa)
+        # a pole changes sign too, but isn't small there
+        z = a if abs(f(a)) <= abs(f(b)) else b
+        if abs(f(z)) <= 1e-6 * max(1.0, min(abs(v[k]), abs(v[k + 1]))):
+            out.append(float(z))
     size = np.abs(v)
-    for k in np.nonzero((size[1:-1] < size[:-2]) & (size[1:-1] < size[2:]) & (size[1:-1] < 1e-4) & (v[:-2] * v[2:] > 0))[0] + 1:
+    for k in np.nonzero((size[1:-1] < size[:-2]) & (size[1:-1] < size[2:]) & (size[1:-1] < 1e-4) & (np.sign(v[:-2]) * np.sign(v[2:]) > 0))[0] + 1:
         a, b = t[k - 1], t[k + 1]
         for _ in range(100):
             p, q = a + (b - a) / 3, b - (b - a) / 3
             a, b = (a, q) if abs(f(p)) < abs(f(q)) else (p, b)
         if abs(f((a + b) / 2)) < 1e-10:
             out.append((a + b) / 2)
+    return out
+
+
+def numeric_roots(x: ast.Node, name: str, lo: float = -WINDOW, hi: float = WINDOW, grid: int = 4001, far: bool | None = None) -> list[float]:
+    """Real roots: on a grid of the window, and beyond it on grids of growing distance up to 1e15.
+
+    A periodic equation (``far`` false; found by its functions where None) has endless roots; those of the window are
+    listed, and farther ones only where it has none.
+    """
+    out = _bracketed(x, name, np.linspace(lo, hi, grid))
+    if far is None:
+        far = not out or not any(isinstance(n, ast.Call) and n.fn in PERIODIC for n in ast.walk(x))
+    if far:
+        away = np.geomspace(1, 1e14, 6000)
+        out += [z for z in _bracketed(x, name, hi + (away - 1) * max(1.0, abs(hi)))] + [z for z in _bracketed(x, name, (lo - (away - 1) * max(1.0, abs(lo)))[::-1])]
+        # and close to zero, where logarithms and quotients live
+        out += _bracketed(x, name, np.geomspace(1e-15, 1e-2, 2000)) + _bracketed(x, name, -np.geomspace(1e-15, 1e-2, 2000)[::-1])
     out.sort()
-    return [z for k, z in enumerate(out) if not k or z - out[k - 1] > 1e-9]
+    return [z for k, z in enumerate(out) if not k or z - out[k - 1] > 1e-9 * max(1.0, abs(z))]
+
+
+def _count(x: ast.Node, name: str) -> int:
+    return sum(isinstance(n, ast.Sym) and n.name == name for n in ast.walk(x))
+
+
+def unwound(x: ast.Node, name: str, value: float) -> list[float] | None:
+    """All real solutions of x = value by inverse functions, where the symbol stands once; None where that can't be told.
+
+    An empty list means that there are none.
+    """
+    if isinstance(x, ast.Sym):
+        return [value] if x.name == name else None
+    if not isinstance(x, ast.Call) or _count(x, name) != 1 or not math.isfinite(value):
+        return None
+    at = [k for k, a in enumerate(x.args) if _count(a, name)][0]
+    inner = x.args[at]
+    try:
+        other = [float(np.real(evaluate(a))) for k, a in enumerate(x.args) if k != at]
+    except (KeyError, TypeError, ValueError):
+        return None
+    if any(not math.isfinite(c) for c in other):
+        return None
+    c = other[0] if other else 0.0
+
+    def go(values: list[float]) -> list[float] | None:
+        found = [unwound(inner, name, v) for v in values]
+        return None if None in found else [z for r in found for z in r]
+
+    try:
+        match x.fn:
+            case "neg":
+                return go([-value])
+            case "add":
+                return go([value - c])
+            case "sub":
+                return go([value + c if at == 0 else c - value])
+            case "mul":
+                return go([value / c]) if c else None
+            case "div":
+                if at == 0:
+                    return go([value * c]) if c else None
+                return go([c / value]) if value and c else ([] if c else None)
+            case "pow" if at == 1:
+                if c <= 0 or c == 1:
+                    return None
+                return go([math.log(value) / math.log(c)]) if value > 0 else []
+            case "pow":
+                if c == int(c) and c:
+                    even = int(c) % 2 == 0
+                    if value == 0:
+                        return go([0.0]) if c > 0 else []
+                    if even:
+                        root = abs(value) ** (1 / c)
+                        return go([-root, root]) if value > 0 else []
+                    return go([math.copysign(abs(value) ** (1 / c), value)])
+                return (go([value ** (1 / c)]) if value > 0 else []) if c else None
+            case "sqrt":
+                return go([value * value]) if value >= 0 else []
+            case "exp":
+                return go([math.log(value)]) if value > 0 else []
+            case "log":
+                return go([math.exp(value)])
+            case "log2":
+                return go([2.0**value])
+            case "log10":
+                return go([10.0**value])
+            case "abs":
+                return go([-value, value] if value else [0.0]) if value >= 0 else []
+            case "asin" | "atan":
+                if abs(value) > math.pi / 2 or x.fn == "atan" and abs(value) == math.pi / 2:
+                    return []
+                return go([math.sin(value) if x.fn == "asin" else math.tan(value)])
+            case "acos":
+                return go([math.cos(value)]) if 0 <= value <= math.pi else []
+            case "sinh":
+                return go([math.asinh(value)])
+            case "tanh":
+                return go([math.atanh(value)]) if abs(value) < 1 else []
+            case "cosh":
+                return go([-math.acosh(value), math.acosh(value)] if value > 1 else [0.0]) if value >= 1 else []
+            case "sin" | "cos" if abs(value) > 1:
+                return []
+    except OverflowError:
+        return None
+    return None
 
 
 def solve_equation(equation: str, name: str | None = None) -> Result:
@@ -133,8 +249,14 @@ def solve_equation(equation: str, name: str | None = None) -> Result:
             real = sorted({round(v.real, 12) for v in values if abs(v.imag) < 1e-8})
             real = [v for v in real if abs(evaluate(f, **{name: v})) < 1e-6]
             return Result(True, "equation", [text_number(v) for v in real], real)
+        for own, rest in ((a, b), (b, a)):
+            if _count(own, name) == 1 and not _count(rest, name):
+                real = unwound(own, name, float(np.real(evaluate(rest))))
+                if real is not None:
+                    real = sorted({float(round(v)) if abs(v - round(v)) < 1e-12 * max(1.0, abs(v)) else v for v in real})
+                    return Result(bool(real), "equation", [text_number(v) for v in real], real, None if real else "no real solution", None if real else "NO_SOLUTION")
         real = numeric_roots(f, name)
-        return Result(bool(real), "equation", [text_number(v) for v in real], real, None if real else "no root found", None if real else "NO_SOLUTION")
+        return Result(bool(real), "equation", [text_number(v) for v in real], real, None if real else "no root was found numerically", None if real else "NOT_FOUND")
     except FormulaError as e:
         return Result(False, "equation", error=str(e), error_code=e.code)
     except (KeyError, ValueError, ZeroDivisionError) as e:

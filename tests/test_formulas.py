@@ -154,3 +154,32 @@ def test_numpy_guards():
     assert np.isfinite(to_numpy(parse("x"), {"x": x})).all()
     assert LIBRARY["plog"].numpy(x).tolist()[1] == pytest.approx(math.log(1e-10))
     assert LIBRARY["gp_round"].numpy(np.array([2.5])).tolist() == [2.0] and LIBRARY["round"].numpy(np.array([2.5])).tolist() == [3.0]
+
+
+@pytest.mark.parametrize(
+    ("formula", "at", "want"),
+    [
+        ("1.00005+x", 0.0, 1.00005), ("x/100000+0.00003", 0.0, 0.00003), ("sin(x)/x", 0.0, 1.0), ("(1-cos(x))/x^2", 0.0, 0.5), ("(x^3-1)/(x-1)", 1.0, 3.0), ("(3^x-1)/x", 0.0, math.log(3)),
+        ("x*log(x)", 0.0, 0.0), ("log(x)", 0.0, -math.inf), ("1/x^2", 0.0, math.inf), ("abs(x)/x", 0.0, math.nan), ("sin(1/x)", 0.0, math.nan), ("(1+1/x)^x", math.inf, math.e), ("log(x)/x", math.inf, 0.0),
+        ("1/log(x)", math.inf, 0.0), ("sqrt(x^2+x)-x", math.inf, 0.5), ("exp(x)", math.inf, math.inf), ("sin(x)", math.inf, math.nan), ("atan(x)", math.inf, math.pi / 2), ("exp(x)", -math.inf, 0.0),
+    ],
+)
+def test_limits(formula, at, want):
+    assert cas.limit(parse(formula), "x", at) == pytest.approx(want, rel=1e-8, abs=1e-12, nan_ok=True)
+
+
+@pytest.mark.parametrize(
+    ("equation", "want"),
+    [
+        ("log(x)=5", [math.exp(5)]), ("exp(x)=1000000", [math.log(1e6)]), ("2^x=100000", [math.log2(1e5)]), ("sqrt(x)=20", [400]), ("log(x)+x=1000", [993.0991694723891]), ("sqrt(x)+x=1000000", [999000.49987506246]),
+        ("1/x+log(x)=3", [0.22196368406307, 19.05883745772271]), ("x*log(x)=1000000", [87847.5395778]), ("10^x=1e-8", [-8]), ("abs(x-3)=2", [1, 5]), ("x=cos(x)", [0.739085133215]), ("x^2.5=32", [4]),
+    ],
+)
+def test_equations_beyond_any_window(equation, want):
+    got = solve.solve_equation(equation)
+    assert got.ok and got.approx == pytest.approx(want, rel=1e-9)
+
+
+def test_no_solution_is_said_only_where_it_is_known():
+    assert [solve.solve_equation(e).error_code for e in ("exp(x)=-1", "sin(x)=2", "sqrt(x)=-1", "exp(x)=x")] == ["NO_SOLUTION"] * 3 + ["NOT_FOUND"]
+    assert len(solve.solve_equation("sin(x)=0.5").approx) == 8
