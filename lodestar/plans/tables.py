@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.compile import scrubbed_sql, to_sql
@@ -460,9 +461,9 @@ def discover_by_supplier(spark, sf):
     return only(ladder_by_key(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", ["l_suppkey"]).select("l_suppkey", "how", "r2"))
 
 
-@R.query()
+@R.query("SELECT CASE WHEN max(p_partkey) >= 1000 THEN '900 + (1/10)*mod(p_partkey, 1000)' ELSE '900 + (1/10)*p_partkey' END AS formula, 0.0::DOUBLE AS mse, 1.0::DOUBLE AS r2, count(*) AS n FROM part")
 def discover_part_price(spark, sf):
-    return find(table(spark, sf, "part"), ["p_partkey"], "p_retailprice").frame(spark)
+    return only(find(table(spark, sf, "part"), ["p_partkey"], "p_retailprice").frame(spark), "formula", "mse", "r2", "n")
 
 
 @R.query(f"SELECT CAST(epoch_us(date_trunc('day', ts)) / 1000000 AS BIGINT) AS day, count(*) AS n, {rd('regr_slope(value, event_id)', 5)} AS slope FROM events GROUP BY 1")
@@ -544,19 +545,119 @@ _LIB = {"q": "q", "d": "d", "t": "t", "q^2": "q^2", "q*d": "q*d", "q*t": "q*t",
 def _lib_gram(spark, sf):
     return gram.gram(project.build_features(_supplier_law(spark, sf), _LIB, ["y"]), list(_LIB), "y")
 
+# y = 3 q - 40 d + 7 and a small pattern: what each method must come to is the least-squares plane of q and d
+_PLANE = "SELECT l_quantity AS a, l_discount AS b, l_quantity * 3 - l_discount * 40 + 7 + (l_orderkey % 7) * 0.001::DOUBLE AS y FROM lineitem"
+_PLANE = f"SELECT covar_pop(a, a) AS saa, covar_pop(b, b) AS sbb, covar_pop(a, b) AS sab, covar_pop(a, y) AS say, covar_pop(b, y) AS sby, var_pop(y) AS syy, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, count(*) AS n FROM ({_PLANE})"
+_TERMS = f"SELECT 'q' AS term, {rd(_C1, 4)} AS coefficient FROM ({_PLANE}) UNION ALL SELECT 'd', {rd(_C2, 4)} FROM ({_PLANE}) UNION ALL SELECT '1', {rd(f'my - ({_C1}) * ma - ({_C2}) * mb', 4)} FROM ({_PLANE})"
+_SSE = f"(n * greatest(syy - ({_C1}) * say - ({_C2}) * sby, 0))"
+
+
+def _keyed_law(spark, sf):
+    return _supplier_law(spark, sf).withColumn("id", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+
+
+@R.query(_TERMS)
+def omp_select(spark, sf):
+    """Two terms of eleven by orthogonal matching pursuit."""
+    return _fit_frame(spark, regress.omp(_lib_gram(spark, sf), 2))
+
+
+@R.query(_TERMS)
+def bfss(spark, sf):
+    """The best of all subsets of one to three features."""
+    return _fit_frame(spark, regress.best_subsets(_lib_gram(spark, sf)))
+
+
+@R.query(_TERMS)
+def ransac(spark, sf):
+    return _fit_frame(spark, robust.ransac(_keyed_law(spark, sf), ["q", "d"], "y", "id", 20)[0])
+
+
+@R.query(_TERMS)
+def irls(spark, sf):
+    """Huber weights on residuals without outliers are all one."""
+    return _fit_frame(spark, robust.irls(_supplier_law(spark, sf), ["q", "d"], "y", "huber", 5))
+
+
+@R.query(_TERMS.replace("'d', ", "'100*d', ").replace(rd(_C2, 4), rd(f"({_C2}) / 100", 4)))
+def stlsq(spark, sf):
+    """Thresholding drops the feature that isn't in the law; lengths of columns are alike, as pruning asks."""
+    lib = {"q": "q", "100*d": "100*d", "100*t": "100*t"}
+    wide = project.build_features(_supplier_law(spark, sf), lib, ["y"])
+    return _fit_frame(spark, regress.stlsq(gram.gram(wide, list(lib), "y"), 0.5))
+
+
+@R.query(f"SELECT {rd(f'greatest(abs(say) / sqrt(saa), abs(sby) / sqrt(sbb))', 4)} AS top_alpha, 0 AS first_terms, 'q' AS first_feature, true AS holds FROM ({_PLANE})")
+def lasso_path(spark, sf):
+    """The path starts where all is zero, lets the strongest feature in first, and its best BIC is the law's."""
+    g = gram.gram(project.build_features(_supplier_law(spark, sf), {"q": "q", "d": "d", "t": "t"}, ["y"]), ["q", "d", "t"], "y")
+    path = regress.lasso_path(g, 24)
+    terms = [[k for k, v in f.coefficients.items() if abs(v) > 1e-9] for _, f, _ in path]
+    best = min(range(len(path)), key=lambda k: path[k][2])
+    first = next((t for t in terms if t), [""])
+    return spark.createDataFrame([(round(path[0][0], 4), len(terms[0]), first[0], {"q", "d"} <= set(terms[best]))], "top_alpha double, first_terms int, first_feature string, holds boolean")
+
+
+@R.query(f"SELECT term, coefficient AS estimate, true AS covers FROM ({_TERMS})")
+def bootstrap_ci(spark, sf):
+    """Estimates, and whether their intervals hold them."""
+    found = robust.bootstrap(_keyed_law(spark, sf), ["q", "d"], "y", "id", 100)
+    return spark.createDataFrame([("1" if k == "intercept" else k, round(e, 4), bool(lo <= e <= hi and hi - lo < 0.01)) for k, (e, lo, hi) in found.items()], "term string, estimate double, covers boolean")
+
+
+@R.query(f"SELECT term, true AS near FROM ({_TERMS})")
+def monte_carlo_errors(spark, sf):
+    """Means within five standard errors of the fit's, deviations within a third of the textbook's."""
+    own = _keyed_law(spark, sf).withColumn("sigma", F.lit(0.1))
+    g = gram.gram(own, ["q", "d"], "y")
+    inv = np.linalg.inv(g.xx)
+    want = dict(zip(("q", "d"), 0.1 * np.sqrt(np.diag(inv)), strict=True)) | {"intercept": 0.1 * float(np.sqrt(1 / g.n + g.mean[:-1] @ inv @ g.mean[:-1]))}
+    fit = regress.solve(g, ["q", "d"])
+    base = fit.coefficients | {"intercept": fit.intercept}
+    rows = [("1" if k == "intercept" else k, bool(abs(m - base[k]) < 5 * want[k] / 200**0.5 and abs(s / want[k] - 1) < 1 / 3)) for k, (m, s) in robust.monte_carlo(own, ["q", "d"], "y", "sigma", "id", 200).items()]
+    return spark.createDataFrame(rows, "term string, near boolean")
+
+
+# Student's quantile at 0.975 by its expansion in 1 / degrees of freedom (error under 1e-6 from 100 on)
+_Z = 1.959963984540054
+_T = f"({_Z} + {(_Z**3 + _Z) / 4} / (n - 3) + {(5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96} / ((n - 3) * (n - 3)))"
+_DA, _DB = "(l_quantity - ma)", "(l_discount - mb)"
+_HALF = f"{_T} * sqrt({_SSE} / (n - 3)) * sqrt(1 + 1.0::DOUBLE / n + ({_DA} * {_DA} * sbb - 2 * {_DA} * {_DB} * sab + {_DB} * {_DB} * saa) / (n * (saa * sbb - sab * sab)))"
+_PRED = f"(my + ({_C1}) * {_DA} + ({_C2}) * {_DB})"
+
+
+@R.query(f"SELECT l_orderkey, l_linenumber, {rd(_PRED, 4)} AS prediction, {rd(f'{_PRED} - {_HALF}', 4)} AS lower, {rd(f'{_PRED} + {_HALF}', 4)} AS upper FROM lineitem, ({_PLANE})")
+def prediction_interval(spark, sf):
+    own = _supplier_law(spark, sf)
+    return only(robust.prediction_interval(own, gram.gram(own, ["q", "d"], "y")), "l_orderkey", "l_linenumber", "prediction", "lower", "upper", digits=4)
+
+
+@R.query("SELECT * FROM (VALUES ('q', 'y', true), ('d', 'y', true)) AS t (src, dst, directed)")
+def pc_skeleton(spark, sf):
+    """q and d are independent causes of y, and t is none."""
+    return causal.pc(_supplier_law(spark, sf), ["q", "d", "t", "y"]).frame(spark)
+
+
+# the derivative of the trigonometric interpolant, by its closed differentiation matrix
+_EVEN = "CASE WHEN k = 0 THEN 0 WHEN n % 2 = 0 THEN 0.5 * CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END / tan(pi() * k / n) ELSE 0.5 * CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END / sin(pi() * k / n) END"
+
+
+@R.query(f"WITH s AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n, (max(t) OVER (PARTITION BY user_id) - min(t) OVER (PARTITION BY user_id)) / nullif(count(*) OVER (PARTITION BY user_id) - 1, 0) AS h FROM {EVENTS}), p AS (SELECT a.event_id, a.n, a.h, b.value, a.i - b.i AS k FROM s a JOIN s b USING (user_id)) SELECT event_id, {rd(f'2 * pi() / (n * nullif(h, 0)) * sum(value * ({_EVEN}))', 5)} AS dx FROM p GROUP BY event_id, n, h")
+def fft_derivative(spark, sf):
+    return only(series.spectral_derivative(events(spark, sf), "t", "value", K, "event_id").select("event_id", "dx"), digits=5)
+
 
-R.add("omp_select", lambda s, d: _fit_frame(s, regress.omp(_lib_gram(s, d), 3)))
-R.add("lasso_path", lambda s, d: s.createDataFrame([(float(a), sum(abs(v) > 1e-9 for v in f.coefficients.values()), float(b)) for a, f, b in regress.lasso_path(_lib_gram(s, d), 12)], "alpha double, terms int, bic double"))
-R.add("bfss", lambda s, d: _fit_frame(s, regress.best_subsets(_lib_gram(s, d))))
-R.add("stlsq", lambda s, d: _fit_frame(s, regress.stlsq(_lib_gram(s, d), 0.5)))
-R.add("ransac", lambda s, d: _fit_frame(s, robust.ransac(_supplier_law(s, d).withColumn("id", F.col("l_orderkey") * 8 + F.col("l_linenumber")), ["q", "d"], "y", "id", 20)[0]))
-R.add("irls", lambda s, d: _fit_frame(s, robust.irls(_supplier_law(s, d), ["q", "d"], "y", "huber", 5)))
-R.add("bootstrap_ci", lambda s, d: s.createDataFrame([(k, *map(float, v)) for k, v in robust.bootstrap(_supplier_law(s, d).withColumn("id", F.col("l_orderkey") * 8 + F.col("l_linenumber")), ["q", "d"], "y", "id", 100).items()], "term string, estimate double, low double, high double"))
-R.add("prediction_interval", lambda s, d: (lambda own: robust.prediction_interval(own, gram.gram(own, ["q", "d"], "y")).select("l_orderkey", "l_linenumber", "prediction", "lower", "upper"))(_supplier_law(s, d)))
-R.add("pc_skeleton", lambda s, d: causal.pc(_supplier_law(s, d), ["q", "d", "t", "y"]).frame(s))
-R.add("fft_derivative", lambda s, d: series.spectral_derivative(events(s, d), "t", "value", K, "event_id").select("event_id", "dx"))
 R.add("tv_derivative", lambda s, d: series.tv_derivative(events(s, d), "t", "value", K, "event_id").select("event_id", "dx"))
-R.add("pi_groups", lambda s, d: s.createDataFrame([(str(g),) for g in units.pi_groups({"F": units.Dimension.of("N"), "rho": units.Dimension.of("kg/m^3"), "v": units.Dimension.of("m/s"), "L": units.Dimension.of("m")})], "products string"))
+
+
+@R.query("SELECT 'F' AS name, 1 AS power UNION ALL SELECT 'rho', -1 UNION ALL SELECT 'v', -2 UNION ALL SELECT 'L', -2")
+def pi_groups(spark, sf):
+    """The drag number is the one group of force, density, speed and length."""
+    of = units.Dimension.of
+    groups = units.pi_groups({"F": of("N"), "rho": of("kg/m^3"), "v": of("m/s"), "L": of("m")})
+    return spark.createDataFrame([(k, int(v)) for g in groups for k, v in g.items()], "name string, power int")
+
+
 R.add("gp_search", lambda s, d: search(table(s, d, "part").select(F.col("p_size").cast("double").alias("x"), (F.col("p_size") * F.col("p_size") + 1.0).alias("y")), ["x"], "y", Config(population=100, islands=2, generations=15, seconds=8)).frame(s))
 
 
@@ -564,12 +665,37 @@ def _decay(spark, sf):
     return spark.range(400).select(F.lit(1).alias("k"), "id", (F.col("id") * 0.01).alias("t")).withColumn("x", F.exp(-F.col("t")))
 
 
-R.add("ode_discover", lambda s, d: s.createDataFrame([(e,) for e in dynamics.sindy(_decay(s, d), "t", ["x"], ["k"], "id").equations()] + [(dynamics.linear_ode(_decay(s, d), "t", "x", ["k"], "id")[0],)], "equation string"))
-R.add("implicit_ode", lambda s, d: s.createDataFrame([dynamics.implicit_ode(_decay(s, d).withColumn("x", F.sin("t")), "t", "x", ["k"], "id", 1)], "equation string, residual double"))
-R.add("autonomous_ode", lambda s, d: _fit_frame(s, dynamics.autonomous(_decay(s, d).withColumn("x", 1 / (1 + F.exp(-F.col("t")))), "t", "x", ["k"], "id", 2)))
-R.add("monte_carlo_errors", lambda s, d: s.createDataFrame([(k, *map(float, v)) for k, v in robust.monte_carlo(_supplier_law(s, d).withColumn("id", F.col("l_orderkey") * 8 + F.col("l_linenumber")).withColumn("sigma", F.lit(0.1)), ["q", "d"], "y", "sigma", "id", 50).items()], "term string, mean double, deviation double"))
-R.add("unit_monomials", lambda s, d: s.createDataFrame([(f,) for f in units.consistent_monomials({"m": units.Dimension.of("kg"), "v": units.Dimension.of("m/s"), "L": units.Dimension.of("m")}, units.Dimension.of("J"))], "formula string"))
+@R.query("SELECT 'sparse' AS method, 'dx/dt = -x' AS equation UNION ALL SELECT 'linear', 'y'' + y = 0'")
+def ode_discover(spark, sf):
+    own = _decay(spark, sf)
+    return spark.createDataFrame([("sparse", e) for e in dynamics.sindy(own, "t", ["x"], ["k"], "id").equations()] + [("linear", dynamics.linear_ode(own, "t", "x", ["k"], "id")[0])], "method string, equation string")
+
+
+@R.query("SELECT 'y + y'''' = 0' AS equation, true AS small")
+def implicit_ode(spark, sf):
+    """A sine satisfies the oscillator's equation."""
+    equation, residual = dynamics.implicit_ode(_decay(spark, sf).withColumn("x", F.sin("t")), "t", "x", ["k"], "id", 1)
+    return spark.createDataFrame([(equation, residual < 1e-3)], "equation string, small boolean")
+
+
+@R.query("SELECT * FROM (VALUES ('x', 1.0::DOUBLE), ('x^2', -1.0::DOUBLE), ('1', 0.0::DOUBLE)) AS t (term, coefficient)")
+def autonomous_ode(spark, sf):
+    """The logistic curve's law is x (1 - x)."""
+    own = _decay(spark, sf).withColumn("x", 1 / (1 + F.exp(-F.col("t"))))
+    return only(_fit_frame(spark, dynamics.autonomous(own, "t", "x", ["k"], "id", 2)), digits=2)
+
+
+@R.query("SELECT 'm*v^2' AS formula")
+def unit_monomials(spark, sf):
+    of = units.Dimension.of
+    return spark.createDataFrame([(f,) for f in units.consistent_monomials({"m": of("kg"), "v": of("m/s"), "L": of("m")}, of("J"))], "formula string")
+
+
+@R.query("SELECT 'x^3 - 2*x' AS formula")
+def exact_interpolation(spark, sf):
+    return spark.createDataFrame([(exact.polynomial_text(exact.interpolate([(k, k**3 - 2 * k) for k in range(5)])),)], "formula string")
+
+
 R.add("detect_patterns", lambda s, d: detect.detect(_law(s, d), "x", "y", "p_partkey"))
-R.add("exact_interpolation", lambda s, d: s.createDataFrame([(exact.polynomial_text(exact.interpolate([(k, k**3 - 2 * k) for k in range(5)])),)], "formula string"))
 R.add("equation_table", lambda s, d: feynman.equation_table(s))
 R.add("feynman_benchmark", lambda s, d: feynman.run(s, ["friction", "potential", "gas_energy"], 60))
