@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import chi2_sf, normal_cdf
 from .gram import gram, solve
+from .quantile import percentiles
 
 
 def correlations(df: DataFrame, cols: list[str]) -> tuple[np.ndarray, float]:
@@ -38,10 +39,10 @@ def g_squared(df: DataFrame, a: str, b: str, given: list[str] | None = None, bin
     """G2 statistic and degrees of freedom over quantile bins, summed over strata of the given columns' bins."""
     given = given or []
     cols = [a, b, *given]
-    edges = df.agg(*[F.percentile(c, F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias(c) for c in cols])
-    cut = df.select(*[F.col(c).alias(f"v_{c}") for c in cols]).crossJoin(F.broadcast(edges))
-    below = lambda c: F.size(F.filter(c, lambda e: e <= F.col(f"v_{c}")))
-    binned = cut.select(*[below(c).alias(f"b_{c}") for c in cols])
+    # one row of bins - 1 numbers a column
+    edges = {c: (percentiles(df, F.col(c), [k / bins for k in range(1, bins)]).first() or [None])[0] or [] for c in cols}
+    below = lambda c: sum((F.when(F.col(c) >= e, 1).otherwise(0) for e in edges[c]), F.lit(0))
+    binned = df.select(*[below(c).alias(f"b_{c}") for c in cols])
     z = [f"b_{c}" for c in given]
     cells = binned.groupBy(f"b_{a}", f"b_{b}", *z).agg(F.count("*").alias("o"))
     total = lambda *by: F.sum("o").over(Window.partitionBy(*by)) if by else F.sum("o").over(Window.partitionBy(F.lit(1)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantile import median
+
 
 def mse(y: Column, p: Column, weight: Column | None = None) -> Column:
     e = (y - p) * (y - p)
@@ -49,9 +51,9 @@ def max_residual(y: Column, p: Column) -> Column:
 
 def relative_mse(df: DataFrame, y: str, p: str) -> DataFrame:
     """Mean of ((y - p) / (|y| + eps))^2 with eps from the median size."""
-    eps = df.agg(F.greatest(F.percentile(F.abs(F.col(y)), 0.5) * 1e-10, F.lit(1e-100)).alias("__eps"))
-    e = (F.col(y) - F.col(p)) / (F.abs(F.col(y)) + F.col("__eps"))
-    return df.crossJoin(F.broadcast(eps)).agg(F.avg(e * e).alias("relative_mse"))
+    eps = max((median(df, F.abs(F.col(y))) or 0.0) * 1e-10, 1e-100)
+    e = (F.col(y) - F.col(p)) / (F.abs(F.col(y)) + F.lit(eps))
+    return df.agg(F.avg(e * e).alias("relative_mse"))
 
 
 def anchor_weights(df: DataFrame, x: str) -> DataFrame:
@@ -63,7 +65,7 @@ def anchor_weights(df: DataFrame, x: str) -> DataFrame:
 
 def skew_ratio(df: DataFrame, y: str) -> DataFrame:
     a = F.abs(F.col(y))
-    return df.agg((F.max(a) / F.percentile(a, 0.5)).alias("skew_ratio"), (F.max(y) - F.min(y)).alias("y_range"))
+    return df.agg((F.max(a) / F.lit(median(df, a))).alias("skew_ratio"), (F.max(y) - F.min(y)).alias("y_range"))
 
 
 def slope_histogram(df: DataFrame, x: str, y: str, keys: list[str], tie: str, least: int = 2) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import ast
 from ..functions.compile import to_column
 from ..functions.parse import parse
+from .quantile import median, percentiles
 
 INF = float("inf")
 
@@ -97,8 +98,8 @@ def minmax(df: DataFrame, col: str) -> DataFrame:
 def scale_by_median(df: DataFrame, col: str, ratio: float = 1000.0) -> tuple[DataFrame, float]:
     """Divides by the median size if the greatest is over ``ratio`` times that; and the divisor."""
     a = F.abs(F.col(col))
-    row = df.agg(F.percentile(a, 0.5).alias("m"), F.max(a).alias("x")).first()
-    by = float(row.m) if row.m and row.x / row.m > ratio else 1.0
+    m, x = median(df, a), df.agg(F.max(a)).first()[0]
+    by = float(m) if m and x / m > ratio else 1.0
     return df.withColumn(col, F.col(col) / by), by
 
 
@@ -122,7 +123,7 @@ def outliers(df: DataFrame, col: str, method: str = "mad", keys: list[str] | Non
     grouped = lambda d: d.groupBy(*keys) if keys else d.groupBy()
     if method == "iqr":
         k = 1.5 if threshold is None else threshold
-        both = joined(df, grouped(df).agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("__q")))
+        both = joined(df, percentiles(df, v, [0.25, 0.75], keys))
         lo, hi = F.col("__q")[0], F.col("__q")[1]
         return both.withColumn("is_outlier", (v < lo - k * (hi - lo)) | (v > hi + k * (hi - lo))).drop("__q")
     if method == "zscore":
@@ -130,9 +131,9 @@ def outliers(df: DataFrame, col: str, method: str = "mad", keys: list[str] | Non
         both = joined(df, grouped(df).agg(F.avg(v).alias("__m"), F.stddev_pop(v).alias("__s")))
         return both.withColumn("is_outlier", F.coalesce(F.abs(v - F.col("__m")) > k * F.col("__s"), F.lit(False))).drop("__m", "__s")
     k = 3.5 if threshold is None else threshold
-    both = joined(df, grouped(df).agg(F.percentile(v, 0.5).alias("__m")))
+    both = joined(df, percentiles(df, v, [0.5], keys).withColumn("__m", F.col("__q")[0]).drop("__q"))
     dev = both.withColumn("__d", F.abs(v - F.col("__m")))
-    both = joined(dev, grouped(dev).agg(F.percentile("__d", 0.5).alias("__mad")))
+    both = joined(dev, percentiles(dev, F.col("__d"), [0.5], keys).withColumn("__mad", F.col("__q")[0]).drop("__q"))
     return both.withColumn("is_outlier", F.coalesce(F.col("__d") > k * F.col("__mad") / 0.6745, F.lit(False))).drop("__m", "__d", "__mad")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import t_ppf, t_sf2
 from .gram import Fit, Gram, gram, solve
+from .quantile import median, percentiles
 
 
 def predicted(fit: Fit) -> Column:
@@ -28,8 +29,7 @@ def irls(df: DataFrame, names: list[str], y: str, loss: str = "huber", rounds: i
     fit = solve(gram(df, names, y))
     for _ in range(rounds):
         r = F.col(y) - predicted(fit)
-        med = df.agg(F.percentile(r, 0.5).alias("m")).first().m
-        scale = (df.agg(F.percentile(F.abs(r - F.lit(med)), 0.5).alias("m")).first().m or 0.0) / 0.6745
+        scale = (median(df, F.abs(r - F.lit(median(df, r)))) or 0.0) / 0.6745
         if scale < 1e-12:
             break
         u = F.abs(r) / F.lit(scale)
@@ -45,9 +45,9 @@ def irls(df: DataFrame, names: list[str], y: str, loss: str = "huber", rounds: i
 def irls_weights(df: DataFrame, y: str, p: str, keys: list[str]) -> DataFrame:
     """One reweighting step within keys: residual scale and mean Huber weight."""
     r = F.col(y) - F.col(p)
-    med = df.groupBy(*keys).agg(F.percentile(r, 0.5).alias("__m"))
+    med = percentiles(df, r, [0.5], keys).withColumn("__m", F.col("__q")[0]).drop("__q")
     dev = df.join(med, keys).withColumn("__r", r).withColumn("__d", F.abs(r - F.col("__m")))
-    scale = dev.groupBy(*keys).agg((F.percentile("__d", 0.5) / 0.6745).alias("scale"))
+    scale = percentiles(dev, F.col("__d"), [0.5], keys).withColumn("scale", F.col("__q")[0] / 0.6745).drop("__q")
     own = dev.join(scale, keys).filter("scale > 0")
     w = F.least(F.lit(1.0), F.try_divide(F.lit(1.345) * F.col("scale"), F.abs("__r")))
     return own.groupBy(*keys).agg(F.max("scale").alias("scale"), F.avg(F.coalesce(w, F.lit(1.0))).alias("mean_weight"))
@@ -59,7 +59,7 @@ def ransac(df: DataFrame, names: list[str], y: str, row_id: str, trials: int = 1
     The threshold is three times the median residual of the plain fit.
     """
     base = solve(gram(df, names, y))
-    limit = 3 * (df.agg(F.percentile(F.abs(F.col(y) - predicted(base)), 0.5).alias("m")).first().m or 0.0)
+    limit = 3 * (median(df, F.abs(F.col(y) - predicted(base))) or 0.0)
     need = len(names) + 1
     n = df.count()
     sample = df.filter(F.pmod(F.xxhash64(row_id, F.lit(seed)), F.lit(1_000_000)) < min(1.0, 40 * need / max(n, 1) + 0.05) * 1_000_000).orderBy(F.xxhash64(row_id, F.lit(seed))).limit(2000).select(*names, y).collect()
@@ -81,7 +81,7 @@ def auto(df: DataFrame, names: list[str], y: str, row_id: str) -> tuple[str, Fit
     """ransac, huber or ols, by the share of rows over 3.5 deviations from the plain fit."""
     base = solve(gram(df, names, y))
     r = F.abs(F.col(y) - predicted(base))
-    mad = df.agg(F.percentile(r, 0.5).alias("m")).first().m or 0.0
+    mad = median(df, r) or 0.0
     share = df.agg(F.avg((r > 3.5 * mad / 0.6745).cast("double")).alias("s")).first().s or 0.0
     if share > 0.2:
         return "ransac", ransac(df, names, y, row_id)[0]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.compile import scrubbed_sql, to_sql
 from ..functions.parse import parse
-from ..operators import causal, detect, dynamics, exact, gram, match, pareto, project, regress, robust, series, solve, units
+from ..operators import causal, detect, dynamics, exact, gram, match, pareto, project, quantile, regress, robust, series, solve, units
 from ..operators.discover import find, ladder_by_key
 from ..operators.genetic import Config, fitness, search
 from ..sources import feynman, readers
@@ -478,7 +478,9 @@ def windowed_line(spark, sf):
 @R.query(f"SELECT event_type, {rd('median(value)')} AS median, {rd('quantile_cont(value, 0.75) - quantile_cont(value, 0.25)')} AS iqr, {rd('var_pop(value)', 4)} AS variance, {rd('stddev_pop(value)')} AS deviation FROM events GROUP BY 1")
 def robust_stats(spark, sf):
     v = F.col("value")
-    own = table(spark, sf, "events").groupBy("event_type").agg(F.percentile(v, 0.5).alias("median"), (F.percentile(v, 0.75) - F.percentile(v, 0.25)).alias("iqr"), F.var_pop(v).alias("variance"), F.stddev_pop(v).alias("deviation"))
+    rows = table(spark, sf, "events")
+    q = quantile.percentiles(rows, v, [0.25, 0.5, 0.75], ["event_type"])
+    own = rows.groupBy("event_type").agg(F.var_pop(v).alias("variance"), F.stddev_pop(v).alias("deviation")).join(q, "event_type").withColumn("median", F.col("__q")[1]).withColumn("iqr", F.col("__q")[2] - F.col("__q")[0])
     return own.select("event_type", rounded("median").alias("median"), rounded("iqr").alias("iqr"), rounded("variance", 4).alias("variance"), rounded("deviation").alias("deviation"))
 
 

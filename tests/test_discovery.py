@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.compile import evaluate
 from lodestar.functions.parse import parse
-from lodestar.operators import causal, detect, dynamics, genetic, gram, regress, robust, series
+from lodestar.operators import causal, detect, dynamics, genetic, gram, quantile, regress, robust, series
 from lodestar.operators.discover import find, from_points
 from lodestar.sources import readers
 from lodestar.streaming import incremental
@@ -176,3 +176,20 @@ def test_periods_beyond_a_million_keys(spark, rows, period):
     assert discover._periodic(df, "id", "y") == [f"900 + (1/10)*mod(id, {period})"]
     # many rows of few keys
     assert discover._periodic(spark.range(1_100_000).select((F.col("id") % 40).alias("k"), (F.col("id") % 40 % 7).cast("double").alias("y")), "k", "y") == ["mod(k, 7)"]
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_quantiles_of_any_size_are_exact(spark, keys):
+    """The narrowing path, forced by a small limit, against the plain one: ties, heavy tails, huge and equal values."""
+    rng = np.random.default_rng(9)
+    values = np.r_[rng.normal(size=3000), np.exp(rng.normal(size=3000) * 20), np.zeros(500), [1e308, -1e308, 1e-300]]
+    rows = [("a" if i % 3 else "b", float(v)) for i, v in enumerate(values)] + [("c", 5.0)] * 700 + [("a", None), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    probs = [0.0, 0.001, 0.25, 0.5, 0.9, 0.999, 1.0]
+    got = {tuple(r[k] for k in keys): r["__q"] for r in quantile.percentiles(df, F.col("v"), probs, keys, limit=40).collect()}
+    for key in {tuple(r[:1]) if keys else () for r in rows if r[1] is not None}:
+        own = np.array([v for k, v in rows if v is not None and (not keys or k == key[0])])
+        lo, hi = np.quantile(own, probs, method="lower"), np.quantile(own, probs, method="higher")
+        at = np.array(probs) * (len(own) - 1)
+        assert got[key] == pytest.approx((lo + (hi - lo) * (at - np.floor(at))).tolist(), rel=1e-9, abs=1e-12)
+    assert quantile.median(df.filter("k = 'd'"), F.col("v")) is None
