@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.compile import complex_sql, to_column, to_sql
+from ..functions.compile import complex_sql, to_column
 from ..functions.library import BINARY, LIBRARY, UNARY
 from ..functions.parse import parse
 from ..functions.registry import Registry as Functions
 from ..operators import loss, project
 from .base import EVENTS, Registry, events, only, rd, rounded, table
+from .definitions import DEFINITIONS, DIGITS
 
 R = Registry()
 
@@ -72,11 +73,10 @@ def _scalar(name: str):
     def run(spark, sf):
         args = [f"a{k}" for k in range(LIBRARY[name].arity)]
         own = table(spark, sf, "part").selectExpr("p_partkey", *[f"{a} AS a{k}" for k, a in enumerate(_arguments(name, "spark"))])
-        return only(own.selectExpr("p_partkey", f"CAST({LIBRARY[name].spark.format(*args)} AS DOUBLE) AS value"))
+        return only(own.selectExpr("p_partkey", f"CAST({LIBRARY[name].spark.format(*args)} AS DOUBLE) AS value"), digits=DIGITS.get(name, 6))
 
     inner = ", ".join(f"{a} AS a{k}" for k, a in enumerate(_arguments(name, "duck")))
-    args = [f"a{k}" for k in range(LIBRARY[name].arity)]
-    sql = f"SELECT p_partkey, {rd('v')} AS value FROM (SELECT p_partkey, CAST({LIBRARY[name].duck.format(*args)} AS DOUBLE) AS v FROM (SELECT p_partkey, {inner} FROM part))"
+    sql = f"SELECT p_partkey, {rd('v', DIGITS.get(name, 6))} AS value FROM (SELECT p_partkey, CAST({DEFINITIONS[name]} AS DOUBLE) AS v FROM (SELECT p_partkey, {inner} FROM part))"
     return run, sql
 
 
@@ -277,6 +277,6 @@ def json_results(spark, sf):
 _FORM = parse("(2x + 1)/(x^2 + 1) + mod(x, 3) - abs(x - 20)")
 
 
-@R.query(f"SELECT p_partkey, {rd('v')} AS v FROM (SELECT p_partkey, {to_sql(_FORM, 'duck', {'x': 'CAST(p_size AS DOUBLE)'})} AS v FROM part)")
+@R.query(f"SELECT p_partkey, {rd('(2.0::DOUBLE * p_size + 1) / (p_size * p_size + 1) + p_size % 3 - abs(p_size - 20)')} AS v FROM part")
 def formula_evaluation(spark, sf):
     return only(table(spark, sf, "part").select("p_partkey", to_column(_FORM, {"x": "CAST(p_size AS DOUBLE)"}).alias("v")))

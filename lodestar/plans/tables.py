@@ -7,7 +7,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions.compile import scrubbed_sql, to_sql
+from ..functions.compile import scrubbed_sql
 from ..functions.parse import parse
 from ..operators import causal, detect, dynamics, exact, gram, match, pareto, project, quantile, regress, robust, series, solve, units
 from ..operators.discover import find, ladder_by_key
@@ -442,7 +442,7 @@ def feynman_eval(spark, sf):
 POPULATION = ["x", "x^2", "x+1", "sin(x)", "cos(x)", "exp(-x)", "log(x)", "sqrt(x)", "x*x-x", "2*x+3", "x/(x+1)", "abs(x-25)", "x^3/100", "tanh(x)", "atan(x)", "1/x", "min(x,10)", "max(x,10)", "floor(x/3)", "x-floor(x/2)"]
 
 
-@R.query(" UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS tree, {rd(f'avg((y - p)*(y - p))', 3)} AS mse FROM (SELECT p_retailprice AS y, {to_sql(parse(f), 'duck', {'x': 'CAST(p_size AS DOUBLE)'})} AS p FROM part)" for k, f in enumerate(POPULATION)))
+@R.query(" UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS tree, {rd(f'avg((y - p)*(y - p))', 3)} AS mse FROM (SELECT p_retailprice AS y, {f.replace('log(', 'ln(').replace('min(', 'least(').replace('max(', 'greatest(')} AS p FROM (SELECT p_retailprice, CAST(p_size AS DOUBLE) AS x FROM part))" for k, f in enumerate(POPULATION)))
 def gp_population_fitness(spark, sf):
     own = table(spark, sf, "part").select(F.col("p_size").alias("x"), F.col("p_retailprice").alias("y"))
     scores = fitness(own, ["x"], "y", [parse(f) for f in POPULATION])
@@ -519,7 +519,7 @@ def causal_effect(spark, sf):
 _NEG = list(project.monomials(["q", "d"], 2, negative=True).values())
 
 
-@R.query("SELECT p_partkey, " + ", ".join(f"{rd(to_sql(parse(f), 'duck', {'q': 'q', 'd': 'd'}))} AS m{k}" for k, f in enumerate(_NEG)) + " FROM (SELECT p_partkey, p_size / 4.0::DOUBLE AS q, p_retailprice / 500 AS d FROM part)")
+@R.query("SELECT p_partkey, " + ", ".join(f"{rd(f if f != '1' else '1.0::DOUBLE')} AS m{k}" for k, f in enumerate(_NEG)) + " FROM (SELECT p_partkey, p_size / 4.0::DOUBLE AS q, p_retailprice / 500 AS d FROM part)")
 def monomials_negative(spark, sf):
     own = table(spark, sf, "part").select("p_partkey", (F.col("p_size") / 4.0).alias("q"), (F.col("p_retailprice") / 500).alias("d"))
     return only(project.build_features(own, {f"m{k}": f for k, f in enumerate(_NEG)}, ["p_partkey"]))
@@ -528,7 +528,7 @@ def monomials_negative(spark, sf):
 _SCRUB = parse("log(x - 5)/(x - 10) + sqrt(x - 20)")
 
 
-@R.query(f"SELECT p_partkey, {rd('v')} AS v FROM (SELECT p_partkey, {scrubbed_sql(_SCRUB, 'duck', {'x': 'CAST(p_size AS DOUBLE)'})} AS v FROM part)")
+@R.query(f"SELECT p_partkey, {rd('CASE WHEN p_size > 5 AND p_size <> 10 THEN ln(p_size - 5) / (p_size - 10) ELSE 0 END + CASE WHEN p_size >= 20 THEN sqrt(p_size - 20) ELSE 0 END')} AS v FROM part")
 def scrubbed_evaluation(spark, sf):
     return only(table(spark, sf, "part").select("p_partkey", F.expr(scrubbed_sql(_SCRUB, "spark", {"x": "CAST(p_size AS DOUBLE)"})).alias("v")))
 
