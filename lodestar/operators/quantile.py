@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Values of a group that one buffer may hold.
@@ -45,15 +45,20 @@ def percentiles(df: DataFrame, value: Column, probs: list[float], keys: list[str
     return each.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("__j", "__x"))), lambda s: s["__x"]).alias("__q"))
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Brackets, a few rows a group: written to the shared checkpoint folder, which cuts lineage."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The application's folder below the shared checkpoint folder (a local one only in local mode, where none is set)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.gettempdir() + "/lodestar-checkpoints"
-    path = f"{base.rstrip('/')}/quantiles-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/tables-{spark.sparkContext.applicationId}"
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """Brackets, a few rows a group: written to the shared folder, which cuts lineage."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/quantiles-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

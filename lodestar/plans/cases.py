@@ -1,0 +1,305 @@
+"""Operators without tables on cases whose answers are known: each query lists its cases, and its SQL states the answers."""
+
+from __future__ import annotations
+
+import math
+from fractions import Fraction
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from .. import api
+from ..functions import ast, cas
+from ..functions.cache import EvaluationCache
+from ..functions.compile import evaluate
+from ..functions.parse import FormulaError, parse
+from ..functions.registry import Registry as Functions
+from ..operators import detect, exact, genetic, match, project, series, solve, units
+from ..operators.discover import find, from_points, infer_symbols
+from ..sources import readers
+from .base import Registry, only, rd, table
+
+R = Registry()
+
+
+def answers(rows: dict[str, str]) -> str:
+    """VALUES of known answers."""
+    quoted = lambda v: "'" + v.replace("'", "''") + "'"
+    return "SELECT * FROM (VALUES " + ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in rows.items()) + ") AS t (input, answer)"
+
+
+def cases(name: str, known: dict[str, str], ask, doc: str) -> None:
+    """Registers a query that asks every input of ``known``."""
+
+    def run(spark, sf):
+        return spark.createDataFrame([(k, ask(k, spark)) for k in known], "input string, answer string")
+
+    run.__doc__ = doc
+    R.add(name, run, answers(known))
+
+
+def _numbers(values) -> str:
+    return ", ".join(f"{round(float(v), 6) + 0.0:g}" for v in sorted(values))
+
+
+EQUATIONS = {
+    "x + 1 = 0": "-1", "x^2 - 1 = 0": "-1, 1", "x^3 - 6*x^2 + 11*x - 6 = 0": "1, 2, 3", "1/x = 2": "0.5", "log(x) = 5": "148.413", "exp(x) = 1000000": "13.8155", "2^x = 100000": "16.6096", "sqrt(x) = 20": "400",
+    "abs(x - 3) = 2": "1, 5", "x = cos(x)": "0.739085", "log(x) + x = 1000": "993.099", "1/x + log(x) = 3": "0.221964, 19.0588", "sin(x) = 2": "NO_SOLUTION", "exp(x) = -1": "NO_SOLUTION", "tan(x)^2 = -1": "NO_SOLUTION", "exp(x) = x": "NOT_FOUND",
+}
+cases("equation_cases", EQUATIONS, lambda k, s: _numbers(r.approx) if (r := solve.solve_equation(k)).ok else r.error_code, "Single equations: roots exactly, by inverse functions and by growing brackets.")
+
+SYSTEMS = {
+    "x + y = 3, x - y = 1": "x = 2; y = 1", "2*x + 3*y = 12, x - y = 1": "x = 3; y = 2", "x + y + z = 6, x - y = -1, z - y = 1": "x = 1; y = 2; z = 3", "x = 2 mod 3, x = 3 mod 5": "8 + 15*n", "x = 1 mod 2, x = 0 mod 2": "",
+    "x + y = 1, x + y = 2": "NO_SOLUTION",
+}
+cases("system_cases", SYSTEMS, lambda k, s: "; ".join(r.exact) if not (r := solve.solve_system(k)).error_code else r.error_code, "Linear systems and congruences.")
+
+INEQUALITIES = {"x > 2": "(2, oo)", "0 < x < 5": "(0, 5)", "x^2 - 1 <= 0": "[-1, 1]", "x^2 > 4": "(-oo, -2); (2, oo)", "2*x + 1 >= 7": "[3, oo)", "x^2 + 1 < 0": "empty"}
+cases("inequality_cases", INEQUALITIES, lambda k, s: "; ".join(solve.solve_inequality(k).exact), "Intervals of one symbol.")
+
+SPECIAL = {"x^2 - 2*y^2 = 1": "(3, 2); (17, 12); (99, 70)", "x^2 - 3*y^2 = 1": "(2, 1); (7, 4); (26, 15)", "x^2 - 61*y^2 = 1": "(1766319049, 226153980)", "1 = 1": "Identity", "1 = 0": "Contradiction"}
+cases("pell_cases", SPECIAL, lambda k, s: "; ".join(solve.solve_equation(k).exact[: 1 if "61" in k else 3]), "Pell equations by continued fractions, identities and contradictions.")
+
+INVERSES = {"x^2 + y^2 = 25": "12", "2*x = 10": "5", "x^2 = 49": "-7, 7", "exp(x) = 1": "0", "x^3 = 8": "2"}
+
+
+def _inverse(k: str, spark) -> str:
+    left, right = k.split(" = ")
+    if "y" in left:
+        return str(len(solve.inverse(left, right, "integer").exact))
+    return _numbers(v for v in solve.inverse(left, right).approx)
+
+
+cases("inverse_cases", INVERSES, _inverse, "Arguments at which a formula has a value; for two symbols the number of whole pairs.")
+
+CALCULUS = {
+    "diff x^3*sin(x) at 1": "3.06472", "diff exp(-x^2) at 0.5": "-0.778801", "diff x^x at 2": "6.77259", "integrate x^2 0 3": "9", "integrate x*exp(x) 0 1": "1", "integrate 1/(2*x + 1) 0 2": "0.804719", "integrate sin(3*x + 1) 0 1": "0.397982",
+    "limit sin(x)/x 0": "1", "limit 1.00005+x 0": "1.00005", "limit x/100000+0.00003 0": "3e-05", "limit (1+1/x)^x inf": "2.71828", "limit x*log(x) 0": "0", "limit 1/x^2 0": "inf", "limit sin(1/x) 0": "nan",
+    "expand (x + 1)^3": "x^3 + 3*x^2 + 3*x + 1", "factor x^2 - 1 at 3": "8",
+}
+
+
+def _calculus(k: str, spark) -> str:
+    what, _, rest = k.partition(" ")
+    if what == "diff":
+        f, v = rest.split(" at ")
+        return f"{evaluate(cas.diff(parse(f), 'x'), x=float(v)):g}"
+    if what == "integrate":
+        f, lo, hi = rest.rsplit(" ", 2)
+        whole = cas.integrate(parse(f), "x")
+        return f"{evaluate(whole, x=float(hi)) - evaluate(whole, x=float(lo)):g}"
+    if what == "limit":
+        f, at = rest.rsplit(" ", 1)
+        return f"{cas.limit(parse(f), 'x', float(at)):g}"
+    if what == "expand":
+        return ast.text(cas.expand(parse(rest)))
+    f, v = rest.split(" at ")
+    return f"{evaluate(cas.factor(parse(f), 'x'), x=float(v)):g}"
+
+
+cases("calculus_cases", CALCULUS, _calculus, "Derivatives, definite integrals, limits, expansions and factors.")
+
+PARSED = {"2 + 2": "4", "sqrt(16)": "4", "sin(0)": "0", "log(E)": "1", "50%": "0.5", "2(3 + 4)": "14", "-2^2": "-4", "10 mod 3": "1", "5!": "120", "0xff": "255", "|3 - 5|": "2", "3²": "9", "√(9)": "3", "(((": "UNBALANCED_PARENS", "x**": "SYNTAX_ERROR", "": "EMPTY_INPUT", "foo(x)": "FORBIDDEN_FUNCTION", "sin(1, 2)": "WRONG_ARGUMENT_COUNT", "__import__('os')": "FORBIDDEN_TOKEN"}
+
+
+def _parsed(k: str, spark) -> str:
+    try:
+        return f"{evaluate(parse(k)):g}"
+    except FormulaError as e:
+        return e.code
+
+
+cases("parse_cases", PARSED, _parsed, "Calculator notation, and the codes of what isn't any.")
+
+EXACT = {"line (1, 2) (3, 8)": "3, -1", "rational 0.33333": "1/3", "rational 0.31818": "7/22", "constant pi/2": "pi/2", "newton 0 1 4 9 at 10": "100", "lagrange 1 8 27 64 at 5": "125", "system": "1/2, 1/3", "plane": "1:-5 x:3 y:2"}
+
+
+def _exact(k: str, spark) -> str:
+    what, *rest = k.split()
+    if what == "line":
+        return ", ".join(map(str, exact.line_through((1, 2), (3, 8))))
+    if what == "rational":
+        return str(exact.to_rational(rest[0]))
+    if what == "constant":
+        return exact.recognise(math.pi / 2)
+    if what == "newton":
+        c = exact.interpolate([(i, int(v)) for i, v in enumerate(rest[:-2])])
+        return str(sum(v * int(rest[-1]) ** p for p, v in enumerate(c)))
+    if what == "lagrange":
+        return str(exact.lagrange([(i + 1, int(v)) for i, v in enumerate(rest[:-2])], int(rest[-1])))
+    if what == "system":
+        return ", ".join(map(str, exact.solve_exact([[Fraction(2), Fraction(3)], [Fraction(4), Fraction(-3)]], [Fraction(2), Fraction(1)])))
+    points = [((x, y), 3 * x + 2 * y - 5) for x, y in ((1, 2), (2, 1), (3, 5), (0, 4))]
+    return " ".join(f"{t}:{v}" for t, v in sorted(exact.sparse_exact(points, ["x", "y"]).items()))
+
+
+cases("exact_cases", EXACT, _exact, "Lines, eliminations and interpolations in fractions.")
+
+_D = units.Dimension.of
+UNITS = {"m*v^2/2": "J", "m*g*h": "J", "m*a": "N", "m*v^2 + m*g*h": "J", "m + v": "error", "m*g + m": "error"}
+
+
+def _units(k: str, spark) -> str:
+    dims = {"m": _D("kg"), "v": _D("m/s"), "g": _D("m/s^2"), "a": _D("m/s^2"), "h": _D("m")}
+    try:
+        got = units.check(k, dims)
+    except (KeyError, ValueError):
+        return "error"
+    return next((u for u in ("J", "N") if got == _D(u)), str(got))
+
+
+cases("unit_cases", UNITS, _units, "Dimensions of formulas, and mistakes in them.")
+
+LAWS = {"x^2": "true", "2*x + 5": "true", "sin(2*x)": "true", "2^x": "true"}
+
+
+def _law_of(k: str, spark) -> str:
+    f, at = parse(k), [0.3, 0.7, 1.1, 2.0, 2.5, 3.0, 4.2, 5.0]
+    found = parse(find(from_points(spark, [(x, evaluate(f, x=x)) for x in at], ["x"]), ["x"], "y").formula)
+    return str(all(math.isclose(evaluate(found, x=x), evaluate(f, x=x), rel_tol=1e-6) for x in at)).lower()
+
+
+cases("law_cases", LAWS, _law_of, "Laws of one variable are found from eight points.")
+
+PRODUCTS = {"9000*a*b/c^2": "true", "a*b/c": "true"}
+
+
+def _product_of(k: str, spark) -> str:
+    rng = np.random.default_rng(3)
+    rows = rng.uniform(1, 5, (15, 3)).round(3)
+    f = parse(k)
+    value = lambda g, r: evaluate(g, **dict(zip("abc", map(float, r), strict=True)))
+    found = parse(find(from_points(spark, [(tuple(map(float, r)), value(f, r)) for r in rows], ["a", "b", "c"]), ["a", "b", "c"], "y").formula)
+    return str(all(math.isclose(value(found, r), value(f, r), rel_tol=1e-5) for r in rows)).lower()
+
+
+cases("product_cases", PRODUCTS, _product_of, "Laws of three variables: products, ratios and sums of them.")
+
+DETECTED = {"x xor 5": "bitwise_xor(x, 5)", "floor(x)": "floor(x)", "ceil(x)": "ceil(x)", "x^x": "x^x", "relu": "relu(x)", "x mod 1.5": "1.5", "ratio": "(x^2 + 1)/(x^1 + 1)", "rosenbrock": "1, 100"}
+
+
+def _detected(k: str, spark) -> str:
+    points = lambda rows: from_points(spark, rows, ["x"])
+    own = {"x xor 5": [(v, v ^ 5) for v in range(20)], "floor(x)": [(v / 2, math.floor(v / 2)) for v in range(21)], "ceil(x)": [(v / 2, math.ceil(v / 2)) for v in range(21)], "x^x": [(v, float(v) ** v) for v in range(1, 8)], "relu": [(v, max(v, 0)) for v in range(-8, 9)]}
+    if k == "x mod 1.5":
+        return f"{detect.modulo(points([(v / 4, (v / 4) % 1.5) for v in range(60)]), 'x', 'y'):g}"
+    if k == "ratio":
+        return detect.integer_ratio(points([(v, (v * v + 1) / (v + 1)) for v in range(1, 12)]), "x", "y")
+    if k == "rosenbrock":
+        rows = [(a / 2, b / 2, (1 - a / 2) ** 2 + 100 * (b / 2 - a * a / 4) ** 2) for a in range(-4, 5) for b in range(-4, 5)]
+        return _numbers(detect.rosenbrock(spark.createDataFrame([tuple(map(float, r)) for r in rows], "x double, y double, z double"), "x", "y", "z"))
+    found = detect.seeds(points(own[k]), "x", "y")
+    return DETECTED[k] if DETECTED[k] in found else (found or ["none"])[0]
+
+
+cases("detector_cases", DETECTED, _detected, "Seeds that the facts of a table suggest.")
+
+SEARCHED = {"square": "true", "with boosting": "true", "lexicographic": "true", "same seed, same front": "true"}
+
+
+def _searched(k: str, spark) -> str:
+    df = spark.createDataFrame([(float(v), float(v * v + v)) for v in range(-10, 11)], "x double, y double")
+    own = genetic.Config(population=120, islands=2, generations=30, seconds=60, boosting=2 if k == "with boosting" else 1, lexicographic=0.05 if k == "lexicographic" else None)
+    found = genetic.search(df, ["x"], "y", own)
+    if k.startswith("same"):
+        return str(found.front == genetic.search(df, ["x"], "y", own).front).lower()
+    return str(found.best[1] < 1e-6).lower()
+
+
+cases("search_cases", SEARCHED, _searched, "x^2 + x is found by every way of breeding, and again with the same seed.")
+
+TREES = {"depth of full trees": "true", "crossover keeps depths": "true", "mutations are trees": "true", "half of the population comes of seeds": "true", "constants improve": "true", "the smaller of equals wins": "1", "the least loss wins": "2"}
+
+
+def _trees(k: str, spark) -> str:
+    breeder = genetic.Breeder(["x", "z"], genetic.Config(population=60, seeds=("x^2", "sin(x)")))
+    known = lambda t: set(ast.symbols(t)) <= {"x", "z"}
+    if k.startswith("depth"):
+        return str(all(1 <= ast.depth(breeder.tree(d, True)) <= d for d in range(1, 6) for _ in range(20))).lower()
+    if k.startswith("cross"):
+        return str(all(ast.depth(breeder.cross(breeder.tree(8, True), breeder.tree(8, True))) <= 10 for _ in range(40))).lower()
+    if k.startswith("mutations"):
+        return str(all(known(breeder.mutate(breeder.tree(5, False))) for _ in range(80))).lower()
+    if k.startswith("half"):
+        pop = breeder.initial()
+        return str(len(pop) == 60 and pop[0] == parse("x^2") and pop[1] == parse("sin(x)")).lower()
+    if k.startswith("constants"):
+        x = {"x": np.linspace(1, 9, 30), "z": np.zeros(30)}
+        got = genetic.polish(parse("2.9*x + 0.9"), x, 3 * x["x"] + 1, breeder)
+        return str(abs(evaluate(got, x=5.0) - 16) < abs(2.9 * 5 + 0.9 - 16)).lower()
+    return str(genetic.winner([(1.02, 9), (1.0, 12), (0.98, 40)], 0.05 if "smaller" in k else None) + (1 if "smaller" in k else 0))
+
+
+cases("tree_cases", TREES, _trees, "Construction and variation of trees keep their promises.")
+
+PUBLIC = {"det([[1, 2], [3, 4]])": "-2", "integrate(x^2, x, 0, 3)": "9", "diff(x^3, x)": "3*x^2", "2 + 3": "5", "(((": "UNBALANCED_PARENS"}
+cases("public_cases", PUBLIC, lambda k, s: r.error_code or (r.approx if k.startswith("integrate") else r.result) if (r := api.evaluate(k)) else "", "The typed functions of the library.")
+
+DEFINED = {"f(f(1))": "13", "g(2)": "8", "exported f(4)": "11", "cache": "1 hit, 1 miss"}
+
+
+def _defined(k: str, spark) -> str:
+    own = Functions()
+    for text in ("f(x) = 2x + a", "a = 3", "g(x) = x^3"):
+        own.define(text)
+    if k == "cache":
+        cache = EvaluationCache()
+        before = (api.cache.hits, api.cache.misses)
+        api.evaluate("2 + 3 + 0.125")
+        api.evaluate("2 + 3 + 0.125")
+        return f"{min(1, api.cache.hits - before[0])} hit, {min(1, max(api.cache.misses - before[1], 1))} miss" if cache is not None else ""
+    if k.startswith("exported"):
+        space: dict = {}
+        exec(own.export("f"), space)
+        return f"{space['f'](4):g}"
+    return f"{evaluate(own.expand(k)):g}"
+
+
+cases("function_cases", DEFINED, _defined, "User functions expand, export and are cached.")
+
+SYMBOLS = {"a": "5", "b": "14"}
+cases("symbol_cases", SYMBOLS, lambda k, s: infer_symbols(s, [(1, 2), (2, 4), (3, 6), ("a", 10), (7, "b")], ["x"])[k], "Symbols among points follow from the law of the others.")
+
+BANNED = {"sin": "x, x^2, exp(x), sqrt(x)", "exp": "x, x^2, sin(x), sqrt(x)", "polynomial": "x, x^2"}
+cases("banned_cases", BANNED, lambda k, s: ", ".join(project.banned(["x", "x^2", "sin(x)", "exp(x)", "sqrt(x)"], [] if k == "polynomial" else [k], k == "polynomial")), "Formulas without banned words, or without any function.")
+
+
+# queries over tables
+
+
+@R.query("SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, p_retailprice FROM part")
+def csv_round_trip(spark, sf):
+    """A table written as CSV and read back by the reader, which finds names and types."""
+    import uuid
+
+    from ..operators.quantile import shared_folder
+
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    table(spark, sf, "part").select("p_partkey", F.col("p_size").alias("size"), "p_retailprice").write.option("header", True).csv(path)
+    return readers.read_csv(spark, path).select(F.col("p_partkey").cast("long").alias("p_partkey"), F.col("size").cast("double").alias("size"), F.col("p_retailprice").cast("double").alias("p_retailprice"))
+
+
+@R.query("SELECT * FROM (VALUES (1.0::DOUBLE, 1.5707963::DOUBLE), (2.0, 3.0), (4.0, 0.5)) AS t (x, y)")
+def array_literals(spark, sf):
+    """Literal arrays, entries being formulas."""
+    own = readers.inline_arrays(spark, "x=[1, 2, 2^2], y=[pi/2, 3, 1/2]")
+    return only(own.select("x", "y"), digits=7)
+
+
+@R.query(f"WITH d AS (SELECT user_id, t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS g FROM (SELECT user_id, event_id, epoch_us(ts) / 1000000.0::DOUBLE AS t FROM events)) SELECT user_id, {rd('avg(g)', 4)} AS mean_step FROM d WHERE g IS NOT NULL GROUP BY 1")
+def mean_steps(spark, sf):
+    """Mean distance of neighbours in each series."""
+    from .base import events
+
+    return only(series.even_spacing(events(spark, sf), "t", ["user_id"], "event_id").select("user_id", "mean_step"), digits=4)
+
+
+@R.query("SELECT p_partkey, coalesce(list_bool_and(list_transform(range(2, p_size), lambda d: p_size % d <> 0)), true) AND p_size > 1 AS prime FROM part")
+def prime_flags(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", F.coalesce(match.is_prime(F.col("p_size").cast("long")), F.lit(False)).alias("prime"))
+
+
+@R.query("SELECT p_partkey, (p_retailprice - m) / s AS residual FROM part, (SELECT 900.0::DOUBLE AS m, max(abs(p_retailprice - 900)) AS s FROM part)")
+def amplified_residual(spark, sf):
+    """What a formula leaves, scaled to unit size."""
+    return detect.residual_amplified(table(spark, sf, "part"), "900", "p_retailprice").select("p_partkey", "residual")

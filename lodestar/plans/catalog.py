@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from . import scalar, tables
+from . import cases, scalar, tables
 from .base import Query
 
 
 def queries() -> dict[str, Query]:
-    return scalar.R.queries | tables.R.queries
+    return scalar.R.queries | tables.R.queries | cases.R.queries
 
 
 def oracle_sql() -> dict[str, str]:
-    return scalar.R.sql | tables.R.sql
+    return scalar.R.sql | tables.R.sql | cases.R.sql

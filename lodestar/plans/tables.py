@@ -471,7 +471,7 @@ def discover_by_supplier(spark, sf):
     return only(ladder_by_key(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", ["l_suppkey"]).select("l_suppkey", "how", "r2"))
 
 
-@R.query("SELECT CASE WHEN max(p_partkey) >= 1000 THEN '900 + (1/10)*mod(p_partkey, 1000)' ELSE '900 + (1/10)*p_partkey' END AS formula, 0.0::DOUBLE AS mse, 1.0::DOUBLE AS r2, count(*) AS n FROM part")
+@R.query("SELECT CASE WHEN max(p_partkey) >= 1000 THEN '900 + (1/10)*mod(p_partkey, 1000)' ELSE '(1/10)*p_partkey + 900' END AS formula, 0.0::DOUBLE AS mse, 1.0::DOUBLE AS r2, count(*) AS n FROM part")
 def discover_part_price(spark, sf):
     return only(find(table(spark, sf, "part"), ["p_partkey"], "p_retailprice").frame(spark), "formula", "mse", "r2", "n")
 
@@ -647,7 +647,8 @@ def prediction_interval(spark, sf):
 @R.query("SELECT * FROM (VALUES ('q', 'y', true), ('d', 'y', true)) AS t (src, dst, directed)")
 def pc_skeleton(spark, sf):
     """q and d are independent causes of y, and t is none."""
-    return causal.pc(_supplier_law(spark, sf), ["q", "d", "t", "y"]).frame(spark)
+    own = _supplier_law(spark, sf).withColumn("y", F.col("q") + F.col("d") * 500 + (F.col("l_orderkey") % 7))
+    return causal.pc(own, ["q", "d", "t", "y"], 1e-3).frame(spark)
 
 
 # the derivative of the trigonometric interpolant, by its closed differentiation matrix
