@@ -170,4 +170,4 @@ def formula(text: str) -> Column:
     """A formula over a table's columns as a Spark column."""
     from .functions.compile import to_column
 
-    return to_column(session.expand(text))
+    return to_column(_structural(session.expand(text)))

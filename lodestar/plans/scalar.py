@@ -9,6 +9,7 @@ from ..functions.library import BINARY, LIBRARY, UNARY
 from ..functions.parse import parse
 from ..functions.registry import Registry as Functions
 from ..operators import loss, project
+from ..sources import readers
 from .base import EVENTS, Registry, events, only, rd, rounded, table
 from .definitions import DEFINITIONS, DIGITS
 
@@ -19,13 +20,16 @@ R = Registry()
 
 @R.query("SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part WHERE p_size <= 25")
 def scan_project(spark, sf):
-    return table(spark, sf, "part").filter("p_size <= 25").select("p_partkey", F.col("p_size").cast("long").alias("p_size"), "p_retailprice")
+    """The file loader, a parsed predicate and a projection; filter and columns reach the scan."""
+    own = readers.read(spark, f"{sf}/part.parquet").filter(to_column(parse("p_size <= 25")) != 0)
+    return own.select(F.col("p_partkey").cast("long").alias("p_partkey"), F.col("p_size").cast("long").alias("p_size"), "p_retailprice")
 
 
-@R.query("SELECT p_partkey, COALESCE(TRY_CAST(p_name AS DOUBLE), -1.0) AS as_number, TRY_CAST(CAST(p_size AS VARCHAR) AS DOUBLE) AS size_number FROM part")
+@R.query("SELECT CAST(p_partkey AS DOUBLE) AS p_partkey, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS DOUBLE) END AS size FROM part")
 def scan_try_cast(spark, sf):
-    own = table(spark, sf, "part")
-    return own.select("p_partkey", F.coalesce(F.expr("try_cast(p_name AS DOUBLE)"), F.lit(-1.0)).alias("as_number"), F.expr("try_cast(CAST(p_size AS STRING) AS DOUBLE)").alias("size_number"))
+    """Text columns as numbers: names are trimmed, what is no number is NaN (null here), a column without numbers goes."""
+    text = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias(" p_partkey "), "p_name", F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).otherwise("odd").alias("size"))
+    return only(project.to_doubles(text))
 
 
 @R.query(f"SELECT event_id, {rd('value')} AS value FROM events WHERE value IS NOT NULL AND isfinite(value) AND isfinite(CASE WHEN value > 1 THEN ln(value) ELSE 'NaN'::DOUBLE END)")

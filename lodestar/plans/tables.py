@@ -7,6 +7,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
+from .. import api
 from ..functions.compile import scrubbed_sql
 from ..functions.parse import parse
 from ..operators import causal, detect, dynamics, exact, gram, match, pareto, project, quantile, regress, robust, series, solve, units
@@ -406,7 +407,8 @@ def pell_iterates(spark, sf):
 
 @R.query(f"SELECT p_partkey, {rd('CAST(p_size AS DOUBLE) * 4 - 3 * CAST(p_partkey % 11 AS DOUBLE)')} AS det FROM part")
 def det2x2(spark, sf):
-    return only(table(spark, sf, "part").select("p_partkey", (F.col("p_size").cast("double") * 4 - 3 * (F.col("p_partkey") % 11).cast("double")).alias("det")))
+    """A determinant of literal and column entries, expanded by the parser's matrices."""
+    return only(table(spark, sf, "part").select("p_partkey", api.formula("det([[p_size, 3], [mod(p_partkey, 11), 4]])").alias("det")))
 
 
 _series("trapezoid_integral", lambda d: solve.trapezoid(d.withColumn("t", F.col("t") / 3600), "t", "value", K, "event_id").select("user_id", F.round("integral", 3).alias("integral")), f"SELECT user_id, round(coalesce(sum((value + lv) / 2 * (t - lt)), 0), 3) AS integral FROM (SELECT user_id, t / 3600 AS t, value, lag(value) {W} AS lv, lag(t) {W} / 3600 AS lt FROM {EVENTS}) GROUP BY 1")
@@ -533,10 +535,10 @@ def scrubbed_evaluation(spark, sf):
     return only(table(spark, sf, "part").select("p_partkey", F.expr(scrubbed_sql(_SCRUB, "spark", {"x": "CAST(p_size AS DOUBLE)"})).alias("v")))
 
 
-@R.query("SELECT p_partkey, '{\"ok\":true,\"v\":' || CAST(p_size AS VARCHAR) || '}' AS json FROM part")
+@R.query("SELECT '{\"p_partkey\":' || CAST(p_partkey AS VARCHAR) || ',\"ok\":true,\"v\":' || CAST(p_size AS VARCHAR) || '}' AS json FROM part")
 def json_rows(spark, sf):
     own = table(spark, sf, "part").select("p_partkey", F.lit(True).alias("ok"), F.col("p_size").alias("v"))
-    return own.select("p_partkey", F.to_json(F.struct("ok", "v")).alias("json"))
+    return readers.as_json(own)
 
 
 # without SQL: iterative selections and searches, held by tests to their laws
