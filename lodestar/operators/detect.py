@@ -77,7 +77,65 @@ def seeds(df: DataFrame, x: str, y: str) -> list[str]:
         out.append(f"exp(-{x}^2)")
     if (r["layer_asin"] or 0) > 0.999:
         out.append(f"sin({x})")
-    return list(dict.fromkeys(out))
+    out += confirmed(df, x, y)
+    rational = rational_from_zeros(df, x, y)
+    return list(dict.fromkeys([*out, rational] if rational else out))
+
+
+#: Outer and inner functions of compositions, and constants that laws are made of.
+OUTER = ("sin({})", "cos({})", "exp({})", "log({})", "sqrt({})", "abs({})", "tanh({})", "({})^2")
+INNER = ("{x}^2", "sin({x})", "cos({x})", "exp({x})", "exp(-{x})", "abs({x})", "1/{x}", "log({x})", "sqrt({x})")
+ANCHORS = ("pi", "e", "sqrt(2)", "sqrt(3)", "sqrt(5)", "sqrt(6)", "sqrt(7)", "sqrt(10)", "(1+sqrt(5))/2")
+
+
+def hypotheses(x: str) -> dict[str, str]:
+    """Closed formulas to try: compositions, laws with a constant as factor, base or power, and sums of ever faster cosines."""
+    out = {f"{o.format(i.format(x=x))}": "composition" for o in OUTER for i in INNER}
+    for c in ANCHORS:
+        out |= {f: "constant" for f in (f"({c})*{x}", f"{x}/({c})", f"({c})*{x}^2", f"({c})^{x}", f"{x}^({c})", f"{x} + {c}", f"({c})*sin({x})", f"sin(({c})*{x})")}
+    for a in ("0.3", "0.5", "0.7"):
+        for b in (3, 5, 7):
+            for n in (5, 10):
+                out[" + ".join(f"{a}^{k}*cos({b ** k}*pi*{x})" for k in range(n))] = "fractal"
+    # through the points 0 and 1
+    return out | {f: "anchors" for f in (x, f"{x}^3", f"1 - {x}", f"1/(1 + {x})", f"1/(1 + {x}^2)", f"2^{x} - 1", f"(exp({x}) - 1)/(e - 1)", f"sin(pi*{x}/2)", f"cos(pi*{x}/2)")}
+
+
+def confirmed(df: DataFrame, x: str, y: str, kinds: tuple[str, ...] = ("anchors", "constant", "composition", "fractal")) -> list[str]:
+    """The hypotheses that hold on all rows, in one aggregate, by kind as listed and shortest first."""
+    tried = {f: k for f, k in hypotheses(x).items() if k in kinds}
+    cy = F.col(y).cast("double")
+    own = df.select(F.col(x).cast("double").alias(x), cy.alias(y))
+    row = own.agg(*[F.min(F.coalesce(_close(F.col(y), to_column(parse(f))), F.lit(False))).alias(f"h{k}") for k, f in enumerate(tried)]).first()
+    held = [f for k, f in enumerate(tried) if row[k]]
+    return sorted(held, key=lambda f: (kinds.index(tried[f]), len(f), f))
+
+
+def point_anchors(df: DataFrame, x: str, y: str) -> dict[str, float | None]:
+    """The values at 0 and 1 and at the ends, in one aggregate (None where the table has no such row)."""
+    cx, cy = F.col(x).cast("double"), F.col(y).cast("double")
+    row = df.agg(F.max(F.when(cx == 0, cy)).alias("f0"), F.max(F.when(cx == 1, cy)).alias("f1"), F.min_by(cy, cx).alias("first"), F.max_by(cy, cx).alias("last")).first()
+    return row.asDict()
+
+
+def rational_from_zeros(df: DataFrame, x: str, y: str, most: int = 4) -> str | None:
+    """c (x - z1) (x - z2) ... / ((x - p1) ...) from the zeros of y and the places where it isn't finite, if that holds everywhere."""
+    cx, cy = F.col(x).cast("double"), F.col(y).cast("double")
+    finite = cy.isNotNull() & ~F.isnan(cy) & (F.abs(cy) < float("inf"))
+    rows = df.select(cx.alias("x"), F.coalesce(finite, F.lit(False)).alias("ok"), cy.alias("y"))
+    marks = rows.filter(~F.col("ok") | (F.abs("y") < 1e-9)).select("x", "ok").distinct().orderBy("x").limit(2 * most + 1).collect()
+    zeros, poles = ([r.x for r in marks if r.ok is ok] for ok in (True, False))
+    if not zeros or max(len(zeros), len(poles)) > most:
+        return None
+    number = lambda v: f"{v:.10g}"
+    product = lambda vs: "*".join(f"({x} - ({number(v)}))" for v in vs)
+    body = product(zeros) + (f"/({product(poles)})" if poles else "")
+    own = rows.filter("ok").select(F.col("x").alias(x), "y").withColumn("b", to_column(parse(body)))
+    scale = own.filter(F.abs("b") > 1e-9).agg(F.avg(F.col("y") / F.col("b")).alias("c")).first().c
+    if scale is None:
+        return None
+    held = own.agg(F.min(F.coalesce(_close(F.col("y"), scale * F.col("b")), F.lit(False))).alias("h")).first().h
+    return (body if abs(scale - 1) < 1e-9 else f"{number(scale)}*{body}") if held else None
 
 
 def modulo(df: DataFrame, x: str, y: str) -> float | None:

@@ -147,9 +147,9 @@ def ladder_by_key(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
     return own.select(*keys, "n", best.alias("best")).select(*keys, "n", "best.how", "best.a", "best.b", "best.r2", "best.formula")
 
 
-def sparse(df: DataFrame, variables: list[str], y: str, stage: int) -> Found | None:
+def sparse(df: DataFrame, variables: list[str], y: str, stage: int, poles: dict[str, list[float]] | None = None) -> Found | None:
     """Best subsets or a pursuit over the candidate library, from one Gram matrix; few terms are preferred."""
-    formulas = {k: v for k, v in project.admissible_features(df, variables, stage).items() if k != "1"}
+    formulas = {k: v for k, v in project.admissible_features(df, variables, stage, y, poles).items() if k != "1"}
     names = list(formulas)
     wide = df.select(*[to_column(parse(f)).alias(f"f{k}") for k, f in enumerate(formulas.values())], F.col(y).cast("double").alias("__y"))
     cols = project.finite_columns(wide, [f"f{k}" for k in range(len(names))])
@@ -195,8 +195,10 @@ def find(df: DataFrame, variables: list[str], y: str, exact: float = 1e-9) -> Fo
             mse, r2 = scores[str(k)]
             if mse <= exact * max(spread, 1e-30) or name == "constant":
                 return Found(f, mse, r2, n, name)
+    # rows that aren't finite are left out of fits, but show where poles are
+    poles = {v: project.detected_poles(df, v, y) for v in variables}
     for stage in (1, 2):
-        got = sparse(own, variables, y, stage)
+        got = sparse(own, variables, y, stage, poles)
         if got and (best is None or _rank(got) < _rank(best)):
             best = got
         if best and best.r2 > 1 - 1e-10:

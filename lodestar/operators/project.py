@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from itertools import combinations_with_replacement, product
 
 from pyspark.sql import Column, DataFrame
@@ -146,10 +148,40 @@ def banned(formulas: list[str], ban: list[str], polynomial: bool = False) -> lis
     return [f for f in out if all(n.fn in plain and (n.fn != "pow" or isinstance(n.args[1], ast.Num) and n.args[1].value == int(n.args[1].value) >= 0) for n in ast.walk(parse(f)) if isinstance(n, ast.Call))]
 
 
-def admissible_features(df: DataFrame, variables: list[str], stage: int = 1) -> dict[str, str]:
+def detected_poles(df: DataFrame, v: str, y: str, most: int = 5) -> list[float]:
+    """Values of a variable at which y isn't finite on any row (unfiltered rows show them); none if there are more than ``most``."""
+    cy = F.col(y).cast("double")
+    finite = F.coalesce(cy.isNotNull() & ~F.isnan(cy) & (F.abs(cy) < float("inf")), F.lit(False))
+    rows = df.groupBy(F.col(v).cast("double").alias("v")).agg(F.max(finite).alias("some")).filter(~F.col("some") & F.col("v").isNotNull() & ~F.isnan("v")).select("v").orderBy("v").limit(most + 1).collect()
+    return [r.v for r in rows] if len(rows) <= most else []
+
+
+def detected_frequency(df: DataFrame, v: str, y: str, bins: int = 4096) -> float | None:
+    """2 pi over the mean period of the sign changes of y less its mean, over means in bins of the variable."""
+    own = df.select(F.col(v).cast("double").alias("v"), F.col(y).cast("double").alias("y"))
+    s = own.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("y").alias("m")).first()
+    if s.lo is None or s.hi <= s.lo:
+        return None
+    place = F.least(F.floor((F.col("v") - s.lo) / (s.hi - s.lo) * bins), F.lit(bins - 1))
+    # at most a row for each bin
+    rows = sorted((r.v, r.y - s.m) for r in own.groupBy(place.alias("b")).agg(F.avg("v").alias("v"), F.avg("y").alias("y")).collect() if r.v is not None)
+    cuts = [a + (b - a) * f / (f - g) for (a, f), (b, g) in zip(rows[:-1], rows[1:], strict=True) if f * g < 0]
+    periods = (len(cuts) - 1) // 2
+    return round(2 * math.pi * periods / (cuts[2 * periods] - cuts[0]), 2) if periods else None
+
+
+def detected_power(df: DataFrame, v: str, y: str) -> float | None:
+    """The exponent of a power law that explains log |y| by log |x| almost wholly."""
+    lx, ly = (F.when(F.abs(F.col(c)) > 0, F.ln(F.abs(F.col(c)))) for c in (v, y))
+    row = df.agg(F.regr_slope(ly, lx).alias("p"), F.regr_r2(ly, lx).alias("r2")).first()
+    return round(float(row.p), 4) if row.p is not None and row.r2 is not None and row.r2 > 0.999 else None
+
+
+def admissible_features(df: DataFrame, variables: list[str], stage: int = 1, y: str | None = None, poles: dict[str, list[float]] | None = None) -> dict[str, str]:
     """The candidate library by name: stage 1 algebraic, stage 2 with transcendental functions.
 
-    One aggregate of extremes and zero counts decides which candidates are defined on all rows.
+    One aggregate of extremes and zero counts decides which candidates are defined on all rows. With a target ``y``,
+    exponents and (for one variable) a frequency found in it add their terms; so do ``poles`` by variable.
     """
     stats = df.agg(*[f.alias(f"{n}_{v}") for v in variables for n, f in (("lo", F.min(v)), ("hi", F.max(v)), ("zero", F.count_if(F.col(v) == 0)))]).first()
     lo, hi, zero = ({v: stats[f"{k}_{v}"] for v in variables} for k in ("lo", "hi", "zero"))
@@ -157,11 +189,16 @@ def admissible_features(df: DataFrame, variables: list[str], stage: int = 1) ->
     put = lambda *fs: out.update({f: f for f in fs})
     for v in variables:
         put(v, f"{v}^2", f"{v}^3", f"{v}^4", f"{v}^5", f"{v}^10")
-        for c in (340, 30, 100, round(hi[v] + 1, 6), round(lo[v] - 1, 6)):
+        for c in (340, 30, 100, 3e8, round(hi[v] + 1, 6), round(lo[v] - 1, 6)):
             if not lo[v] <= c <= hi[v]:
                 put(f"1/({c:g}-{v})")
         if not zero[v]:
             put(f"1/{v}", f"1/{v}^2")
+            power = detected_power(df, v, y) if y else None
+            if power is not None and power < -1:
+                put(f"1/{v}^{-power:g}")
+        for p in (poles or {}).get(v, []):
+            put(*[f"{top}/({v}-({p:.10g}))^{n}" for top in ("1", v) for n in (1, 2)])
         if lo[v] >= 0:
             put(f"sqrt({v})")
     for i, a in enumerate(variables):
@@ -199,11 +236,18 @@ def admissible_features(df: DataFrame, variables: list[str], stage: int = 1) ->
                 put(f"{v}^3/(exp({v})-1)", f"{v}^5/(exp({v})-1)")
         if not zero[v]:
             put(f"sin({v})/{v}")
+        k = detected_frequency(df, v, y) if y and len(variables) == 1 else None
+        if k:
+            put(f"sin({k:g}*{v})", f"cos({k:g}*{v})")
         if -1 < lo[v] and hi[v] < 1:
             put(f"1/sqrt(1-{v}^2)", f"sqrt(1-{v}^2)", f"asin({v})", f"acos({v})", f"tan({v})")
     for i, a in enumerate(variables):
         for b in variables:
             if a != b:
-                put(f"exp(-{a})*cos({b})", f"exp(-{a})*sin({b})", f"{a}*sin({b})", f"{a}*cos({b})", f"{a}*exp(-{b})")
+                put(f"exp(-{a})*cos({b})", f"exp(-{a})*sin({b})", f"{a}*sin({b})", f"{a}*cos({b})", f"{a}*exp(-{b})", f"sin({a})*cos({b})")
+                if a < b:
+                    put(f"sin({a})*sin({b})", f"cos({a})*cos({b})", f"exp(-{a})*exp(-{b})")
+                if hi[a] <= 50:
+                    put(f"exp({a})*sin({b})", f"exp({a})*cos({b})")
         put(f"exp(-{a})*cos(2*{a})", f"exp(-{a})*sin(2*{a})", f"exp(-{a})*cos({a})", f"exp(-{a})*sin({a})")
     return out

@@ -150,12 +150,16 @@ def _units(k: str, spark) -> str:
 
 cases("unit_cases", UNITS, _units, "Dimensions of formulas, and mistakes in them.")
 
-LAWS = {"x^2": "true", "2*x + 5": "true", "sin(2*x)": "true", "2^x": "true"}
+LAWS = {"1/(x-2)^2 + 3": "true", "sin(3.7*x)": "true", "x^2": "true", "2*x + 5": "true", "2^x": "true"}
 
 
 def _law_of(k: str, spark) -> str:
     f, at = parse(k), [0.3, 0.7, 1.1, 2.0, 2.5, 3.0, 4.2, 5.0]
-    found = parse(find(from_points(spark, [(x, evaluate(f, x=x)) for x in at], ["x"]), ["x"], "y").formula)
+    if "3.7" in k:
+        at = [0.1 * v for v in range(1, 80)]
+    value = lambda x: math.inf if "x-2" in k and x == 2 else evaluate(f, x=x)
+    found = parse(find(spark.createDataFrame([(float(x), float(value(x))) for x in at], "x double, y double"), ["x"], "y").formula)
+    at = [x for x in at if math.isfinite(value(x))]
     return str(all(math.isclose(evaluate(found, x=x), evaluate(f, x=x), rel_tol=1e-6) for x in at)).lower()
 
 
@@ -175,7 +179,7 @@ def _product_of(k: str, spark) -> str:
 
 cases("product_cases", PRODUCTS, _product_of, "Laws of three variables: products, ratios and sums of them.")
 
-DETECTED = {"x xor 5": "bitwise_xor(x, 5)", "floor(x)": "floor(x)", "ceil(x)": "ceil(x)", "x^x": "x^x", "relu": "relu(x)", "x mod 1.5": "1.5", "ratio": "(x^2 + 1)/(x^1 + 1)", "rosenbrock": "1, 100"}
+DETECTED = {"x xor 5": "bitwise_xor(x, 5)", "floor(x)": "floor(x)", "ceil(x)": "ceil(x)", "x^x": "x^x", "relu": "relu(x)", "x mod 1.5": "1.5", "ratio": "(x^2 + 1)/(x^1 + 1)", "rosenbrock": "1, 100", "sin(x^2)": "sin(x^2)", "pi*x^2": "(pi)*x^2", "fractal": "true", "zeros": "2*(x - (1))*(x - (3))/((x - (-2)))", "anchors": "0, 1"}
 
 
 def _detected(k: str, spark) -> str:
@@ -188,6 +192,18 @@ def _detected(k: str, spark) -> str:
     if k == "rosenbrock":
         rows = [(a / 2, b / 2, (1 - a / 2) ** 2 + 100 * (b / 2 - a * a / 4) ** 2) for a in range(-4, 5) for b in range(-4, 5)]
         return _numbers(detect.rosenbrock(spark.createDataFrame([tuple(map(float, r)) for r in rows], "x double, y double, z double"), "x", "y", "z"))
+    if k in ("sin(x^2)", "pi*x^2"):
+        got = detect.confirmed(points([(v / 4, evaluate(parse(k), x=v / 4)) for v in range(-12, 13)]), "x", "y")
+        return got[0] if got else "none"
+    if k == "fractal":
+        got = detect.confirmed(points([(v / 64, sum(0.5**i * math.cos(3**i * math.pi * v / 64) for i in range(10))) for v in range(65)]), "x", "y")
+        return str(bool(got) and got[0].startswith("0.5^0*cos(1*pi*x) + 0.5^1*cos(3*pi*x)")).lower()
+    if k == "zeros":
+        rows = [(float(v), 2 * (v - 1) * (v - 3) / (v + 2) if v != -2 else math.inf) for v in range(-6, 9)]
+        return detect.rational_from_zeros(spark.createDataFrame(rows, "x double, y double"), "x", "y") or "none"
+    if k == "anchors":
+        got = detect.point_anchors(points([(v / 2, (v / 2) ** 2) for v in range(-4, 5)]), "x", "y")
+        return _numbers((got["f0"], got["f1"]))
     found = detect.seeds(points(own[k]), "x", "y")
     return DETECTED[k] if DETECTED[k] in found else (found or ["none"])[0]
 
