@@ -6,6 +6,7 @@ import argparse
 import json
 import re
 import sys
+import time
 
 from . import api
 from .functions.parse import FormulaError, split_top_level
@@ -32,27 +33,53 @@ def _find(text: str) -> dict:
     return {"formula": found.formula, "mse": found.mse, "r2": found.r2, "sure": found.sure}
 
 
+#: Short forms of evolve and the flags that they stand for.
+SHORTCUTS = {"alt": "--hybrid --transform", "all": "--hybrid --transform --boost 3", "b": "--boost 3", "h": "--hybrid", "v": "--verbose", "ode": "--discover-ode"}
+
+
 def _evolve(text: str) -> dict:
-    """evolve f(x, y) from file.csv [--boost N] [--seed formula] [--ban a,b] [--transform]."""
-    from .operators.genetic import Config, search, search_transformed
+    """evolve f(x, y) from file.csv [--boost N] [--seed formula] [--ban a,b] [--polynomial] [--hybrid] [--transform] [--discover-ode] [--verbose] [--hp].
+
+    --hybrid breeds from the formula that discovery finds; --polynomial allows no function calls; --hp also gives the best
+    formula's error in 50 digits. ``--file path`` stands for ``from path``.
+    """
+    from .operators.genetic import Config, precise_mse, search, search_transformed
+    from .operators.project import banned
     from .sources.readers import read, split_target
 
-    m = re.match(r"evolve\s+(\w+)\s*\(([^)]*)\)\s+from\s+(\S+)", text)
+    m = re.match(r"\w+\s+(\w+)\s*\(([^)]*)\)(?:.*?(?:from|--file)\s+(\S+))", text)
     if not m:
         raise FormulaError("SYNTAX_ERROR", "say evolve f(x) from a file")
+    flag = lambda name: re.search(rf"--{name}(?:\s|$)", text) is not None
+    if flag("discover-ode"):
+        return _ode(f"find ode {m[3]}")
     boost = int(b[1]) if (b := re.search(r"--boost\s+(\d+)", text)) else 1
-    seeds = tuple(re.findall(r"--seed\s+(\S+)", text))
-    ban = set(b[1].split(",")) if (b := re.search(r"--ban\s+(\S+)", text)) else set()
-    base = Config()
-    config = Config(population=100 * boost, islands=2, generations=30 * boost, seconds=15.0 * boost, seeds=seeds, unary=tuple(u for u in base.unary if u not in ban), binary=tuple(b for b in base.binary if b not in ban))
+    seeds = re.findall(r"--seed\s+(\S+)", text)
+    ban = b[1].split(",") if (b := re.search(r"--ban\s+(\S+)", text)) else []
     df = read(_spark(), m[3])
     inputs, target = split_target(df.columns, [v.strip() for v in m[2].split(",")])
-    if "--transform" in text:
+    if flag("hybrid"):
+        from .operators.discover import find
+
+        seeds.append(find(df, inputs, target).formula)
+    base = Config()
+    polynomial = flag("polynomial")
+    config = Config(
+        population=100 * boost, islands=2, generations=30 * boost, seconds=15.0 * boost, seeds=tuple(banned(seeds, ban, polynomial)),
+        unary=() if polynomial else tuple(u for u in base.unary if u not in ban), binary=tuple(b for b in (("add", "sub", "mul") if polynomial else base.binary) if b not in ban),
+    )
+    if flag("transform"):
         name, formula, mse = search_transformed(df, inputs, target, config)
         return {"formula": formula, "mse": mse, "transform": name}
-    best = search(df, inputs, target, config).best
+    found = search(df, inputs, target, config)
+    best = found.best
     api.session.define(f"{m[1]}({', '.join(inputs)}) = {best[0]}")
-    return {"formula": best[0], "mse": best[1], "complexity": best[2]}
+    out = {"formula": best[0], "mse": best[1], "complexity": best[2]}
+    if flag("verbose"):
+        out |= {"front": found.front, "generations": found.generations}
+    if flag("hp") or flag("high-precision"):
+        out["mse_50_digits"] = str(precise_mse(df, best[0], inputs, target))
+    return out
 
 
 def _ode(text: str) -> dict:
@@ -66,12 +93,78 @@ def _ode(text: str) -> dict:
     return {"equations": sindy(df, t, [c for c in df.columns if c not in (t, "__k", "__id")], ["__k"], "__id").equations()}
 
 
+def _dimensionless(text: str) -> dict:
+    """find dimensionless F=N, rho=kg/m^3, v=m/s, L=m."""
+    from .operators.units import Dimension, pi_groups
+
+    pairs = [p.split("=") for p in split_top_level(text.split("dimensionless", 1)[1])]
+    if not pairs or any(len(p) != 2 for p in pairs):
+        raise FormulaError("SYNTAX_ERROR", "say find dimensionless name=unit, ...")
+    groups = pi_groups({k.strip(): Dimension.of(v.strip()) for k, v in pairs})
+    return {"groups": ["*".join(f"{k}^({v})" for k, v in g.items()) for g in groups]}
+
+
+def _causal(text: str) -> dict:
+    """discover causal from file.csv [--alpha 0.05]."""
+    from .operators.causal import pc
+    from .sources.readers import read
+
+    df = read(_spark(), re.split(r"\s+from\s+", text)[-1].split()[0])
+    alpha = float(b[1]) if (b := re.search(r"--alpha\s+(\S+)", text)) else 0.05
+    graph = pc(df, df.columns, alpha)
+    return {"directed": sorted(graph.directed), "undirected": sorted(graph.undirected)}
+
+
+def _benchmark(text: str) -> dict:
+    """benchmark [names]: discovery on equations of physics."""
+    from .sources.feynman import EQUATIONS, run as benchmark, varied
+
+    names = text.split()[1:] or [k for k in EQUATIONS if varied(k)][:10]
+    rows = benchmark(_spark(), names).collect()
+    return {"succeeded": sum(bool(r.exact or r.r2 > 0.999) for r in rows), "of": len(rows), "rows": [r.asDict() for r in rows]}
+
+
+def _health() -> dict:
+    """The parser, the algebra, the solver and Spark, each by one question."""
+    checks = {"evaluate": lambda: api.evaluate("2 + 2").result == "4", "diff": lambda: api.evaluate("diff(x^2, x)").result == "2*x", "solve": lambda: api.equation("x + 1 = 0").approx == [-1.0], "spark": lambda: _spark().range(3).count() == 3}
+    out = {}
+    for name, ask in checks.items():
+        try:
+            out[name] = bool(ask())
+        except Exception as e:  # a report names what fails, whatever it is
+            out[name] = f"{type(e).__name__}: {e}"
+    return {"ok": all(v is True for v in out.values()), **out}
+
+
+_timing = False
+
+
 def run(text: str) -> dict:
-    """The result of one statement."""
+    """The result of one statement; with timing on, also the seconds it took."""
+    start = time.perf_counter()
+    out = _run(text)
+    return out | {"seconds": round(time.perf_counter() - start, 6)} if _timing else out
+
+
+def _run(text: str) -> dict:
+    global _timing
     text = text.strip()
     word = text.split()[0] if text.split() else ""
     if text.startswith("find ode"):
         return _ode(text)
+    if text.startswith("find dimensionless"):
+        return _dimensionless(text)
+    if text.startswith("discover causal"):
+        return _causal(text)
+    if word == "benchmark":
+        return _benchmark(text)
+    if word == "health":
+        return _health()
+    if word == "timing":
+        _timing = text.split()[-1] != "off"
+        return {"timing": _timing}
+    if word in SHORTCUTS and re.match(rf"{word}\s+\w+\s*\([^)]*\).*(?:from|--file)\s", text):
+        return _evolve(f"{text} {SHORTCUTS[word]}")
     if re.search(r"\bfind\s+\w+\s*\(", text):
         return _find(text)
     if word == "evolve":

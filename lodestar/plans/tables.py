@@ -673,7 +673,25 @@ def pi_groups(spark, sf):
     return spark.createDataFrame([(k, int(v)) for g in groups for k, v in g.items()], "name string, power int")
 
 
-R.add("gp_search", lambda s, d: search(table(s, d, "part").select(F.col("p_size").cast("double").alias("x"), (F.col("p_size") * F.col("p_size") + 1.0).alias("y")), ["x"], "y", Config(population=100, islands=2, generations=15, seconds=8)).frame(s))
+@R.query("SELECT true AS solved, true AS small")
+def gp_search(spark, sf):
+    """x^2 + 1 over the sizes of parts: bred on a sample, its front scored on all rows."""
+    own = table(spark, sf, "part").select(F.col("p_size").cast("double").alias("x"), (F.col("p_size") * F.col("p_size") + 1.0).alias("y"))
+    best = search(own, ["x"], "y", Config(population=100, islands=2, generations=40, seconds=60)).best
+    return spark.createDataFrame([(best[1] < 1e-6, best[2] <= 20)], "solved boolean, small boolean")
+
+
+_Q = "SELECT min(l_quantity) AS lo, max(l_quantity) AS hi, count(CASE WHEN l_quantity = 0 THEN 1 END) AS zeros FROM lineitem"
+_D = _Q.replace("l_quantity", "l_discount")
+
+
+@R.query(f"SELECT '1/q' AS feature, zeros = 0 AS admitted FROM ({_Q}) UNION ALL SELECT 'sqrt(q)', lo >= 0 FROM ({_Q}) UNION ALL SELECT '1/(30-q)', 30 NOT BETWEEN lo AND hi FROM ({_Q}) UNION ALL SELECT '1/(340-q)', 340 NOT BETWEEN lo AND hi FROM ({_Q}) UNION ALL SELECT 'q^10', true UNION ALL SELECT 'q*d', true UNION ALL SELECT 'log(q)', lo > 0 FROM ({_Q}) UNION ALL SELECT 'exp(q)', lo >= -50 AND hi <= 50 FROM ({_Q}) UNION ALL SELECT 'asin(q)', lo > -1 AND hi < 1 FROM ({_Q}) UNION ALL SELECT '1/d', zeros = 0 FROM ({_D}) UNION ALL SELECT 'log(d)', lo > 0 FROM ({_D}) UNION ALL SELECT 'asin(d)', lo > -1 AND hi < 1 FROM ({_D}) UNION ALL SELECT 'q/d', zeros = 0 FROM ({_D}) UNION ALL SELECT 'd/q', zeros = 0 FROM ({_Q})")
+def feature_library(spark, sf):
+    """Which candidates the library admits, by the extremes and zeros of the whole table."""
+    own = table(spark, sf, "lineitem").select(F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"))
+    admitted = project.admissible_features(own, ["q", "d"], 2)
+    asked = ["1/q", "sqrt(q)", "1/(30-q)", "1/(340-q)", "q^10", "q*d", "log(q)", "exp(q)", "asin(q)", "1/d", "log(d)", "asin(d)", "q/d", "d/q"]
+    return spark.createDataFrame([(f, f in admitted) for f in asked], "feature string, admitted boolean")
 
 
 def _decay(spark, sf):
@@ -711,7 +729,12 @@ def exact_interpolation(spark, sf):
     return spark.createDataFrame([(exact.polynomial_text(exact.interpolate([(k, k**3 - 2 * k) for k in range(5)])),)], "formula string")
 
 
-R.add("detect_patterns", lambda s, d: detect.detect(_law(s, d), "x", "y", "p_partkey"))
+@R.query("WITH o AS (SELECT x, x * x AS y, lag(x * x) OVER (ORDER BY x, p_partkey) AS py FROM (SELECT p_partkey, CAST((p_partkey % 201) - 100 AS DOUBLE) AS x FROM part)) SELECT count(*) AS n, count(*) AS whole, min(x) AS x_lo, max(x) AS x_hi, min(y) AS y_lo, max(y) AS y_hi, count(CASE WHEN abs(y - py) > 0.5 THEN 1 END) AS jumps, count(CASE WHEN y * py < 0 THEN 1 END) AS flips, count(CASE WHEN abs(y) < 0.01 AND abs(py) > 0.01 THEN 1 END) AS falls, bool_and(coalesce(y >= py, true)) AS monotone, 1.0::DOUBLE AS is_square, round(avg(CASE WHEN abs(y - x) <= 1e-6 * greatest(1, y) THEN 1.0 ELSE 0.0 END), 9) AS is_floor, round(avg(CASE WHEN abs(y - greatest(x, 0)) <= 1e-6 * greatest(1, y) THEN 1.0 ELSE 0.0 END), 9) AS is_relu FROM o")
+def detect_patterns(spark, sf):
+    """What one pass over sorted rows says about a square."""
+    own = detect.detect(_law(spark, sf), "x", "y", "p_partkey")
+    falls = _law(spark, sf).withColumn("py", F.lag("y").over(series.order([], "x", "p_partkey"))).agg(F.count_if((F.abs("y") < 0.01) & (F.abs("py") > 0.01)).alias("falls"))
+    return only(own.crossJoin(falls), "n", "whole", "x_lo", "x_hi", "y_lo", "y_hi", "jumps", "flips", "falls", "monotone", "is_square", "is_floor", "is_relu", digits=9)
 _EQUATIONS = ", ".join("('{}', '{}', [{}]::VARCHAR[], [{}]::DOUBLE[], [{}]::DOUBLE[])".format(n, f, *[", ".join(f"'{v}'" for v in feynman.ranges(n)), ", ".join(repr(r[0]) for r in feynman.ranges(n).values()), ", ".join(repr(r[1]) for r in feynman.ranges(n).values())]) for n, f in feynman.EQUATIONS.items())
 
 

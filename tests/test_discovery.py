@@ -193,3 +193,38 @@ def test_quantiles_of_any_size_are_exact(spark, keys):
         at = np.array(probs) * (len(own) - 1)
         assert got[key] == pytest.approx((lo + (hi - lo) * (at - np.floor(at))).tolist(), rel=1e-9, abs=1e-12)
     assert quantile.median(df.filter("k = 'd'"), F.col("v")) is None
+
+
+def test_commands(spark, tmp_path):
+    from lodestar import cli
+
+    (tmp_path / "d.csv").write_text("x,y\n" + "\n".join(f"{k},{k * k + 1}" for k in range(1, 30)) + "\n")
+    path = tmp_path / "d.csv"
+    assert cli.run("find dimensionless F=N, rho=kg/m^3, v=m/s, L=m")["groups"] == ["F^(1)*rho^(-1)*v^(-2)*L^(-2)"]
+    assert cli.run("health")["ok"] is True
+    assert cli.run("timing on")["timing"] and "seconds" in cli.run("2 + 2") and "timing" in cli.run("timing off")
+    assert cli.run(f"h f(x) from {path}")["mse"] < 1e-9
+    got = cli.run(f"evolve f(x) --file {path} --polynomial --seed x^2 --verbose --hp")
+    assert "sin" not in got["formula"] and got["front"] and float(got["mse_50_digits"]) == pytest.approx(got["mse"], abs=1e-6)
+    assert ("x", "y") in {tuple(sorted(e)) for v in cli.run(f"discover causal from {path}").values() for e in v}
+    assert cli.run("benchmark I.12.1")["succeeded"] == 1
+
+
+def test_fifty_digits(spark):
+    from decimal import Decimal, localcontext
+
+    with localcontext() as c:
+        c.prec = 50
+        assert abs(genetic.precise(parse("sin(x)^2 + cos(x)^2"), {"x": Decimal("123.4")}) - 1) < Decimal("1e-46")
+        assert str(genetic.precise(parse("pi"), {}))[:42] == "3.1415926535897932384626433832795028841971"
+    df = spark.createDataFrame([(float(k), float(k * k)) for k in range(5)], "x double, y double")
+    assert genetic.precise_mse(df, "x^2", ["x"], "y") == 0
+
+
+def test_search_keeps_rows_unseen_and_scores_all(spark):
+    df = spark.range(3000).select((F.col("id") / 100).alias("x")).withColumn("y", 2 * F.col("x") + 3)
+    found = genetic.search(df, ["x"], "y", genetic.Config(population=120, islands=2, generations=40, seconds=60, sample=200))
+    assert found.best[1] < 0.05
+    exact = genetic.fitness(df, ["x"], "y", [parse(f) for f, _, _ in found.front])
+    assert [m for _, m in exact] == pytest.approx([m for _, m, _ in found.front], rel=1e-3, abs=1e-6)
+    assert genetic.winner([(1.0, 5), (0.5, 9), (0.51, 3)], 0.05) == 2 and genetic.winner([(1.0, 5), (0.5, 9), (0.51, 3)], None) == 1
