@@ -36,7 +36,7 @@ BANDS, ROWS = 32, 4
 #: Classes of a tile.
 TILE = 256
 #: Rows of one key that a join takes as they come; at most ``MOST_HOT`` keys have more, and those are broadcast.
-COMMON, MOST_HOT = 1000, 200_000
+COMMON, MOST_HOT = 2000, 20_000
 #: Posterior probability below which a pair is dropped.
 TOLERANCE = 1e-9
 _rng = np.random.default_rng(90210)
@@ -115,9 +115,12 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def join_hot(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
     """Inner join of rows with keyed (unique keys; column n: how many rows have the key), n dropped.
 
-    Keys of over max(COMMON, total / MOST_HOT) of the ``total`` rows, MOST_HOT at most, are broadcast; the others meet by a shuffle.
+    Keys of over max(COMMON, total / MOST_HOT) of the ``total`` rows, MOST_HOT at most, are broadcast; the others meet by a shuffle,
+    as all do where no key has as many.
     """
     most = max(COMMON, total // MOST_HOT)
+    if (keyed.agg(F.max("n")).first()[0] or 0) <= most:
+        return rows.join(keyed.drop("n"), key)
     hot, rest = keyed.filter(F.col("n") > most).drop("n"), keyed.filter(F.col("n") <= most).drop("n")
     marked = F.broadcast(hot.withColumn("is_hot", F.lit(True)))
     tagged = rows.join(marked, key, "left")
