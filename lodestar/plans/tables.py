@@ -677,7 +677,7 @@ def pi_groups(spark, sf):
 def gp_search(spark, sf):
     """x^2 + 1 over the sizes of parts: bred on a sample, its front scored on all rows."""
     own = table(spark, sf, "part").select(F.col("p_size").cast("double").alias("x"), (F.col("p_size") * F.col("p_size") + 1.0).alias("y"))
-    best = search(own, ["x"], "y", Config(population=100, islands=2, generations=40, seconds=60)).best
+    best = search(own, ["x"], "y", Config(population=300, islands=3, generations=60, patience=30, seconds=60)).best
     return spark.createDataFrame([(best[1] < 1e-6, best[2] <= 20)], "solved boolean, small boolean")
 
 
