@@ -20,9 +20,15 @@ R = Registry()
 
 @R.query("SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part WHERE p_size <= 25")
 def scan_project(spark, sf):
-    """The file loader, a parsed predicate and a projection; filter and columns reach the scan."""
-    own = readers.read(spark, f"{sf}/part.parquet").filter(to_column(parse("p_size <= 25")) != 0)
-    return own.select(F.col("p_partkey").cast("long").alias("p_partkey"), F.col("p_size").cast("long").alias("p_size"), "p_retailprice")
+    """Filter and columns reach the scan."""
+    return table(spark, sf, "part").filter("p_size <= 25").select("p_partkey", F.col("p_size").cast("long").alias("p_size"), "p_retailprice")
+
+
+@R.query("SELECT CAST(p_partkey AS DOUBLE) AS p_partkey, CAST(p_size AS DOUBLE) AS p_size, p_retailprice FROM part WHERE p_size > 5 AND p_size <= 25")
+def file_loader(spark, sf):
+    """The loader makes every column a number; a parsed predicate filters."""
+    own = readers.read(spark, f"{sf}/part.parquet").filter(to_column(parse("5 < p_size <= 25")) != 0)
+    return own.select("p_partkey", "p_size", "p_retailprice")
 
 
 @R.query("SELECT CAST(p_partkey AS DOUBLE) AS p_partkey, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS DOUBLE) END AS size FROM part")
