@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, jaccard, langid, license_scan, packing, pii, recompress, substring, topk
+from . import decontaminate, divergence, fingerprint, html_text, jaccard, langid, lexical, license_scan, packing, pii, recompress, substring, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,19 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(docs, license_scan.train(docs)).select("doc_id", "licences", "n_paragraphs", F.to_json("found").alias("found"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build_index(table(spark, sf_dir, "documents"))
+    return lexical.search(index, table(spark, sf_dir, "benchmark")).drop("copy")
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -79,6 +92,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_pii": op10_pii,
+        "op11_source_divergence": op11_source_divergence,
+        "op12_lexical_search": op12_lexical_search,
+        "op13_fingerprints": op13_fingerprints,
     }
 
 
@@ -133,5 +149,36 @@ FROM s LEFT JOIN c USING (g) LEFT JOIN l USING (class_id) LEFT JOIN m USING (cla
 """
 
 
+#: Every pair of groups over every kept term, term by term.
+DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT k, lang, source, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY 1, 2 HAVING count(DISTINCT k) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+l AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY 1),
+s AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT s.lang, s.source, kept.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (s.n + l.v) AS p, 1 + (1000000000::HUGEINT * (kept.total + 1)) // (l.n + l.v) AS q
+  FROM s JOIN l USING (lang) JOIN kept USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = kept.term),
+x AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(x.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM o) WHERE part = 'pair' OR rank <= 200
+"""
+
+#: Every item's terms against every document that holds them.
+LEXICAL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT k, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+f AS (SELECT k, term, count(*) AS tf FROM t GROUP BY ALL),
+z AS (SELECT count(*) AS n, sum(len(w)) AS l FROM d WHERE len(w) > 0),
+m AS (SELECT k, doc_id, 75 + CAST(25 * len(w) * z.n AS BIGINT) // CAST(z.l AS BIGINT) AS m FROM d, z WHERE len(w) > 0),
+e AS (SELECT term, CAST(floor(1000 * ln((2 * z.n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, z GROUP BY term, z.n),
+b AS (SELECT item_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM benchmark),
+s AS (SELECT b.item_id, m.k, m.doc_id, sum(e.w * ((1000000000 * f.tf) // (1000 * f.tf + 12 * m.m))) AS score FROM b JOIN e USING (term) JOIN f USING (term) JOIN m USING (k) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": SUBSTRINGS, "op4_exact_topk": TOP_K, "op5_ngram_jaccard": NEAR, "op7_passage_dedup": PASSAGES}
+    return {"op11_source_divergence": DIVERGENCE, "op12_lexical_search": LEXICAL, "op2_substring_dedup": SUBSTRINGS, "op4_exact_topk": TOP_K, "op5_ngram_jaccard": NEAR, "op7_passage_dedup": PASSAGES}
