@@ -111,20 +111,22 @@ class Encoder:
 
     def _one(self, word: str) -> bytes:
         """A single pre-token's ids, its bytes as the vocabulary writes them."""
-        if not word.isascii():
+        if not (word.isascii() and word.isprintable()):
             word = "".join([BYTE_SIGNS[b] for b in word.encode()])
         return np.array([t.id for t in self.tok.model.tokenize(word)], "<u4").tobytes()
 
     @staticmethod
-    def plain(text: str) -> bool:
-        """Case and normal form of each character stand for themselves; white space is as str.split has it."""
+    def plain(text: str, low: str) -> bool:
+        """Case and normal form of each character stand for themselves, before and after lower-casing; white space is as str.split has it."""
         if "<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
             return False
-        return text.isascii() or ord(max(text)) < PLAIN_BELOW and "İ" not in text and unicodedata.is_normalized("NFC", text)
+        if text.isascii():
+            return True
+        return ord(max(text)) < PLAIN_BELOW and ord(max(low)) < PLAIN_BELOW and "İ" not in text and unicodedata.is_normalized("NFC", text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         get = self.words.__getitem__
-        return [b"".join(map(get, x.lower().split())) if self.plain(x) else self._whole(x) for x in texts]
+        return [b"".join(map(get, low.split())) if self.plain(x, low) else self._whole(x) for x, low in ((x, x.lower()) for x in texts)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -163,14 +165,16 @@ def _pieces(path: str, capacity: int, end: int):
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    """The greatest of the bounds that round lengths over capacity - k up and drop those below k, and of
-    those that round lengths to multiples of capacity / k."""
+    """The greatest of the bounds that count the pieces of a length or more, of those that round lengths over
+    capacity - k up and drop those below k, and of those that round lengths to multiples of capacity / k."""
     sizes = np.array(sorted(counts), np.int64)
     if not len(sizes):
         return 0
     n = np.array([counts[int(x)] for x in sizes], np.int64)
     total = int((sizes * n).sum())
     best = -(-total // capacity)
+    # a sequence holds capacity // size of the pieces that are as long as that
+    best = max(best, int((-(-np.cumsum(n[::-1])[::-1] // (capacity // sizes))).max()))
     # the bound of k changes at the lengths alone
     k = np.r_[0, sizes[sizes <= capacity // 2]]
     number, length = np.r_[0, np.cumsum(n)], np.r_[0, np.cumsum(sizes * n)]
