@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.compile import to_column
 from ..functions.parse import parse
-from . import project
+from . import period, project
 from .exact import recognise
 from .gram import Fit, gram, solve
 from .match import conflicts
@@ -68,33 +68,30 @@ def score(df: DataFrame, formulas: dict[str, str], y: str) -> dict[str, tuple[fl
     return out
 
 
-def _periodic(df: DataFrame, x: str, y: str, span: int = 1_000_000) -> list[str]:
-    """Sawtooth candidates a + b (x mod m): m from the jumps of y over successive x."""
-    from pyspark.sql import Window
-
-    row = df.agg(F.count("*").alias("n"), F.count_if(F.col(x) != F.floor(F.col(x))).alias("broken")).first()
-    if not row.n or row.broken:
-        return []
-    # a task sorts the distinct keys of one span; a span's first key also ends the one before
-    keys = df.filter(F.col(x).isNotNull()).groupBy(F.col(x).cast("long").alias("x")).agg(F.min(y).alias("y"))
-    own = F.floor(F.col("x") / span)
-    parts = keys.withColumn("p", F.explode(F.when(F.pmod("x", F.lit(span)) == 0, F.array(own - 1, own)).otherwise(F.array(own))))
-    w = Window.partitionBy("p").orderBy("x")
-    step = parts.withColumn("d", F.col("y") - F.lag("y").over(w)).withColumn("g", F.col("x") - F.lag("x").over(w)).filter("g = 1")
-    # a typical step, to tell jumps: any of the middle ones will do
-    slope = step.agg(F.percentile_approx("d", 0.5, 10_000).alias("s")).first().s
-    if slope is None or not slope:
-        return []
-    jumps = step.filter(F.abs(F.col("d") - slope) > 0.5 * abs(slope)).select("x").orderBy("x").limit(5).collect()
-    if not jumps:
-        return []
-    at = [r.x for r in jumps]
-    m = at[1] - at[0] if len(at) > 1 else at[0]
-    if m < 2:
-        return []
-    part = df.withColumn("__p", F.pmod(F.col(x).cast("long"), F.lit(m)).cast("double"))
-    fit = solve(gram(part, ["__p"], y))
-    return [_sum(_constant(fit.intercept), _term(fit.coefficients["__p"], f"mod({x}, {m})"))]
+def periodic(df: DataFrame, x: str, y: str) -> list[tuple[str, str]]:
+    """(template, formula) of y over a period of x: a sawtooth that nine rows in ten are on, and waves of the clearest periods.
+
+    Gaps, uneven steps and outliers don't hide a period.
+    """
+    out: list[tuple[str, str]] = []
+    found = period.periods(df, x, y)
+    for p in found[:3]:
+        fit = period.sawtooth(df, x, y, p.length)
+        if fit:
+            return [("modulo", _sum(_constant(fit[0]), _term(fit[1], f"mod({x}, {number(p.length)})")))]
+    for p in found[:2]:
+        k = 2 * math.pi / p.length
+        wave = solve(gram(df.select(F.sin(k * F.col(x)).alias("s"), F.cos(k * F.col(x)).alias("c"), F.col(y).alias("v")), ["s", "c"], "v"))
+        out.append(("wave", _sum(_term(wave.coefficients["s"], f"sin({k:.12g}*{x})"), _term(wave.coefficients["c"], f"cos({k:.12g}*{x})"), _constant(wave.intercept))))
+    return out
+
+
+def on_curve(df: DataFrame, formula: str, y: str) -> tuple[int, float, float]:
+    """How many rows a formula gives to nine digits, and its mse and R2 over those."""
+    c, p = F.col(y).cast("double"), to_column(parse(formula))
+    scale = df.agg(F.max(F.abs(p)).alias("m")).first().m or 1.0
+    row = df.filter(F.abs(c - p) <= 1e-9 * max(1.0, scale)).agg(F.count("*").alias("n"), F.avg((c - p) * (c - p)).alias("m"), F.var_pop(c).alias("v")).first()
+    return int(row.n), row.m or 0.0, 1 - row.m / row.v if row.v else 1.0
 
 
 def ladder(df: DataFrame, x: str, y: str) -> list[tuple[str, str]]:
@@ -113,7 +110,6 @@ def ladder(df: DataFrame, x: str, y: str) -> list[tuple[str, str]]:
         out.append(("exponential", _term(s.exp_a, f"exp({number(round(s.exp_b, 9))}*{x})")))
     if s.log_n == s.n and s.log_a is not None:
         out.append(("logarithmic", _sum(_term(s.log_a, f"log({x})"), _constant(s.log_b))))
-    out += [("modulo", f) for f in _periodic(df, x, y)]
     # one-term laws with an offset, each by its own regression in one aggregate
     shapes = [f"sin({x})", f"cos({x})", f"sin(2*{x})", f"abs({x})", f"floor({x})", f"{x}^3"] + ([f"sqrt({x})"] if s.x_lo >= 0 else []) + ([f"1/{x}"] if s.x_lo > 0 or s.x_hi < 0 else []) + ([f"cosh({x})", f"sinh({x})"] if max(abs(s.x_lo), abs(s.x_hi)) < 50 else []) + [f"sigmoid({x})", f"softplus({x})", f"exp(-{x}^2)"] + ([f"{x}*log({x})"] if s.x_lo > 0 else [])
     aggs = []
@@ -187,14 +183,20 @@ def find(df: DataFrame, variables: list[str], y: str, exact: float = 1e-9) -> Fo
         raise ValueError(f"one point has values {clash[0].spread:g} apart")
     best: Found | None = None
     if len(variables) == 1:
-        steps = ladder(own, variables[0], y)
-        scores = score(own, {str(k): f for k, (_, f) in enumerate(steps)}, y)
         n = own.count()
         spread = own.agg(F.var_pop(y).alias("v")).first().v or 0.0
-        for k, (name, f) in enumerate(steps):
-            mse, r2 = scores[str(k)]
-            if mse <= exact * max(spread, 1e-30) or name == "constant":
-                return Found(f, mse, r2, n, name)
+        # periods take several passes, so they are looked for where no law without one holds
+        for laws in (ladder, periodic):
+            steps = laws(own, variables[0], y)
+            scores = score(own, {str(k): f for k, (_, f) in enumerate(steps)}, y)
+            for k, (name, f) in enumerate(steps):
+                mse, r2 = scores[str(k)]
+                if mse <= exact * max(spread, 1e-30) or name == "constant":
+                    return Found(f, mse, r2, n, name)
+        for name, f in steps:
+            if name == "modulo":
+                kept, mse, r2 = on_curve(own, f, y)
+                return Found(f, mse, r2, kept, f"modulo, {n - kept} rows aside")
     # rows that aren't finite are left out of fits, but show where poles are
     poles = {v: project.detected_poles(df, v, y) for v in variables}
     for stage in (1, 2):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import api
 from ..functions.compile import scrubbed_sql
 from ..functions.parse import parse
-from ..operators import causal, detect, dynamics, exact, gram, match, pareto, project, quantile, regress, robust, series, solve, units
+from ..operators import causal, detect, dynamics, exact, gram, match, pareto, period, project, quantile, regress, robust, series, solve, units
 from ..operators.discover import find, ladder_by_key
 from ..operators.genetic import Config, fitness, search
 from ..sources import feynman, readers
@@ -478,6 +478,34 @@ def discover_part_price(spark, sf):
     return only(find(table(spark, sf, "part"), ["p_partkey"], "p_retailprice").frame(spark), "formula", "mse", "r2", "n")
 
 
+#: A sawtooth over order keys with gaps, with every other key missing, and with a row in twenty far from it.
+_SAW = {
+    "period_gapped": ("o_orderkey % 7 <> 3 AND o_orderkey NOT BETWEEN 500 AND 560", "0"),
+    "period_stepped": ("o_orderkey % 2 = 0", "0"),
+    "period_outliers": ("true", "CASE WHEN (o_orderkey * 7919) % 100 < 5 THEN 1 + (o_orderkey * 104729) % 10007 ELSE 0 END"),
+}
+
+
+def _sawtooth(where: str, off: str):
+    def run(spark, sf):
+        own = table(spark, sf, "orders").filter(where).select("o_orderkey", F.expr(f"3 + (o_orderkey % 48) / 4.0D + {off}").alias("y"))
+        return only(find(own, ["o_orderkey"], "y").frame(spark), "formula", "r2", "n")
+
+    run.__doc__ = "A period is found behind gaps, steps and outliers; n is how many rows are on the law."
+    return run
+
+
+for _name, (_where, _off) in _SAW.items():
+    R.add(_name, _sawtooth(_where, _off), f"SELECT '3 + (1/4)*mod(o_orderkey, 48)' AS formula, 1.0::DOUBLE AS r2, count_if(off = 0) AS n FROM (SELECT {_off} AS off FROM orders WHERE {_where})")
+
+
+@R.query(f"WITH r AS (SELECT o_orderkey::DOUBLE AS x, o_totalprice::DOUBLE AS y FROM orders), m AS (SELECT avg(y) AS m FROM r), s AS (SELECT p::DOUBLE AS length, count(*) AS n, sum((y - m) * cos(2 * pi() * (x / p - floor(x / p)))) AS re, -sum((y - m) * sin(2 * pi() * (x / p - floor(x / p)))) AS im FROM r, m, range(2, 50) AS g(p) GROUP BY p) SELECT length, n, {rd('(re * re + im * im) / n / 1e6', 2)} AS power FROM s")
+def fourier_power(spark, sf):
+    """Power of order prices at each period from 2 to 49 keys, by partial Fourier sums in one pass."""
+    sums = period.fourier_sums(table(spark, sf, "orders"), "o_orderkey", "o_totalprice", list(range(2, 50)))
+    return only(sums.select("length", "n", ((F.col("re") * F.col("re") + F.col("im") * F.col("im")) / F.col("n") / 1e6).alias("power")), digits=2)
+
+
 @R.query(f"SELECT CAST(epoch_us(date_trunc('day', ts)) / 1000000 AS BIGINT) AS day, count(*) AS n, {rd('regr_slope(value, event_id)', 5)} AS slope FROM events GROUP BY 1")
 def windowed_line(spark, sf):
     """The streaming operator's aggregate over the same rows as a batch."""
