@@ -1,16 +1,12 @@
-"""Formula search: a genetic programme bred on a sample, its front judged by all rows.
+"""Formula search: a genetic programme whose islands breed on executors, scored by all rows.
 
-Trees live on the driver, which breeds them with a seeded generator and scores every generation
-on a bounded sample (``Config.sample``), four fifths of it for breeding and the rest for the
-front. At each migration and at the end the whole front goes out together: each task evaluates
-all of it over its Arrow batches, and what returns is one sum a tree; these errors then drive
-front and stop. Structure in rows too rare for the sample isn't bred for, but its errors count.
+This module has the trees' construction and variation, losses and the search's outer loop;
+``islands`` has the population's table, its breeding and its scoring.
 """
 
 from __future__ import annotations
 
 import math
-import time
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from decimal import Decimal, getcontext, localcontext
@@ -47,8 +43,9 @@ class Config:
     elite: int = 5
     delta: float = 1.35
     most_complex: int = 100
+    #: Rows that an island breeds on, in expectation, drawn anew at each migration.
     sample: int = 2000
-    #: Share of the sample that breeding doesn't see and the front is judged by, from 20 rows on.
+    #: Share of a table of up to that size that breeding doesn't see, from 20 rows on.
     validation: float = 0.2
     #: Searches one after the other, each on what the sum of those before leaves.
     boosting: int = 1
@@ -231,19 +228,21 @@ def winner(entrants: list[tuple[float, int]], margin: float | None) -> int:
 def search(df: DataFrame, variables: list[str], y: str, config: Config | None = None) -> Search:
     """Islands that breed apart and trade their best; ends by time, patience or a perfect fit.
 
-    Trees breed on a sample's training rows; the front is judged by its other rows, and at each migration and at the end by
-    all rows of the table, in one job for the whole front. With boosting, later rounds search what is left.
+    Each island breeds on its own rows; every tree is scored by all rows of the table at each migration. With boosting,
+    later rounds search what is left.
     """
+    from .islands import evolve
+
     c = config or Config()
     cols = [*variables, y]
     rows = df.select(*[F.col(k).cast("double").alias(k) for k in cols]).na.drop()
-    found, made = _round(rows, variables, y, c)
+    found, made = evolve(rows, variables, y, c)
     for _ in range(1, c.boosting):
         if not found or min(m for _, m in found) < c.stop:
             break
         best = min(found, key=lambda r: (r[1], ast.size(r[0])))[0]
         left = rows.withColumn(y, F.col(y) - to_column(best)).filter(F.col(y).isNotNull() & ~F.isnan(y) & (F.abs(y) < float("inf")))
-        more, again = _round(left, variables, y, c)
+        more, again = evolve(left, variables, y, c)
         made += again
         sums = [Call("add", (best, t)) for t, _ in more]
         found += [(t, m) for t, (_, m) in zip(sums, fitness(rows, variables, y, sums, c.delta) if sums else [], strict=True) if math.isfinite(m)]
@@ -259,81 +258,6 @@ def search(df: DataFrame, variables: list[str], y: str, config: Config | None =
     return Search(kept, made)
 
 
-def _round(rows: DataFrame, variables: list[str], y: str, c: Config) -> tuple[list[tuple[Node, float]], int]:
-    """One search: its front as (tree, mse on all rows), and how many generations were made."""
-    breeder = Breeder(variables, c)
-    n = rows.count()
-    sample = rows if n <= c.sample else rows.filter(F.rand(c.seed) < c.sample / n)
-    local = np.array([list(r) for r in sample.collect()], float).reshape(-1, len(variables) + 1)
-    unseen = np.zeros(len(local), bool)
-    if len(local) >= 20 and c.validation:
-        unseen[np.random.default_rng(42).permutation(len(local))[: round(c.validation * len(local))]] = True
-    part = lambda keep: ({v: local[keep, k] for k, v in enumerate(variables)}, local[keep, -1])
-    (x, target), (x_val, target_val) = part(~unseen), part(unseen if unseen.any() else ~unseen)
-    pops = [breeder.initial() for _ in range(c.islands)]
-    front: dict[int, tuple[Node, float]] = {}
-    start, stale, best, made = time.monotonic(), 0, math.inf, 0
-
-    def score(trees: list[Node]) -> list[tuple[float, float]]:
-        out = []
-        for t, (m, h, s) in zip(trees, _losses(trees, x, target, c.delta), strict=True):
-            mse = s / m if m else math.inf
-            size = ast.size(t)
-            out.append((math.inf if size > c.most_complex or not math.isfinite(mse) else h / m + (0 if mse < 1e-12 else c.parsimony * size), mse))
-        return out
-
-    def judged(trees: list[Node]) -> list[float]:
-        return [s / m if m and math.isfinite(s) else math.inf for m, _, s in _losses(trees, x_val, target_val, c.delta)]
-
-    def on_all_rows() -> None:
-        """The front's errors on the whole table take the place of those on the sample."""
-        sizes = sorted(front)
-        if sizes:
-            for size, (_, mse) in zip(sizes, fitness(rows, variables, y, [front[k][0] for k in sizes], c.delta), strict=True):
-                front[size] = (front[size][0], mse)
-
-    for made in range(1, c.generations + 1):
-        for k, pop in enumerate(pops):
-            scored = sorted(zip(score(pop), range(len(pop)), pop, strict=True), key=lambda r: (r[0][0], ast.size(r[2]), r[1]))
-            for t, mse in zip([t for _, _, t in scored[:20]], judged([t for _, _, t in scored[:20]]), strict=True):
-                size = ast.size(t)
-                if math.isfinite(mse) and (size not in front or mse < front[size][1]):
-                    front[size] = (t, mse)
-            ranked = [t for _, _, t in scored]
-            entry = [((loss if c.lexicographic is None else mse), ast.size(t)) for (loss, mse), _, t in scored]
-
-            def chosen(ranked=ranked, entry=entry) -> Node:
-                at = breeder.rng.integers(0, len(ranked), c.tournament)
-                return ranked[int(at[winner([entry[i] for i in at], c.lexicographic)])]
-
-            nxt = ranked[: c.elite]
-            while len(nxt) < c.population:
-                a = chosen()
-                r = breeder.rng.random()
-                nxt.append(breeder.cross(a, chosen()) if r < c.crossover else breeder.mutate(a) if r < c.crossover + max(c.mutation, 0.2) else a)
-            pops[k] = nxt
-        if made % c.migration_every == 0:
-            m = max(1, int(c.population * c.migration_share))
-            best_of = [p[:m] for p in pops]
-            for k in range(len(pops)):
-                pops[k][-m:] = best_of[k - 1]
-            if n > len(local):
-                on_all_rows()
-        now = min((v for _, v in front.values()), default=math.inf)
-        stale = 0 if now < best * 0.99 else stale + 1
-        best = min(best, now)
-        if best < c.stop or stale >= c.patience or time.monotonic() - start > c.seconds:
-            break
-    # what no smaller tree beats, polished, scored on all rows in one job
-    kept, low = [], math.inf
-    for size in sorted(front):
-        if front[size][1] < low:
-            low = front[size][1]
-            kept.append(polish(front[size][0], x, target, breeder))
-    exact = fitness(rows, variables, y, kept, c.delta) if kept else []
-    return [(t, mse) for t, (_, mse) in zip(kept, exact, strict=True) if math.isfinite(mse)], made
-
-
 def plain(x: Node) -> Node:
     """Guarded search functions by their plain names, simplified."""
     names = {v: k for k, v in {**UNARY, **BINARY}.items() if v.startswith("gp_")}

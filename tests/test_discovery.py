@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestar.functions import ast
 from lodestar.functions.compile import evaluate
 from lodestar.functions.parse import parse
 from lodestar.operators import causal, detect, dynamics, genetic, gram, quantile, regress, robust, series
@@ -221,6 +222,34 @@ def test_fifty_digits(spark):
     assert genetic.precise_mse(df, "x^2", ["x"], "y") == 0
 
 
+def test_shared_subexpressions_lose_nothing():
+    from lodestar.operators import islands
+
+    breeder = genetic.Breeder(["x", "z"], genetic.Config(population=200, seeds=("x^2", "pi*sin(x)")))
+    trees = breeder.initial()
+    assert [islands.decode(islands.encode(t)) for t in trees] == trees
+    rng = np.random.default_rng(1)
+    x, y = {"x": rng.normal(size=50), "z": rng.uniform(1, 2, 50)}, rng.normal(size=50)
+    shared = islands.Shared(trees)
+    assert np.allclose(shared.losses(x, y, 1.35), genetic._losses(trees, x, y, 1.35), rtol=1e-9, equal_nan=True)
+    assert len(shared.steps) < sum(ast.size(t) for t in trees) / 2
+
+
+def test_islands_breed_on_executors_and_move(spark):
+    from lodestar.operators import islands
+
+    df = spark.range(20_000).select((F.col("id") % 997 / 100).alias("x"), (F.col("id") % 89).cast("double").alias("z")).withColumn("y", F.col("x") * F.col("z") + F.col("x"))
+    c = genetic.Config(population=80, islands=3, generations=20, migration_every=5, seconds=120, sample=150)
+    one, made = islands.evolve(df, ["x", "z"], "y", c)
+    two, again = islands.evolve(df, ["x", "z"], "y", c)
+    assert made == again and [islands.encode(t) for t, _ in one] == [islands.encode(t) for t, _ in two]
+    errors = [m for _, m in one]
+    assert errors == sorted(errors, reverse=True) and errors[-1] < 0.2 * errors[0]
+    # rows that islands draw: bounded, and all of them get some
+    sizes = {r["__island"]: r["count"] for r in islands.drawn(df, 20_000, c, 3).groupBy("__island").count().collect()}
+    assert set(sizes) == {0, 1, 2} and all(60 < v < 300 for v in sizes.values())
+
+
 def test_search_keeps_rows_unseen_and_scores_all(spark):
     df = spark.range(3000).select((F.col("id") / 100).alias("x")).withColumn("y", 2 * F.col("x") + 3)
     found = genetic.search(df, ["x"], "y", genetic.Config(population=120, islands=2, generations=40, seconds=60, sample=200))
