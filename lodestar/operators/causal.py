@@ -35,20 +35,38 @@ def fisher_z(r: float, n: float, k: int) -> float:
     return 2 * (1 - normal_cdf(abs(z)))
 
 
+def quantile_edges(df: DataFrame, cols: list[str], bins: int = 5) -> dict[str, list[float]]:
+    """The inner edges of equally full bins, of all columns in one scan."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("__k"), F.col(c).cast("double").alias("__x")) for k, c in enumerate(cols)])).alias("e")
+    found = {r["__k"]: r["__q"] for r in percentiles(df.select(each).select("e.*"), F.col("__x"), [k / bins for k in range(1, bins)], ["__k"]).collect()}
+    return {c: found.get(k) or [] for k, c in enumerate(cols)}
+
+
+def cube(df: DataFrame, cols: list[str], bins: int = 5) -> DataFrame:
+    """Counts (o) of every combination of the columns' bins (b_<column>): one pass, from which any test between them follows."""
+    edges = quantile_edges(df, cols, bins)
+    below = lambda c: sum((F.when(F.col(c) >= e, 1).otherwise(0) for e in edges[c]), F.lit(0))
+    return df.select(*[below(c).alias(f"b_{c}") for c in cols]).groupBy(*[f"b_{c}" for c in cols]).agg(F.count("*").alias("o"))
+
+
+def g_tests(cells: DataFrame, tests: list[tuple[str, str, tuple[str, ...]]], bins: int = 5, least: int = 10) -> DataFrame:
+    """test (its place in the list), g2 and dof of many independence tests, in one pass over a cube's cells.
+
+    A test's G2 is summed over the strata of its given columns' bins, those of ``least`` rows or more.
+    """
+    stratum = lambda given: sum((F.col(f"b_{c}").cast("long") * bins**k for k, c in enumerate(given)), F.lit(0).cast("long"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("test"), F.col(f"b_{a}").alias("i"), F.col(f"b_{b}").alias("j"), stratum(given).alias("z")) for k, (a, b, given) in enumerate(tests)])).alias("c")
+    counts = cells.select("o", each).groupBy("c.test", "c.i", "c.j", "c.z").agg(F.sum("o").alias("o"))
+    total = lambda *by: F.sum("o").over(Window.partitionBy("test", "z", *by))
+    own = counts.select("test", "z", "o", (total("i") * total("j") / total()).alias("e"), total().alias("n")).filter(F.col("n") >= least)
+    return own.groupBy("test").agg((2 * F.sum(F.col("o") * F.ln(F.col("o") / F.col("e")))).alias("g2"), ((bins - 1) ** 2 * F.count_distinct("z")).cast("int").alias("dof"))
+
+
 def g_squared(df: DataFrame, a: str, b: str, given: list[str] | None = None, bins: int = 5, least: int = 10) -> DataFrame:
     """G2 statistic and degrees of freedom over quantile bins, summed over strata of the given columns' bins."""
-    given = given or []
-    cols = [a, b, *given]
-    # one row of bins - 1 numbers a column
-    edges = {c: (percentiles(df, F.col(c), [k / bins for k in range(1, bins)]).first() or [None])[0] or [] for c in cols}
-    below = lambda c: sum((F.when(F.col(c) >= e, 1).otherwise(0) for e in edges[c]), F.lit(0))
-    binned = df.select(*[below(c).alias(f"b_{c}") for c in cols])
-    z = [f"b_{c}" for c in given]
-    cells = binned.groupBy(f"b_{a}", f"b_{b}", *z).agg(F.count("*").alias("o"))
-    total = lambda *by: F.sum("o").over(Window.partitionBy(*by)) if by else F.sum("o").over(Window.partitionBy(F.lit(1)))
-    own = cells.select("o", (total(f"b_{a}", *z) * total(f"b_{b}", *z) / total(*z)).alias("e"), total(*z).alias("n"), *z).filter(F.col("n") >= least)
-    strata = own.select(*z).distinct().count() if z else 1
-    return own.agg((2 * F.sum(F.col("o") * F.ln(F.col("o") / F.col("e")))).alias("g2")).withColumn("dof", F.lit((bins - 1) ** 2 * max(strata, 1)))
+    given = tuple(given or ())
+    found = g_tests(cube(df, [a, b, *given], bins), [(a, b, given)], bins, least)
+    return found.agg(F.sum("g2").alias("g2"), F.coalesce(F.sum("dof"), F.lit((bins - 1) ** 2)).cast("int").alias("dof"))
 
 
 def g_test(df: DataFrame, a: str, b: str, given: list[str] | None = None, bins: int = 5) -> float:
@@ -67,8 +85,7 @@ class Graph:
         return spark.createDataFrame(rows, "src string, dst string, directed boolean")
 
 
-def pc(df: DataFrame, cols: list[str], alpha: float = 0.05) -> Graph:
-    """The PC algorithm: skeleton by conditional independence, v-structures, then propagation without new ones or cycles."""
+def _fisher_split(df: DataFrame, cols: list[str], alpha: float) -> tuple[dict[int, set[int]], dict[frozenset[int], tuple[int, ...]]]:
     corr, n = correlations(df, cols)
     near = {i: {j for j in range(len(cols)) if j != i} for i in range(len(cols))}
     split: dict[frozenset[int], tuple[int, ...]] = {}
@@ -84,6 +101,41 @@ def pc(df: DataFrame, cols: list[str], alpha: float = 0.05) -> Graph:
                             near[j].discard(i)
                             split[frozenset((i, j))] = given
                             break
+    return near, split
+
+
+def _cube_split(df: DataFrame, cols: list[str], alpha: float, bins: int) -> tuple[dict[int, set[int]], dict[frozenset[int], tuple[int, ...]]]:
+    """The skeleton by G2 tests: the table is counted once, and each size of conditioning sets is one pass over the counts.
+
+    All tests of a size go by the neighbours before it, so their order doesn't matter.
+    """
+    cells = cube(df, cols, bins).cache()
+    near = {i: {j for j in range(len(cols)) if j != i} for i in range(len(cols))}
+    split: dict[frozenset[int], tuple[int, ...]] = {}
+    try:
+        for k in range(len(cols) - 1):
+            tests = [(i, j, given) for i in near for j in sorted(near[i]) if i < j for given in dict.fromkeys([*combinations(sorted(near[i] - {j}), k), *combinations(sorted(near[j] - {i}), k)])]
+            if not tests:
+                break
+            found = {r.test: chi2_sf(r.g2, r.dof) for lo in range(0, len(tests), 200) for r in g_tests(cells, [(cols[i], cols[j], tuple(cols[g] for g in given)) for i, j, given in tests[lo : lo + 200]], bins).withColumn("test", F.col("test") + lo).collect()}
+            for t, (i, j, given) in enumerate(tests):
+                if found.get(t, 1.0) > alpha and frozenset((i, j)) not in split:
+                    split[frozenset((i, j))] = given
+            for pair in split:
+                i, j = sorted(pair)
+                near[i].discard(j)
+                near[j].discard(i)
+    finally:
+        cells.unpersist()
+    return near, split
+
+
+def pc(df: DataFrame, cols: list[str], alpha: float = 0.05, test: str = "fisher", bins: int = 5) -> Graph:
+    """The PC algorithm: skeleton by conditional independence, v-structures, then propagation without new ones or cycles.
+
+    ``test``: "fisher" (partial correlations, for what is linear) or "g2" (counts in bins, for any dependence).
+    """
+    near, split = _fisher_split(df, cols, alpha) if test == "fisher" else _cube_split(df, cols, alpha, bins)
     arrows: set[tuple[int, int]] = set()
     for m in range(len(cols)):
         for i, j in combinations(sorted(near[m]), 2):

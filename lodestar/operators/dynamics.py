@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -133,7 +135,114 @@ def implicit_ode(df: DataFrame, t: str, y: str, keys: list[str], tie: str, degre
     c = v / size[keep]
     c = c / c[np.argmax(np.abs(v))]
     nice = {"y0": "y", "y1": "y'", "y2": "y''"}
-    text = " + ".join(f"{a:.4g}*{library[k]}" if abs(a - 1) > 1e-4 else library[k] for a, k in zip(c, keep, strict=True)).replace("+ -", "- ")
+    text = " + ".join(f"{a:.4g}*{library[k]}" if f"{a:.4g}" != "1" else library[k] for a, k in zip(c, keep, strict=True)).replace("+ -", "- ")
     for a, b in nice.items():
         text = text.replace(a, b)
     return f"{text} = 0", float(max(values[0], 0))
+
+
+#: Least relative residual that differences of a series can show, in squares; worth of a term, in decades of it.
+FLOOR, TERM = 1e-8, 1.0
+
+
+@dataclass(frozen=True)
+class Equation:
+    """A sum of expressions of y, y' and y'' that is zero: its terms, their coefficients and its relative residual."""
+
+    terms: tuple[str, ...]
+    coefficients: tuple[float, ...]
+    residual: float
+
+    @property
+    def text(self) -> str:
+        parts = []
+        for t, c in zip(self.terms, self.coefficients, strict=True):
+            near = round(c)
+            n = str(near) if near and abs(c - near) < 5e-3 * max(1, abs(near)) else f"{c:.3g}"
+            parts.append(t if n == "1" else f"-{t}" if n == "-1" else n if t == "1" else f"{n}*{t}")
+        text = " + ".join(parts).replace("+ -", "- ")
+        for name, sign in (("y2", "y''"), ("y1", "y'"), ("y0", "y")):
+            text = text.replace(name, sign)
+        return f"{text} = 0"
+
+
+def ode_expressions(degree: int = 3, functions: tuple[str, ...] = ("sin", "cos", "exp")) -> list[str]:
+    """Expressions that equations are sums of: monomials of y, y' and y'', and functions of y alone or times y'."""
+    out = list(project.monomials(["y0", "y1", "y2"], degree).values())
+    return out + [f"{f}(y0)" for f in functions] + [f"y1*{f}(y0)" for f in functions]
+
+
+def derivatives(df: DataFrame, t: str, y: str, keys: list[str], tie: str) -> DataFrame:
+    """y0, y1 and y2 inside each series: y and its central differences of fourth order."""
+    w, h = series.order(keys, t, tie), series._step(t, keys)
+    at = lambda k: F.col(y) if not k else F.lead(y, k).over(w) if k > 0 else F.lag(y, -k).over(w)
+    first = F.try_divide(at(-2) - 8 * at(-1) + 8 * at(1) - at(2), 12 * h)
+    second = F.try_divide(-at(-2) + 16 * at(-1) - 30 * at(0) + 16 * at(1) - at(2), 12 * h * h)
+    return project.finite_rows(df.select(F.col(y).cast("double").alias("y0"), first.alias("y1"), second.alias("y2")), "y0", "y1", "y2")
+
+
+def second_moments(df: DataFrame, formulas: list[str]) -> tuple[np.ndarray, float]:
+    """Mean products of the expressions about zero, and the rows that they are of."""
+    names = [f"m{k}" for k in range(len(formulas))]
+    g = gram(project.build_features(df, dict(zip(names, formulas, strict=True)), []).withColumn("one", F.lit(0.0)), names, "one")
+    mean = g.mean[:-1]
+    return (g.xx + g.n * np.outer(mean, mean)) / max(g.n, 1), g.n
+
+
+def _supports(count: int, most: int) -> Iterator[np.ndarray]:
+    for k in range(2, most + 1):
+        yield np.array(list(combinations(range(count), k)), np.int64)
+
+
+def ode_front(moments: np.ndarray, expressions: list[str], most_terms: int = 4) -> list[Equation]:
+    """For each number of terms the equation that holds best, from the products alone.
+
+    A sum's residual is the least eigenvalue of its terms' products scaled to unit size, so that the empty sum is no
+    answer. What holds without a derivative is an identity of the expressions and no equation; neither is a sum
+    with a term that hardly counts.
+    """
+    size = np.sqrt(np.maximum(np.diag(moments), 1e-300))
+    usable = np.nonzero(np.isfinite(size) & (size > 1e-12 * max(1.0, size.max(initial=0.0))))[0]
+    unit = moments / np.outer(size, size)
+    derived = np.array(["y1" in e or "y2" in e for e in expressions])
+    weight = np.array([e.count("y") + e.count("^") + 2 * e.count("(") for e in expressions])
+    out: list[Equation] = []
+    for picks in _supports(len(usable), most_terms):
+        at = usable[picks]
+        at = at[derived[at].any(axis=1)]
+        best: tuple[float, np.ndarray, np.ndarray, float] | None = None
+        for lo in range(0, len(at), 50_000):
+            part = at[lo : lo + 50_000]
+            values, vectors = np.linalg.eigh(unit[part[:, :, None], part[:, None, :]])
+            v, low = vectors[:, :, 0], np.maximum(values[:, 0], 0)
+            real = (np.abs(v) >= 0.02 * np.abs(v).max(axis=1, keepdims=True)).all(axis=1)
+            cost = np.log10(np.maximum(low, FLOOR)) + 0.02 * weight[part].sum(axis=1)
+            for k in np.argsort(np.where(real, cost, np.inf), kind="stable")[:20]:
+                if not real[k] or best is not None and cost[k] >= best[0]:
+                    break
+                rest = part[k][~derived[part[k]]]
+                plain = np.linalg.eigvalsh(unit[np.ix_(rest, rest)])[0] if len(rest) > 1 else 1.0
+                if plain > 100 * max(low[k], FLOOR):
+                    best = (cost[k], part[k], v[k], float(low[k]))
+                    break
+        if best:
+            _, own, v, low = best
+            c = v / size[own]
+            order = sorted(range(len(own)), key=lambda k: (-("y2" in expressions[own[k]]), -("y1" in expressions[own[k]]), weight[own[k]], expressions[own[k]]))
+            c = c / c[order[0]]
+            out.append(Equation(tuple(expressions[own[k]] for k in order), tuple(float(c[k]) for k in order), low))
+    return out
+
+
+def search_ode(df: DataFrame, t: str, y: str, keys: list[str], tie: str, degree: int = 3, functions: tuple[str, ...] = ("sin", "cos", "exp"), most_terms: int = 4) -> Equation | None:
+    """f(y, y', y'') = 0 that all series of a table share: every sum of a few expressions is judged, from one pass of products.
+
+    A term must be worth a decade of the residual; None where there are too few rows.
+    """
+    expressions = ode_expressions(degree, functions)
+    own = derivatives(df, t, y, keys, tie)
+    moments, n = second_moments(own, expressions)
+    if n < len(expressions):
+        return None
+    front = ode_front(moments, expressions, most_terms)
+    return min(front, key=lambda e: np.log10(max(e.residual, FLOOR)) + TERM * len(e.terms), default=None)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from .. import api
@@ -723,27 +724,112 @@ def feature_library(spark, sf):
 
 
 def _decay(spark, sf):
-    return spark.range(400).select(F.lit(1).alias("k"), "id", (F.col("id") * 0.01).alias("t")).withColumn("x", F.exp(-F.col("t")))
+    """A series for each customer: t and x = a e^-t, a of its own."""
+    own = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), (1 + F.col("c_custkey") % 7).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(79))).alias("id"))
+    return own.withColumn("t", F.col("id") * 0.01).withColumn("x", F.col("a") * F.exp(-F.col("t")))
 
 
-@R.query("SELECT 'sparse' AS method, 'dx/dt = -x' AS equation UNION ALL SELECT 'linear', 'y'' + y = 0'")
+@R.query("SELECT 'sparse' AS method, 'dx/dt = -x' AS equation, count(*) * 80 AS n FROM customer UNION ALL SELECT 'linear', 'y'' + y = 0', count(*) * 80 FROM customer")
 def ode_discover(spark, sf):
     own = _decay(spark, sf)
-    return spark.createDataFrame([("sparse", e) for e in dynamics.sindy(own, "t", ["x"], ["k"], "id").equations()] + [("linear", dynamics.linear_ode(own, "t", "x", ["k"], "id")[0])], "method string, equation string")
+    n = own.count()
+    return spark.createDataFrame([("sparse", e, n) for e in dynamics.sindy(own, "t", ["x"], ["k"], "id").equations()] + [("linear", dynamics.linear_ode(own, "t", "x", ["k"], "id")[0], n)], "method string, equation string, n long")
 
 
-@R.query("SELECT 'y + y'''' = 0' AS equation, true AS small")
+@R.query("SELECT 'y + y'''' = 0' AS equation, true AS small, count(*) * 80 AS n FROM customer")
 def implicit_ode(spark, sf):
-    """A sine satisfies the oscillator's equation."""
-    equation, residual = dynamics.implicit_ode(_decay(spark, sf).withColumn("x", F.sin("t")), "t", "x", ["k"], "id", 1)
-    return spark.createDataFrame([(equation, residual < 1e-3)], "equation string, small boolean")
+    """Sines of any phase satisfy the oscillator's equation."""
+    own = _decay(spark, sf).withColumn("x", F.col("a") * F.sin(F.col("t") * 5 + F.col("k")) / 5)
+    own = own.withColumn("t", F.col("t") * 5)
+    equation, residual = dynamics.implicit_ode(own, "t", "x", ["k"], "id", 1)
+    return spark.createDataFrame([(equation, residual < 1e-3, own.count())], "equation string, small boolean, n long")
 
 
-@R.query("SELECT * FROM (VALUES ('x', 1.0::DOUBLE), ('x^2', -1.0::DOUBLE), ('1', 0.0::DOUBLE)) AS t (term, coefficient)")
+@R.query("SELECT * FROM (VALUES ('x', 1.0::DOUBLE), ('x^2', -1.0::DOUBLE), ('1', 0.0::DOUBLE)) AS t (term, coefficient), (SELECT count(*) * 80 AS n FROM customer)")
 def autonomous_ode(spark, sf):
-    """The logistic curve's law is x (1 - x)."""
-    own = _decay(spark, sf).withColumn("x", 1 / (1 + F.exp(-F.col("t"))))
-    return only(_fit_frame(spark, dynamics.autonomous(own, "t", "x", ["k"], "id", 2)), digits=2)
+    """Logistic curves, begun anywhere, have the law x (1 - x)."""
+    own = _decay(spark, sf).withColumn("t", F.col("t") * 4).withColumn("x", 1 / (1 + F.exp(F.col("a") - 4 - F.col("t"))))
+    return only(_fit_frame(spark, dynamics.autonomous(own, "t", "x", ["k"], "id", 2)), digits=2).withColumn("n", F.lit(own.count()))
+
+
+#: Right sides of y'' = g(y, y'), and the equations that are to be found.
+_MOTIONS = {"pendulum": (lambda y, v: -np.sin(y), "y'' + sin(y) = 0"), "damped pendulum": (lambda y, v: -2 * np.sin(y) - 0.3 * v, "y'' + 0.3*y' + 2*sin(y) = 0"), "van der Pol": (lambda y, v: (1 - y * y) * v - y, "y'' - y' + y^2*y' + y = 0")}
+
+
+def _motion(spark, sf, g):
+    """A motion for each customer, begun by its balance: integrated for a batch of them at once."""
+
+    def run(batches):
+        h, steps = 0.02, 150
+        for batch in batches:
+            k, y = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            rhs = lambda s: np.stack([s[1], g(s[0], s[1])])
+            path = np.stack(list(series.rk4(rhs, np.stack([y, np.zeros_like(y)]), h * np.arange(steps))))[:, 0]
+            for lo in range(0, len(k), 500):
+                part = path[:, lo : lo + 500]
+                ids = np.repeat(np.arange(steps), part.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(k[lo : lo + 500], steps)), pa.array(ids), pa.array(ids * h), pa.array(part.reshape(-1))], ["k", "id", "t", "x"])
+
+    starts = table(spark, sf, "customer").select("c_custkey", (0.3 + F.pmod(F.floor(F.col("c_acctbal")), F.lit(23)) / 9).alias("y"))
+    return starts.mapInArrow(run, "k long, id long, t double, x double")
+
+
+@R.query(" UNION ALL ".join("SELECT '{}' AS motion, '{}' AS equation, count(*) * 150 AS n FROM customer".format(name, text.replace("'", "''")) for name, (_, text) in _MOTIONS.items()))
+def ode_search(spark, sf):
+    """Non-linear equations of motion, by a search over sums of expressions of y, y' and y''."""
+    found = []
+    for name, (g, _) in _MOTIONS.items():
+        own = _motion(spark, sf, g)
+        found.append((name, dynamics.search_ode(own, "t", "x", ["k"], "id").text, own.count()))
+    return spark.createDataFrame(found, "motion string, equation string, n long")
+
+
+#: Tests of independence between columns of lineitem: (a, b, given).
+_TESTS = [("l_quantity", "l_extendedprice", ()), ("l_quantity", "l_discount", ()), ("l_quantity", "l_tax", ("l_discount",)), ("l_extendedprice", "l_tax", ()), ("l_quantity", "l_extendedprice", ("l_discount", "l_tax")), ("l_discount", "l_tax", ("l_quantity",))]
+
+
+def _strata_sql(a: str, b: str, given: tuple[str, ...]) -> str:
+    by = lambda *cols: f"PARTITION BY {', '.join([*cols, *given])}" if cols or given else ""
+    names = ", ".join([a, b, *given])
+    cells = f"SELECT {names}, sum(o) AS o FROM cells GROUP BY {names}"
+    stratum = " || '-' || ".join(given) if given else "''"
+    e = f"SELECT o, {stratum} AS z, sum(o) OVER ({by(a)}) * sum(o) OVER ({by(b)}) / CAST(sum(o) OVER ({by()}) AS DOUBLE) AS e, sum(o) OVER ({by()}) AS n FROM ({cells})"
+    return f"SELECT '{a}' AS a, '{b}' AS b, '{' '.join(given)}' AS given, {rd('2 * sum(o * ln(o / e))', 3)} AS g2, CAST(16 * count(DISTINCT z) AS INTEGER) AS dof FROM ({e}) WHERE n >= 10"
+
+
+_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@R.query(f"WITH cells AS (SELECT {', '.join(f'{_EDGE.format(c=c)} AS {c}' for c in _COLUMNS)}, count(*) AS o FROM lineitem GROUP BY ALL) " + " UNION ALL ".join(_strata_sql(*t) for t in _TESTS))
+def g2_cube(spark, sf):
+    """Independence of several pairs, some given others' bins: one pass over the rows, one over the counts."""
+    cells = causal.cube(table(spark, sf, "lineitem"), _COLUMNS)
+    named = spark.createDataFrame([(k, a, b, " ".join(given)) for k, (a, b, given) in enumerate(_TESTS)], "test int, a string, b string, given string")
+    return only(causal.g_tests(cells, _TESTS).join(F.broadcast(named), "test"), "a", "b", "given", "g2", "dof", digits=3)
+
+
+_BENT = "SELECT (o_orderkey * 7919) % 1001 - 500.0::DOUBLE AS x, (o_orderkey * 104729) % 997 - 498.0::DOUBLE AS z, pow((o_orderkey * 7919) % 1001 - 500.0::DOUBLE, 2) + (o_orderkey * 31) % 50 AS y FROM orders"
+
+
+def _bent_edge(c: str) -> str:
+    return "+".join(f"CASE WHEN {c} >= (SELECT quantile_cont({c}, {k / 5}) FROM r) THEN 1 ELSE 0 END" for k in range(1, 5))
+
+
+def _bent_sql(a: str, b: str) -> str:
+    g2 = f"(SELECT 2 * sum(o * ln(o / e)) FROM (SELECT o, sum(o) OVER (PARTITION BY i) * sum(o) OVER (PARTITION BY j) / CAST(sum(o) OVER () AS DOUBLE) AS e FROM (SELECT {_bent_edge(a)} AS i, {_bent_edge(b)} AS j, count(*) AS o FROM r GROUP BY ALL)))"
+    z = f"(SELECT abs(0.5 * ln((1 + corr({a}, {b})) / (1 - corr({a}, {b})))) * sqrt(count(*) - 3) FROM r)"
+    # quantiles at 0.001: the normal's at 0.0005 either side, chi-square's at 16 degrees of freedom
+    return f"SELECT '{a}' AS a, '{b}' AS b, {z} > 3.2905267 AS fisher, {g2} > 39.2523548 AS g2"
+
+
+@R.query(f"WITH r AS ({_BENT}) " + " UNION ALL ".join(_bent_sql(*p) for p in (("x", "y"), ("x", "z"), ("y", "z"))))
+def pc_bent(spark, sf):
+    """A parabola's two sides cancel in a correlation: skeletons by partial correlation miss it, those by counts find it."""
+    own = table(spark, sf, "orders").select((F.col("o_orderkey") * 7919 % 1001 - 500.0).alias("x"), (F.col("o_orderkey") * 104729 % 997 - 498.0).alias("z"), (F.col("o_orderkey") * 31 % 50).alias("u"))
+    own = own.withColumn("y", F.col("x") * F.col("x") + F.col("u"))
+    graphs = {test: causal.pc(own, ["x", "y", "z"], 1e-3, test) for test in ("fisher", "g2")}
+    edges = {test: {frozenset(e) for e in g.directed | g.undirected} for test, g in graphs.items()}
+    return spark.createDataFrame([(a, b, frozenset((a, b)) in edges["fisher"], frozenset((a, b)) in edges["g2"]) for a, b in (("x", "y"), ("x", "z"), ("y", "z"))], "a string, b string, fisher boolean, g2 boolean")
 
 
 @R.query("SELECT 'm*v^2' AS formula")
