@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,11 +56,9 @@ def pole_neighbours(df: DataFrame, poles: DataFrame, x: str, p: str, width: floa
     return band_join(df, poles, x, p, 0.0, width).withColumn("distance", F.abs(F.col(x) - F.col(p)))
 
 
-def compositions(spark: SparkSession, outer: list[str], inner: list[str]) -> DataFrame:
-    """Outer functions of one argument times inner formulas: two short stated lists."""
-    a = spark.createDataFrame([(x,) for x in outer], "outer string")
-    b = spark.createDataFrame([(x,) for x in inner], "inner string")
-    return a.crossJoin(F.broadcast(b)).select(F.concat("outer", F.lit("("), "inner", F.lit(")")).alias("formula"))
+def compositions(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """Every outer function of every inner formula: columns outer and inner, each pair being a result."""
+    return outer.select("outer").crossJoin(inner.select("inner")).select(F.concat("outer", F.lit("("), "inner", F.lit(")")).alias("formula"))
 
 
 def integer_grid(spark: SparkSession, condition: str, reach: int = 10) -> DataFrame:
@@ -66,6 +67,12 @@ def integer_grid(spark: SparkSession, condition: str, reach: int = 10) -> DataFr
     return axis.select(F.col("id").alias("x")).crossJoin(F.broadcast(axis.select(F.col("id").alias("y")))).filter(condition)
 
 
+def integer_solutions(df: DataFrame, value: str, expression: str, reach: int = 10) -> DataFrame:
+    """value, x and y: integers up to ``reach`` in size at which an expression in SQL is a value of the table (an equi-join)."""
+    grid = integer_grid(df.sparkSession, "true", reach).withColumn(value, F.expr(expression).cast("long"))
+    return df.select(F.col(value).cast("long").alias(value)).distinct().join(grid, value).select(value, "x", "y")
+
+
 def conflicts(df: DataFrame, keys: list[str], y: str, tolerance: float = 1e-7) -> DataFrame:
     """Keys (rounded to 9 decimals) whose y differ by more than the tolerance."""
     rounded = [F.round(k, 9).alias(k) for k in keys]
@@ -80,29 +87,62 @@ def constant_lookup(df: DataFrame, value: str, tolerance: float = 1e-3) -> DataF
     return df.withColumn("constant", best["name"])
 
 
-def prime_table(spark: SparkSession, limit: int) -> DataFrame:
-    """Primes up to ``limit`` (10 million at most) with their place."""
-    own = primes(min(limit, 10_000_000)) if limit > 1_000_000 else primes()
-    rows = [(int(p), k + 1) for k, p in enumerate(own[own <= limit])]
-    return spark.createDataFrame(rows, "prime long, place long")
+#: Numbers of a sieve's segment.
+SEGMENT = 1 << 20
+
+
+def sieve(lo: int, hi: int) -> np.ndarray:
+    """The primes p with lo <= p < hi, by crossing out multiples of primes up to the root."""
+    lo = max(lo, 2)
+    if hi <= lo:
+        return np.zeros(0, np.int64)
+    keep = np.ones(hi - lo, bool)
+    root = math.isqrt(hi - 1)
+    for p in (primes(max(4, root)) if root <= 1_000_000 else sieve(2, root + 1)).tolist():
+        if p * p >= hi:
+            break
+        keep[max(p * p, -(-lo // p) * p) - lo :: p] = False
+    return np.nonzero(keep)[0] + lo
+
+
+def segment_counts(spark: SparkSession, last: int, width: int = SEGMENT) -> DataFrame:
+    """segment and before: how many primes are below each segment of the numbers up to ``last``; tasks sieve segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([len(sieve(k * width, (k + 1) * width)) for k in own], pa.int64())], ["segment", "n"])
+
+    counts = spark.range(last // width + 1).mapInArrow(run, "segment long, n long")
+    # one row for each segment; prefix sums of groups of segments first, so that no task orders them all
+    group = F.floor(F.col("segment") / 1024).cast("long")
+    own = counts.withColumn("g", group).withColumn("inside", F.coalesce(F.sum("n").over(Window.partitionBy("g").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sums = counts.groupBy(group.alias("g")).agg(F.sum("n").alias("n"))
+    starts = sums.select("g", F.coalesce(F.sum("n").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    return own.join(starts, "g").select("segment", (F.col("start") + F.col("inside")).alias("before"))
 
 
-def prime_count(df: DataFrame, x: str, limit: int = 100_000) -> DataFrame:
-    """Adds prime_count, the exact number of primes up to x, for x up to ``limit``: an as-of lookup.
+def prime_count(df: DataFrame, x: str, width: int = SEGMENT) -> DataFrame:
+    """Adds prime_count, the exact number of primes up to x (null for null).
 
-    Primes and rows are ordered together within blocks of the range; what earlier blocks hold
-    is added from a table with a row for each block.
+    The numbers up to the greatest x are sieved in segments, each by one task, whose primes are counted up by prefix sums;
+    a segment that holds keys is sieved with them, and each row meets its key's count by a join of equal keys.
     """
-    block = 1000
-    p = prime_table(df.sparkSession, limit)
-    blocks = p.groupBy(F.floor(F.col("prime") / block).alias("__b")).agg(F.count("*").alias("n"))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    # one row for each thousand of the range
-    starts = blocks.select("__b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__s"), F.col("n").alias("__n"))
-    lists = p.groupBy(F.floor(F.col("prime") / block).alias("__b")).agg(F.collect_list("prime").alias("__p")).join(starts, "__b")
-    own = df.withColumn("__b", F.floor(F.col(x) / block))
-    hit = own.join(F.broadcast(lists), "__b", "left")
-    return hit.withColumn("prime_count", (F.col("__s") + F.size(F.filter("__p", lambda q: q <= F.col(x)))).cast("long")).drop("__b", "__s", "__n", "__p")
+    key = F.floor(F.greatest(F.col(x).cast("double"), F.lit(0.0))).cast("long")
+    own = df.withColumn("__key", F.when(F.col(x).isNotNull(), key))
+    last = own.agg(F.max("__key").alias("m")).first().m
+    if last is None:
+        return own.withColumn("prime_count", F.lit(None).cast("long")).drop("__key")
+    keys = own.select("__key").filter("__key is not null").distinct().withColumn("segment", F.floor(F.col("__key") / width).cast("long"))
+
+    def inside(rows: pa.Table) -> pa.Table:
+        at = np.asarray(rows.column("__key").combine_chunks())
+        segment = int(rows.column("segment")[0].as_py())
+        found = np.searchsorted(sieve(segment * width, (segment + 1) * width), at, side="right")
+        return pa.table({"__key": pa.array(at), "segment": pa.array(np.full(len(at), segment)), "inside": pa.array(found)})
+
+    counted = keys.groupBy("segment").applyInArrow(inside, "__key long, segment long, inside long").join(segment_counts(df.sparkSession, last, width), "segment")
+    return own.join(counted.select("__key", (F.col("before") + F.col("inside")).alias("prime_count")), "__key", "left").drop("__key")
 
 
 def is_prime(n: Column, below: int = 1000) -> Column:

@@ -429,20 +429,47 @@ def cramer_columns(a: Column, b: Column, c: Column, d: Column, p: Column, q: Col
     return F.try_divide(p * d - b * q, det), F.try_divide(a * q - p * c, det)
 
 
-def grid_roots(spark: SparkSession, formula: str, lo: float, hi: float, steps: int, bisections: int = 40) -> DataFrame:
-    """Roots of a formula in x by sign changes on a grid, each bisected within its row."""
+def grid_roots_by(df: DataFrame, formula: str, lo: float, hi: float, steps: int, bisections: int = 40) -> DataFrame:
+    """Each row of the table with each root of a formula in x and its columns (root), by sign changes on a grid, bisected within the row."""
+    from ..functions.compile import to_sql
+
     f = parse(formula)
     at = lambda c: to_column(f, {"x": c})
     h = (hi - lo) / steps
-    own = spark.range(steps).select((F.lit(lo) + F.col("id") * h).alias("a"), (F.lit(lo) + (F.col("id") + 1) * h).alias("b"))
-    own = own.withColumn("fa", at("a")).withColumn("fb", at("b")).filter("fa * fb < 0 or fa = 0")
+    cells = df.withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    own = cells.withColumns({"__a": F.lit(lo) + F.col("__i") * h, "__b": F.lit(lo) + (F.col("__i") + 1) * h}).withColumns({"__fa": at("__a"), "__fb": at("__b")}).filter("__fa * __fb < 0 or __fa = 0")
     m = "(s.a + s.b) / 2"
-    from ..functions.compile import to_sql
+    fm, fa = (to_sql(f, "spark", {"x": v}) for v in (f"({m})", "s.a"))
+    step = f"aggregate(sequence(1, {bisections}), named_struct('a', __a, 'b', __b), (s, i) -> CASE WHEN ({fa}) * ({fm}) <= 0 THEN named_struct('a', s.a, 'b', {m}) ELSE named_struct('a', {m}, 'b', s.b) END, s -> (s.a + s.b) / 2)"
+    return own.withColumn("root", F.expr(f"CASE WHEN __fa = 0 THEN __a ELSE {step} END")).drop("__i", "__a", "__b", "__fa", "__fb")
+
 
-    fm = to_sql(f, "spark", {"x": f"({m})"})
-    fa = to_sql(f, "spark", {"x": "s.a"})
-    step = f"aggregate(sequence(1, {bisections}), named_struct('a', a, 'b', b), (s, i) -> CASE WHEN ({fa}) * ({fm}) <= 0 THEN named_struct('a', s.a, 'b', {m}) ELSE named_struct('a', {m}, 'b', s.b) END, s -> (s.a + s.b) / 2)"
-    return own.select(F.expr(f"CASE WHEN fa = 0 THEN a ELSE {step} END").alias("root"))
+def grid_roots(spark: SparkSession, formula: str, lo: float, hi: float, steps: int, bisections: int = 40) -> DataFrame:
+    """Roots of a formula in x alone."""
+    return grid_roots_by(spark.range(1).select(), formula, lo, hi, steps, bisections)
+
+
+def crt_column(residues: list[Column], moduli: list[int]) -> Column:
+    """The least number with the given remainders, for coprime moduli, from columns of remainders."""
+    whole = math.prod(moduli)
+    total = F.lit(0).cast("long")
+    for r, m in zip(residues, moduli, strict=True):
+        rest = whole // m
+        total = total + F.pmod(r.cast("long"), F.lit(m)) * (rest * pow(rest, -1, m) % whole)
+    return F.pmod(total, F.lit(whole))
+
+
+def diophantine_rows(df: DataFrame, value: str, a: int, b: int, reach: int) -> DataFrame:
+    """value, x and y: whole solutions of a x + b y = value up to ``reach`` in size, for each value of the table."""
+    g, p, q = extended_gcd(a, b)
+    c = F.col(value) / g
+    own = df.filter(F.pmod(F.col(value), F.lit(abs(g))) == 0).select(value, (c * p).cast("long").alias("x0"), (c * q).cast("long").alias("y0"))
+    dx, dy = b // g, -(a // g)
+    # the steps that keep x within reach
+    ends = [F.floor((F.lit(sign * reach) - F.col("x0")) / dx) for sign in (-1, 1)]
+    own = own.withColumn("k", F.explode(F.sequence(F.least(*ends), F.greatest(*ends) + 1)))
+    own = own.select(value, (F.col("x0") + F.col("k") * dx).alias("x"), (F.col("y0") + F.col("k") * dy).alias("y"))
+    return own.filter((F.abs("x") <= reach) & (F.abs("y") <= reach))
 
 
 def trapezoid(df: DataFrame, t: str, x: str, keys: list[str], tie: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -192,29 +193,34 @@ _series("near_poles", lambda d: series.near_poles(d, "t", "value", K, "event_id"
 
 # recurrences
 
-_FIBS = "WITH RECURSIVE f(n, x, y) AS (SELECT 1, CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, y, x + y FROM f WHERE n < 40) SELECT n, x FROM f"
+#: Recurrences from each supplier's own two first terms, forty terms long.
+_FIBS = "WITH RECURSIVE f(k, n, x, y) AS (SELECT s_suppkey, 1, CAST(1 + s_suppkey % 5 AS BIGINT), CAST(2 + s_suppkey % 7 AS BIGINT) FROM supplier UNION ALL SELECT k, n + 1, y, x + y FROM f WHERE n < 40) SELECT k, n, x FROM f"
 
 
-@R.query(f"SELECT count(*) AS checked, count(CASE WHEN abs(x - s) <= 0.01 THEN 1 END) AS held FROM (SELECT x, lag(x, 1) OVER (ORDER BY n) + lag(x, 2) OVER (ORDER BY n) AS s FROM ({_FIBS})) WHERE s IS NOT NULL")
+def _recurrence(spark, sf):
+    own = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), (1 + F.col("s_suppkey") % 5).cast("long").alias("a"), (2 + F.col("s_suppkey") % 7).cast("long").alias("b"))
+    terms = F.aggregate(F.sequence(F.lit(3), F.lit(40)), F.array("a", "b"), lambda acc, i: F.concat(acc, F.array(F.element_at(acc, -1) + F.element_at(acc, -2))))
+    return own.select("k", F.posexplode(terms).alias("n", "x")).withColumn("n", F.col("n") + 1)
+
+
+@R.query(f"SELECT k, count(*) AS checked, count(CASE WHEN abs(x - s) <= 0.01 THEN 1 END) AS held FROM (SELECT k, x, lag(x, 1) OVER (PARTITION BY k ORDER BY n) + lag(x, 2) OVER (PARTITION BY k ORDER BY n) AS s FROM ({_FIBS})) WHERE s IS NOT NULL GROUP BY k")
 def kbonacci_check(spark, sf):
-    own = spark.sql(_FIBS).withColumn("k", F.lit(1))
-    return series.k_bonacci(own, "n", "x", ["k"], 2).drop("k")
+    return series.k_bonacci(_recurrence(spark, sf), "n", "x", ["k"], 2)
 
 
-@R.query(f"SELECT n, x, x - (lag(x, 1) OVER (ORDER BY n) + lag(x, 2) OVER (ORDER BY n)) AS residual FROM ({_FIBS})")
+@R.query(f"SELECT k, n, x, x - (lag(x, 1) OVER (PARTITION BY k ORDER BY n) + lag(x, 2) OVER (PARTITION BY k ORDER BY n)) AS residual FROM ({_FIBS})")
 def linear_recurrence_residual(spark, sf):
     w = series.order(["k"], "n")
-    own = spark.sql(_FIBS).withColumn("k", F.lit(1))
-    return own.select("n", "x", (F.col("x") - (F.lag("x", 1).over(w) + F.lag("x", 2).over(w))).alias("residual"))
+    return _recurrence(spark, sf).select("k", "n", "x", (F.col("x") - (F.lag("x", 1).over(w) + F.lag("x", 2).over(w))).alias("residual"))
 
 
-_IS = "NOT EXISTS (SELECT 1 FROM range(2, 100) d(v) WHERE d.v * d.v <= p_partkey AND p_partkey % d.v = 0) AND p_partkey >= 2"
+_IS = "NOT EXISTS (SELECT 1 FROM range(2, 500) d(v) WHERE d.v * d.v <= p_partkey AND p_partkey % d.v = 0) AND p_partkey >= 2"
 
 
-@R.query(f"WITH p AS (SELECT p_partkey, {_IS} AS prime FROM part WHERE p_partkey < 9000), c AS (SELECT *, count(CASE WHEN prime THEN 1 END) OVER (ORDER BY p_partkey) AS x FROM p), d AS (SELECT *, x - lag(x) OVER (ORDER BY p_partkey) AS d FROM c) SELECT {rd('avg(CASE WHEN prime THEN CASE WHEN d = 1 THEN 1.0 ELSE 0.0 END END)')} AS rises, {rd('avg(CASE WHEN NOT prime THEN CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END END)')} AS stays FROM d WHERE d IS NOT NULL")
+@R.query(f"WITH p AS (SELECT p_partkey, {_IS} AS prime FROM part), c AS (SELECT *, count(CASE WHEN prime THEN 1 END) OVER (ORDER BY p_partkey) AS x FROM p), d AS (SELECT *, x - lag(x) OVER (ORDER BY p_partkey) AS d FROM c) SELECT {rd('avg(CASE WHEN prime THEN CASE WHEN d = 1 THEN 1.0 ELSE 0.0 END END)')} AS rises, {rd('avg(CASE WHEN NOT prime THEN CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END END)')} AS stays FROM d WHERE d IS NOT NULL")
 def prime_steps(spark, sf):
-    own = table(spark, sf, "part").filter("p_partkey < 9000").select("p_partkey", F.lit(1).alias("k"))
-    counted = match.prime_count(own, "p_partkey", 10_000)
+    own = table(spark, sf, "part").select("p_partkey", F.lit(1).alias("k"))
+    counted = match.prime_count(own, "p_partkey")
     return only(series.prime_steps(counted, "p_partkey", "prime_count", ["k"]).drop("k"))
 
 
@@ -253,14 +259,18 @@ def symmetric_zeros(spark, sf):
     return match.symmetric_zeros(own, "z")
 
 
-@R.query("SELECT o || '(' || i || ')' AS formula FROM (VALUES ('sin'), ('exp'), ('log')) a(o), (VALUES ('x'), ('x^2'), ('1/x')) b(i)")
+@R.query("SELECT o || '(' || i || ')' AS formula FROM (VALUES ('sin'), ('exp'), ('log')) a(o), (SELECT DISTINCT 'x^' || p_size AS i FROM part) b")
 def pole_times_zero_cross(spark, sf):
-    return match.compositions(spark, ["sin", "exp", "log"], ["x", "x^2", "1/x"])
+    """Outer functions of the powers that parts' sizes name."""
+    outer = spark.createDataFrame([("sin",), ("exp",), ("log",)], "outer string")
+    inner = table(spark, sf, "part").select(F.concat(F.lit("x^"), F.col("p_size").cast("string")).alias("inner")).distinct()
+    return match.compositions(outer, inner)
 
 
-@R.query("SELECT x, y FROM range(-10, 11) a(x), range(-10, 11) b(y) WHERE x*x + y*y = 25")
+@R.query("SELECT DISTINCT CAST(p_size AS BIGINT) AS c, x, y FROM part JOIN (SELECT x, y FROM range(-10, 11) a(x), range(-10, 11) b(y)) ON x*x + y*y = p_size")
 def integer_circle(spark, sf):
-    return match.integer_grid(spark, "x*x + y*y = 25")
+    """Whole points of the circles whose squared radius is a part's size."""
+    return match.integer_solutions(table(spark, sf, "part").select(F.col("p_size").cast("long").alias("c")), "c", "x*x + y*y")
 
 
 @R.query(f"SELECT round(CAST(p_size AS DOUBLE), 9) AS x, {rd('max(p_retailprice) - min(p_retailprice)')} AS spread, count(*) AS n FROM part GROUP BY 1 HAVING max(p_retailprice) - min(p_retailprice) > 1e-7")
@@ -286,7 +296,7 @@ def constant_lookup(spark, sf):
 @R.query("WITH RECURSIVE n AS (SELECT CAST(v AS BIGINT) AS v FROM range(2, 2001) t(v)), p AS (SELECT v FROM n WHERE NOT EXISTS (SELECT 1 FROM range(2, 46) d(w) WHERE d.w * d.w <= n.v AND n.v % d.w = 0)) SELECT p_partkey, (SELECT count(*) FROM p WHERE p.v <= p_partkey % 2000) AS prime_count FROM part")
 def prime_count_lookup(spark, sf):
     own = table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % 2000).alias("x"))
-    return match.prime_count(own, "x", 10_000).select("p_partkey", "prime_count")
+    return match.prime_count(own, "x").select("p_partkey", "prime_count")
 
 
 _TS = "floor(epoch_us(ts) / 1000000.0 / 60)"
@@ -377,15 +387,19 @@ def quadratic_roots(spark, sf):
     return table(spark, sf, "part").select("p_partkey", rounded(lo).alias("lo"), rounded(hi).alias("hi"))
 
 
-@R.query(f"SELECT {rd('k * pi()', 5)} AS root FROM range(1, 7) t(k)")
+@R.query(f"SELECT DISTINCT CAST(p_size AS BIGINT) AS size, {rd('r', 5)} AS root FROM part, (VALUES (0), (1)) v(k), LATERAL (SELECT CASE WHEN k = 0 THEN acos(p_size / 60.0::DOUBLE) ELSE 2 * pi() - acos(p_size / 60.0::DOUBLE) END AS r)")
 def bisection_roots(spark, sf):
-    return only(solve.grid_roots(spark, "sin(x)", 0.5, 20.0, 1000), digits=5)
+    """cos(x) = size / 60 between 0 and 2 pi, by sign changes and bisection, for every size of a part."""
+    sizes = table(spark, sf, "part").select(F.col("p_size").cast("long").alias("size")).distinct()
+    return only(solve.grid_roots_by(sizes, "cos(x) - size/60", 0.0, 6.28, 500).select("size", "root"), digits=5)
 
 
-@R.query("SELECT x FROM range(0, 210) t(x) WHERE x % 3 = 2 AND x % 5 = 3 AND x % 7 = 2")
+@R.query("SELECT p_partkey, x FROM part JOIN (SELECT x FROM range(0, 105) t(x)) ON x % 3 = p_partkey % 3 AND x % 5 = p_size % 5 AND x % 7 = (p_partkey * p_size) % 7")
 def crt_bruteforce(spark, sf):
-    r, m = solve.crt([(2, 3), (3, 5), (2, 7)])
-    return spark.range(r, 210, m).select(F.col("id").alias("x"))
+    """The one number below 105 with three remainders, for every part."""
+    own = table(spark, sf, "part")
+    residues = [F.col("p_partkey") % 3, F.col("p_size") % 5, F.col("p_partkey") * F.col("p_size") % 7]
+    return own.select("p_partkey", solve.crt_column(residues, [3, 5, 7]).alias("x"))
 
 
 @R.query(f"SELECT p_partkey, {rd('(p*d - b*q)/nullif(a*d - b*c, 0)')} AS x, {rd('(a*q - p*c)/nullif(a*d - b*c, 0)')} AS y FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS a, 2.0::DOUBLE AS b, 3.0::DOUBLE AS c, CAST(p_partkey % 11 AS DOUBLE) AS d, 1.0::DOUBLE AS p, 5.0::DOUBLE AS q FROM part)")
@@ -394,16 +408,24 @@ def system_2x2(spark, sf):
     return table(spark, sf, "part").select("p_partkey", rounded(x).alias("x"), rounded(y).alias("y"))
 
 
-@R.query("SELECT x, y FROM range(-50, 51) a(x), range(-50, 51) b(y) WHERE 3*x + 5*y = 7")
+@R.query("SELECT DISTINCT CAST(p_size AS BIGINT) AS c, x, y FROM part JOIN (SELECT x, y FROM range(-20, 21) a(x), range(-20, 21) b(y)) ON 3*x + 5*y = p_size")
 def diophantine_pairs(spark, sf):
-    (x, y), (dx, dy) = solve.diophantine(3, 5, 7)
-    own = spark.range(-100, 101).select((F.lit(x) + F.col("id") * dx).alias("x"), (F.lit(y) + F.col("id") * dy).alias("y"))
-    return own.filter("x between -50 and 50 and y between -50 and 50")
+    """Whole solutions of 3 x + 5 y = size up to 20 in size, for every size of a part."""
+    sizes = table(spark, sf, "part").select(F.col("p_size").cast("long").alias("c")).distinct()
+    return solve.diophantine_rows(sizes, "c", 3, 5, 20)
 
 
-@R.query("WITH RECURSIVE p(k, x, y) AS (SELECT 1, CAST(3 AS BIGINT), CAST(2 AS BIGINT) UNION ALL SELECT k + 1, 3*x + 4*y, 2*x + 3*y FROM p WHERE k < 12) SELECT x, y FROM p")
+@R.query("WITH d AS (SELECT DISTINCT CAST(p_size AS BIGINT) AS d FROM part), s AS (SELECT d, y, CAST(round(sqrt(d * y * y + 1)) AS BIGINT) AS x FROM d, range(1, 4000) t(y) WHERE pow(round(sqrt(d)), 2) <> d) SELECT d, min(x) AS x, min(y) AS y FROM s WHERE x * x = d * y * y + 1 GROUP BY d")
 def pell_iterates(spark, sf):
-    return spark.createDataFrame(solve.pell_solutions(2, 12), "x long, y long")
+    """The least solution of x^2 - size y^2 = 1 for every size of a part that is no square."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [(d, *solve.pell_solutions(d, 1)[0]) for d in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["d", "x", "y"])
+
+    sizes = table(spark, sf, "part").select(F.col("p_size").cast("long").alias("d")).distinct()
+    return sizes.filter(F.pow(F.round(F.sqrt("d")), 2) != F.col("d")).mapInArrow(run, "d long, x long, y long")
 
 
 @R.query(f"SELECT p_partkey, {rd('CAST(p_size AS DOUBLE) * 4 - 3 * CAST(p_partkey % 11 AS DOUBLE)')} AS det FROM part")
@@ -415,9 +437,11 @@ def det2x2(spark, sf):
 _series("trapezoid_integral", lambda d: solve.trapezoid(d.withColumn("t", F.col("t") / 3600), "t", "value", K, "event_id").select("user_id", F.round("integral", 3).alias("integral")), f"SELECT user_id, round(coalesce(sum((value + lv) / 2 * (t - lt)), 0), 3) AS integral FROM (SELECT user_id, t / 3600 AS t, value, lag(value) {W} AS lv, lag(t) {W} / 3600 AS lt FROM {EVENTS}) GROUP BY 1")
 
 
-@R.query(f"SELECT {rd('x', 6)} AS x, {rd('sin(x) + x', 6)} AS y FROM (SELECT -10.0::DOUBLE + k * (20.0::DOUBLE / 99) AS x FROM range(100) t(k))")
+@R.query(f"SELECT {rd('x', 6)} AS x, {rd('sin(x) + x', 6)} AS y FROM (SELECT lo + k * ((hi - lo) / 99) AS x FROM range(100) t(k), (SELECT min(p_size)::DOUBLE AS lo, max(p_size)::DOUBLE AS hi FROM part))")
 def curve_sample(spark, sf):
-    return only(readers.sample_curve(spark, "sin(x) + x"))
+    """A curve over the range of parts' sizes."""
+    ends = table(spark, sf, "part").agg(F.min("p_size").alias("lo"), F.max("p_size").alias("hi")).first()
+    return only(readers.sample_curve(spark, "sin(x) + x", float(ends.lo), float(ends.hi)))
 
 
 # benchmark equations and populations
@@ -425,7 +449,7 @@ def curve_sample(spark, sf):
 
 def _lattice(name: str) -> str:
     cols = ", ".join(f"{lo!r}::DOUBLE + (id * {k + 3} % 17) * ({(hi - lo) / 17!r}::DOUBLE) AS \"{v}\"" for k, (v, (lo, hi)) in enumerate(feynman.ranges(name).items()))
-    return f"(SELECT id, {cols} FROM range(20) t(id))"
+    return f"(SELECT id, {cols} FROM (SELECT p_partkey AS id FROM part) t)"
 
 
 def _plain(name: str) -> str:
@@ -437,7 +461,7 @@ def _plain(name: str) -> str:
 @R.query(f"SELECT name, rows, CASE WHEN m = 0 THEN 0 ELSE floor(log10(abs(m))) END AS decade, {rd('m / pow(10, CASE WHEN m = 0 THEN 0 ELSE floor(log10(abs(m))) END)', 5)} AS mantissa FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS rows, avg(CASE WHEN isfinite(y) THEN y END) AS m FROM (SELECT TRY({_plain(n)}) AS y FROM {_lattice(n)})" for n in feynman.EQUATIONS) + ")")
 def feynman_eval(spark, sf):
     """Every equation on a lattice: how many points, and the mean value as mantissa and power of ten."""
-    own = feynman.grid(spark).groupBy("name").agg(F.count("*").alias("rows"), F.avg(F.when(project.is_finite(F.col("y")), F.col("y"))).alias("m"))
+    own = feynman.grid(table(spark, sf, "part").select(F.col("p_partkey").alias("id"))).groupBy("name").agg(F.count("*").alias("rows"), F.avg(F.when(project.is_finite(F.col("y")), F.col("y"))).alias("m"))
     decade = F.when(F.col("m") == 0, F.lit(0.0)).otherwise(F.floor(F.log10(F.abs("m"))).cast("double"))
     return only(own.select("name", "rows", decade.alias("decade"), (F.col("m") / F.pow(F.lit(10.0), decade)).alias("mantissa")), digits=5)
 
@@ -694,14 +718,6 @@ def fft_derivative(spark, sf):
 R.add("tv_derivative", lambda s, d: series.tv_derivative(events(s, d), "t", "value", K, "event_id").select("event_id", "dx"))
 
 
-@R.query("SELECT 'F' AS name, 1 AS power UNION ALL SELECT 'rho', -1 UNION ALL SELECT 'v', -2 UNION ALL SELECT 'L', -2")
-def pi_groups(spark, sf):
-    """The drag number is the one group of force, density, speed and length."""
-    of = units.Dimension.of
-    groups = units.pi_groups({"F": of("N"), "rho": of("kg/m^3"), "v": of("m/s"), "L": of("m")})
-    return spark.createDataFrame([(k, int(v)) for g in groups for k, v in g.items()], "name string, power int")
-
-
 @R.query("SELECT true AS solved, true AS small")
 def gp_search(spark, sf):
     """x^2 + 1 over the sizes of parts: bred on a sample, its front scored on all rows."""
@@ -832,15 +848,11 @@ def pc_bent(spark, sf):
     return spark.createDataFrame([(a, b, frozenset((a, b)) in edges["fisher"], frozenset((a, b)) in edges["g2"]) for a, b in (("x", "y"), ("x", "z"), ("y", "z"))], "a string, b string, fisher boolean, g2 boolean")
 
 
-@R.query("SELECT 'm*v^2' AS formula")
-def unit_monomials(spark, sf):
-    of = units.Dimension.of
-    return spark.createDataFrame([(f,) for f in units.consistent_monomials({"m": of("kg"), "v": of("m/s"), "L": of("m")}, of("J"))], "formula string")
-
-
-@R.query("SELECT 'x^3 - 2*x' AS formula")
+@R.query("SELECT 'x^3 - 2*x' AS formula, count(*) AS n FROM nation")
 def exact_interpolation(spark, sf):
-    return spark.createDataFrame([(exact.polynomial_text(exact.interpolate([(k, k**3 - 2 * k) for k in range(5)])),)], "formula string")
+    """Newton's polynomial in fractions through a point for each nation."""
+    points = [(int(r.k), int(r.v)) for r in table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), (F.pow("n_nationkey", F.lit(3)) - 2 * F.col("n_nationkey")).alias("v")).orderBy("k").collect()]
+    return spark.createDataFrame([(exact.polynomial_text(exact.interpolate(points)), len(points))], "formula string, n long")
 
 
 @R.query("WITH o AS (SELECT x, x * x AS y, lag(x * x) OVER (ORDER BY x, p_partkey) AS py FROM (SELECT p_partkey, CAST((p_partkey % 201) - 100 AS DOUBLE) AS x FROM part)) SELECT count(*) AS n, count(*) AS whole, min(x) AS x_lo, max(x) AS x_hi, min(y) AS y_lo, max(y) AS y_hi, count(CASE WHEN abs(y - py) > 0.5 THEN 1 END) AS jumps, count(CASE WHEN y * py < 0 THEN 1 END) AS flips, count(CASE WHEN abs(y) < 0.01 AND abs(py) > 0.01 THEN 1 END) AS falls, bool_and(coalesce(y >= py, true)) AS monotone, 1.0::DOUBLE AS is_square, round(avg(CASE WHEN abs(y - x) <= 1e-6 * greatest(1, y) THEN 1.0 ELSE 0.0 END), 9) AS is_floor, round(avg(CASE WHEN abs(y - greatest(x, 0)) <= 1e-6 * greatest(1, y) THEN 1.0 ELSE 0.0 END), 9) AS is_relu FROM o")
@@ -849,16 +861,37 @@ def detect_patterns(spark, sf):
     own = detect.detect(_law(spark, sf), "x", "y", "p_partkey")
     falls = _law(spark, sf).withColumn("py", F.lag("y").over(series.order([], "x", "p_partkey"))).agg(F.count_if((F.abs("y") < 0.01) & (F.abs("py") > 0.01)).alias("falls"))
     return only(own.crossJoin(falls), "n", "whole", "x_lo", "x_hi", "y_lo", "y_hi", "jumps", "flips", "falls", "monotone", "is_square", "is_floor", "is_relu", digits=9)
-_EQUATIONS = ", ".join("('{}', '{}', [{}]::VARCHAR[], [{}]::DOUBLE[], [{}]::DOUBLE[])".format(n, f, *[", ".join(f"'{v}'" for v in feynman.ranges(n)), ", ".join(repr(r[0]) for r in feynman.ranges(n).values()), ", ".join(repr(r[1]) for r in feynman.ranges(n).values())]) for n, f in feynman.EQUATIONS.items())
+@R.query("SELECT name, true AS succeeds, count(*) AS n FROM (VALUES ('I.12.1'), ('I.14.4'), ('I.39.1')) AS t (name), part GROUP BY name")
+def feynman_benchmark(spark, sf):
+    """Three of the equations at points that parts' keys give, half of them for training: the formula found explains the others."""
+    keys = table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
+    found = feynman.run_on(keys, ["I.12.1", "I.14.4", "I.39.1"])
+    return found.select("name", (F.col("exact") | (F.col("r2") > 0.999)).alias("succeeds"), "n")
 
 
-@R.query(f"SELECT * FROM (VALUES {_EQUATIONS}) AS t (name, formula, variables, lo, hi)")
-def equation_table(spark, sf):
-    return feynman.equation_table(spark)
+# readers, flags and residuals
 
 
-@R.query("SELECT * FROM (VALUES ('I.12.1', true), ('I.14.4', true), ('I.39.1', true)) AS t (name, succeeds)")
-def feynman_benchmark(spark, sf):
-    """Three of the equations, 100 training and 100 test draws each: the formula found explains the test draws."""
-    found = feynman.run(spark, ["I.12.1", "I.14.4", "I.39.1"], 100)
-    return found.select("name", (F.col("exact") | (F.col("r2") > 0.999)).alias("succeeds"))
+@R.query("SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, p_retailprice FROM part")
+def csv_round_trip(spark, sf):
+    """A table written as CSV and read back by the reader, which finds names and types."""
+    path = f"{quantile.shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    table(spark, sf, "part").select("p_partkey", F.col("p_size").alias("size"), "p_retailprice").write.option("header", True).csv(path)
+    return readers.read_csv(spark, path).select(F.col("p_partkey").cast("long").alias("p_partkey"), F.col("size").cast("double").alias("size"), F.col("p_retailprice").cast("double").alias("p_retailprice"))
+
+
+@R.query(f"WITH d AS (SELECT user_id, t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS g FROM (SELECT user_id, event_id, epoch_us(ts) / 1000000.0::DOUBLE AS t FROM events)) SELECT user_id, {rd('avg(g)', 4)} AS mean_step FROM d WHERE g IS NOT NULL GROUP BY 1")
+def mean_steps(spark, sf):
+    """Mean distance of neighbours in each series."""
+    return only(series.even_spacing(events(spark, sf), "t", ["user_id"], "event_id").select("user_id", "mean_step"), digits=4)
+
+
+@R.query("SELECT p_partkey, coalesce(list_bool_and(list_transform(range(2, p_size), lambda d: p_size % d <> 0)), true) AND p_size > 1 AS prime FROM part")
+def prime_flags(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", F.coalesce(match.is_prime(F.col("p_size").cast("long")), F.lit(False)).alias("prime"))
+
+
+@R.query("SELECT p_partkey, (p_retailprice - m) / s AS residual FROM part, (SELECT 900.0::DOUBLE AS m, max(abs(p_retailprice - 900)) AS s FROM part)")
+def amplified_residual(spark, sf):
+    """What a formula leaves, scaled to unit size."""
+    return detect.residual_amplified(table(spark, sf, "part"), "900", "p_retailprice").select("p_partkey", "residual")

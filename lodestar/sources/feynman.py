@@ -206,13 +206,33 @@ def sample(spark: SparkSession, name: str, n: int = 100, noise: float = 0.0, see
     return own
 
 
-def grid(spark: SparkSession, n: int = 20) -> DataFrame:
-    """name, id and y: every equation on n points of a fixed lattice (no random numbers), in one select."""
+def grid(keys: DataFrame) -> DataFrame:
+    """name, id and y: every equation at a point of a lattice for each whole ``id`` (no random numbers), in one select."""
     cells = []
     for name, f in EQUATIONS.items():
         at = {v: f"({lo!r}D + CAST(id * {k + 3} % 17 AS DOUBLE) * {(hi - lo) / 17!r}D)" for k, (v, (lo, hi)) in enumerate(ranges(name).items())}
         cells += [f"'{name}'", f"CAST({to_sql(parse(f), 'spark', at)} AS DOUBLE)"]
-    return spark.range(n).selectExpr("id", f"stack({len(EQUATIONS)}, {', '.join(cells)}) AS (name, y)")
+    return keys.selectExpr("id", f"stack({len(EQUATIONS)}, {', '.join(cells)}) AS (name, y)")
+
+
+def points_of(keys: DataFrame, name: str) -> DataFrame:
+    """id, the equation's variables and y, each variable spread over its range by a hash of the id."""
+    cols = [(F.lit(lo) + F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1_000_003)) * ((hi - lo) / 1_000_003)).alias(v) for k, (v, (lo, hi)) in enumerate(ranges(name).items())]
+    return keys.select("id", *cols).withColumn("y", to_column(parse(EQUATIONS[name])))
+
+
+def run_on(keys: DataFrame, names: list[str]) -> DataFrame:
+    """name, formula, exact, r2 and n: discovery on the points of even ids, scored on those of odd ones."""
+    from ..operators.discover import find, score
+
+    spark, rows = keys.sparkSession, []
+    n = keys.count()
+    for name in names:
+        own = points_of(keys, name)
+        found = find(own.filter("id % 2 = 0"), list(ranges(name)), "y")
+        mse, r2 = score(own.filter("id % 2 = 1"), {"f": found.formula}, "y")["f"]
+        rows.append((name, found.formula, bool(mse < 1e-9), float(r2), n))
+    return spark.createDataFrame(rows, "name string, formula string, exact boolean, r2 double, n long")
 
 
 def run(spark: SparkSession, names: list[str], n: int = 100, noise: float = 0.0) -> DataFrame:

@@ -1,41 +1,27 @@
-"""Operators without tables on cases whose answers are known: each query lists its cases, and its SQL states the answers."""
-
-from __future__ import annotations
+"""Operators on cases whose answers are known: each input and what it gives."""
 
 import math
 from fractions import Fraction
 
 import numpy as np
-from pyspark.sql import functions as F
-
-from .. import api
-from ..functions import ast, cas
-from ..functions.cache import EvaluationCache
-from ..functions.compile import evaluate
-from ..functions.parse import FormulaError, parse
-from ..functions.registry import Registry as Functions
-from ..operators import detect, exact, genetic, match, project, series, solve, units
-from ..operators.discover import find, from_points, infer_symbols
-from ..sources import readers
-from .base import Registry, only, rd, table
-
-R = Registry()
+import pytest
 
+from lodestar import api
+from lodestar.functions import ast, cas
+from lodestar.functions.cache import EvaluationCache
+from lodestar.functions.compile import evaluate
+from lodestar.functions.parse import FormulaError, parse
+from lodestar.functions.registry import Registry as Functions
+from lodestar.operators import detect, exact, genetic, project, solve, units
+from lodestar.operators.discover import find, from_points, infer_symbols
+from lodestar.sources import feynman, readers
 
-def answers(rows: dict[str, str]) -> str:
-    """VALUES of known answers."""
-    quoted = lambda v: "'" + v.replace("'", "''") + "'"
-    return "SELECT * FROM (VALUES " + ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in rows.items()) + ") AS t (input, answer)"
+CASES = []
 
 
-def cases(name: str, known: dict[str, str], ask, doc: str) -> None:
-    """Registers a query that asks every input of ``known``."""
-
-    def run(spark, sf):
-        return spark.createDataFrame([(k, ask(k, spark)) for k in known], "input string, answer string")
-
-    run.__doc__ = doc
-    R.add(name, run, answers(known))
+def known(name, answers, ask, doc):
+    """Every input of ``answers`` is asked."""
+    CASES.extend((name, k, v, ask) for k, v in answers.items())
 
 
 def _numbers(values) -> str:
@@ -46,19 +32,19 @@ EQUATIONS = {
     "x + 1 = 0": "-1", "x^2 - 1 = 0": "-1, 1", "x^3 - 6*x^2 + 11*x - 6 = 0": "1, 2, 3", "1/x = 2": "0.5", "log(x) = 5": "148.413", "exp(x) = 1000000": "13.8155", "2^x = 100000": "16.6096", "sqrt(x) = 20": "400",
     "abs(x - 3) = 2": "1, 5", "x = cos(x)": "0.739085", "log(x) + x = 1000": "993.099", "1/x + log(x) = 3": "0.221964, 19.0588", "sin(x) = 2": "NO_SOLUTION", "exp(x) = -1": "NO_SOLUTION", "tan(x)^2 = -1": "NO_SOLUTION", "exp(x) = x": "NOT_FOUND",
 }
-cases("equation_cases", EQUATIONS, lambda k, s: _numbers(r.approx) if (r := solve.solve_equation(k)).ok else r.error_code, "Single equations: roots exactly, by inverse functions and by growing brackets.")
+known("equation_cases", EQUATIONS, lambda k, s: _numbers(r.approx) if (r := solve.solve_equation(k)).ok else r.error_code, "Single equations: roots exactly, by inverse functions and by growing brackets.")
 
 SYSTEMS = {
     "x + y = 3, x - y = 1": "x = 2; y = 1", "2*x + 3*y = 12, x - y = 1": "x = 3; y = 2", "x + y + z = 6, x - y = -1, z - y = 1": "x = 1; y = 2; z = 3", "x = 2 mod 3, x = 3 mod 5": "8 + 15*n", "x = 1 mod 2, x = 0 mod 2": "",
     "x + y = 1, x + y = 2": "NO_SOLUTION",
 }
-cases("system_cases", SYSTEMS, lambda k, s: "; ".join(r.exact) if not (r := solve.solve_system(k)).error_code else r.error_code, "Linear systems and congruences.")
+known("system_cases", SYSTEMS, lambda k, s: "; ".join(r.exact) if not (r := solve.solve_system(k)).error_code else r.error_code, "Linear systems and congruences.")
 
 INEQUALITIES = {"x > 2": "(2, oo)", "0 < x < 5": "(0, 5)", "x^2 - 1 <= 0": "[-1, 1]", "x^2 > 4": "(-oo, -2); (2, oo)", "2*x + 1 >= 7": "[3, oo)", "x^2 + 1 < 0": "empty"}
-cases("inequality_cases", INEQUALITIES, lambda k, s: "; ".join(solve.solve_inequality(k).exact), "Intervals of one symbol.")
+known("inequality_cases", INEQUALITIES, lambda k, s: "; ".join(solve.solve_inequality(k).exact), "Intervals of one symbol.")
 
 SPECIAL = {"x^2 - 2*y^2 = 1": "(3, 2); (17, 12); (99, 70)", "x^2 - 3*y^2 = 1": "(2, 1); (7, 4); (26, 15)", "x^2 - 61*y^2 = 1": "(1766319049, 226153980)", "1 = 1": "Identity", "1 = 0": "Contradiction"}
-cases("pell_cases", SPECIAL, lambda k, s: "; ".join(solve.solve_equation(k).exact[: 1 if "61" in k else 3]), "Pell equations by continued fractions, identities and contradictions.")
+known("pell_cases", SPECIAL, lambda k, s: "; ".join(solve.solve_equation(k).exact[: 1 if "61" in k else 3]), "Pell equations by continued fractions, identities and contradictions.")
 
 INVERSES = {"x^2 + y^2 = 25": "12", "2*x = 10": "5", "x^2 = 49": "-7, 7", "exp(x) = 1": "0", "x^3 = 8": "2"}
 
@@ -70,7 +56,7 @@ def _inverse(k: str, spark) -> str:
     return _numbers(v for v in solve.inverse(left, right).approx)
 
 
-cases("inverse_cases", INVERSES, _inverse, "Arguments at which a formula has a value; for two symbols the number of whole pairs.")
+known("inverse_cases", INVERSES, _inverse, "Arguments at which a formula has a value; for two symbols the number of whole pairs.")
 
 CALCULUS = {
     "diff x^3*sin(x) at 1": "3.06472", "diff exp(-x^2) at 0.5": "-0.778801", "diff x^x at 2": "6.77259", "integrate x^2 0 3": "9", "integrate x*exp(x) 0 1": "1", "integrate 1/(2*x + 1) 0 2": "0.804719", "integrate sin(3*x + 1) 0 1": "0.397982",
@@ -97,7 +83,7 @@ def _calculus(k: str, spark) -> str:
     return f"{evaluate(cas.factor(parse(f), 'x'), x=float(v)):g}"
 
 
-cases("calculus_cases", CALCULUS, _calculus, "Derivatives, definite integrals, limits, expansions and factors.")
+known("calculus_cases", CALCULUS, _calculus, "Derivatives, definite integrals, limits, expansions and factors.")
 
 PARSED = {"2 + 2": "4", "sqrt(16)": "4", "sin(0)": "0", "log(E)": "1", "50%": "0.5", "2(3 + 4)": "14", "-2^2": "-4", "10 mod 3": "1", "5!": "120", "0xff": "255", "|3 - 5|": "2", "3²": "9", "√(9)": "3", "(((": "UNBALANCED_PARENS", "x**": "SYNTAX_ERROR", "": "EMPTY_INPUT", "foo(x)": "FORBIDDEN_FUNCTION", "sin(1, 2)": "WRONG_ARGUMENT_COUNT", "__import__('os')": "FORBIDDEN_TOKEN"}
 
@@ -109,7 +95,7 @@ def _parsed(k: str, spark) -> str:
         return e.code
 
 
-cases("parse_cases", PARSED, _parsed, "Calculator notation, and the codes of what isn't any.")
+known("parse_cases", PARSED, _parsed, "Calculator notation, and the codes of what isn't any.")
 
 EXACT = {"line (1, 2) (3, 8)": "3, -1", "rational 0.33333": "1/3", "rational 0.31818": "7/22", "constant pi/2": "pi/2", "newton 0 1 4 9 at 10": "100", "lagrange 1 8 27 64 at 5": "125", "system": "1/2, 1/3", "plane": "1:-5 x:3 y:2"}
 
@@ -133,7 +119,7 @@ def _exact(k: str, spark) -> str:
     return " ".join(f"{t}:{v}" for t, v in sorted(exact.sparse_exact(points, ["x", "y"]).items()))
 
 
-cases("exact_cases", EXACT, _exact, "Lines, eliminations and interpolations in fractions.")
+known("exact_cases", EXACT, _exact, "Lines, eliminations and interpolations in fractions.")
 
 _D = units.Dimension.of
 UNITS = {"m*v^2/2": "J", "m*g*h": "J", "m*a": "N", "m*v^2 + m*g*h": "J", "m + v": "error", "m*g + m": "error"}
@@ -148,7 +134,7 @@ def _units(k: str, spark) -> str:
     return next((u for u in ("J", "N") if got == _D(u)), str(got))
 
 
-cases("unit_cases", UNITS, _units, "Dimensions of formulas, and mistakes in them.")
+known("unit_cases", UNITS, _units, "Dimensions of formulas, and mistakes in them.")
 
 LAWS = {"1/(x-2)^2 + 3": "true", "sin(3.7*x)": "true", "x^2": "true", "2*x + 5": "true", "2^x": "true"}
 
@@ -163,7 +149,7 @@ def _law_of(k: str, spark) -> str:
     return str(all(math.isclose(evaluate(found, x=x), evaluate(f, x=x), rel_tol=1e-6) for x in at)).lower()
 
 
-cases("law_cases", LAWS, _law_of, "Laws of one variable are found from eight points.")
+known("law_cases", LAWS, _law_of, "Laws of one variable are found from eight points.")
 
 PRODUCTS = {"9000*a*b/c^2": "true", "a*b/c": "true"}
 
@@ -177,7 +163,7 @@ def _product_of(k: str, spark) -> str:
     return str(all(math.isclose(value(found, r), value(f, r), rel_tol=1e-5) for r in rows)).lower()
 
 
-cases("product_cases", PRODUCTS, _product_of, "Laws of three variables: products, ratios and sums of them.")
+known("product_cases", PRODUCTS, _product_of, "Laws of three variables: products, ratios and sums of them.")
 
 DETECTED = {"x xor 5": "bitwise_xor(x, 5)", "floor(x)": "floor(x)", "ceil(x)": "ceil(x)", "x^x": "x^x", "relu": "relu(x)", "x mod 1.5": "1.5", "ratio": "(x^2 + 1)/(x^1 + 1)", "rosenbrock": "1, 100", "sin(x^2)": "sin(x^2)", "pi*x^2": "(pi)*x^2", "fractal": "true", "zeros": "2*(x - (1))*(x - (3))/((x - (-2)))", "anchors": "0, 1"}
 
@@ -208,7 +194,7 @@ def _detected(k: str, spark) -> str:
     return DETECTED[k] if DETECTED[k] in found else (found or ["none"])[0]
 
 
-cases("detector_cases", DETECTED, _detected, "Seeds that the facts of a table suggest.")
+known("detector_cases", DETECTED, _detected, "Seeds that the facts of a table suggest.")
 
 SEARCHED = {"square": "true", "with boosting": "true", "lexicographic": "true", "same seed, same front": "true"}
 
@@ -222,7 +208,7 @@ def _searched(k: str, spark) -> str:
     return str(found.best[1] < 1e-6).lower()
 
 
-cases("search_cases", SEARCHED, _searched, "x^2 + x is found by every way of breeding, and again with the same seed.")
+known("search_cases", SEARCHED, _searched, "x^2 + x is found by every way of breeding, and again with the same seed.")
 
 TREES = {"depth of full trees": "true", "crossover keeps depths": "true", "mutations are trees": "true", "half of the population comes of seeds": "true", "constants improve": "true", "the smaller of equals wins": "1", "the least loss wins": "2"}
 
@@ -246,10 +232,10 @@ def _trees(k: str, spark) -> str:
     return str(genetic.winner([(1.02, 9), (1.0, 12), (0.98, 40)], 0.05 if "smaller" in k else None) + (1 if "smaller" in k else 0))
 
 
-cases("tree_cases", TREES, _trees, "Construction and variation of trees keep their promises.")
+known("tree_cases", TREES, _trees, "Construction and variation of trees keep their promises.")
 
 PUBLIC = {"det([[1, 2], [3, 4]])": "-2", "integrate(x^2, x, 0, 3)": "9", "diff(x^3, x)": "3*x^2", "2 + 3": "5", "(((": "UNBALANCED_PARENS"}
-cases("public_cases", PUBLIC, lambda k, s: r.error_code or (r.approx if k.startswith("integrate") else r.result) if (r := api.evaluate(k)) else "", "The typed functions of the library.")
+known("public_cases", PUBLIC, lambda k, s: r.error_code or (r.approx if k.startswith("integrate") else r.result) if (r := api.evaluate(k)) else "", "The typed functions of the library.")
 
 DEFINED = {"f(f(1))": "13", "g(2)": "8", "exported f(4)": "11", "cache": "1 hit, 1 miss"}
 
@@ -271,51 +257,34 @@ def _defined(k: str, spark) -> str:
     return f"{evaluate(own.expand(k)):g}"
 
 
-cases("function_cases", DEFINED, _defined, "User functions expand, export and are cached.")
+known("function_cases", DEFINED, _defined, "User functions expand, export and are cached.")
 
 SYMBOLS = {"a": "5", "b": "14"}
-cases("symbol_cases", SYMBOLS, lambda k, s: infer_symbols(s, [(1, 2), (2, 4), (3, 6), ("a", 10), (7, "b")], ["x"])[k], "Symbols among points follow from the law of the others.")
+known("symbol_cases", SYMBOLS, lambda k, s: infer_symbols(s, [(1, 2), (2, 4), (3, 6), ("a", 10), (7, "b")], ["x"])[k], "Symbols among points follow from the law of the others.")
 
 BANNED = {"sin": "x, x^2, exp(x), sqrt(x)", "exp": "x, x^2, sin(x), sqrt(x)", "polynomial": "x, x^2"}
-cases("banned_cases", BANNED, lambda k, s: ", ".join(project.banned(["x", "x^2", "sin(x)", "exp(x)", "sqrt(x)"], [] if k == "polynomial" else [k], k == "polynomial")), "Formulas without banned words, or without any function.")
-
-
-# queries over tables
-
-
-@R.query("SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, p_retailprice FROM part")
-def csv_round_trip(spark, sf):
-    """A table written as CSV and read back by the reader, which finds names and types."""
-    import uuid
-
-    from ..operators.quantile import shared_folder
-
-    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
-    table(spark, sf, "part").select("p_partkey", F.col("p_size").alias("size"), "p_retailprice").write.option("header", True).csv(path)
-    return readers.read_csv(spark, path).select(F.col("p_partkey").cast("long").alias("p_partkey"), F.col("size").cast("double").alias("size"), F.col("p_retailprice").cast("double").alias("p_retailprice"))
-
+known("banned_cases", BANNED, lambda k, s: ", ".join(project.banned(["x", "x^2", "sin(x)", "exp(x)", "sqrt(x)"], [] if k == "polynomial" else [k], k == "polynomial")), "Formulas without banned words, or without any function.")
 
-@R.query("SELECT * FROM (VALUES (1.0::DOUBLE, 1.5707963::DOUBLE), (2.0, 3.0), (4.0, 0.5)) AS t (x, y)")
-def array_literals(spark, sf):
-    """Literal arrays, entries being formulas."""
-    own = readers.inline_arrays(spark, "x=[1, 2, 2^2], y=[pi/2, 3, 1/2]")
-    return only(own.select("x", "y"), digits=7)
 
+@pytest.mark.parametrize(("name", "question", "answer", "ask"), CASES, ids=[f"{c[0]}: {c[1]}" for c in CASES])
+def test_known_answer(spark, name, question, answer, ask):
+    assert ask(question, spark) == answer
 
-@R.query(f"WITH d AS (SELECT user_id, t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS g FROM (SELECT user_id, event_id, epoch_us(ts) / 1000000.0::DOUBLE AS t FROM events)) SELECT user_id, {rd('avg(g)', 4)} AS mean_step FROM d WHERE g IS NOT NULL GROUP BY 1")
-def mean_steps(spark, sf):
-    """Mean distance of neighbours in each series."""
-    from .base import events
 
-    return only(series.even_spacing(events(spark, sf), "t", ["user_id"], "event_id").select("user_id", "mean_step"), digits=4)
+def test_inline_arrays(spark):
+    rows = readers.inline_arrays(spark, "x=[1, 2, 2^2], y=[pi/2, 3, 1/2]").select("x", "y").collect()
+    assert sorted((r.x, round(r.y, 7)) for r in rows) == [(1.0, 1.5707963), (2.0, 3.0), (4.0, 0.5)]
 
 
-@R.query("SELECT p_partkey, coalesce(list_bool_and(list_transform(range(2, p_size), lambda d: p_size % d <> 0)), true) AND p_size > 1 AS prime FROM part")
-def prime_flags(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", F.coalesce(match.is_prime(F.col("p_size").cast("long")), F.lit(False)).alias("prime"))
+def test_drag_is_one_group_and_energy_one_monomial():
+    of = units.Dimension.of
+    (group,) = units.pi_groups({"F": of("N"), "rho": of("kg/m^3"), "v": of("m/s"), "L": of("m")})
+    assert {k: int(v) for k, v in group.items()} == {"F": 1, "rho": -1, "v": -2, "L": -2}
+    assert list(units.consistent_monomials({"m": of("kg"), "v": of("m/s"), "L": of("m")}, of("J"))) == ["m*v^2"]
 
 
-@R.query("SELECT p_partkey, (p_retailprice - m) / s AS residual FROM part, (SELECT 900.0::DOUBLE AS m, max(abs(p_retailprice - 900)) AS s FROM part)")
-def amplified_residual(spark, sf):
-    """What a formula leaves, scaled to unit size."""
-    return detect.residual_amplified(table(spark, sf, "part"), "900", "p_retailprice").select("p_partkey", "residual")
+def test_equation_table(spark):
+    rows = {r["name"]: r for r in feynman.equation_table(spark).collect()}
+    assert set(rows) == set(feynman.EQUATIONS)
+    for name, r in rows.items():
+        assert r.formula == feynman.EQUATIONS[name] and dict(zip(r.variables, zip(r.lo, r.hi, strict=True), strict=True)) == {k: tuple(map(float, v)) for k, v in feynman.ranges(name).items()}
