@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from decimal import Decimal, getcontext, localcontext
+from decimal import Decimal, localcontext
 from fractions import Fraction
 
 import numpy as np
@@ -23,6 +23,7 @@ from ..functions.cas import simplify
 from ..functions.compile import to_column, to_numpy
 from ..functions.library import BINARY, UNARY
 from ..functions.parse import parse
+from ..functions.precise import precise
 
 
 @dataclass
@@ -304,68 +305,6 @@ def precise_mse(df: DataFrame, formula: str, variables: list[str], y: str, digit
         return total / n if n else Decimal("NaN")
 
 
-def precise(x: Node, at: dict[str, Decimal]) -> Decimal:
-    """A formula's value in the precision of the decimal context."""
-    if isinstance(x, Num):
-        return Decimal(x.value.numerator) / Decimal(x.value.denominator) if isinstance(x.value, Fraction) else Decimal(x.value)
-    if isinstance(x, Sym):
-        return at[x.name] if x.name in at else {"pi": _pi(), "e": Decimal(1).exp(), "E": Decimal(1).exp()}[x.name]
-    a = [precise(k, at) for k in x.args]
-    match x.fn:
-        case "add":
-            return a[0] + a[1]
-        case "sub":
-            return a[0] - a[1]
-        case "mul":
-            return a[0] * a[1]
-        case "div":
-            return a[0] / a[1]
-        case "neg":
-            return -a[0]
-        case "pow":
-            return a[0] ** int(a[1]) if a[1] == int(a[1]) else a[0] ** a[1]
-        case "exp":
-            return a[0].exp()
-        case "log":
-            return a[0].ln()
-        case "sqrt":
-            return a[0].sqrt()
-        case "abs":
-            return abs(a[0])
-        case "sin":
-            return _sine(a[0])
-        case "cos":
-            return _sine(a[0] + _pi() / 2)
-        case "tan":
-            return _sine(a[0]) / _sine(a[0] + _pi() / 2)
-        case "sinh":
-            return (a[0].exp() - (-a[0]).exp()) / 2
-        case "cosh":
-            return (a[0].exp() + (-a[0]).exp()) / 2
-        case "tanh":
-            return 1 - 2 / ((2 * a[0]).exp() + 1)
-    raise ValueError(f"{x.fn} has no decimal form")
-
-
-def _pi() -> Decimal:
-    """Machin's formula."""
-    c = getcontext().copy()
-    c.prec += 8
-    inverse = lambda n: sum(c.divide(Decimal((-1) ** k), c.multiply(Decimal(2 * k + 1), c.power(Decimal(n), 2 * k + 1))) for k in range(c.prec))
-    return +c.subtract(c.multiply(16, inverse(5)), c.multiply(4, inverse(239)))
-
-
-def _sine(x: Decimal) -> Decimal:
-    """By its series, after whole turns are taken off."""
-    turn = 2 * _pi()
-    x = x - turn * (x / turn).to_integral_value()
-    term, total, k = x, x, 1
-    while abs(term) > Decimal(10) ** -(getcontext().prec + 2):
-        term = -term * x * x / ((2 * k) * (2 * k + 1))
-        total, k = total + term, k + 1
-    return total
-
-
 def discover_equation(df: DataFrame, variables: list[str], y: str, config: Config | None = None) -> str:
     """The knee of the front, or the best where that is perfect."""
     found = search(df, variables, y, config)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass, field
+from decimal import Decimal
 from fractions import Fraction
 
 import numpy as np
@@ -15,6 +16,7 @@ from ..functions import ast, cas
 from ..functions.compile import evaluate, to_column, to_numpy
 from ..functions.exactness import text_number
 from ..functions.parse import FormulaError, parse, split_top_level
+from ..functions.precise import value_of
 
 
 @dataclass
@@ -87,7 +89,11 @@ def _bracketed(x: ast.Node, name: str, t: np.ndarray) -> list[float]:
         with np.errstate(all="ignore"):
             return float(np.real(to_numpy(x, {name: np.float64(z)})))
 
-    out = [float(z) for z in t[v == 0]]
+    out: list[float] = []
+    for run in np.split(np.nonzero(v == 0)[0], np.nonzero(np.diff(np.nonzero(v == 0)[0]) > 1)[0] + 1):
+        # several in a row may be numbers below the least one that a double holds
+        if len(run) < 3 or value_of(x, 60, **{name: Decimal(float(t[run[len(run) // 2]]))}) in (None, 0):
+            out += [float(z) for z in t[run]]
     for k in np.nonzero(np.isfinite(v[:-1]) & np.isfinite(v[1:]) & (np.sign(v[:-1]) * np.sign(v[1:]) < 0))[0]:
         a, b, fa = t[k], t[k + 1], v[k]
         for _ in range(200):
@@ -125,10 +131,25 @@ def numeric_roots(x: ast.Node, name: str, lo: float = -WINDOW, hi: float = WINDO
         out += [z for z in _bracketed(x, name, hi + (away - 1) * max(1.0, abs(hi)))] + [z for z in _bracketed(x, name, (lo - (away - 1) * max(1.0, abs(lo)))[::-1])]
         # and close to zero, where logarithms and quotients live
         out += _bracketed(x, name, np.geomspace(1e-15, 1e-2, 2000)) + _bracketed(x, name, -np.geomspace(1e-15, 1e-2, 2000)[::-1])
-    out.sort()
+    whole = {float(round(z)) for z in out if abs(z) < 1e15 and abs(z - round(z)) < 1e-9 and value_of(x, 60, **{name: Decimal(round(z))}) == 0}
+    out = sorted(whole | {float(z) for z in out if float(round(z)) not in whole and _crosses(x, name, z)})
     return [z for k, z in enumerate(out) if not k or z - out[k - 1] > 1e-9 * max(1.0, abs(z))]
 
 
+def _crosses(x: ast.Node, name: str, z: float) -> bool:
+    """Is a zero of floating point one in many digits too: exactly, by a change of sign around it, or less than either neighbour?
+
+    A function that only falls below the least number isn't zero. Formulas without a decimal form are believed.
+    """
+    h = Decimal(max(abs(z), 1e-12)) / 10**6
+    at = [value_of(x, 60, **{name: Decimal(z) + k * h}) for k in (-1, 0, 1)]  # h is far above the last digit
+    if at[1] is None or at[1] == 0:
+        return True
+    if at[0] is None or at[2] is None:
+        return True
+    return (at[0] < 0) != (at[2] < 0) or abs(at[1]) < min(abs(at[0]), abs(at[2])) / 100
+
+
 def _count(x: ast.Node, name: str) -> int:
     return sum(isinstance(n, ast.Sym) and n.name == name for n in ast.walk(x))
 

@@ -183,3 +183,17 @@ def test_equations_beyond_any_window(equation, want):
 def test_no_solution_is_said_only_where_it_is_known():
     assert [solve.solve_equation(e).error_code for e in ("exp(x)=-1", "sin(x)=2", "sqrt(x)=-1", "exp(x)=x")] == ["NO_SOLUTION"] * 3 + ["NOT_FOUND"]
     assert len(solve.solve_equation("sin(x)=0.5").approx) == 8
+
+
+@pytest.mark.parametrize(("formula", "at", "want"), [("x/(x + 1000000)", math.inf, 1), ("(exp(x) - 1 - x - x^2/2)/x^3", 0, 1 / 6), ("(cos(x) - 1)/x^2", 0, -0.5), ("x - sqrt(x^2 - x)", math.inf, 0.5), ("exp(-x)*x^5", math.inf, 0), ("log(x)/x", math.inf, 0), ("abs(x)/x", 0, math.nan), ("sin(1/x)", 0, math.nan)])
+def test_limits_without_cancellation(formula, at, want):
+    from lodestar.functions.cas import limit
+
+    assert limit(parse(formula), "x", at) == pytest.approx(want, rel=1e-12, abs=1e-12, nan_ok=True)
+
+
+@pytest.mark.parametrize(("equation", "want"), [("(x-1)^2*exp(x) = 0", [1]), ("x^2*exp(-x) = 0", [0]), ("(x-2)^2*log(x) = 0", [1, 2]), ("(x-1)^2*(x+3) = 0", [-3, 1]), ("x*exp(x) = 1", [0.5671432904097838])])
+def test_no_roots_from_underflow(equation, want):
+    from lodestar.operators import solve
+
+    assert solve.solve_equation(equation).approx == pytest.approx(want)
