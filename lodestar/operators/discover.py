@@ -75,10 +75,13 @@ def periodic(df: DataFrame, x: str, y: str) -> list[tuple[str, str]]:
     """
     out: list[tuple[str, str]] = []
     found = period.periods(df, x, y)
-    for p in found[:3]:
-        fit = period.sawtooth(df, x, y, p.length)
-        if fit:
-            return [("modulo", _sum(_constant(fit[0]), _term(fit[1], f"mod({x}, {number(p.length)})")))]
+    for p in found[:2]:
+        for length in (p.length, None):
+            # as it was found, then as its cycles say
+            length = length or period.cycle_length(df, x, y, p.length)
+            fit = period.sawtooth(df, x, y, length)
+            if fit:
+                return [("modulo", _sum(_constant(fit[0]), _term(fit[1], f"mod({x}, {number(length)})")))]
     for p in found[:2]:
         k = 2 * math.pi / p.length
         wave = solve(gram(df.select(F.sin(k * F.col(x)).alias("s"), F.cos(k * F.col(x)).alias("c"), F.col(y).alias("v")), ["s", "c"], "v"))
@@ -112,14 +115,17 @@ def ladder(df: DataFrame, x: str, y: str) -> list[tuple[str, str]]:
         out.append(("logarithmic", _sum(_term(s.log_a, f"log({x})"), _constant(s.log_b))))
     # one-term laws with an offset, each by its own regression in one aggregate
     shapes = [f"sin({x})", f"cos({x})", f"sin(2*{x})", f"abs({x})", f"floor({x})", f"{x}^3"] + ([f"sqrt({x})"] if s.x_lo >= 0 else []) + ([f"1/{x}"] if s.x_lo > 0 or s.x_hi < 0 else []) + ([f"cosh({x})", f"sinh({x})"] if max(abs(s.x_lo), abs(s.x_hi)) < 50 else []) + [f"sigmoid({x})", f"softplus({x})", f"exp(-{x}^2)"] + ([f"{x}*log({x})"] if s.x_lo > 0 else [])
-    aggs = []
+    # all of them from one matrix of products, with the line plus sine
+    names = [f"f{k}" for k in range(len(shapes))]
+    g = gram(project.build_features(df, {**dict(zip(names, shapes, strict=True)), "u": x, "s": f"sin({x})"}, [F.col(y).cast("double").alias("__y")]), [*names, "u", "s"], "__y")
     for k, f in enumerate(shapes):
-        c = to_column(parse(f))
-        aggs += [F.regr_slope(F.col(y), c).alias(f"a{k}"), F.regr_intercept(F.col(y), c).alias(f"b{k}")]
-    row = df.agg(*aggs).first()
-    out += [("template", _sum(_term(row[f"a{k}"], f), _constant(row[f"b{k}"]))) for k, f in enumerate(shapes) if row[f"a{k}"] is not None]
-    mix = solve(gram(df.select(F.col(x).cast("double").alias("u"), F.sin(x).alias("s"), F.col(y).alias("v")), ["u", "s"], "v"))
-    out.append(("line plus sine", _sum(_term(mix.coefficients["u"], x), _term(mix.coefficients["s"], f"sin({x})"), _constant(mix.intercept))))
+        xx, xy = g.xx[k, k], g.xy[k]
+        # a law explains all but a hundredth of the variance at least
+        if xx > 0 and xy * xy >= 0.99 * xx * g.yy:
+            out.append(("template", _sum(_term(xy / xx, f), _constant(g.mean[-1] - xy / xx * g.mean[k]))))
+    mix = solve(g, ["u", "s"])
+    if mix.r2 >= 0.99:
+        out.append(("line plus sine", _sum(_term(mix.coefficients["u"], x), _term(mix.coefficients["s"], f"sin({x})"), _constant(mix.intercept))))
     return out
 
 

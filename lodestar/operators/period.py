@@ -187,13 +187,13 @@ def phase(x: Column, start: float, length: float | Column) -> Column:
     return t - F.floor(t)
 
 
-def folded(df: DataFrame, x: str, y: str, lengths: list[float], start: float = 0.0) -> DataFrame:
+def folded(df: DataFrame, x: str, y: str, lengths: list[float], start: float = 0.0, phases: int = PHASES) -> DataFrame:
     """k (the length's number), bin of phase, n, the middle of y and its quartiles, and the mean phase: one pass for all lengths."""
     c = F.col(x).cast("double")
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), phase(c, start, p).alias("at")) for k, p in enumerate(lengths)]))
     rows = df.select(F.col(y).cast("double").alias("y"), each.alias("f")).select("y", "f.k", "f.at")
-    quartiles = F.percentile_approx("y", [0.25, 0.5, 0.75], 1000).alias("q")
-    return rows.groupBy("k", F.least(F.floor(F.col("at") * PHASES), F.lit(PHASES - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.avg("at").alias("at"), quartiles)
+    quartiles = F.percentile_approx("y", [0.25, 0.5, 0.75], 200).alias("q")
+    return rows.groupBy("k", F.least(F.floor(F.col("at") * phases), F.lit(phases - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.avg("at").alias("at"), quartiles)
 
 
 def periods(df: DataFrame, x: str, y: str, clear: float = 0.5) -> list[Period]:
@@ -215,49 +215,91 @@ def periods(df: DataFrame, x: str, y: str, clear: float = 0.5) -> list[Period]:
     whole = own.agg(F.percentile_approx(F.col(y).cast("double"), [0.25, 0.75], 1000).alias("q")).first().q
     middle = whole[1] - whole[0]
     start = 0.0 if s.whole else s.lo
+    # a bin of a key or two is even whatever the period
+    phases = int(min(PHASES, max(4, (s.hi - s.lo) / s.step / 8)))
 
     def spreads(tried: list[float]) -> dict[float, float]:
         tried = list(dict.fromkeys(p for p in tried if 2 * s.step <= p <= longest))
         if not tried:
             return {}
-        rows = folded(own, x, y, tried, start).groupBy("k").agg((F.sum((F.col("q")[2] - F.col("q")[0]) * F.col("n")) / F.sum("n")).alias("s")).collect()
+        rows = folded(own, x, y, tried, start, phases).groupBy("k").agg((F.sum((F.col("q")[2] - F.col("q")[0]) * F.col("n")) / F.sum("n")).alias("s")).collect()
         return {tried[r.k]: r.s / middle for r in rows}
 
     if not lengths or not middle > 0:
         return []
     # a peak may be the first harmonic
     seen = spreads([q for p in lengths for q in (p, 2 * p)])
-    best = sorted(seen, key=lambda p: (round(seen[p], 1), p))[:3]
+    best = sorted(seen, key=lambda p: (round(seen[p], 1), p))[:4]
     if s.whole:
         # whole periods near what was measured, as far as a spectrum of this length can be off
+        tried = []
         for p in best:
             slack = max(0.5, p * p / (s.hi - s.lo) / 4)
             near = range(math.floor(p - slack), math.ceil(p + slack) + 1)
-            seen |= spreads([float(r) for r in sorted(near, key=lambda r, p=p: abs(r - p))[:5]])
+            tried += [float(r) for r in sorted(near, key=lambda r, p=p: abs(r - p))[:5]]
+        seen |= spreads(tried)
     out = [Period(p, v) for p, v in seen.items() if v <= clear]
     # a multiple folds as well, in wider bins: the shortest of nearly equal ones is the period
     return sorted(out, key=lambda p: (round(p.spread, 2), s.whole and p.length % 1 != 0, p.length))
 
 
+def _line(df: DataFrame, x: str, y: str, length: float) -> tuple[float, float, list] | None:
+    """a and b of y = a + b mod(x, length) by the middles of bins of phase, and the bins."""
+    bins = sorted(folded(df, x, y, [length]).collect(), key=lambda r: r.bin)
+    if len(bins) < 3:
+        return None
+    at, mid = np.array([r["at"] for r in bins]) * length, np.array([r.q[1] for r in bins])
+    i, j = np.triu_indices(len(at), 1)
+    b = float(np.median((mid[j] - mid[i]) / (at[j] - at[i])))
+    return float(np.median(mid - b * at)), b, bins
+
+
+def cycle_length(df: DataFrame, x: str, y: str, length: float, rounds: int = 5) -> float:
+    """A sawtooth's length, from one that is near: x - y / b is the same all over a cycle and a length more in the next.
+
+    The middles of the cycles give the length, which gives a better b.
+    """
+    c, v = F.col(x).cast("double"), F.col(y).cast("double")
+    for _ in range(rounds):
+        line = _line(df, x, y, length)
+        if not line or not line[1]:
+            return length
+        u = c - v / F.lit(line[1])
+        base = df.agg(F.percentile_approx(u - F.lit(length) * F.floor(c / F.lit(length)), 0.5, 1000).alias("m")).first().m
+        if base is None:
+            return length
+        cycles = df.groupBy(F.round((u - F.lit(base)) / F.lit(length)).alias("k")).agg(F.percentile_approx(u, 0.5, 1000).alias("u"), F.count("*").alias("n"))
+        # what few rows are in is no cycle but outliers
+        most = cycles.agg(F.percentile_approx("n", 0.5, 100).alias("n")).first().n
+        new = cycles.filter(F.col("n") > 0.2 * most).agg(F.regr_slope("u", "k").alias("p")).first().p
+        if new is None or not 0.5 * length < new < 2 * length:
+            return length
+        near = round(new)
+        if near and abs(new - near) < 1e-3 and abs(new - length) < 1:
+            return float(near)
+        if abs(new - length) <= 1e-9 * length:
+            return new
+        length = new
+    return length
+
+
 def sawtooth(df: DataFrame, x: str, y: str, length: float, least: float = 0.9) -> tuple[float, float, float] | None:
     """(a, b, share of rows on it) of y = a + b mod(x, length), by the middles of bins of phase, then by the rows near it.
 
     None where fewer than ``least`` of the rows are on one.
     """
     c, v = F.col(x).cast("double"), F.col(y).cast("double")
-    bins = sorted(folded(df, x, y, [length]).collect(), key=lambda r: r.bin)
-    if len(bins) < 3:
+    line = _line(df, x, y, length)
+    if not line:
         return None
-    at, mid = np.array([r["at"] for r in bins]) * length, np.array([r.q[1] for r in bins])
-    i, j = np.triu_indices(len(at), 1)
-    b = float(np.median((mid[j] - mid[i]) / (at[j] - at[i])))
-    a = float(np.median(mid - b * at))
+    a, b, bins = line
+    mid = np.array([r.q[1] for r in bins])
     place = c - F.lit(length) * F.floor(c / F.lit(length))
     scale = max(1e-12, float(np.abs(mid).max()), abs(b) * length)
     width = max(abs(b) * length / PHASES, float(np.median([r.q[2] - r.q[0] for r in bins])))
     share = 0.0
     # ever narrower bands around the line: what is far from it has no part in the next
-    for tolerance in (2 * width, width / 10, width / 1000, 1e-9 * scale):
+    for tolerance in (width, width / 100, 1e-9 * scale):
         near = F.abs(v - F.lit(a) - F.lit(b) * place) <= max(tolerance, 1e-9 * scale)
         row = df.agg(F.count("*").alias("n"), F.count_if(near).alias("k"), F.regr_slope(F.when(near, v), F.when(near, place)).alias("b"), F.regr_intercept(F.when(near, v), F.when(near, place)).alias("a")).first()
         share = row.k / row.n

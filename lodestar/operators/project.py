@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import ast
 from ..functions.compile import to_column
 from ..functions.parse import parse
-from .quantile import median, percentiles
+from .quantile import largest_group, median, percentiles, written
 
 INF = float("inf")
 
@@ -133,10 +133,12 @@ def outliers(df: DataFrame, col: str, method: str = "mad", keys: list[str] | Non
         both = joined(df, grouped(df).agg(F.avg(v).alias("__m"), F.stddev_pop(v).alias("__s")))
         return both.withColumn("is_outlier", F.coalesce(F.abs(v - F.col("__m")) > k * F.col("__s"), F.lit(False))).drop("__m", "__s")
     k = 3.5 if threshold is None else threshold
-    both = joined(df, percentiles(df, v, [0.5], keys).withColumn("__m", F.col("__q")[0]).drop("__q"))
-    dev = both.withColumn("__d", F.abs(v - F.col("__m")))
-    both = joined(dev, percentiles(dev, F.col("__d"), [0.5], keys).withColumn("__mad", F.col("__q")[0]).drop("__q"))
-    return both.withColumn("is_outlier", F.coalesce(F.col("__d") > k * F.col("__mad") / 0.6745, F.lit(False))).drop("__m", "__d", "__mad")
+    # the middles are a row a group: written once, so that neither they nor the deviations are made again for what follows
+    most = largest_group(df, v, keys)
+    middle = written(percentiles(df, v, [0.5], keys, largest=most).select(*keys, F.col("__q")[0].alias("__m")))
+    dev = joined(df, middle).withColumn("__d", F.abs(v - F.col("__m")))
+    spread = written(percentiles(dev, F.col("__d"), [0.5], keys, largest=most).select(*keys, F.col("__q")[0].alias("__mad")))
+    return joined(dev, spread).withColumn("is_outlier", F.coalesce(F.col("__d") > k * F.col("__mad") / 0.6745, F.lit(False))).drop("__m", "__d", "__mad")
 
 
 def banned(formulas: list[str], ban: list[str], polynomial: bool = False) -> list[str]:

@@ -19,12 +19,20 @@ LIMIT = 1_000_000
 ACCURACY, BINS = 10_000, 1_000
 
 
-def percentiles(df: DataFrame, value: Column, probs: list[float], keys: list[str] | None = None, limit: int | None = None) -> DataFrame:
-    """keys and __q: array of the interpolated quantiles, nulls aside; without keys one row (null where there are no values)."""
+def largest_group(df: DataFrame, value: Column, keys: list[str] | None = None) -> int:
+    """How many values that aren't null the largest group has."""
+    return df.filter(value.isNotNull()).groupBy(*(keys or [])).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def percentiles(df: DataFrame, value: Column, probs: list[float], keys: list[str] | None = None, limit: int | None = None, largest: int | None = None) -> DataFrame:
+    """keys and __q: array of the interpolated quantiles, nulls aside; without keys one row (null where there are no values).
+
+    ``largest`` is how many values a group has at most, where that is known: it saves a count.
+    """
     keys, limit = list(keys or []), limit or LIMIT
     own = df.select(*keys, value.cast("double").alias("__v")).filter("__v is not null")
     spread = F.array(*[F.lit(min(1.0, max(0.0, p + d))) for p in probs for d in (-2 / ACCURACY, 2 / ACCURACY)])
-    if (own.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= limit:
+    if (largest_group(own, F.col("__v"), keys) if largest is None else largest) <= limit:
         return own.groupBy(*keys).agg(F.percentile("__v", F.array(*[F.lit(p) for p in probs])).alias("__q"))
 
     sizes = own.groupBy(*keys).agg(F.count("*").alias("__n"), F.percentile_approx("__v", spread, ACCURACY).alias("__s"))
@@ -34,9 +42,9 @@ def percentiles(df: DataFrame, value: Column, probs: list[float], keys: list[str
     targets = sizes.withColumn("__t", each).select(
         *keys, F.col("__t.j").alias("__j"), F.col("__t.up").alias("__up"), (rank - F.floor(rank)).alias("__part"), F.when(F.col("__t.up") == 1, F.ceil(rank)).otherwise(F.floor(rank)).alias("__r"),
         F.col("__s")[2 * F.col("__t.j")].alias("__lo"), F.col("__s")[2 * F.col("__t.j") + 1].alias("__hi"))
-    counted = _written(_counted(own, targets, keys))
+    counted = written(_counted(own, targets, keys))
     while counted.filter((F.col("__inside") > limit) & (F.col("__lo") < F.col("__hi"))).limit(1).count():
-        counted = _written(_narrowed(own, counted, keys, limit))
+        counted = written(_narrowed(own, counted, keys, limit))
     inside = _met(own, counted.filter(F.col("__lo") < F.col("__hi")), keys).filter("__v between __lo and __hi")
     lists = inside.groupBy(*keys, "__j", "__up").agg(F.sort_array(F.collect_list("__v")).alias("__l"), F.first("__part").alias("__part"), F.first((F.col("__r") - F.col("__below")).cast("int")).alias("__at"))
     found = lists.select(*keys, "__j", "__up", "__part", F.col("__l")[F.col("__at")].alias("__x")).unionByName(counted.filter(F.col("__lo") >= F.col("__hi")).select(*keys, "__j", "__up", "__part", F.col("__lo").alias("__x")))
@@ -55,8 +63,8 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tables-{spark.sparkContext.applicationId}"
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Brackets, a few rows a group: written to the shared folder, which cuts lineage."""
+def written(df: DataFrame) -> DataFrame:
+    """A table of a few rows a group: written to the shared folder, which cuts lineage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quantiles-{uuid.uuid4().hex}"
     df.write.parquet(path)
