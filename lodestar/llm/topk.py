@@ -8,11 +8,15 @@ with the centres c and the covering radii r, and is dropped, with all below it,
 under the worst k-th score of the query node's queries so far. The most promising pairs go
 first, the node of the larger radius is opened, and leaves are scored in integers.
 
-Trees hold up to ``TREE`` rows. The data's are built once, where the vectors are read, and travel
-packed; so do the queries'. Queries are a stated set: each group of ``group`` trees of queries
-meets each group of trees of the data in one task, which holds the queries' trees and one of the
-data's at a time. Nothing passes through the driver but the two numbers of rows. The k best of
-each pair of groups then meet by query.
+Vectors go to the nearest of up to ``PIVOTS`` pivots, a bounded sample by a hash of their ids, and lie by pivot, so that a
+tree holds what is near: it takes up to ``TREE`` rows of one pivot. The data's trees are built once and travel packed; so do
+the queries'. Queries are a stated set: each group of ``group`` trees of queries meets each group of trees of the data in
+one task, which takes the data's trees by their bound, the most promising first, so that the k-th scores rise early and the
+rest falls to them whole. Nothing passes through the driver but the two numbers of rows and the pivots. The k best of each
+pair of groups then meet by query.
+
+Where vectors point everywhere in many dimensions no ball of them is small, no bound falls below a k-th score, and what is
+left is products of leaves; where they cluster, most are never taken (README has figures).
 
 Vectors that are null or hold a null or non-finite component, and rows without an id, take no
 part. Vectors of unequal length meet only their like. A row isn't its own candidate, nor are
@@ -36,6 +40,10 @@ from .common import materialise
 
 #: Rows of a leaf; rows of a tree; trees that a task takes from either side.
 LEAF, TREE, GROUP = 64, 4096, 16
+#: Rows of a leaf of queries: a ball of few is small, and drops what a larger one can't.
+ASKED_LEAF = 4
+#: Children of a node at most; pivots at most.
+FAN, PIVOTS = 16, 256
 #: Components up to which distances are floats.
 FAR = 1e100
 _LONG = 2**63 - 1
@@ -47,9 +55,9 @@ class CoverTree:
     """Rows of a node's subtree lie together: node i holds rows lo[i] to hi[i], a centre, the row at its middle,
     a covering radius (no row of it is farther from the centre), and its children first[i] to first[i] + count[i].
 
-    Nesting: a node's centre is its first child's. Separation: centres of one node's children are more than half its
-    radius apart. Covering: each row is within half the radius of its child's centre. A node of up to ``leaf`` rows is a leaf,
-    as is one that would split into more children than half its rows (no such net covers it with fewer).
+    Nesting: a node's centre is its first child's. Covering: each row is within its child's radius of the child's centre.
+    Separation: centres of one node's children are farther apart than any of their radii. Radii fall to half their parent's or
+    less, or as far as ``FAN`` children take them, so that every node of more than ``leaf`` rows that aren't all equal splits.
     """
 
     def __init__(self, x: np.ndarray, leaf: int = LEAF):
@@ -67,34 +75,30 @@ class CoverTree:
             gap = np.sqrt(((own - own[at]) ** 2).sum(axis=1))
             radii[node] = float(gap.max())
             if len(rows) > leaf and radii[node] > 0:
-                kids = self._net(own, at, gap, radii[node] / 2)
-                if kids is not None:
-                    net, who = kids
-                    order = np.argsort(who, kind="stable")
-                    self.order[lo[node] : hi[node]] = rows[order]
-                    sizes = np.bincount(who, minlength=len(net))
-                    ends = lo[node] + np.cumsum(sizes)
-                    first[node], count[node] = len(lo), len(net)
-                    lo += (ends - sizes).tolist()
-                    hi += ends.tolist()
-                    centres += rows[net].tolist()
-                    for col in (first, count):
-                        col += [0] * len(net)
-                    radii += [0.0] * len(net)
+                net, who = self._net(own, at, gap, radii[node] / 2)
+                order = np.argsort(who, kind="stable")
+                self.order[lo[node] : hi[node]] = rows[order]
+                sizes = np.bincount(who, minlength=len(net))
+                ends = lo[node] + np.cumsum(sizes)
+                first[node], count[node] = len(lo), len(net)
+                lo += (ends - sizes).tolist()
+                hi += ends.tolist()
+                centres += rows[net].tolist()
+                for col in (first, count):
+                    col += [0] * len(net)
+                radii += [0.0] * len(net)
             node += 1
         self.lo, self.hi, self.first, self.count = (np.array(c, np.int64) for c in (lo, hi, first, count))
         self.centre, self.radius = np.array(x[np.array(centres, np.int64)], np.float64) if len(x) else np.zeros((1, x.shape[1])), np.array(radii)
 
     @staticmethod
-    def _net(own: np.ndarray, at: int, gap: np.ndarray, radius: float) -> tuple[list[int], np.ndarray] | None:
-        """Centres, each the farthest row from those before, until all rows are within the radius; and each row's nearest."""
+    def _net(own: np.ndarray, at: int, gap: np.ndarray, radius: float) -> tuple[list[int], np.ndarray]:
+        """Centres, each the farthest row from those before, until all rows are within the radius or there are ``FAN``; and each row's nearest."""
         net, who, best = [at], np.zeros(len(own), np.int64), gap.copy()
         while True:
             at = int(best.argmax())
-            if best[at] <= radius:
+            if best[at] <= radius or len(net) == FAN:
                 return net, who
-            if 2 * (len(net) + 1) > len(own):
-                return None
             far = np.sqrt(((own - own[at]) ** 2).sum(axis=1))
             nearer = far < best
             best[nearer], who[nearer] = far[nearer], len(net)
@@ -189,6 +193,15 @@ def search(queries: CoverTree, query_ids: np.ndarray, q: np.ndarray, data: Cover
         if open_a and (not open_b or queries.radius[a] >= data.radius[b]):
             kids = np.arange(queries.first[a], queries.first[a] + queries.count[a])
             pairs = kids, np.full(len(kids), b)
+            if not open_b and hi - lo <= LEAF:
+                # a few queries and a leaf: at once, unless most of them can do without it
+                able = bounds(*pairs) >= [best.worst[base + x : base + y].min() for x, y in zip(queries.lo[kids].tolist(), queries.hi[kids].tolist(), strict=True)]
+                if 2 * int((queries.hi - queries.lo)[kids[able]].sum()) > hi - lo:
+                    at = slice(int(data.lo[b]), int(data.hi[b]))
+                    best.add(np.arange(base + lo, base + hi), products(q[lo:hi], p[at]), query_ids[lo:hi], data_ids[at])
+                    taken += (hi - lo) * (at.stop - at.start)
+                    continue
+                pairs = kids[able], np.full(int(able.sum()), b)
         else:
             kids = np.arange(data.first[b], data.first[b] + data.count[b])
             pairs = np.full(len(kids), a), kids
@@ -197,8 +210,8 @@ def search(queries: CoverTree, query_ids: np.ndarray, q: np.ndarray, data: Cover
     return taken
 
 
-def _trees(scale: int, lanes: int):
-    """Rows of packed trees over a task's vectors, by their length; trees go round the lanes."""
+def _trees(scale: int, lanes: int, leaf: int = LEAF):
+    """Rows of packed trees over a task's vectors, which come sorted by length and pivot; trees go round the lanes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -208,15 +221,22 @@ def _trees(scale: int, lanes: int):
             nonlocal lane
             ids, x = (np.concatenate([part[k] for part in held[dim]]) for k in (0, 1))
             held[dim] = []
-            own = CoverTree(x)
+            own = CoverTree(x, leaf)
             lane += 1
             row = (dim, lane % lanes, ids[own.order].tobytes(), x[own.order].tobytes(), *own.pack())
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), *[pa.binary()] * 5), strict=True)], ["dim", "lane", "ids", "vectors", "nodes", "centres", "radii"])
 
+        cell = None
         for batch in batches:
             sizes = batch.column(2).to_numpy(zero_copy_only=False)
-            for dim in np.unique(sizes).tolist():
-                some = batch.filter(pa.array(sizes == dim))
+            cells = batch.column(3).to_numpy(zero_copy_only=False)
+            cut = np.nonzero(np.r_[True, (sizes[1:] != sizes[:-1]) | (cells[1:] != cells[:-1])])[0] if len(sizes) else []
+            for lo, hi in zip(cut, [*cut[1:], len(sizes)], strict=True):
+                dim = int(sizes[lo])
+                if cell is not None and cell != (dim, int(cells[lo])) and held.get(cell[0]):
+                    yield tree(cell[0])
+                cell = dim, int(cells[lo])
+                some = batch.slice(lo, hi - lo)
                 ids = some.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 x = np.floor(scale * some.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)).reshape(-1, dim)
                 for a in range(0, len(ids), TREE):
@@ -234,18 +254,30 @@ def _trees(scale: int, lanes: int):
     return run
 
 
+def root_bound(queries: CoverTree, data: CoverTree) -> float:
+    """No product of a query and a row is greater, but for rounding."""
+    q, p = queries.centre[0], data.centre[0]
+    return float(q @ p + queries.radius[0] * np.sqrt(p @ p) + data.radius[0] * np.sqrt(q @ q) + queries.radius[0] * data.radius[0])
+
+
 def _opened(dim: int, row: dict) -> tuple[CoverTree, np.ndarray, np.ndarray]:
     return CoverTree.unpack(row["nodes"], row["centres"], row["radii"]), np.frombuffer(row["ids"], np.int64), whole(np.frombuffer(row["vectors"], np.float64).reshape(-1, dim))
 
 
 def _search(k: int):
-    """Rows come sorted by group, the queries' trees first; a task holds those of one group and one tree of the data."""
+    """Rows come sorted by group, the queries' trees first; a task holds the trees of one pair of groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, asked, best = None, [], Best(0, k)
+        group, asked, held = None, [], []
 
         def done() -> Iterator[pa.RecordBatch]:
             if asked:
+                best = Best(sum(len(own) for _, own, _ in asked), k)
+                starts = np.cumsum([0, *[len(own) for _, own, _ in asked]])
+                # the pairs of trees by the bounds of their roots
+                pairs = sorted(((-root_bound(own, tree), j, t) for j, (own, _, _) in enumerate(asked) for t, (tree, _, _) in enumerate(held)), key=lambda r: r[:3])
+                for _, j, t in pairs:
+                    search(*asked[j], *held[t], best, int(starts[j]))
                 ids = np.concatenate([own for _, own, _ in asked])
                 out = [(int(i), j, s) for i, js, ss in zip(ids.tolist(), best.id, best.score, strict=True) for j, s in zip(js, ss, strict=True)]
                 if out:
@@ -260,18 +292,8 @@ def _search(k: int):
             for row in batch.to_pylist():
                 if group != (row["dim"], row["asked"], row["lane"]):
                     yield from done()
-                    group, asked, best = (row["dim"], row["asked"], row["lane"]), [], None
-                tree, ids, x = _opened(row["dim"], row)
-                if row["is_query"]:
-                    asked.append((tree, ids, x))
-                    continue
-                best = best or Best(sum(len(own) for _, own, _ in asked), k)
-                base = 0
-                for own, own_ids, q in asked:
-                    search(own, own_ids, q, tree, ids, x, best, base)
-                    base += len(own_ids)
-        if group is not None and best is None:
-            best = Best(sum(len(own) for _, own, _ in asked), k)
+                    group, asked, held = (row["dim"], row["asked"], row["lane"]), [], []
+                (asked if row["is_query"] else held).append(_opened(row["dim"], row))
         yield from done()
 
     return run
@@ -283,13 +305,44 @@ def _usable(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     return df.filter(F.coalesce(ok, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("embedding"), F.size(v).alias("dim"))
 
 
+def _pivots(data: DataFrame, count: int) -> dict[int, np.ndarray]:
+    """Up to ``count`` vectors of each length, by a hash of their ids: a bounded sample that only deals rows out."""
+    if count < 2:
+        return {}
+    place = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("vec_id"), "vec_id"))
+    rows = data.withColumn("place", place).filter(F.col("place") <= count).collect()
+    return {dim: np.array([r.embedding for r in rows if r.dim == dim]) for dim in {r.dim for r in rows}}
+
+
+def _by_pivot(df: DataFrame, pivots: dict[int, np.ndarray], salts: int) -> DataFrame:
+    """Rows with cell, the nearest pivot, sorted by it; a pivot that is near to many rows is dealt to several tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(2).to_numpy(zero_copy_only=False)
+            cell = np.zeros(len(sizes), np.int32)
+            for dim in np.unique(sizes).tolist():
+                if dim in pivots:
+                    at = np.nonzero(sizes == dim)[0]
+                    x = batch.column(1).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                    with np.errstate(all="ignore"):
+                        far = (pivots[dim] ** 2).sum(axis=1)[None, :] - 2 * x @ pivots[dim].T
+                    cell[at] = np.where(np.isnan(far), np.inf, far).argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cell)], ["vec_id", "embedding", "dim", "cell"])
+
+    near = df.select("vec_id", "embedding", "dim").mapInArrow(run, "vec_id long, embedding array<double>, dim int, cell int")
+    return near.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, salts)))).repartition("dim", "cell", "salt").sortWithinPartitions("dim", "cell").drop("salt")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, group: int = GROUP, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k greatest inner products over floor(scale * x)."""
     data = _usable(vectors, id_col, vector)
     asked = _usable(queries, id_col, vector).groupBy("vec_id").agg(F.min(F.struct("embedding", "dim")).alias("v")).select("vec_id", "v.embedding", "v.dim")
-    lanes, groups = (max(1, -(-df.count() // (TREE * group))) for df in (data, asked))
-    packed = materialise(data.mapInArrow(_trees(scale, lanes), TREES), "trees")
-    own = asked.repartition(max(1, min(groups * group, asked.sparkSession.sparkContext.defaultParallelism)), "vec_id").mapInArrow(_trees(scale, groups), TREES)
+    n, n_asked = data.count(), asked.count()
+    lanes, groups = (max(1, -(-size // (TREE * group))) for size in (n, n_asked))
+    pivots = _pivots(data, min(PIVOTS, n // TREE))
+    packed = materialise(_by_pivot(data, pivots, -(-n // (TREE * group))).mapInArrow(_trees(scale, lanes), TREES), "trees")
+    own = _by_pivot(asked, pivots, 1).mapInArrow(_trees(scale, groups, ASKED_LEAF), TREES)
     # every group of queries meets every lane of the data: a stated set against all rows, in blocks
     each = lambda df, mine, theirs, n, flag: df.withColumnRenamed("lane", mine).withColumn(theirs, F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("is_query", F.lit(flag))
     both = each(packed, "lane", "asked", groups, False).unionByName(each(own, "asked", "lane", lanes, True))

@@ -53,8 +53,11 @@ def test_cover_tree_invariants_and_pruning():
         if len(kids):
             c = tree.centre[kids]
             gap = np.sqrt(((c[:, None] - c[None]) ** 2).sum(axis=2)) + np.eye(len(c)) * 1e18
-            assert gap.min() > tree.radius[n] / 2 and (c[0] == tree.centre[n]).all() and (tree.radius[kids] <= tree.radius[n] / 2 + 1e-9).all()
+            assert gap.min() >= tree.radius[kids].max() and (c[0] == tree.centre[n]).all()
+            assert (tree.radius[kids] <= tree.radius[n] / 2 + 1e-9).all() or len(kids) == topk.FAN and (tree.radius[kids] <= tree.radius[n]).all()
             assert tree.lo[kids[0]] == tree.lo[n] and tree.hi[kids[-1]] == tree.hi[n]
+        else:
+            assert tree.hi[n] - tree.lo[n] <= 8 or tree.radius[n] == 0
     asked = topk.CoverTree(x[::40], leaf=8)
     best = topk.Best(50, 5)
     taken = topk.search(asked, np.arange(0, 2000, 40)[asked.order], x[::40][asked.order], tree, tree.order, y, best)
