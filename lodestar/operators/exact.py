@@ -1,11 +1,17 @@
-"""Exact arithmetic on a few points: rationals, interpolation, sparse exact fits, recognised constants."""
+"""Exact arithmetic: rationals, interpolation, sparse exact fits of a few points, exact polynomials of whole tables, recognised constants."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from fractions import Fraction
 from itertools import combinations, product
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from .match import CONSTANTS
 
 
@@ -135,3 +141,113 @@ def polynomial_text(c: list[Fraction], x: str = "x") -> str:
     if not terms:
         return "0"
     return ("-" if terms[0][0] == "-" else "") + terms[0][1] + "".join(f" {s} {t}" for s, t in terms[1:])
+
+
+#: Primes below 2**31 that sums of products are taken modulo; how many of them only check the result.
+MODULI = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497, 2147483489, 2147483477)
+CHECKS = 2
+
+
+def products_modulo(a: np.ndarray, p: int) -> np.ndarray:
+    """a @ a.T modulo p of numbers below 2**31: halves of 16 bits, whose sums floats hold exactly for up to 2**20 columns."""
+    high, low = (a >> 16).astype(float), (a & 0xFFFF).astype(float)
+    whole = lambda x: x.astype(np.int64) % p
+    cross = high @ low.T
+    return (whole(high @ high.T) * ((1 << 32) % p) % p + whole(cross + cross.T) * (1 << 16) % p + whole(low @ low.T)) % p
+
+
+def _powers(base: list[np.ndarray], exps: list[tuple[int, ...]], p: int) -> list[np.ndarray]:
+    own = [b % p for b in base]
+    out = []
+    for e in exps:
+        v = np.ones(len(base[0]), np.int64)
+        for x, k in zip(own, e, strict=True):
+            for _ in range(k):
+                v = v * x % p
+        out.append(v)
+    return out
+
+
+def solve_modulo(g: list[list[int]], r: list[int], p: int) -> tuple[list[int], list[int]]:
+    """Pivot columns and the solution of g x = r modulo a prime on them; columns that depend on earlier ones are 0."""
+    n = len(g)
+    rows = [[*map(int, g[k]), int(r[k])] for k in range(n)]
+    pivots, top = [], 0
+    for c in range(n):
+        k = next((k for k in range(top, n) if rows[k][c]), None)
+        if k is None:
+            continue
+        rows[top], rows[k] = rows[k], rows[top]
+        inverse = pow(rows[top][c], -1, p)
+        rows[top] = [x * inverse % p for x in rows[top]]
+        for k in range(n):
+            if k != top and rows[k][c]:
+                f = rows[k][c]
+                rows[k] = [(x - f * y) % p for x, y in zip(rows[k], rows[top], strict=True)]
+        pivots.append(c)
+        top += 1
+    out = [0] * n
+    for k, c in enumerate(pivots):
+        out[c] = rows[k][-1]
+    return pivots, out
+
+
+def rational_of(r: int, modulus: int) -> Fraction | None:
+    """The fraction n / d with n and d below the root of half the modulus that r is modulo it; None if there is none."""
+    most = math.isqrt(modulus // 2)
+    a, b, s, t = modulus, r % modulus, 0, 1
+    while b > most:
+        q = a // b
+        a, b, s, t = b, a - q * b, t, s - q * t
+    return Fraction(b, t) if t and abs(t) <= most and math.gcd(b, abs(t)) == 1 else None
+
+
+def table_polynomial(df: DataFrame, columns: dict[str, int], y: str, y_digits: int = 0, degree: int = 2) -> dict[str, Fraction] | None:
+    """The polynomial that every row satisfies exactly: term -> coefficient; None where there is none.
+
+    ``columns`` and ``y_digits`` give the decimals of each column, by which it is a whole number. One pass sums products of
+    monomials modulo primes, a matrix for each; the normal equations are solved modulo each prime, put together, and read as
+    fractions (numerators and denominators below 2**120). Two primes that had no part in it check that the sum of squared
+    residuals is zero. Terms that depend on lower ones are left out; rows with a null don't take part.
+    """
+    names = list(columns)
+    exps = sorted((e for e in product(range(degree + 1), repeat=len(names)) if sum(e) <= degree), key=lambda e: (sum(e), tuple(-k for k in e)))
+    whole = lambda c, d: F.round(F.col(c).cast("double") * 10.0**d).cast("long")
+    own = df.select(*[whole(c, d).alias(f"c{k}") for k, (c, d) in enumerate(columns.items())], whole(y, y_digits).alias("y")).na.drop()
+    m = len(exps) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros((len(MODULI), m, m), np.int64), 0
+        for batch in batches:
+            rows += len(batch)
+            for lo in range(0, len(batch), 1 << 20):
+                part = batch.slice(lo, 1 << 20)
+                base = [part.column(k).to_numpy() for k in range(len(names))]
+                for k, p in enumerate(MODULI):
+                    total[k] = (total[k] + products_modulo(np.stack([*_powers(base, exps, p), part.column(len(names)).to_numpy() % p]), p)) % p
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size + 1)), pa.array(np.r_[total.reshape(-1), rows])], ["k", "v"])
+
+    sums = {r.k: int(r.v) for r in own.mapInArrow(run, "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).collect()}
+    if not sums:
+        return None
+    products = [[[sums[(k * m + i) * m + j] % p for j in range(m)] for i in range(m)] for k, p in enumerate(MODULI)]
+    solved = [solve_modulo([row[:-1] for row in g[:-1]], [row[-1] for row in g[:-1]], p) for g, p in zip(products[:-CHECKS], MODULI, strict=False)]
+    pivots = solved[0][0]
+    if any(own_pivots != pivots for own_pivots, _ in solved):
+        return None
+    found: list[Fraction] = []
+    modulus = math.prod(MODULI[:-CHECKS])
+    for c in range(m - 1):
+        r = sum(x[c] * (modulus // p) * pow(modulus // p, -1, p) for (_, x), p in zip(solved, MODULI, strict=False)) % modulus
+        value = rational_of(r, modulus)
+        if value is None:
+            return None
+        found.append(value)
+    for g, p in zip(products[-CHECKS:], MODULI[-CHECKS:], strict=True):
+        b = [v.numerator * pow(v.denominator, -1, p) % p for v in found]
+        left = g[-1][-1] - 2 * sum(x * g[i][-1] for i, x in enumerate(b)) + sum(x * z * g[i][j] for i, x in enumerate(b) for j, z in enumerate(b))
+        if left % p:
+            return None
+    name = lambda e: "*".join(n if k == 1 else f"{n}^{k}" for n, k in zip(names, e, strict=True) if k) or "1"
+    return {name(e): v * Fraction(10) ** sum(d * k for d, k in zip(columns.values(), e, strict=True)) / Fraction(10) ** y_digits for e, v in zip(exps, found, strict=True) if v}

@@ -848,6 +848,19 @@ def pc_bent(spark, sf):
     return spark.createDataFrame([(a, b, frozenset((a, b)) in edges["fisher"], frozenset((a, b)) in edges["g2"]) for a, b in (("x", "y"), ("x", "z"), ("y", "z"))], "a string, b string, fisher boolean, g2 boolean")
 
 
+#: Twelve times a polynomial of lineitem's columns, as a whole number.
+_TWELVE = "9*l_quantity*l_quantity - 24*l_linenumber*l_quantity + 10*round(100*l_discount) + 7"
+
+
+@R.query(f"SELECT term, coefficient, (SELECT count(*) FROM lineitem) AS n, (SELECT bool_and(abs(({_TWELVE}) / 12.0::DOUBLE - (0.75::DOUBLE*l_quantity*l_quantity - 2*l_linenumber*l_quantity + 250.0::DOUBLE/3*l_discount + 7.0::DOUBLE/12)) < 1e-6) FROM lineitem) AS holds FROM (VALUES ('l_quantity^2', '3/4'), ('l_quantity*l_linenumber', '-2'), ('l_discount', '250/3'), ('1', '7/12')) AS t (term, coefficient)")
+def exact_table_polynomial(spark, sf):
+    """The polynomial in fractions that all rows satisfy, from one pass of sums modulo primes."""
+    own = table(spark, sf, "lineitem").withColumn("y", F.expr(_TWELVE))
+    found = exact.table_polynomial(own, {"l_quantity": 0, "l_linenumber": 0, "l_discount": 2}, "y") or {}
+    n = own.count()
+    return spark.createDataFrame([(k, str(v / 12), n, bool(found)) for k, v in found.items()], "term string, coefficient string, n long, holds boolean")
+
+
 @R.query("SELECT 'x^3 - 2*x' AS formula, count(*) AS n FROM nation")
 def exact_interpolation(spark, sf):
     """Newton's polynomial in fractions through a point for each nation."""

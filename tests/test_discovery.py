@@ -257,3 +257,20 @@ def test_search_keeps_rows_unseen_and_scores_all(spark):
     exact = genetic.fitness(df, ["x"], "y", [parse(f) for f, _, _ in found.front])
     assert [m for _, m in exact] == pytest.approx([m for _, m, _ in found.front], rel=1e-3, abs=1e-6)
     assert genetic.winner([(1.0, 5), (0.5, 9), (0.51, 3)], 0.05) == 2 and genetic.winner([(1.0, 5), (0.5, 9), (0.51, 3)], None) == 1
+
+
+def test_exact_polynomials_of_tables(spark):
+    from fractions import Fraction
+
+    from lodestar.operators import exact
+
+    df = spark.range(5000).select((F.col("id") % 71 - 30).alias("a"), (F.col("id") % 43).alias("b"), (F.col("id") % 13 / 100).alias("c")).withColumn("twice", 2 * F.col("a"))
+    y = F.expr("14*a*a*b - 21*b + 6*a + 35")
+    assert exact.table_polynomial(df.withColumn("y", y), {"a": 0, "b": 0}, "y", 0, 3) == {"a^2*b": 14, "b": -21, "a": 6, "1": 35}
+    # decimals, a column that depends on another, large numbers, nulls, one wrong row, no rows
+    cents = df.withColumn("y", F.expr("cast(round(300*c) + a as double) / 10"))
+    assert exact.table_polynomial(cents, {"a": 0, "twice": 0, "c": 2}, "y", 1, 1) == {"a": Fraction(1, 10), "c": 30}
+    huge = df.withColumn("y", F.expr("cast(1000000007 as bigint)*a*a + 999999937"))
+    assert exact.table_polynomial(huge.union(huge.limit(3).withColumn("y", F.lit(None).cast("bigint"))), {"a": 0}, "y") == {"a^2": 1000000007, "1": 999999937}
+    assert exact.table_polynomial(df.withColumn("y", F.when(F.col("a") == 7, 50).otherwise(F.col("a") * F.col("a"))), {"a": 0}, "y") is None
+    assert exact.table_polynomial(df.limit(0).withColumn("y", y), {"a": 0}, "y") is None

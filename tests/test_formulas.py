@@ -197,3 +197,16 @@ def test_no_roots_from_underflow(equation, want):
     from lodestar.operators import solve
 
     assert solve.solve_equation(equation).approx == pytest.approx(want)
+
+
+def test_primes_and_fractions_of_exact_fits():
+    from lodestar.operators.match import sieve
+
+    assert set(exact.MODULI) <= set(sieve(2**31 - 300, 2**31).tolist())
+    modulus = math.prod(exact.MODULI[:-exact.CHECKS])
+    for f in (Fraction(3, 4), Fraction(-2), Fraction(250, 3), Fraction(0), Fraction(-(10**30), 7**20)):
+        assert exact.rational_of(f.numerator * pow(f.denominator, -1, modulus) % modulus, modulus) == f
+    rng = np.random.default_rng(0)
+    a = rng.integers(0, exact.MODULI[0], (5, 700))
+    want = [[sum(int(x) * int(y) for x, y in zip(p, q, strict=True)) % exact.MODULI[0] for q in a] for p in a]
+    assert exact.products_modulo(a, exact.MODULI[0]).tolist() == want
