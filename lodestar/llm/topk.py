@@ -8,7 +8,7 @@ with the centres c and the covering radii r, and is dropped, with all below it,
 under the worst k-th score of the query node's queries so far. The most promising pairs go
 first, the node of the larger radius is opened, and leaves are scored in integers.
 
-Vectors go to the nearest of up to ``PIVOTS`` pivots, a bounded sample by a hash of their ids, and lie by pivot, so that a
+The data's vectors go to the nearest of up to ``PIVOTS`` pivots, a bounded sample by a hash of their ids, and lie by pivot, so that a
 tree holds what is near: it takes up to ``TREE`` rows of one pivot. The data's trees are built once and travel packed; so do
 the queries'. Queries are a stated set: each group of ``group`` trees of queries meets each group of trees of the data in
 one task, which takes the data's trees by their bound, the most promising first, so that the k-th scores rise early and the
@@ -42,8 +42,8 @@ from .common import materialise
 LEAF, TREE, GROUP = 64, 4096, 16
 #: Rows of a leaf of queries: a ball of few is small, and drops what a larger one can't.
 ASKED_LEAF = 4
-#: Children of a node at most; pivots at most.
-FAN, PIVOTS = 16, 256
+#: Pivots at most.
+PIVOTS = 256
 #: Components up to which distances are floats.
 FAR = 1e100
 _LONG = 2**63 - 1
@@ -56,8 +56,9 @@ class CoverTree:
     a covering radius (no row of it is farther from the centre), and its children first[i] to first[i] + count[i].
 
     Nesting: a node's centre is its first child's. Covering: each row is within its child's radius of the child's centre.
-    Separation: centres of one node's children are farther apart than any of their radii. Radii fall to half their parent's or
-    less, or as far as ``FAN`` children take them, so that every node of more than ``leaf`` rows that aren't all equal splits.
+    Separation: centres of one node's children are more than half its radius apart. Radii fall to half their parent's or less.
+    A node of up to ``leaf`` rows is a leaf, as is one that only more balls of half its radius cover than half its rows: vectors
+    that point everywhere in many dimensions have no smaller balls, and go as one block of products.
     """
 
     def __init__(self, x: np.ndarray, leaf: int = LEAF):
@@ -75,7 +76,11 @@ class CoverTree:
             gap = np.sqrt(((own - own[at]) ** 2).sum(axis=1))
             radii[node] = float(gap.max())
             if len(rows) > leaf and radii[node] > 0:
-                net, who = self._net(own, at, gap, radii[node] / 2)
+                kids = self._net(own, at, gap, radii[node] / 2)
+            else:
+                kids = None
+            if kids:
+                net, who = kids
                 order = np.argsort(who, kind="stable")
                 self.order[lo[node] : hi[node]] = rows[order]
                 sizes = np.bincount(who, minlength=len(net))
@@ -92,13 +97,15 @@ class CoverTree:
         self.centre, self.radius = np.array(x[np.array(centres, np.int64)], np.float64) if len(x) else np.zeros((1, x.shape[1])), np.array(radii)
 
     @staticmethod
-    def _net(own: np.ndarray, at: int, gap: np.ndarray, radius: float) -> tuple[list[int], np.ndarray]:
-        """Centres, each the farthest row from those before, until all rows are within the radius or there are ``FAN``; and each row's nearest."""
+    def _net(own: np.ndarray, at: int, gap: np.ndarray, radius: float) -> tuple[list[int], np.ndarray] | None:
+        """Centres, each the farthest row from those before, until all rows are within the radius; and each row's nearest. None if that takes over half the rows."""
         net, who, best = [at], np.zeros(len(own), np.int64), gap.copy()
         while True:
             at = int(best.argmax())
-            if best[at] <= radius or len(net) == FAN:
+            if best[at] <= radius:
                 return net, who
+            if 2 * (len(net) + 1) > len(own):
+                return None
             far = np.sqrt(((own - own[at]) ** 2).sum(axis=1))
             nearer = far < best
             best[nearer], who[nearer] = far[nearer], len(net)
@@ -342,7 +349,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     lanes, groups = (max(1, -(-size // (TREE * group))) for size in (n, n_asked))
     pivots = _pivots(data, min(PIVOTS, n // TREE))
     packed = materialise(_by_pivot(data, pivots, -(-n // (TREE * group))).mapInArrow(_trees(scale, lanes), TREES), "trees")
-    own = _by_pivot(asked, pivots, 1).mapInArrow(_trees(scale, groups, ASKED_LEAF), TREES)
+    own = _by_pivot(asked, {}, -(-n_asked // TREE)).mapInArrow(_trees(scale, groups, ASKED_LEAF), TREES)
     # every group of queries meets every lane of the data: a stated set against all rows, in blocks
     each = lambda df, mine, theirs, n, flag: df.withColumnRenamed("lane", mine).withColumn(theirs, F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("is_query", F.lit(flag))
     both = each(packed, "lane", "asked", groups, False).unionByName(each(own, "asked", "lane", lanes, True))

@@ -11,7 +11,7 @@ def products_taken(vectors, queries, k=5, tree=4096):
     """(products taken, all products, best) of the search over trees that Spark has built and packed."""
     data, asked = topk._usable(vectors, "vec_id", "embedding"), topk._usable(queries, "vec_id", "embedding")
     pivots = topk._pivots(data, min(topk.PIVOTS, data.count() // tree))
-    made = [sorted(topk._by_pivot(df, pivots, 1).mapInArrow(topk._trees(256, 1, leaf), topk.TREES).collect(), key=lambda r: r.ids) for df, leaf in ((data, topk.LEAF), (asked, topk.ASKED_LEAF))]
+    made = [sorted(topk._by_pivot(df, by, 1).mapInArrow(topk._trees(256, 1, leaf), topk.TREES).collect(), key=lambda r: r.ids) for df, by, leaf in ((data, pivots, topk.LEAF), (asked, {}, topk.ASKED_LEAF))]
     own, sought = ([topk._opened(r.dim, r.asDict()) for r in rows] for rows in made)
     best = topk.Best(sum(len(ids) for _, ids, _ in sought), k)
     starts = np.cumsum([0, *[len(ids) for _, ids, _ in sought]])
@@ -41,11 +41,13 @@ def test_clustered_vectors_leave_most_products_out(spark):
     assert {q: [(i, s) for _, i, s in sorted(v)] for q, v in rows.items()} == best
 
 
-@pytest.mark.parametrize("shape", ["equal", "line", "far apart"])
-def test_every_large_node_splits(shape):
+@pytest.mark.parametrize("shape", ["equal", "line", "clusters", "far apart"])
+def test_nodes_split_where_smaller_balls_cover_them(shape):
     rng = np.random.default_rng(3)
-    x = {"equal": np.ones((500, 4)), "line": np.outer(np.arange(500.0), np.ones(4)), "far apart": rng.normal(size=(500, 64)) * 256}[shape]
+    x = {"equal": np.ones((500, 4)), "line": np.outer(np.arange(500.0), np.ones(4)), "clusters": np.repeat(rng.normal(size=(10, 8)) * 4000, 50, axis=0) + rng.normal(size=(500, 8)) * 40, "far apart": rng.normal(size=(500, 64)) * 256}[shape]
     tree = topk.CoverTree(np.floor(x), leaf=8)
-    leaves = tree.count == 0
-    assert ((tree.hi - tree.lo)[leaves] <= 8).all() or shape == "equal"
-    assert sorted(tree.order.tolist()) == list(range(500)) and (tree.count <= topk.FAN).all()
+    assert sorted(tree.order.tolist()) == list(range(500))
+    for n in np.nonzero(tree.count)[0]:
+        kids = np.arange(tree.first[n], tree.first[n] + tree.count[n])
+        assert tree.radius[kids].max() <= tree.radius[n] / 2 + 1e-9
+    assert {"equal": 1, "far apart": 1}.get(shape, 11) <= len(tree.lo) <= {"equal": 1, "far apart": 1}.get(shape, 500)
