@@ -53,28 +53,69 @@ def irls_weights(df: DataFrame, y: str, p: str, keys: list[str]) -> DataFrame:
     return own.groupBy(*keys).agg(F.max("scale").alias("scale"), F.avg(F.coalesce(w, F.lit(1.0))).alias("mean_weight"))
 
 
+#: Rows of the sample that hypotheses are drawn from; hypotheses at most; chance that a dropped one was the best.
+SAMPLE, MOST_TRIALS, DOUBT = 2000, 2000, 1e-6
+
+
+def _margin(n: float, models: int) -> float:
+    """Hoeffding's bound on how far the shares of ``models`` hypotheses over n rows are off."""
+    return (np.log(2 * max(models, 1) / DOUBT) / (2 * max(n, 1))) ** 0.5
+
+
 def ransac(df: DataFrame, names: list[str], y: str, row_id: str, trials: int = 100, seed: int = 7) -> tuple[Fit, float]:
-    """Consensus of ``trials`` fits on small hashed samples, all scored in one pass; refitted on its inliers.
+    """Consensus of fits on small hashed samples, refitted on its inliers; and the share of rows within the threshold.
 
-    The threshold is three times the median residual of the plain fit.
+    At least ``trials`` hypotheses are drawn, and more until one without outliers is all but sure, given the share of
+    inliers seen so far. They are scored on growing blocks of rows - the sample, a hundredth, a tenth, all - and those go
+    on that may still be the best by the bounds of their shares. The threshold is three times the median residual of the
+    plain fit, or of the best hypothesis on the sample where that is less.
     """
     base = solve(gram(df, names, y))
-    limit = 3 * (median(df, F.abs(F.col(y) - predicted(base))) or 0.0)
+    plain = 3 * (median(df, F.abs(F.col(y) - predicted(base))) or 0.0)
     need = len(names) + 1
     n = df.count()
-    sample = df.filter(F.pmod(F.xxhash64(row_id, F.lit(seed)), F.lit(1_000_000)) < min(1.0, 40 * need / max(n, 1) + 0.05) * 1_000_000).orderBy(F.xxhash64(row_id, F.lit(seed))).limit(2000).select(*names, y).collect()
+    place = F.pmod(F.xxhash64(row_id, F.lit(seed)), F.lit(1_000_000))
+    sample = df.filter(place < min(1.0, 40 * need / max(n, 1) + 0.05) * 1_000_000).orderBy(F.xxhash64(row_id, F.lit(seed))).limit(SAMPLE).select(*names, y).collect()
     rng = np.random.default_rng(seed)
-    rows = np.array([[float(v) for v in r] for r in sample])
-    models = []
-    for _ in range(trials if len(rows) >= need else 0):
-        own = rows[rng.choice(len(rows), need, replace=False)]
-        beta = np.linalg.lstsq(np.c_[own[:, :-1], np.ones(need)], own[:, -1], rcond=None)[0]
-        models.append(Fit(dict(zip(names, beta[:-1].tolist(), strict=True)), float(beta[-1]), 0.0, 0.0, 0.0))
-    models.append(base)
-    counts = df.agg(*[F.count_if(F.abs(F.col(y) - predicted(m)) <= limit).alias(f"m{k}") for k, m in enumerate(models)]).first()
-    best = models[max(range(len(models)), key=lambda k: counts[k])]
+    rows = np.array([[float(v) for v in r] for r in sample]).reshape(-1, need)
+    x = np.c_[rows[:, :-1], np.ones(len(rows))]
+    betas = [np.array([*base.coefficients.values(), base.intercept])]
+    limit, wanted = plain, trials if len(rows) >= need else 0
+    floor = 1e-9 * float(np.abs(rows[:, -1]).max(initial=0.0))
+    while len(betas) <= min(wanted, MOST_TRIALS):
+        for _ in range(min(100, max(1, wanted + 1 - len(betas)))):
+            own = rng.choice(len(rows), need, replace=False)
+            betas.append(np.linalg.lstsq(x[own], rows[own, -1], rcond=None)[0])
+        off = np.abs(rows[:, -1] - np.array(betas) @ x.T)
+        limit = max(floor, min(plain, 3 * float(np.median(off, axis=1).min())))
+        share = float((off <= limit).mean(axis=1).max())
+        # so many that one drawn from inliers alone is missed once in ten thousand times
+        sure = np.log(1e-4) / np.log(max(1e-12, 1 - min(share, 0.999999) ** need))
+        wanted = max(trials, int(min(MOST_TRIALS, sure)))
+    models = [Fit(dict(zip(names, beta[:-1].tolist(), strict=True)), float(beta[-1]), 0.0, 0.0, 0.0) for beta in betas]
+    if len(rows):
+        shares = (np.abs(rows[:, -1] - np.array(betas) @ x.T) <= limit).mean(axis=1)
+        able = shares + 2 * _margin(len(rows), len(models)) >= shares.max()
+        order = np.argsort(-shares, kind="stable")
+        models = [models[k] for k in order if able[k]]
+    for part in (10_000, 100_000, 1_000_000):
+        if part < 1_000_000 and (len(models) <= 3 or n * part < 20_000 * 1_000_000):
+            continue
+        # columns of counts, so many that a plan stays small
+        block = df if part == 1_000_000 else df.filter(place < part)
+        counts: list[int] = []
+        for lo in range(0, len(models), 200):
+            some = models[lo : lo + 200]
+            row = block.agg(F.count("*").alias("n"), *[F.count_if(F.abs(F.col(y) - predicted(m)) <= limit).alias(f"m{k}") for k, m in enumerate(some)]).first()
+            counts += [row[f"m{k}"] for k in range(len(some))]
+        most = max(counts)
+        if part == 1_000_000:
+            best, held = models[counts.index(most)], most
+        else:
+            slack = 2 * _margin(row["n"], len(models)) * row["n"]
+            models = [m for m, c in zip(models, counts, strict=True) if c + slack >= most]
     inside = df.filter(F.abs(F.col(y) - predicted(best)) <= limit)
-    return solve(gram(inside, names, y)), max(counts) / max(n, 1)
+    return solve(gram(inside, names, y)), held / max(n, 1)
 
 
 def auto(df: DataFrame, names: list[str], y: str, row_id: str) -> tuple[str, Fit]:

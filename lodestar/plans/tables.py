@@ -848,6 +848,18 @@ def pc_bent(spark, sf):
     return spark.createDataFrame([(a, b, frozenset((a, b)) in edges["fisher"], frozenset((a, b)) in edges["g2"]) for a, b in (("x", "y"), ("x", "z"), ("y", "z"))], "a string, b string, fisher boolean, g2 boolean")
 
 
+_FAR = "(l_orderkey * 7919 + l_linenumber * 104729) % 10 < 4"
+_WILD = "3*l_quantity + 500*l_discount + 7"
+
+
+@R.query(f"SELECT 'l_quantity' AS term, 3.0::DOUBLE AS coefficient, s AS share FROM (SELECT round(avg(CASE WHEN {_FAR} THEN 0.0 ELSE 1.0 END), 6) AS s FROM lineitem) UNION ALL SELECT 'l_discount', 500.0, s FROM (SELECT round(avg(CASE WHEN {_FAR} THEN 0.0 ELSE 1.0 END), 6) AS s FROM lineitem) UNION ALL SELECT '1', 7.0, s FROM (SELECT round(avg(CASE WHEN {_FAR} THEN 0.0 ELSE 1.0 END), 6) AS s FROM lineitem)")
+def ransac_two_fifths(spark, sf):
+    """A plane that two rows in five are far from, all on one side: least squares misses it, consensus doesn't."""
+    own = table(spark, sf, "lineitem").withColumn("y", F.expr(f"{_WILD} + if({_FAR}, 900 + (l_orderkey * 31 + l_linenumber * 17) % 997, 0)")).withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    fit, share = robust.ransac(own, ["l_quantity", "l_discount"], "y", "id")
+    return only(_fit_frame(spark, fit), digits=4).withColumn("share", F.round(F.lit(share), 6))
+
+
 #: Twelve times a polynomial of lineitem's columns, as a whole number.
 _TWELVE = "9*l_quantity*l_quantity - 24*l_linenumber*l_quantity + 10*round(100*l_discount) + 7"
 

@@ -274,3 +274,17 @@ def test_exact_polynomials_of_tables(spark):
     assert exact.table_polynomial(huge.union(huge.limit(3).withColumn("y", F.lit(None).cast("bigint"))), {"a": 0}, "y") == {"a^2": 1000000007, "1": 999999937}
     assert exact.table_polynomial(df.withColumn("y", F.when(F.col("a") == 7, 50).otherwise(F.col("a") * F.col("a"))), {"a": 0}, "y") is None
     assert exact.table_polynomial(df.limit(0).withColumn("y", y), {"a": 0}, "y") is None
+
+
+@pytest.mark.parametrize("share", [0.1, 0.4])
+def test_consensus_with_many_outliers(spark, share):
+    rng = np.random.default_rng(4)
+    x, z = rng.uniform(0, 50, (2, 30_000))
+    far = rng.random(30_000) < share
+    y = 2 * x - z + 5 + rng.normal(size=30_000) * 0.1 + np.where(far, rng.uniform(200, 900, 30_000), 0)
+    df = spark.createDataFrame([(i, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(x, z, y, strict=True))], "id long, x double, z double, y double").repartition(4)
+    fit, inside = robust.ransac(df, ["x", "z"], "y", "id")
+    assert fit.coefficients["x"] == pytest.approx(2, abs=0.01) and fit.coefficients["z"] == pytest.approx(-1, abs=0.01) and fit.intercept == pytest.approx(5, abs=0.1)
+    assert 0.85 * (1 - share) < inside <= 1.01 - share
+    again, _ = robust.ransac(df, ["x", "z"], "y", "id")
+    assert again.coefficients == pytest.approx(fit.coefficients, rel=1e-9)
