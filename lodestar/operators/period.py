@@ -211,7 +211,9 @@ def periods(df: DataFrame, x: str, y: str, clear: float = 0.5) -> list[Period]:
         found = _peaks(powers(bins, size), size)
         if found:
             lengths += [width / f for f in sharpened(bins, found, size, (s.hi - s.lo) / width) if f > 0]
-    longest = (s.hi - s.lo) / 2
+    # a spectrum doesn't tell periods that come once or twice: those are tried by halves and thirds of the range
+    lengths += [(s.hi - s.lo) / k for k in (2, 3, 1.5)]
+    longest = (s.hi - s.lo) / 1.2
     whole = own.agg(F.percentile_approx(F.col(y).cast("double"), [0.25, 0.75], 1000).alias("q")).first().q
     middle = whole[1] - whole[0]
     start = 0.0 if s.whole else s.lo
@@ -225,7 +227,7 @@ def periods(df: DataFrame, x: str, y: str, clear: float = 0.5) -> list[Period]:
         rows = folded(own, x, y, tried, start, phases).groupBy("k").agg((F.sum((F.col("q")[2] - F.col("q")[0]) * F.col("n")) / F.sum("n")).alias("s")).collect()
         return {tried[r.k]: r.s / middle for r in rows}
 
-    if not lengths or not middle > 0:
+    if not middle > 0:
         return []
     # a peak may be the first harmonic
     seen = spreads([q for p in lengths for q in (p, 2 * p)])

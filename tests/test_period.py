@@ -51,3 +51,9 @@ def test_phases_sharpen_a_peak(spark):
     df = spark.range(200_000).select(F.col("id").alias("i"), F.sin(2 * math.pi * true * F.col("id")).alias("v"))
     (got,) = period.sharpened(df, [true * (1 + 1e-4)], 1 << 16, 200_000.0)
     assert got == pytest.approx(true, rel=1e-7)
+
+
+@pytest.mark.parametrize("keys", [1500, 2000, 2600])
+def test_a_period_that_comes_once_or_twice(spark, keys):
+    got = discover.find(saw(spark.range(keys)), ["x"], "y")
+    assert got.formula == "900 + (1/10)*mod(x, 1000)" and got.how == "modulo"
