@@ -211,8 +211,8 @@ def periods(df: DataFrame, x: str, y: str, clear: float = 0.5) -> list[Period]:
         found = _peaks(powers(bins, size), size)
         if found:
             lengths += [width / f for f in sharpened(bins, found, size, (s.hi - s.lo) / width) if f > 0]
-    # a spectrum doesn't tell periods that come once or twice: those are tried by halves and thirds of the range
-    lengths += [(s.hi - s.lo) / k for k in (2, 3, 1.5)]
+    # a spectrum doesn't tell periods that come once or twice: lengths around those are tried
+    lengths += [(s.hi - s.lo) / k for k in (1.3, 1.5, 1.75, 2, 2.3, 2.6, 3, 3.5)]
     longest = (s.hi - s.lo) / 1.2
     whole = own.agg(F.percentile_approx(F.col(y).cast("double"), [0.25, 0.75], 1000).alias("q")).first().q
     middle = whole[1] - whole[0]
