@@ -250,65 +250,97 @@ class Spent(Exception):
     """The search has used its steps."""
 
 
-def fillings(counts: dict[int, int], room: int, spare: int, effort: list[int]) -> Iterator[tuple[int, dict[int, int]]]:
-    """All undominated fillings of ``room`` that waste up to ``spare``, as (waste, numbers by length), large lengths first.
+class Level:
+    """What a branch's search reads of the pieces that are left; dropped while deeper branches are searched."""
 
-    ``effort`` holds the steps left; ``Spent`` when there are none.
+    __slots__ = ("capacity", "large", "counts", "sizes", "below")
+
+    def __init__(self, capacity: int):
+        self.capacity, self.counts = capacity, None
+
+    def load(self, left: dict[int, int]) -> None:
+        """The largest length, and the rest by length: numbers, lengths that fit beside it, and sums of all up to each."""
+        if self.counts is None:
+            self.large = max(left)
+            self.counts = left | {self.large: left[self.large] - 1}
+            self.sizes = sorted(x for x, n in self.counts.items() if n and x <= self.capacity - self.large)
+            self.below = [0]
+            for x in self.sizes:
+                self.below.append(self.below[-1] + x * self.counts[x])
+
+    def drop(self) -> None:
+        self.counts = self.sizes = self.below = None
+
+
+def fillings(level: Level, spare: int, effort: list[int]) -> Iterator[tuple[int, dict[int, int]]]:
+    """All undominated fillings of the room beside a level's largest that waste up to ``spare``, as (waste, numbers by length), large lengths first.
+
+    ``effort`` holds the steps left; ``Spent`` when there are none. Nothing of the level is held from one filling to the next.
     """
-    sizes = sorted(x for x, n in counts.items() if n and x <= room)
-    below = [0]
-    for x in sizes:
-        below.append(below[-1] + x * counts[x])
 
     def go(left: int, top: int, taken: dict[int, int], most: int) -> Iterator[tuple[int, dict[int, int]]]:
         effort[0] -= 1
         if effort[0] < 0:
             raise Spent
-        k = bisect_right(sizes, left, 0, top) - 1
-        while k >= 0 and left - below[k + 1] <= most:
-            x = sizes[k]
-            for n in range(min(counts[x], left // x), 0, -1):
+        k = bisect_right(level.sizes, left, 0, top) - 1
+        while k >= 0 and left - level.below[k + 1] <= most:
+            x = level.sizes[k]
+            count = level.counts[x]
+            for n in range(min(count, left // x), 0, -1):
                 # one more of x would go where as much is wasted
-                yield from go(left - n * x, k, taken | {x: n}, most if n == counts[x] else min(most, x - 1))
+                yield from go(left - n * x, k, taken | {x: n}, most if n == count else min(most, x - 1))
             most = min(most, x - 1)
             k -= 1
-        if left <= most and undominated(taken, counts, left):
+        if left <= most and undominated(taken, level.counts, left):
             yield left, taken
 
-    yield from go(room, len(sizes), {}, spare)
+    yield from go(level.capacity - level.large, len(level.sizes), {}, spare)
 
 
 def complete_bins(counts: dict[int, int], capacity: int, effort: int = EFFORT) -> list[tuple[dict[int, int], int]]:
     """Bin completion: depth-first search from the best-fit incumbent, for the optimal packing or the best in ``effort`` steps.
 
     A branch fills the sequence of the largest length left, and takes the filling t times, t
-    falling; below it the filling isn't taken again, as a larger t stands for that.
+    falling; below it the filling isn't taken again, as a larger t stands for that. One count of
+    what is left serves all branches of the path, so a deep search holds their fillings alone.
     """
     best = best_fit(counts, capacity)
     n_best, bound = sum(x for _, x in best), lower_bound(counts, capacity)
     total = sum(x * n for x, n in counts.items())
-    path: list[tuple[dict[int, int], int]] = []
+    left = {x: n for x, n in counts.items() if n}
+    path: list[tuple[dict[int, int], int, frozenset]] = []
+    gone: set[frozenset] = set()
     steps = [effort]
 
     def spare(waste: int) -> int:
         return (n_best - 1) * capacity - total - waste  # a better packing wastes no more
 
-    def branches(left: dict[int, int], waste: int, gone: frozenset) -> Iterator[tuple]:
-        large = max(left)
-        rest = left | {large: left[large] - 1}
-        for lost, own in fillings(rest, capacity - large, spare(waste), steps):
-            own = own | {large: own.get(large, 0) + 1}
+    def give(own: dict[int, int], times: int) -> None:
+        for x, n in own.items():
+            now = left.get(x, 0) + n * times
+            if now:
+                left[x] = now
+            else:
+                del left[x]
+
+    def branches(level: Level, waste: int) -> Iterator[tuple]:
+        for lost, own in fillings(level, spare(waste), steps):
+            own = own | {level.large: own.get(level.large, 0) + 1}
             key = frozenset(own.items())
             if key not in gone:
                 for times in range(min(left[x] // n for x, n in own.items()), 0, -1):
                     if times * lost <= spare(waste):
-                        after = {x: n - times * own.get(x, 0) for x, n in left.items()}
-                        yield own, times, {x: n for x, n in after.items() if n}, waste + times * lost, gone | {key}
+                        yield own, times, waste + times * lost, key
 
-    stack = [(0, branches(counts, 0, frozenset()))] if n_best > bound else []
+    def begin(made: int, waste: int) -> tuple[int, Level, Iterator[tuple]]:
+        level = Level(capacity)
+        return made, level, branches(level, waste)
+
+    stack = [begin(0, 0)] if n_best > bound else []
     while stack and n_best > bound:
-        made, options = stack[-1]
+        made, level, options = stack[-1]
         steps[0] -= NODE
+        level.load(left)
         try:
             step = next(options, None)
         except Spent:
@@ -317,18 +349,24 @@ def complete_bins(counts: dict[int, int], capacity: int, effort: int = EFFORT) -
         if step is None:
             stack.pop()
             if path:
-                path.pop()
-            continue
-        own, times, left, waste, gone = step
-        if made + times + lower_bound(left, capacity) >= n_best:
+                own, times, key = path.pop()
+                give(own, times)
+                gone.discard(key)
             continue
-        rest = best_fit(left, capacity)
-        n = made + times + sum(x for _, x in rest)
-        if n < n_best:
-            best, n_best = [*path, (own, times), *rest], n
-        if left:
-            path.append((own, times))
-            stack.append((made + times, branches(left, waste, gone)))
+        own, times, waste, key = step
+        give(own, -times)
+        if made + times + lower_bound(left, capacity) < n_best:
+            rest = best_fit(left, capacity)
+            n = made + times + sum(x for _, x in rest)
+            if n < n_best:
+                best, n_best = [*[p[:2] for p in path], (own, times), *rest], n
+            if left:
+                path.append((own, times, key))
+                gone.add(key)
+                level.drop()
+                stack.append(begin(made + times, waste))
+                continue
+        give(own, times)
     return best
 
 
