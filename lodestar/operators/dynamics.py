@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ast
 from ..functions.compile import to_numpy
+from ..functions.library import LIBRARY
 from ..functions.parse import parse
 from . import project, series
 from .gram import Fit, gram
@@ -83,8 +86,6 @@ def linear_ode(df: DataFrame, t: str, y: str, keys: list[str], tie: str) -> tupl
     """The common form that holds best (relative mean square of its left side), else y'' = a y' + b y fitted."""
     own = series.second_difference(series.finite_difference(df, t, y, keys, tie, 4), t, y, keys, tie)
     w = series.order(keys, t, tie)
-    from pyspark.sql import Window
-
     n = F.count("*").over(Window.partitionBy(*keys))
     inside = own.withColumn("__k", F.row_number().over(w)).withColumn("__n", n).filter("__k > 2 and __k < __n - 1")
     c = lambda a: F.col("d2x") * float(a[0]) + F.col("dx") * float(a[1]) + F.col(y) * float(a[2])
@@ -147,11 +148,12 @@ FLOOR, TERM = 1e-8, 1.0
 
 @dataclass(frozen=True)
 class Equation:
-    """A sum of expressions of y, y' and y'' that is zero: its terms, their coefficients and its relative residual."""
+    """A sum of expressions of y, y' and y'' that is zero: its terms, their coefficients, its relative residual and the rows searched."""
 
     terms: tuple[str, ...]
     coefficients: tuple[float, ...]
     residual: float
+    rows: int = 0
 
     @property
     def text(self) -> str:
@@ -173,20 +175,58 @@ def ode_expressions(degree: int = 3, functions: tuple[str, ...] = ("sin", "cos",
 
 
 def derivatives(df: DataFrame, t: str, y: str, keys: list[str], tie: str) -> DataFrame:
-    """y0, y1 and y2 inside each series: y and its central differences of fourth order."""
-    w, h = series.order(keys, t, tie), series._step(t, keys)
-    at = lambda k: F.col(y) if not k else F.lead(y, k).over(w) if k > 0 else F.lag(y, -k).over(w)
-    first = F.try_divide(at(-2) - 8 * at(-1) + 8 * at(1) - at(2), 12 * h)
-    second = F.try_divide(-at(-2) + 16 * at(-1) - 30 * at(0) + 16 * at(1) - at(2), 12 * h * h)
-    return project.finite_rows(df.select(F.col(y).cast("double").alias("y0"), first.alias("y1"), second.alias("y2")), "y0", "y1", "y2")
-
-
-def second_moments(df: DataFrame, formulas: list[str]) -> tuple[np.ndarray, float]:
-    """Mean products of the expressions about zero, and the rows that they are of."""
-    names = [f"m{k}" for k in range(len(formulas))]
-    g = gram(project.build_features(df, dict(zip(names, formulas, strict=True)), []).withColumn("one", F.lit(0.0)), names, "one")
-    mean = g.mean[:-1]
-    return (g.xx + g.n * np.outer(mean, mean)) / max(g.n, 1), g.n
+    """y0, y1 and y2 inside each series, of every row: y and its central differences of fourth order, null near the ends.
+
+    The mean step is taken over the same order, so that one sort and one pass over the windows serve all.
+    """
+    w = series.order(keys, t, tie)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    h = F.try_divide(F.max(t).over(whole) - F.min(t).over(whole), F.count(t).over(whole) - 1)
+    at = {k: F.lead(y, k).over(w) if k > 0 else F.lag(y, -k).over(w) for k in (-2, -1, 1, 2)}
+    own = df.select(F.col(y).cast("double").alias("y0"), h.alias("h"), *[v.cast("double").alias(f"at{k + 2}") for k, v in at.items()])
+    first = F.try_divide(F.expr("at0 - 8 * at1 + 8 * at3 - at4"), 12 * F.col("h"))
+    second = F.try_divide(F.expr("-at0 + 16 * at1 - 30 * y0 + 16 * at3 - at4"), 12 * F.col("h") * F.col("h"))
+    return own.select("y0", first.alias("y1"), second.alias("y2"))
+
+
+def _values(x: ast.Node, at: dict[str, np.ndarray], seen: dict[ast.Node, np.ndarray]):
+    """NumPy values of a tree; what several trees have in common is taken once."""
+    if not isinstance(x, ast.Call):
+        return to_numpy(x, at)
+    if x not in seen:
+        args = [_values(a, at, seen) for a in x.args]
+        power = x.args[1].value if x.fn == "pow" and isinstance(x.args[1], ast.Num) else None
+        seen[x] = args[0] * args[0] * args[0] if power == 3 else args[0] * args[0] if power == 2 else LIBRARY[x.fn].numpy(*args)
+    return seen[x]
+
+
+def second_moments(df: DataFrame, formulas: list[str]) -> tuple[np.ndarray, float, int]:
+    """Mean products about zero of expressions of double columns, the rows that they are of, and all rows.
+
+    Rows with a column that isn't finite, or an expression that has no value, have no part. One pass: tasks evaluate the
+    expressions for a batch and sum its products, so only the columns reach them and one matrix a task leaves them.
+    """
+    cols, m = df.columns, len(formulas)
+    trees = [parse(f) for f in formulas]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n, rows = np.zeros((m, m)), 0, 0
+        for b in batches:
+            x = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(len(cols))])
+            rows += x.shape[1]
+            x = x[:, np.isfinite(x).all(axis=0)]
+            at, seen = dict(zip(cols, x, strict=True)), {}
+            with np.errstate(all="ignore"):
+                v = np.stack([np.broadcast_to(_values(tree, at, seen), x.shape[1:]) for tree in trees])
+                v = v[:, ~np.isnan(v).any(axis=0)]
+                total += v @ v.T
+            n += v.shape[1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(m * m + 2)), pa.array(np.r_[total.reshape(-1), n, rows])], ["k", "v"])
+
+    out = np.zeros(m * m + 2)
+    for r in df.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+        out[r.k] = r.v
+    return out[:-2].reshape(m, m) / max(out[-2], 1), float(out[-2]), int(out[-1])
 
 
 def _supports(count: int, most: int) -> Iterator[np.ndarray]:
@@ -240,9 +280,9 @@ def search_ode(df: DataFrame, t: str, y: str, keys: list[str], tie: str, degree:
     A term must be worth a decade of the residual; None where there are too few rows.
     """
     expressions = ode_expressions(degree, functions)
-    own = derivatives(df, t, y, keys, tie)
-    moments, n = second_moments(own, expressions)
+    moments, n, rows = second_moments(derivatives(df, t, y, keys, tie), expressions)
     if n < len(expressions):
         return None
     front = ode_front(moments, expressions, most_terms)
-    return min(front, key=lambda e: np.log10(max(e.residual, FLOOR)) + TERM * len(e.terms), default=None)
+    best = min(front, key=lambda e: np.log10(max(e.residual, FLOOR)) + TERM * len(e.terms), default=None)
+    return best and replace(best, rows=rows)

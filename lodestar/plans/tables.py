@@ -790,7 +790,8 @@ def _motion(spark, sf, g):
                 yield pa.RecordBatch.from_arrays([pa.array(np.tile(k[lo : lo + 500], steps)), pa.array(ids), pa.array(ids * h), pa.array(part.reshape(-1))], ["k", "id", "t", "x"])
 
     starts = table(spark, sf, "customer").select("c_custkey", (0.3 + F.pmod(F.floor(F.col("c_acctbal")), F.lit(23)) / 9).alias("y"))
-    return starts.mapInArrow(run, "k long, id long, t double, x double")
+    # a row becomes 150: they are dealt to all cores first
+    return starts.repartition(4 * spark.sparkContext.defaultParallelism, "c_custkey").mapInArrow(run, "k long, id long, t double, x double")
 
 
 @R.query(" UNION ALL ".join("SELECT '{}' AS motion, '{}' AS equation, count(*) * 150 AS n FROM customer".format(name, text.replace("'", "''")) for name, (_, text) in _MOTIONS.items()))
@@ -798,8 +799,8 @@ def ode_search(spark, sf):
     """Non-linear equations of motion, by a search over sums of expressions of y, y' and y''."""
     found = []
     for name, (g, _) in _MOTIONS.items():
-        own = _motion(spark, sf, g)
-        found.append((name, dynamics.search_ode(own, "t", "x", ["k"], "id").text, own.count()))
+        equation = dynamics.search_ode(_motion(spark, sf, g), "t", "x", ["k"], "id")
+        found.append((name, equation.text, equation.rows))
     return spark.createDataFrame(found, "motion string, equation string, n long")
 
 
