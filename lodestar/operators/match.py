@@ -17,12 +17,30 @@ CONSTANTS = (("pi", math.pi), ("e", math.e), ("sqrt(2)", math.sqrt(2)), ("sqrt(3
 
 
 def parity(df: DataFrame, x: str, y: str, digits: int = 6) -> DataFrame:
-    """Pairs of rows at x and -x: number, and shares where y is even and where it is odd."""
-    k = F.round(x, digits) + 0.0
-    a = df.filter(F.col(x) > 0).select(k.alias("__k"), F.col(y).alias("__a"))
-    b = df.filter(F.col(x) < 0).select((-F.round(x, digits)).alias("__k"), F.col(y).alias("__b"))
-    both = a.join(b, "__k")
-    return both.agg(F.count("*").alias("pairs"), F.avg((F.abs(F.col("__a") - F.col("__b")) < 1e-6).cast("double")).alias("even_share"), F.avg((F.abs(F.col("__a") + F.col("__b")) < 1e-6).cast("double")).alias("odd_share"))
+    """Pairs of rows at x and -x: number, and shares where y is even and where it is odd.
+
+    Rows are counted by key and y before they meet, and pairs are products of counts: equal rows aren't expanded, and
+    differing y meet those within the tolerance alone.
+    """
+    side = lambda rows, k, v: df.filter(rows).select(k.alias("__k"), F.col(y).alias(v)).groupBy("__k", v).agg(F.count("*").alias(f"{v}n"))
+    a = side(F.col(x) > 0, F.round(x, digits) + 0.0, "__a")
+    b = side(F.col(x) < 0, -F.round(x, digits), "__b")
+    sums = lambda d, v: d.groupBy("__k").agg(F.sum(f"{v}n").alias(v), F.sum(F.when(F.col(v).isNotNull(), F.col(f"{v}n")).otherwise(0)).alias(f"{v}v"))
+    pairs = sums(a, "__a").join(sums(b, "__b"), "__k").agg(F.coalesce(F.sum(F.col("__a") * F.col("__b")), F.lit(0)).alias("pairs"), F.sum(F.col("__av") * F.col("__bv")).alias("__whole"))
+
+    def near(sign: int, name: str) -> DataFrame:
+        """How many pairs have a y within a millionth of the other's, or of its negative: by buckets four times as wide."""
+        at = lambda v: v.cast("double") / 4e-6
+        # beyond 2^53 neighbouring doubles are further apart than the tolerance: they are their own buckets
+        bucket = lambda q: F.when(F.abs(q) < 2.0**53, F.floor(q).cast("double")).otherwise(q)
+        here = bucket(at(F.col("__a")))
+        probe = a.filter(F.col("__a").isNotNull()).withColumn("__at", F.explode(F.array_distinct(F.array(here - 1, here, here + 1))))
+        build = b.filter(F.col("__b").isNotNull()).withColumn("__at", bucket(at(F.col("__b") * sign)))
+        met = probe.join(build, ["__k", "__at"]).filter(F.abs(F.col("__a") - F.col("__b") * sign) < 1e-6)
+        return met.agg(F.coalesce(F.sum(F.col("__an") * F.col("__bn")), F.lit(0)).alias(name))
+
+    share = lambda c: F.try_divide(F.col(c).cast("double"), F.col("__whole"))
+    return pairs.crossJoin(near(1, "__even")).crossJoin(near(-1, "__odd")).select("pairs", share("__even").alias("even_share"), share("__odd").alias("odd_share"))
 
 
 def band_join(left: DataFrame, right: DataFrame, a: str, b: str, offset: float, tolerance: float) -> DataFrame:

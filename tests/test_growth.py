@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lodestar.operators import dynamics, series
+from lodestar.operators import dynamics, match, series
 
 
 def test_equation_search_reads_its_table_once(spark):
@@ -34,3 +35,25 @@ def test_moments_leave_out_rows_without_values(spark):
     a, b, c = np.array(rows[:3]).T
     v = np.stack([a, a**3 * b, np.sin(a), b * np.sin(a), c * c])
     assert (n, read) == (3, 6) and got == pytest.approx(v @ v.T / 3, rel=1e-12)
+
+
+def test_parity_of_many_equal_rows(spark):
+    """200,000 rows at each of 2 and -2 are 4e10 pairs."""
+    df = spark.range(400_000).select(F.when(F.col("id") % 2 == 0, 2.0).otherwise(-2.0).alias("x"), F.when(F.col("id") % 8 < 4, 4.0).otherwise(5.0).alias("y"))
+    r = match.parity(df, "x", "y").first()
+    assert (r.pairs, r.even_share, r.odd_share) == (40_000_000_000, 0.5, 0.0)
+
+
+def test_parity_equals_pairs_one_by_one(spark):
+    rng = np.random.default_rng(5)
+    near = [0.0, 1e-7, -1e-7, 9.9e-7, 1e-6, 1.1e-6, 3e-6, 4e-6, -4e-6, 3.9e-6, 1e10, 1e10 + 2e-6, -1e10, 36028797018963968.0, 36028797018963976.0, 1e300, -1e300, None, float("nan"), float("inf"), -float("inf")]
+    rows = [(float(x) / 2, y) for x, k in zip(rng.integers(-3, 4, 600), rng.integers(0, len(near), 600), strict=True) for y in [near[k]]] + [(None, 1.0), (1e-8, 1.0), (-1e-8, -1.0), (7.0, 1.0)]
+    df = spark.createDataFrame(rows, "x double, y double").repartition(3)
+    key = lambda x: round(x, 6) + 0.0
+    met = [(a, b) for x, a in rows if x is not None and x > 0 for z, b in rows if z is not None and z < 0 and key(x) == key(-z)]
+    whole = [(a, b) for a, b in met if a is not None and b is not None]
+    r = match.parity(df, "x", "y").first()
+    assert r.pairs == len(met)
+    assert r.even_share == sum(abs(a - b) < 1e-6 for a, b in whole) / len(whole) and r.odd_share == sum(abs(a + b) < 1e-6 for a, b in whole) / len(whole)
+    none = match.parity(df.filter("x > 0"), "x", "y").first()
+    assert (none.pairs, none.even_share, none.odd_share) == (0, None, None)
