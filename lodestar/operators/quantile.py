@@ -2,8 +2,8 @@
 
 A group of up to ``LIMIT`` values is sorted in one aggregation buffer. A larger one is narrowed first: a mergeable
 summary brackets each quantile, rows below and within the bracket are counted, and a bracket that still holds too many
-values is cut into equal bins, of which the one with the quantile goes on. What is sorted at the end is within
-``LIMIT``; nothing is approximated.
+values is cut into equal bins, of which the one with the quantile goes on. What is left is counted by value and ordered,
+within ``LIMIT``; nothing is approximated. Rows aren't shuffled by group: they meet the brackets of a few groups where they lie.
 """
 
 from __future__ import annotations
@@ -35,19 +35,17 @@ def percentiles(df: DataFrame, value: Column, probs: list[float], keys: list[str
     if (largest_group(own, F.col("__v"), keys) if largest is None else largest) <= limit:
         return own.groupBy(*keys).agg(F.percentile("__v", F.array(*[F.lit(p) for p in probs])).alias("__q"))
 
-    sizes = own.groupBy(*keys).agg(F.count("*").alias("__n"), F.percentile_approx("__v", spread, ACCURACY).alias("__s"))
-    # two ranks a quantile: the values next below and above it
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("j"), F.lit(p).alias("p"), F.lit(up).alias("up")) for k, p in enumerate(probs) for up in (0, 1)]))
-    rank = F.col("__t.p") * (F.col("__n") - 1)
-    targets = sizes.withColumn("__t", each).select(
-        *keys, F.col("__t.j").alias("__j"), F.col("__t.up").alias("__up"), (rank - F.floor(rank)).alias("__part"), F.when(F.col("__t.up") == 1, F.ceil(rank)).otherwise(F.floor(rank)).alias("__r"),
-        F.col("__s")[2 * F.col("__t.j")].alias("__lo"), F.col("__s")[2 * F.col("__t.j") + 1].alias("__hi"))
-    counted = written(_counted(own, targets, keys))
+    # a row a group: written first, so that its size is known and the rows meet it where they lie if it is small
+    sizes = written(own.groupBy(*keys).agg(F.count("*").alias("__n"), F.percentile_approx("__v", spread, ACCURACY).alias("__s")))
+    counted = written(_counted(own, sizes, probs, keys))
     while counted.filter((F.col("__inside") > limit) & (F.col("__lo") < F.col("__hi"))).limit(1).count():
         counted = written(_narrowed(own, counted, keys, limit))
     inside = _met(own, counted.filter(F.col("__lo") < F.col("__hi")), keys).filter("__v between __lo and __hi")
-    lists = inside.groupBy(*keys, "__j", "__up").agg(F.sort_array(F.collect_list("__v")).alias("__l"), F.first("__part").alias("__part"), F.first((F.col("__r") - F.col("__below")).cast("int")).alias("__at"))
-    found = lists.select(*keys, "__j", "__up", "__part", F.col("__l")[F.col("__at")].alias("__x")).unionByName(counted.filter(F.col("__lo") >= F.col("__hi")).select(*keys, "__j", "__up", "__part", F.col("__lo").alias("__x")))
+    # equal values are one row with their number: what a rank falls on follows from running sums
+    values = inside.groupBy(*keys, "__j", "__up", "__v").agg(F.count("*").alias("__c"), F.first("__part").alias("__part"), F.first(F.col("__r") - F.col("__below")).alias("__at"))
+    before = F.coalesce(F.sum("__c").over(Window.partitionBy(*keys, "__j", "__up").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hit = values.withColumn("__first", before).filter((F.col("__at") >= F.col("__first")) & (F.col("__at") < F.col("__first") + F.col("__c")))
+    found = hit.select(*keys, "__j", "__up", "__part", F.col("__v").alias("__x")).unionByName(counted.filter(F.col("__lo") >= F.col("__hi")).select(*keys, "__j", "__up", "__part", F.col("__lo").alias("__x")))
     a, b = (F.max(F.when(F.col("__up") == up, F.col("__x"))) for up in (0, 1))
     each = found.groupBy(*keys, "__j").agg((a * (1 - F.first("__part")) + b * F.first("__part")).alias("__x"))
     return each.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("__j", "__x"))), lambda s: s["__x"]).alias("__q"))
@@ -76,14 +74,21 @@ def _met(own: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
     return own.join(targets, keys) if keys else own.crossJoin(F.broadcast(targets))
 
 
-def _counted(own: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
-    """How many values lie below each bracket and in it; a bracket that misses its ranks is widened to all."""
-    inside = (F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi"))
-    got = _met(own, targets, keys).groupBy(*keys, "__j", "__up").agg(
-        F.first("__part").alias("__part"), F.first("__r").alias("__r"), F.first("__lo").alias("__lo"), F.first("__hi").alias("__hi"), F.count_if(F.col("__v") < F.col("__lo")).alias("__below"), F.count_if(inside).alias("__inside"), F.min("__v").alias("__a"), F.max("__v").alias("__b"), F.count("*").alias("__n"))
-    ok = (F.col("__r") >= F.col("__below")) & (F.col("__r") < F.col("__below") + F.col("__inside"))
-    pick = lambda yes, no: F.when(ok, F.col(yes)).otherwise(no)
-    return got.select(*keys, "__j", "__up", "__part", "__r", pick("__lo", F.col("__a")).alias("__lo"), pick("__hi", F.col("__b")).alias("__hi"), pick("__below", F.lit(0)).alias("__below"), pick("__inside", F.col("__n")).alias("__inside"))
+def _counted(own: DataFrame, sizes: DataFrame, probs: list[float], keys: list[str]) -> DataFrame:
+    """How many values lie below each quantile's bracket and in it, of which __r is the rank wanted; a bracket that misses its ranks is widened to all.
+
+    A row meets its group once, whatever the number of quantiles. Two ranks a quantile: the values next below and above it.
+    """
+    lo, hi = (lambda k: F.col("__s")[2 * k]), (lambda k: F.col("__s")[2 * k + 1])
+    counts = [c for k in range(len(probs)) for c in (F.count_if(F.col("__v") < lo(k)).alias(f"__b{k}"), F.count_if((F.col("__v") >= lo(k)) & (F.col("__v") <= hi(k))).alias(f"__i{k}"))]
+    # brackets aren't carried through the aggregate: arrays in it would have the rows sorted
+    got = _met(_met(own, sizes.drop("__n"), keys).groupBy(*keys).agg(*counts, F.min("__v").alias("__a"), F.max("__v").alias("__z"), F.count("*").alias("__n")), sizes.drop("__n"), keys)
+    rank = lambda p: F.lit(p) * (F.col("__n") - 1)
+    each = [F.struct(F.lit(k).alias("j"), F.lit(up).alias("up"), (rank(p) - F.floor(rank(p))).alias("part"), (F.ceil if up else F.floor)(rank(p)).alias("r"), lo(k).alias("lo"), hi(k).alias("hi"), F.col(f"__b{k}").alias("below"), F.col(f"__i{k}").alias("inside")) for k, p in enumerate(probs) for up in (0, 1)]
+    t = lambda c: F.col(f"__t.{c}")
+    ok = (t("r") >= t("below")) & (t("r") < t("below") + t("inside"))
+    pick = lambda yes, no: F.when(ok, t(yes)).otherwise(no).alias(f"__{yes}")
+    return got.withColumn("__t", F.explode(F.array(*each))).select(*keys, *[t(c).alias(f"__{c}") for c in ("j", "up", "part", "r")], pick("lo", F.col("__a")), pick("hi", F.col("__z")), pick("below", F.lit(0)), pick("inside", F.col("__n")))
 
 
 def _narrowed(own: DataFrame, targets: DataFrame, keys: list[str], limit: int) -> DataFrame:

@@ -57,3 +57,29 @@ def test_parity_equals_pairs_one_by_one(spark):
     assert r.even_share == sum(abs(a - b) < 1e-6 for a, b in whole) / len(whole) and r.odd_share == sum(abs(a + b) < 1e-6 for a, b in whole) / len(whole)
     none = match.parity(df.filter("x > 0"), "x", "y").first()
     assert (none.pairs, none.even_share, none.odd_share) == (0, None, None)
+
+
+def test_quantiles_of_a_few_large_groups_shuffle_no_rows_by_group(spark, monkeypatch, capsys):
+    """Two groups are two tasks, whatever their size, if rows are shuffled or sorted by group."""
+    from lodestar.operators import quantile
+
+    kept = quantile.written
+
+    def shown(df):
+        df.explain()
+        return kept(df)
+
+    monkeypatch.setattr(quantile, "written", shown)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
+    try:
+        df = spark.range(200_000).select((F.col("id") % 2).alias("k"), (F.col("id") * 7919 % 5003).cast("double").alias("v"))
+        out = quantile.percentiles(df, F.col("v"), [0.2, 0.5], ["k"], limit=1000)
+        out.explain()
+        got = {r.k: r["__q"] for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for k in (0, 1):
+        assert got[k] == pytest.approx(np.quantile(np.arange(k, 200_000, 2) * 7919 % 5003, [0.2, 0.5]).tolist(), rel=1e-12)
+    plans = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plans and "SortMergeJoin" not in plans and "SortAggregate" not in plans
