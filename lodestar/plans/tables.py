@@ -790,8 +790,10 @@ def _motion(spark, sf, g):
                 yield pa.RecordBatch.from_arrays([pa.array(np.tile(k[lo : lo + 500], steps)), pa.array(ids), pa.array(ids * h), pa.array(part.reshape(-1))], ["k", "id", "t", "x"])
 
     starts = table(spark, sf, "customer").select("c_custkey", (0.3 + F.pmod(F.floor(F.col("c_acctbal")), F.lit(23)) / 9).alias("y"))
-    # a row becomes 150: they are dealt to all cores first
-    return starts.repartition(4 * spark.sparkContext.defaultParallelism, "c_custkey").mapInArrow(run, "k long, id long, t double, x double")
+    # a row becomes 150: they are dealt to all cores first, and the series to tasks of two million rows at most on average
+    cores, rows = spark.sparkContext.defaultParallelism, starts.count() * 150
+    made = starts.repartition(4 * cores, "c_custkey").mapInArrow(run, "k long, id long, t double, x double")
+    return made.repartition(max(cores, rows // 2_000_000 + 1), "k")
 
 
 @R.query(" UNION ALL ".join("SELECT '{}' AS motion, '{}' AS equation, count(*) * 150 AS n FROM customer".format(name, text.replace("'", "''")) for name, (_, text) in _MOTIONS.items()))
