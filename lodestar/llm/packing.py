@@ -5,8 +5,8 @@ needs is the histogram of piece lengths, at most one count for each length up to
 so its size doesn't grow with the data. The driver packs the histogram by bin completion:
 around the largest remaining length it enumerates the undominated fillings of what is left of
 the sequence, prunes by bounds on waste and sequences, takes a filling as often as the counts
-allow, and comes back for fewer; the best-fit packing is the first incumbent. The search ends
-when the incumbent meets the lower bound or no branch is left, which proves the packing optimal,
+allow, and comes back for fewer; the best-fit packing is the first incumbent, and the one of least
+waste by sequence if that doesn't meet the bound. The search ends when the incumbent meets the lower bound or no branch is left, which proves the packing optimal,
 or else after ``EFFORT`` steps; then the gap to the lower bound is logged. The plan says, for each length and range of ranks,
 which sequence and offset; pieces get their rank from counts by task and prefix sums.
 
@@ -16,14 +16,15 @@ Null text is empty and gives one piece, the end token alone. Rows that repeat ar
 from __future__ import annotations
 
 import logging
-import re
 import unicodedata
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,12 +37,19 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, chunk
 EFFORT = 400_000
 #: Steps that a node counts as, for its bounds.
 NODE = 200
+#: Lengths that a filling of three is tried with, and tokens that a filling of two may waste.
+TRIES, WASTE = 64, 9
 #: Entries of an encoder's cache.
 CACHED = 400_000
-#: Length up to which a word with one more character is kept as well: such ones come often.
-SHORT = 10
-#: Characters below this one have their own case and class; texts with others go whole.
-PLAIN_BELOW = 0x250
+#: Bytes of a pre-token up to which it is kept.
+SHORT = 64
+#: Bytes of text that are taken at once; longer texts are cut at white space.
+STRETCH = 4 << 20
+#: Characters below this one have their own case, class and normal form; texts with others go whole. In UTF-8 their bytes are below ``LEAD``.
+PLAIN_BELOW, LEAD = 0x240, 0xC9
+#: What a character is to the pre-tokens.
+SPACE, LETTER, NUMBER, OTHER, ODD = range(5)
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def _byte_signs() -> list[str]:
@@ -54,43 +62,22 @@ def _byte_signs() -> list[str]:
 BYTE_SIGNS = _byte_signs()
 
 
-class _Words(dict):
-    """Ids of lower-case text without white space: letters are kept, other text is made of its pre-tokens'."""
-
-    def __init__(self, one, split):
-        self.one, self.split = one, split
-
-    def __missing__(self, word: str) -> bytes:
-        if word.isalpha():
-            ids = self.one(word)
-        elif word[:-1].isalpha():
-            ids = self[word[:-1]] + self[word[-1]]
-            if len(word) > SHORT:
-                return ids
-        else:
-            parts = self.split(word)
-            if len(parts) > 1:
-                return b"".join([self[p] for p in parts])
-            ids = self.one(word)
-        if len(self) >= CACHED:
-            self.clear()
-        self[word] = ids
-        return ids
-
-
-def _classes(pattern: str) -> re.Pattern:
-    """The vocabulary's pre-token pattern for plain characters, letters first (alternatives start unlike)."""
-    of = lambda want: "".join(re.escape(chr(c)) for c in range(PLAIN_BELOW) if unicodedata.category(chr(c))[0] == want)
-    letters, numbers = of("L"), of("N")
-    parts = pattern.split("|")
-    rest = [p for p in parts if p.startswith("'")]
-    if parts[len(rest) :] != [r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+"]:
-        raise ValueError(f"unknown pre-tokens: {pattern}")
-    return re.compile("|".join([f"[{letters}]+", *rest, f"[{numbers}]", rf"[^\s{letters}{numbers}]+"]))
+def _kinds() -> np.ndarray:
+    """What each character is, by its byte or by lead << 8 | next of its two bytes."""
+    out = np.full(1 << 16, ODD, np.uint8)
+    for c in range(PLAIN_BELOW):
+        raw, kind = chr(c).encode(), unicodedata.category(chr(c))[0]
+        if 0x1C <= c < 0x20:
+            continue  # white space to some
+        out[int.from_bytes(raw)] = SPACE if chr(c).isspace() else {"L": LETTER, "N": NUMBER}.get(kind, OTHER)
+    return out
+
+
+KINDS = _kinds()
 
 
 class Encoder:
-    """Ids of texts as bytes (little-endian u32), by a cache of words.
+    """Ids of texts (little-endian u32): a stretch of texts is cut into pre-tokens at once, and each distinct one is encoded once.
 
     Pre-tokens hold no white space and encode alike in any place. Texts with characters whose normal form, case or class
     isn't plain go whole.
@@ -104,29 +91,105 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             pre = json.load(f)["pre_tokenizer"]["pretokenizers"][0]
-        self.words = _Words(self._one, _classes(pre["pattern"]["Regex"]).findall)
+        if pre["pattern"]["Regex"] != PRE_TOKENS:
+            raise ValueError(f"unknown pre-tokens: {pre['pattern']['Regex']}")
+        self.words: dict[bytes, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _one(self, word: str) -> bytes:
+    def _one(self, raw: bytes) -> bytes:
         """A single pre-token's ids, its bytes as the vocabulary writes them."""
+        word = raw.decode("latin-1")
         if not (word.isascii() and word.isprintable()):
-            word = "".join([BYTE_SIGNS[b] for b in word.encode()])
-        return np.array([t.id for t in self.tok.model.tokenize(word)], "<u4").tobytes()
+            word = "".join([BYTE_SIGNS[b] for b in raw])
+        return array("I", [t.id for t in self.tok.model.tokenize(word)]).tobytes()
+
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of some distinct pre-tokens."""
+        if len(self.words) >= CACHED:
+            self.words.clear()
+        out = list(map(self.words.get, words))
+        for k, ids in enumerate(out):
+            if ids is None:
+                out[k] = self._one(words[k])
+                if len(words[k]) <= SHORT:
+                    self.words[words[k]] = out[k]
+        return out
 
     @staticmethod
-    def plain(text: str, low: str) -> bool:
-        """Case and normal form of each character stand for themselves, before and after lower-casing; white space is as str.split has it."""
-        if "<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-            return False
-        if text.isascii():
-            return True
-        return ord(max(text)) < PLAIN_BELOW and ord(max(low)) < PLAIN_BELOW and "İ" not in text and unicodedata.is_normalized("NFC", text)
+    def _starts(low: np.ndarray, off: np.ndarray, kind: np.ndarray, later: np.ndarray) -> np.ndarray:
+        """Where pre-tokens start in lower-case UTF-8; ``later`` are the places of second bytes."""
+        start = kind != SPACE
+        start[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+        first = np.zeros(len(low) + 4, bool)
+        first[off] = True
+        start |= first[: len(low)] & (kind != SPACE)
+        start[later] = False
+        # an apostrophe that starts one takes the letters of a contraction
+        at = np.flatnonzero(start & (low == ord("'")))
+        wide = np.r_[low, np.zeros(4, low.dtype)]
+        one, two = wide[at + 1].astype(np.int64), wide[at + 2].astype(np.int64)
+        short = np.isin(one, list(b"stmd"))
+        long = np.isin(one << 8 | two, [int.from_bytes(x) for x in (b"re", b"ve", b"ll")]) & ~first[at + 2]
+        held = (short | long) & ~first[at + 1]
+        at, after = at[held], (at + np.where(short, 2, 3))[held]
+        start[at + 1] = False
+        after = after[after < len(low)]
+        start[after] = kind[after] != SPACE
+        return start
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and the n + 1 offsets of the texts in them."""
+        data, off = utf8(texts)
+        if len(off) == 2 and len(data) > 2 * STRETCH:
+            return self._long(data.tobytes())
+        low, low_off = utf8(pc.utf8_lower(texts))
+        # lower-case letters may have come from others than plain ones
+        odd = np.array([b"<|" in raw or b"\xc4\xb0" in raw for raw in (data[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True))], bool)
+        odd[np.searchsorted(off, np.flatnonzero(data >= LEAD), "right") - 1] = True
+        later = np.flatnonzero(low >= 0x80)
+        lead = later[low[later] >= 0xC0]
+        later = later[low[later] < 0xC0]
+        code = low.astype(np.uint16)
+        code[lead] = code[lead] << 8 | low[np.minimum(lead + 1, len(low) - 1)]
+        kind = KINDS[code]
+        kind[later] = kind[later - 1]
+        odd[np.searchsorted(low_off, np.flatnonzero(kind == ODD), "right") - 1] = True
+        for k in np.flatnonzero(odd):
+            kind[low_off[k] : low_off[k + 1]] = SPACE
+        start = self._starts(low, low_off, kind, later)
+        inside = kind != SPACE
+        letters = low[inside]
+        bounds = np.r_[np.flatnonzero(start[inside]), len(letters)].astype(np.int32)
+        found = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(letters)]).dictionary_encode()
+        which = found.indices.to_numpy()
+        known = self._known(found.dictionary.to_pylist())
+        size = np.fromiter(map(len, known), np.int32, len(known)) // 4
+        n = size[which]
+        to = np.cumsum(n, dtype=np.int64)
+        flat = np.frombuffer(b"".join(known), "<u4")[np.repeat((np.cumsum(size, dtype=np.int64) - size)[which] - (to - n), n) + np.arange(to[-1] if len(to) else 0)]
+        ends = np.r_[0, to][np.searchsorted(np.flatnonzero(start), low_off)]
+        if odd.any():
+            parts = [np.frombuffer(self._whole(texts[k].as_py()), "<u4") if odd[k] else flat[ends[k] : ends[k + 1]] for k in range(len(odd))]
+            flat, ends = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+        return flat, ends
+
+    def _long(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of one long text, by stretches that end at a space."""
+        parts, at = [], 0
+        while at < len(raw):
+            to = raw.find(b" ", at + STRETCH)
+            to = len(raw) if to < 0 else to
+            texts = pa.array([raw[at:to]], pa.binary()).cast(pa.string())
+            parts.append(self.ids(texts)[0] if to - at <= 2 * STRETCH else np.frombuffer(self._whole(texts[0].as_py()), "<u4"))
+            at = to
+        flat = np.concatenate(parts)
+        return flat, np.array([0, len(flat)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        get = self.words.__getitem__
-        return [b"".join(map(get, low.split())) if self.plain(x, low) else self._whole(x) for x, low in ((x, x.lower()) for x in texts)]
+        flat, ends = self.ids(pa.array(texts, pa.string()))
+        return [flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -140,26 +203,33 @@ def encoder_of(path: str) -> Encoder:
 
 
 def _pieces(path: str, capacity: int, end: int):
+    names = [x.split()[0] for x in PIECES.split(",")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = encoder_of(path), np.uint32(end).astype("<u4").tobytes()
-        chunk = TaskContext.get().partitionId()
+        encoder, chunk = encoder_of(path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             _, off = utf8(batch.column(1))
-            ids, texts = batch.column(0), batch.column(1)
-            for a, b in slices(off):
-                rows: tuple[list, ...] = ([], [], [], [], [], [])
-                for k, raw in enumerate(encoder.encode([texts[k].as_py() or "" for k in range(a, b)])):
-                    raw += last
-                    for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
-                        part = raw[at : at + 4 * capacity]
-                        n = len(part) // 4
-                        for col, v in zip(rows, (ids[a + k].as_py(), piece, at // 4, n, zlib.crc32(part), int(seen[n])), strict=True):
-                            col.append(v)
-                        seen[n] += 1
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-                cols = [pa.array(v, t) for v, t in zip(rows, types, strict=True)]
-                yield pa.RecordBatch.from_arrays([*cols[:5], pa.array(np.full(len(rows[0]), chunk), pa.int64()), cols[5]], ["doc_id", "piece", "start", "length", "ids_crc32", "chunk", "nth"])
+            for a, b in slices(off, STRETCH):
+                flat, ends = encoder.ids(pc.fill_null(batch.column(1).slice(a, b - a), ""))
+                size = np.diff(ends) + 1
+                flat, ends = np.insert(flat, ends[1:], end), np.r_[0, np.cumsum(size)]
+                pieces = -(-size // capacity)
+                row = np.repeat(np.arange(b - a), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(size[row] - start, capacity)
+                raw, lo = memoryview(flat).cast("B"), 4 * (ends[row] + start)
+                crc = [zlib.crc32(raw[x:y]) for x, y in zip(lo.tolist(), (lo + 4 * length).tolist(), strict=True)]
+                # the place of each piece among those of its length
+                order = np.argsort(length, kind="stable")
+                first = np.searchsorted(length[order], length)
+                nth = np.empty(len(row), np.int64)
+                nth[order] = np.arange(len(row))
+                nth += seen[length] - first
+                seen += np.bincount(length, minlength=capacity + 1)
+                docs = batch.column(0).slice(a, b - a).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([docs, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.full(len(row), chunk), pa.int64()), pa.array(nth)], names)
 
     return run
 
@@ -227,6 +297,77 @@ def _put(room: dict[int, list[list]], levels: list[int], level: int, group: list
     room[level].append(group)
 
 
+class Stock:
+    """Numbers by length, with the lengths that there are as bits, upwards and downwards from the capacity."""
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.left, self.capacity, self.up, self.down = {}, capacity, 0, 0
+        for x, n in counts.items():
+            self.add(x, n)
+
+    def add(self, x: int, n: int) -> None:
+        now = self.left.get(x, 0)
+        self.left[x] = now + n
+        if (now > 0) != (now + n > 0):
+            self.up ^= 1 << x
+            self.down ^= 1 << self.capacity - x
+
+    def upto(self, room: int) -> int:
+        return self.up & (2 << room) - 1
+
+    def pair(self, room: int) -> tuple[int, ...]:
+        """One length or two that fill the room, two as like as can be; none: ()."""
+        if self.up >> room & 1:
+            return (room,)
+        both = self.upto(room // 2) & self.down >> self.capacity - room
+        if both >> room // 2 & 1 and room % 2 == 0 and self.left[room // 2] == 1:
+            both ^= 1 << room // 2
+        a = both.bit_length() - 1
+        return (room - a, a) if both else ()
+
+    def filling(self, room: int) -> tuple[int, ...]:
+        """Up to two lengths that fill the room, or three with one of the ``TRIES`` largest, or two that waste under ``WASTE``; else the largest that fits."""
+        got = self.pair(room)
+        fit = self.upto(room - 1)
+        for _ in range(TRIES):
+            if got or not fit:
+                break
+            x = fit.bit_length() - 1
+            fit ^= 1 << x
+            self.add(x, -1)
+            rest = self.pair(room - x)
+            self.add(x, 1)
+            got = rest and (x, *rest)
+        for waste in range(1, min(room, WASTE)):
+            got = got or self.pair(room - waste)
+        return got or (self.upto(room).bit_length() - 1,)
+
+
+def least_waste(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Sequence by sequence, the largest length left with what fills its room, short pieces last: best fit spends them early on rooms that
+    two lengths fill. As ``best_fit`` returns it."""
+    stock, plan = Stock({x: n for x, n in counts.items() if n}, capacity), []
+    while stock.up:
+        large = stock.up.bit_length() - 1
+        own, room = {}, capacity
+        take = [(large, 1)]
+        while take:
+            for x, n in take:
+                own[x] = own.get(x, 0) + n
+                stock.add(x, -n)
+                room -= x * n
+            many = min(stock.left[large], room // large - 3)
+            if many > 0:
+                take = [(large, many)]
+            else:
+                take = [(x, 1) for x in stock.filling(room)] if stock.upto(room) else []
+        times = 1 + min(stock.left[x] // n for x, n in own.items())
+        for x, n in own.items():
+            stock.add(x, -n * (times - 1))
+        plan.append((own, times))
+    return plan
+
+
 def undominated(taken: dict[int, int], counts: dict[int, int], waste: int) -> bool:
     """No length that is left could stand for shorter ones of those taken, or for none, within the waste."""
     sums = 1  # bit s: some of the taken lengths add up to s
@@ -306,6 +447,10 @@ def complete_bins(counts: dict[int, int], capacity: int, effort: int = EFFORT) -
     """
     best = best_fit(counts, capacity)
     n_best, bound = sum(x for _, x in best), lower_bound(counts, capacity)
+    if n_best > bound:
+        other = least_waste(counts, capacity)
+        if sum(x for _, x in other) < n_best:
+            best, n_best = other, sum(x for _, x in other)
     total = sum(x * n for x, n in counts.items())
     left = {x: n for x, n in counts.items() if n}
     path: list[tuple[dict[int, int], int, frozenset]] = []
