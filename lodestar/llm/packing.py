@@ -44,7 +44,7 @@ CACHED = 400_000
 #: Bytes of a pre-token up to which it is kept.
 SHORT = 64
 #: Bytes of text that are taken at once; longer texts are cut at white space.
-STRETCH = 4 << 20
+STRETCH = 2 << 20
 #: Characters below this one have their own case, class and normal form; texts with others go whole. In UTF-8 their bytes are below ``LEAD``.
 PLAIN_BELOW, LEAD = 0x240, 0xC9
 #: What a character is to the pre-tokens.
